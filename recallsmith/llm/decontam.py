@@ -144,22 +144,27 @@ def rare_seeds(items: Items, counts: dict[int, int], times: int = 8, always: int
     return out
 
 
-def find_links(docs: DataFrame, items: Items, seeds: set[tuple[int, int]], least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word) of each document's best passage for each item, from `least` on."""
-    starts: dict[int, list[int]] = defaultdict(list)
-    for k, c in seeds:
-        starts[c].append(k)
-    short = {tuple(items.words[k].tolist()): k for k in items.short()}
-
-    def passages(numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        at, codes = items.hits(numbers)
+class Finder:
+    """Finds the passages of texts that align with items."""
+
+    def __init__(self, items: Items, seeds: set[tuple[int, int]], least: float = LEAST_SCORE) -> None:
+        self.items, self.least = items, least
+        self.starts: dict[int, list[int]] = defaultdict(list)
+        for k, c in sorted(seeds):
+            self.starts[c].append(k)
+        self.short = {tuple(items.words[k].tolist()): k for k in items.short()}
+        self.memo: dict[tuple[int, bytes], tuple[float, int, int]] = {}
+
+    def passages(self, numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item with enough seeds close together, the ranges of words to align."""
+        at, codes = self.items.hits(numbers)
         by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, c in zip(at.tolist(), codes.tolist(), strict=True):
-            for k in starts.get(c, ()):
+            for k in self.starts.get(c, ()):
                 by_item[k].append((p, c))
         out = {}
         for k, hits in by_item.items():
-            m = len(items.words[k])
+            m = len(self.items.words[k])
             groups: list[list] = []  # runs of hits no further apart than the item is long
             for p, c in hits:
                 if not groups or p - groups[-1][1] > m:
@@ -167,37 +172,42 @@ def find_links(docs: DataFrame, items: Items, seeds: set[tuple[int, int]], least
                 else:
                     groups[-1][1] = p
                     groups[-1][2].add(c)
-            # a passage scores `least` only if enough of its words match; fewer seeds than that leaves can't get there
             need = 2 if m >= 3 * SEED_WORDS else 1
-            spans = [(max(0, a - m), b + SEED_WORDS + m) for a, b, seen in groups if len(seen) >= need]
-            if spans:
+            if spans := [(max(0, a - m), b + SEED_WORDS + m) for a, b, seen in groups if len(seen) >= need]:
                 out[k] = spans
         return out
 
+    def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
+        """(item_id, score, first word, end word) of the best passage for each item, from `least` on."""
+        numbers = self.items.numbers(text)
+        if not len(numbers):
+            return []
+        out = []
+        if self.short and tuple(numbers.tolist()) in self.short:
+            out.append((self.items.ids[self.short[tuple(numbers.tolist())]], 1.0, 0, len(numbers)))
+        for k, spans in self.passages(numbers).items():
+            best = (0.0, 0, 0)
+            for a, z in spans:
+                window = numbers[a:z]
+                key = (k, window.tobytes())
+                if key not in self.memo:
+                    if len(self.memo) > 20_000:
+                        self.memo.clear()
+                    self.memo[key] = align(self.items.words[k], window)
+                s, i, j = self.memo[key]
+                if s > best[0]:
+                    best = (s, a + i, a + j)
+            if best[0] >= self.least:
+                out.append((self.items.ids[k], *best))
+        return out
+
+
+def find_links(docs: DataFrame, finder: Finder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, first_word, end_word) of each row's best passage for each item."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for b in it:
-            out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                numbers = items.numbers(t)
-                if not len(numbers):
-                    continue
-                if short and tuple(numbers.tolist()) in short:
-                    out.append((d, items.ids[short[tuple(numbers.tolist())]], 1.0, 0, len(numbers)))
-                for k, spans in passages(numbers).items():
-                    best = (0.0, 0, 0)
-                    for a, z in spans:
-                        window = numbers[a:z]
-                        key = (k, window.tobytes())
-                        if key not in memo:
-                            if len(memo) > 20_000:
-                                memo.clear()
-                            memo[key] = align(items.words[k], window)
-                        s, i, j = memo[key]
-                        if s > best[0]:
-                            best = (s, a + i, a + j)
-                    if best[0] >= least:
-                        out.append((d, items.ids[k], *best))
+            out = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in finder.find(t)]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -205,8 +215,8 @@ def find_links(docs: DataFrame, items: Items, seeds: set[tuple[int, int]], least
     return part.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """All links between documents and test items, from a score of `least` on.
+def finders(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Finder]:
+    """A finder for each part of the benchmark, with seeds chosen by their counts over all documents.
 
     Items go to the tasks in parts of at most PART_BYTES, measured first; each part is a scan of its own, so no task
     holds more than one part however large the benchmark is, and no row of the documents is shuffled.
@@ -214,17 +224,35 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, le
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-int(size) // PART_BYTES) or 1
-    out = None
     for k in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else rows
+        mine = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else rows
         items = Items(sorted(((r[0], r[1] or "") for r in mine.collect()), key=lambda r: (r[0] is None, r)))
-        counts = seed_counts(docs, items, text_col)
-        links = find_links(docs, items, rare_seeds(items, counts), least, id_col, text_col)
+        yield Finder(items, rare_seeds(items, seed_counts(docs, items, text_col)), least)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """All links between documents and test items, from a score of `least` on."""
+    out = None
+    for f in finders(docs, benchmark, least, text_col, item_col, item_text_col):
+        links = find_links(docs, f, id_col, text_col)
         out = links if out is None else out.unionByName(links)
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have no link to a test item; no shuffle."""
+    out = docs
+    for f in finders(docs, benchmark, least, text_col, item_col, item_text_col):
+
+        def run(it: Iterator[pa.RecordBatch], f: Finder = f) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                yield b.filter(pa.array([not f.find(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(lambda it, run=run: run(it), docs.schema)
+    return out
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that copies a benchmark item, exactly or edited, with its score and place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

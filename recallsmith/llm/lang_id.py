@@ -154,6 +154,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return part.mapInArrow(run, part.select("id").schema.add("lang_pred", "string").add("score", "double"))
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.05) -> DataFrame:
+    """The rows, with all their columns, whose language is determined with a score of `least_score` or more; no shuffle."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [model.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.filter(pa.array([lang != UNDETERMINED and s >= least_score for lang, s in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose crc32 modulo 4 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

@@ -188,6 +188,15 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     return rows.select("id", "c").join(named, "c").select("id", "group_id")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows, with all their columns, of the least id of each group of near copies, one for each id; rows without an id stay."""
+    known = docs.where(F.col(id_col).isNotNull())
+    groups = similarity_groups(spark, known, id_col, text_col, shingle, similarity)
+    heads = groups.where("id = group_id").select(F.col("id").alias("__id")).distinct()
+    kept = known.join(heads, F.col(id_col).cast("long") == F.col("__id")).drop("__id").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, links at 2 or fewer differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
