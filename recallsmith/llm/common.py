@@ -56,7 +56,14 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """
     path = shared_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop_table(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table that materialise() wrote and that nothing will read again."""
+    drop_path(spark, table._shared_path)
 
 
 def crc32_mod(column: str, n: int):

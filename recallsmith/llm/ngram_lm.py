@@ -20,13 +20,14 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import SharedFiles, crc32_mod, materialise, shared_path
+from recallsmith.llm.common import SharedFiles, crc32_mod, drop_table, materialise, shared_path
 
 END = b""
 ORDER = 3
@@ -38,6 +39,7 @@ SHARD_TOKENS = 6_000_000
 MEMO_WORDS = 250_000
 #: Tokens that are looked up together.
 BATCH_TOKENS = 150_000
+LOOKUP_TOKENS = 400_000
 _STEPS = 4096  # quantisation steps for a factor of ten
 _U = np.uint64
 
@@ -46,16 +48,19 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
+_PLACES = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
+_EVERY, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
 def _select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th (from 0) one of each 64-bit word."""
-    at = np.zeros(len(x), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        c = _ones(x & _U((1 << width) - 1))
-        go = k >= c
-        k = np.where(go, k - c, k)
-        at += go * width
-        x = np.where(go, x >> _U(width), x)
-    return at
+    """The place of the k-th (from 0) one of each 64-bit word: first its byte, by running sums of all bytes at once."""
+    k = k.astype(np.uint64)
+    s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EVERY
+    byte = np.bitwise_count(((k * _EVERY | _TOP) - s) & _TOP).astype(np.uint64) * _U(8)
+    k = k - (((s << _U(8)) >> byte) & _U(255))
+    return (byte + _PLACES[(((x >> byte) & _U(255)) << _U(3)) + k]).astype(np.int64)
 
 
 class EliasFano:
@@ -116,24 +121,38 @@ class EliasFano:
         return self.arrays["zeros"]
 
     def find(self, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Places of target values within [low, high), -1 where there is none: high parts tell the bucket, then low parts are halved."""
+        """Places of target values within [low, high), -1 where there is none: high parts tell the bucket, low parts the place in it."""
         h = target >> self.bits
+        want = target & ((1 << self.bits) - 1)
         limit = len(self.zeros) * 64 - self.n - 1
         a = np.maximum(self._first_at_or_after(np.minimum(h, limit)), low)
-        z = np.minimum(self._first_at_or_after(np.minimum(h + 1, limit)), high)
-        want = target & ((1 << self.bits) - 1)
+        out, left = np.full(len(a), -1, np.int64), np.arange(len(a))
+        for _ in range(6):  # buckets hold one or two values on average
+            i = a[left]
+            at = i + h[left]
+            word = np.minimum(at >> 6, len(self.high) - 1)
+            # a value is in bucket h if its one stands before the bucket's zero
+            here = (i < high[left]) & ((self.high[word] >> (at & 63).astype(np.uint64)) & _U(1)).astype(bool) & (at >> 6 == word)
+            left, i = left[here], i[here]
+            got, sought = self._low(i), want[left]
+            same = got == sought
+            out[left[same]] = i[same]
+            left = left[got < sought]
+            a[left] += 1
+            if not len(left):
+                return out
+        z = np.minimum(self._first_at_or_after(np.minimum(h[left] + 1, limit)), high[left])
+        i, sought = a[left], want[left]
         end = z.copy()
-        while True:
-            open_ = np.flatnonzero(a < z)
-            if not len(open_):
-                break
-            mid = (a[open_] + z[open_]) // 2
-            less = self._low(mid) < want[open_]
-            a[open_] = np.where(less, mid + 1, a[open_])
+        while len(open_ := np.flatnonzero(i < z)):
+            mid = (i[open_] + z[open_]) // 2
+            less = self._low(mid) < sought[open_]
+            i[open_] = np.where(less, mid + 1, i[open_])
             z[open_] = np.where(less, z[open_], mid)
-        ok = a < end
-        ok[ok] = self._low(a[ok]) == want[ok]
-        return np.where(ok, a, -1)
+        ok = i < end
+        ok[ok] = self._low(i[ok]) == sought[ok]
+        out[left[ok]] = i[ok]
+        return out
 
 
 def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
@@ -187,7 +206,7 @@ class Model:
         import xxhash
 
         get = self.memo.get
-        out = np.fromiter((get(w, -2) for w in words), np.int64, len(words))
+        out = np.fromiter(map(get, words, repeat(-2)), np.int64, len(words))
         if len(lost := np.flatnonzero(out == -2)):
             fresh = list(dict.fromkeys(words[i] for i in lost.tolist()))
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in fresh), np.uint64, len(fresh))
@@ -325,7 +344,7 @@ def _token_batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
 
 
 def _flat(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    return [w for t in texts for w in t], np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return list(chain.from_iterable(texts)), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
 
 def _deal(shards: int, df: DataFrame) -> DataFrame:
@@ -378,7 +397,44 @@ def _write_words(root: str, df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "shard int, n long")
 
 
-def _count_level(texts: DataFrame, root: str, shape: dict, level: int, size: int) -> DataFrame:
+def number_bytes(shape: dict) -> int:
+    """Bytes of a word number."""
+    return 4 if shape["words"] < 1 << 31 else 8
+
+
+def number(docs: DataFrame, root: str, shape: dict, keep: list[str], text_col: str = "text") -> DataFrame:
+    """(keep, numbers binary) of every row: its tokens' word numbers as integers of number_bytes(), -1 for unseen words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(root, shape)
+        for chunk, rows, b in _token_batches(it, len(keep)):
+            words, _ = _flat(chunk)
+            data = model.numbers(words).astype(f"<i{width}").tobytes()
+            ends = np.concatenate(([0], np.cumsum([len(t) for t in chunk]))) * width
+            some = b.slice(rows[0], len(rows))
+            yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), pa.array([data[a:z] for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.binary())], [*keep, "numbers"])
+
+    width = number_bytes(shape)
+    part = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
+    return part.mapInArrow(run, part.select(*keep).schema.add("numbers", "binary"))
+
+
+def _number_batches(it: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch, list[int]]]:
+    """(numbers, row of each, rows, lengths), about LOOKUP_TOKENS numbers at a time."""
+    for b in it:
+        data = b.column(column).to_pylist()
+        sizes, at = [len(x) // width for x in data], 0
+        while at < len(data):
+            end, total = at, 0
+            while end < len(data) and (total == 0 or total + sizes[end] <= LOOKUP_TOKENS):
+                total += sizes[end]
+                end += 1
+            ids = np.frombuffer(b"".join(data[at:end]), f"<i{width}").astype(np.int64)
+            yield ids, np.repeat(np.arange(end - at), sizes[at:end]), b.slice(at, end - at), sizes[at:end]
+            at = end
+
+
+def _count_level(numbered: DataFrame, root: str, shape: dict, level: int, size: int) -> DataFrame:
     """Packed counts (shard, data) of the n-grams of a level, summed in each task and sorted by context and last word."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,9 +456,7 @@ def _count_level(texts: DataFrame, root: str, shape: dict, level: int, size: int
                 data.append(zlib.compress(np.array([j - i], "<i8").tobytes() + step.astype("<u4").tobytes() + b[i:j].astype("<u4").tobytes() + n[i:j].astype("<u4").tobytes(), 1))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["shard", "data"])
 
-        for chunk, _, _ in _token_batches(it, 0):
-            words, doc = _flat(chunk)
-            ids = model.numbers(words)
+        for ids, doc, _, _ in _number_batches(it, 0, number_bytes(shape)):
             often = np.zeros(len(ids), bool)
             often[ids >= 0] = model.counts(1, ids[ids >= 0]) >= LEAST_COUNT
             ids = np.where(often, ids, -1)
@@ -421,7 +475,7 @@ def _count_level(texts: DataFrame, root: str, shape: dict, level: int, size: int
         if held:
             yield out(*merged())
 
-    return texts.mapInArrow(run, "shard int, data binary")
+    return numbered.select("numbers").mapInArrow(run, "shard int, data binary")
 
 
 def _write_level(df: DataFrame, root: str, shape: dict, level: int, size: int, contexts: int) -> DataFrame:
@@ -498,48 +552,55 @@ def _starts(rows: list, shards: int) -> list[int]:
     return [0, *np.cumsum(sizes).tolist()]
 
 
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int = ORDER) -> tuple[str, dict]:
-    """Learn from every row; returns the model's folder and its shape (a few numbers for each shard)."""
+def learn_words(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int = ORDER) -> tuple[str, dict]:
+    """Level 1 from every row; returns the model's folder and its shape (a few numbers for each shard)."""
     root = shared_path(spark, "lm")
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    words = materialise(spark, _count_words(texts).select(F.xxhash64("word").alias("h"), "n"), "words")
+    words = materialise(spark, _count_words(docs.select(F.col(text_col).cast("string").alias("text"))).select(F.xxhash64("word").alias("h"), "n"), "words")
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-total // SHARD_TOKENS))
     bits = (shards - 1).bit_length()
-    shape = {"order": order if distinct else 1, "tokens": int(total), "words": int(distinct), "hash_bits": bits, "starts": [], "range": [0]}
+    shape = {"order": order if distinct else 1, "tokens": int(total), "words": int(distinct), "hash_bits": bits, "shards": shards, "starts": [], "range": [0]}
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     dealt = _deal(1 << bits, words.select(shard.alias("shard"), "h", "n"))
     shape["starts"].append(_starts(_write_words(root, dealt).collect(), 1 << bits))
+    return root, shape
+
+
+def learn_levels(spark: SparkSession, numbered: DataFrame, root: str, shape: dict) -> dict:
+    """The levels from 2 on, from rows of word numbers; returns the shape with them."""
+    shape = {**shape, "starts": list(shape["starts"]), "range": list(shape["range"])}
     for level in range(2, shape["order"] + 1):
         contexts = shape["starts"][-1][-1]
-        size = max(1, -(-contexts // shards))
+        size = max(1, -(-contexts // shape["shards"]))
         n_shards = max(1, -(-contexts // size)) if contexts else 1
-        counted = materialise(spark, _count_level(texts, root, shape, level, size), "grams")
+        counted = materialise(spark, _count_level(numbered, root, shape, level, size), "grams")
         every = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("data"))
         rows = _write_level(_deal(n_shards, counted.unionByName(every)), root, shape, level, size, contexts).collect()
+        drop_table(spark, counted)
         shape["starts"].append(_starts(rows, n_shards))
         shape["range"].append(size)
-    return root, shape
+    return shape
 
 
-def score(docs: DataFrame, root: str, shape: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row's whole text."""
+def score(numbered: DataFrame, root: str, shape: dict, keep: list[str]) -> DataFrame:
+    """(keep, n_tokens, n_known, base_score, score) of every row of word numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(root, shape)
-        for chunk, rows, b in _token_batches(it, 1):
-            words, doc = _flat(chunk)
-            base, logs, known = model.logs(model.numbers(words), doc)
-            n = len(chunk)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([len(t) for t in chunk], pa.int64()), pa.array(np.bincount(doc, known, n).astype(np.int64)), pa.array(np.bincount(doc, base, n)), pa.array(np.bincount(doc, logs, n))], ["id", "n_tokens", "n_known", "base_score", "score"])
+        for ids, doc, b, sizes in _number_batches(it, len(keep), number_bytes(shape)):
+            base, logs, known = model.logs(ids, doc)
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(np.bincount(doc, known, n).astype(np.int64)), pa.array(np.bincount(doc, base, n)), pa.array(np.bincount(doc, logs, n))], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
-    part = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return part.mapInArrow(run, part.select("id").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double"))
+    part = numbered.select(*keep, "numbers")
+    return part.mapInArrow(run, part.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double"))
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of those whose crc32 modulo 7 is not 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    root, shape = train(spark, docs.where(crc32_mod("doc_id", 7) != 2))
-    out = score(docs, root, shape)
-    return out.select(F.col("id").alias("doc_id"), (crc32_mod("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(shape["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc32_mod("doc_id", 7) == 2).alias("held_out"))
+    root, shape = learn_words(spark, docs.where(~F.col("held_out")))
+    numbered = materialise(spark, number(docs, root, shape, ["doc_id", "held_out"]), "numbers")
+    shape = learn_levels(spark, numbered.where(~F.col("held_out")), root, shape)
+    out = score(numbered, root, shape, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shape["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
