@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallsmith.llm.common import materialise
-from recallsmith.llm.tokens import tokenizer, tokenizer_path
+from recallsmith.llm.tokens import encoded, tokenizer, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces in a problem, on average; bounds a task's memory and its share of sequences that stay open.
@@ -125,8 +125,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
         tok, end = tokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for b in it:
             out: list[tuple] = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = tok.ids(t) + end
+            for d, got in zip(b.column(0).to_pylist(), encoded(tok, b.column(1).to_pylist()), strict=True):
+                ids = got + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 at, piece = 0, 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallsmith.llm.common import materialise, shared_path
-from recallsmith.llm.tokens import tokenizer, tokenizer_path
+from recallsmith.llm.tokens import encoded, tokenizer, tokenizer_path
 
 SCALE_BITS = 20
 LANES = 512
@@ -145,8 +145,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
             counts[: len(got)] += got
 
         for b in it:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = tok.ids(t) + end
+            for d, got in zip(b.column(0).to_pylist(), encoded(tok, b.column(1).to_pylist()), strict=True):
+                ids = got + end
                 docs_.append(d)
                 lens.append(len(ids) // 4)
                 parts.append(ids)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
+from collections.abc import Iterator
 
 #: Words that a worker remembers; at twice as many, the half that was not used since is forgotten.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 200_000
+#: Characters of text that are encoded together.
+BATCH_CHARS = 400_000
 
 
-class _Unsafe(Exception):
-    """A unit that must not be cut out of its text."""
+_MARKS = ".,!?;:"
 
 
 class _Memo(dict):
@@ -21,18 +22,56 @@ class _Memo(dict):
         super().__init__()
         self.encode, self.prefix, self.old = encode, prefix, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.old.get(unit)
-        if ids is None:
-            if not unit or unit[0].isspace() or unit[-1].isspace():
-                raise _Unsafe
-            ids = self.encode(self.prefix + unit)
-        if len(unit) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = ids
-        return ids
+    def forget(self) -> None:
+        """Begin a new generation; what the last one held comes back when it is needed."""
+        self.old = dict(self)
+        self.clear()
+
+    def learn(self, units: set[str]) -> bool:
+        """Make all units known; False if one must not be cut out of its text.
+
+        A unit of a word and closing marks is two pieces by the splitting rules, so its ids are those of both.
+        """
+        marks: dict[str, tuple[str, str]] = {}
+        fresh: dict[str, None] = {}
+        old = self.old
+        for u in units:
+            if not u or u[0].isspace() or u[-1].isspace():
+                return False
+        for u in units:
+            if (ids := old.get(u)) is not None:
+                self[u] = ids
+                continue
+            word = u.rstrip(_MARKS)
+            if word != u and word and word[-1].isalpha():
+                marks[u] = word, u[len(word) :]
+                if (ids := self.get(word) or old.get(word)) is not None:
+                    self[word] = ids
+                else:
+                    fresh[word] = None
+            else:
+                fresh[u] = None
+        if fresh:
+            self.update(zip(fresh, self.encode([self.prefix + u for u in fresh]), strict=True))
+        ends = {m for _, m in marks.values()} - self.ends.keys()
+        if ends:
+            self.ends.update(zip(ends, self.encode(list(ends)), strict=True))
+        for u, (word, end) in marks.items():
+            self[u] = self[word] + self.ends[end]
+        return True
+
+    ends: dict[str, bytes] = {}
+
+
+def _lower(text: str | None) -> str | None:
+    """Lower case ahead of a file that lowers case anyway, so that words meet in the memo; only where each character has one form."""
+    if not text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class WordTokenizer:
@@ -40,7 +79,8 @@ class WordTokenizer:
 
     A text is cut at single blanks between two characters that are not white space. There the library's splitting rules
     (of byte-level and of word-end BPE files alike) always end one piece and begin the next, so the ids of the units,
-    each with its blank in front, are the ids of the text. A text with other white space beside a blank goes through the library whole.
+    each with its blank in front, are the ids of the text. A text with other white space beside a blank, or with a string that the tokenizer's file lists as
+    a special token, goes through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,21 +88,41 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.rest, self.first = _Memo(self.whole, " "), _Memo(self.whole, "")
-
-    def whole(self, text: str) -> bytes:
-        """The library's ids of a text."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """Ids of a text (null: empty) as little-endian unsigned 32-bit bytes."""
-        if not text:
-            return b""
-        units = text.split(" ")
-        try:
-            return self.first[units[0]] + b"".join(map(self.rest.__getitem__, units[1:]))
-        except _Unsafe:
-            return self.whole(text)
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rest, self.first = _Memo(self.encode, " "), _Memo(self.encode, "")
+        self.rest.ends = self.first.ends = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of some texts."""
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian unsigned 32-bit bytes."""
+        if self.lowers:
+            texts = [_lower(t) for t in texts]
+        split = [(t or "").split(" ") for t in texts]
+        whole = [any(s in t for s in self.special) if t else False for t in texts]
+        first = {u[0] for u, alone in zip(split, whole, strict=True) if not alone and u[0]}
+        got = [[] if alone else list(map(self.rest.get, units[1:])) for units, alone in zip(split, whole, strict=True)]
+        lost = {u for units, ids in zip(split, got, strict=True) if None in ids for u, x in zip(units[1:], ids, strict=True) if x is None}
+        known = self.rest.learn(lost) and self.first.learn(first.difference(self.first))
+        if not known and len(texts) > 1:
+            return [self.ids([t])[0] for t in texts]
+        out, find = [], self.rest.__getitem__
+        for t, units, ids, alone in zip(texts, split, got, whole, strict=True):
+            if not t:
+                out.append(b"")
+            elif alone or not known:
+                out += self.encode([t])
+            else:
+                if None in ids:
+                    ids = [find(u) if x is None else x for u, x in zip(units[1:], ids, strict=True)]
+                out.append((self.first[units[0]] if units[0] else b"") + b"".join(ids))
+        for memo in (self.rest, self.first):
+            if len(memo) > MEMO_WORDS:
+                memo.forget()
+        return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -80,3 +140,15 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def encoded(tok: WordTokenizer, texts: list[str | None]) -> Iterator[bytes]:
+    """The ids of each text, encoded some texts at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < BATCH_CHARS):
+            size += len(texts[end] or "")
+            end += 1
+        yield from tok.ids(texts[at:end])
+        at = end
