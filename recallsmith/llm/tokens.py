@@ -6,6 +6,8 @@ import os
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 #: Words that a worker remembers; at twice as many, the half that was not used since is forgotten.
 MEMO_WORDS = 200_000
 #: Characters of text that are encoded together.
@@ -18,9 +20,9 @@ _MARKS = ".,!?;:"
 class _Memo(dict):
     """unit -> its ids as little-endian unsigned 32-bit bytes, in two generations."""
 
-    def __init__(self, encode, prefix: str) -> None:
+    def __init__(self, encode, joined, prefix: str) -> None:
         super().__init__()
-        self.encode, self.prefix, self.old = encode, prefix, {}
+        self.encode, self.joined, self.prefix, self.old = encode, joined, prefix, {}
 
     def forget(self) -> None:
         """Begin a new generation; what the last one held comes back when it is needed."""
@@ -52,6 +54,12 @@ class _Memo(dict):
             else:
                 fresh[u] = None
         if fresh:
+            # words of letters alone are one piece each, so that many can be told apart in one call
+            plain = [u for u in fresh if u.isalpha()] if self.prefix else []
+            if plain and (ids := self.joined(plain)):
+                self.update(zip(plain, ids, strict=True))
+                for u in plain:
+                    del fresh[u]
             self.update(zip(fresh, self.encode([self.prefix + u for u in fresh]), strict=True))
         ends = {m for _, m in marks.values()} - self.ends.keys()
         if ends:
@@ -90,13 +98,27 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.rest, self.first = _Memo(self.encode, " "), _Memo(self.encode, "")
+        self.rest, self.first = _Memo(self.encode, self.joined, " "), _Memo(self.encode, self.joined, "")
         self.rest.ends = self.first.ends = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The library's ids of some texts."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, words: list[str]) -> list[bytes] | None:
+        """The library's ids of words with a blank before each, in one call; None if they can't be told apart."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            x = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            data, piece = array("I", x.ids).tobytes(), np.array(x.word_ids, np.float64)
+            ends = np.flatnonzero(np.diff(piece)) + 1
+            if len(ends) + 1 != len(some) or np.isnan(piece).any():
+                return None
+            cuts = [0, *(4 * ends).tolist(), len(data)]
+            out += [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit bytes."""
         if self.lowers:
