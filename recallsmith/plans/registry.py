@@ -1,4 +1,645 @@
-"""All registered queries and their oracles."""
+"""All registered queries over the test tables, with the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallsmith.functions import scoring, text
+from recallsmith.operators import consolidation, evaluation, graph, hdc, quality, retrieval, rules, sessions
+from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, table, triples
+from recallsmith.streaming import events as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+TERMS = "thing ertion ering"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- lanes and fusion ---------------------------------------------------------------------------------------------
+
+
+def _bm25(source: str, terms: str = TERMS) -> str:
+    names = text.query_terms(terms)
+    tf = ", ".join(f"len(list_filter(tok, lambda x: starts_with(x, '{t}'))) AS tf{i}" for i, t in enumerate(names))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(names)))
+    s = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(names)))
+    return f"""tok AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tok FROM {source}), tf AS (SELECT id, len(tok) AS dl, {tf} FROM tok),
+  st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM tf), bm AS (SELECT id, round({s}, 9) AS score FROM tf, st WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(names)))})"""
+
+
+def _lane(name: str, source: str, order: str, limit: int = 200, score: str = "score") -> str:
+    return f"(SELECT id, '{name}' AS lane, {score} AS score, row_number() OVER (ORDER BY {order}) AS rank FROM {source} ORDER BY {order} LIMIT {limit})"
+
+
+_DECAY = "exp(-CASE tier WHEN 'episodic' THEN 0.02 WHEN 'working' THEN 0.05 ELSE 0.005 END * greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at), 0) / 86400000000.0)"
+_FTS = _lane("fts", "bm", "score DESC, id")
+_RECENT = "(SELECT id, 'recency' AS lane, CAST(201 - rank AS DOUBLE) AS score, rank FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM {s}) WHERE rank <= 200)"
+
+
+@query(f"{ctes('m')}, {_bm25('m')} SELECT * FROM {_FTS}")
+def lane_fts_bm25(spark, d):
+    return retrieval.lane_fts(memories(spark, d), TERMS)
+
+
+@query(f"{ctes('m')} SELECT * FROM {_lane('like', "(SELECT * FROM m WHERE contains(lower(text), 'thing '))", 'id', score='1e6::DOUBLE')}")
+def lane_like(spark, d):
+    return retrieval.lane_like(memories(spark, d), "thing ")
+
+
+@query(f"{ctes('m')} SELECT * FROM {_RECENT.format(s='m')}")
+def lane_recency(spark, d):
+    return retrieval.lane_recency(memories(spark, d))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", "label")
+
+
+def _vector_of(spark, d, i=7):
+    return table(spark, d, "embeddings").where(F.col("vec_id") == i).select(F.col("embedding").alias("q"))
+
+
+_COS = "round(coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0), 9)"
+
+
+@query(f"""{ctes('m')}, s AS (SELECT m.id, {_COS} AS score FROM m LEFT JOIN embeddings v ON v.vec_id = CAST(m.id AS BIGINT), (SELECT embedding FROM embeddings WHERE vec_id = 7) q)
+  SELECT * FROM {_lane('dense', 's', 'score DESC, id')}""")
+def lane_dense_cosine(spark, d):
+    return retrieval.lane_dense(memories(spark, d), _vectors(spark, d), _vector_of(spark, d), 200)
+
+
+@query(f"{ctes('m')}, {_bm25('m')}, l AS (SELECT * FROM {_FTS} UNION ALL SELECT * FROM {_RECENT.format(s='m')}) SELECT id, round(sum(CASE lane WHEN 'fts' THEN 1.0 ELSE 0.5 END / (60 + rank)), 9) AS score FROM l GROUP BY id")
+def rrf_fuse(spark, d):
+    m = memories(spark, d)
+    lanes = retrieval.lane_fts(m, TERMS).unionByName(retrieval.lane_recency(m))
+    return retrieval.rrf(lanes, {"fts": 1.0, "recency": 0.5, "dense": 0.0}).withColumn("score", F.round("score", 9))
+
+
+@query(f"""{ctes('m')}, {_bm25('m')}, l AS (SELECT * FROM {_FTS} UNION ALL SELECT * FROM {_RECENT.format(s='m')})
+  SELECT lane, count(*) AS considered, least(count(*), 10) AS returned, string_agg(id, ',' ORDER BY rank) FILTER (rank <= 10) AS top_ids FROM l GROUP BY lane""")
+def lane_trace(spark, d):
+    m = memories(spark, d)
+    return retrieval.lane_trace(retrieval.lane_fts(m, TERMS).unionByName(retrieval.lane_recency(m)))
+
+
+_SCOPED = "s AS (SELECT m.* FROM m WHERE user_id IN ('default', 'system') AND id NOT IN (SELECT id FROM meta WHERE is_deleted))"
+_V1 = f"""{ctes('m', 'meta')}, {_SCOPED}, {_bm25('s')}, l0 AS (SELECT * FROM {_FTS} UNION ALL SELECT * FROM {_RECENT.format(s='s')}),
+  cand AS (SELECT id FROM (SELECT id, min(CASE lane WHEN 'fts' THEN 0 ELSE 1000 END + rank) AS p FROM l0 GROUP BY id ORDER BY p LIMIT 400)),
+  dn AS (SELECT c.id, {_COS} AS score FROM cand c LEFT JOIN embeddings v ON v.vec_id = CAST(c.id AS BIGINT), (SELECT embedding FROM embeddings WHERE vec_id = 7) q),
+  l AS (SELECT * FROM l0 UNION ALL SELECT * FROM {_lane('dense', 'dn', 'score DESC, id', 400)}),
+  f AS (SELECT id, sum(CASE lane WHEN 'recency' THEN 0.5 ELSE 1.0 END / (60 + rank)) AS score FROM l GROUP BY id)
+  SELECT s.id, tier, round(f.score * {_DECAY}, 9) AS score FROM s JOIN f ON s.id = f.id ORDER BY 3 DESC, 1 LIMIT 20"""
+
+
+@query(_V1)
+def search_hybrid_v1(spark, d):
+    gone = meta(spark, d).where("is_deleted")
+    return retrieval.search(memories(spark, d), TERMS, AS_OF, _vectors(spark, d), _vector_of(spark, d), user="default", deleted=gone)
+
+
+@query()
+def search_vnext(spark, d):
+    return retrieval.search_bundle(memories(spark, d), TERMS, AS_OF, user="default", filters={"type": "en"})[0]
+
+
+@query(f"{ctes('m')} SELECT id, user_id, module, type FROM m WHERE module = 'src3' AND type = 'en' AND user_id IN ('default', 'system')")
+def metadata_filter(spark, d):
+    return retrieval.scoped(memories(spark, d), "default", {"module": "src3", "type": "en", "unknown": "x"}).select("id", "user_id", "module", "type")
+
+
+@query(f"""{ctes('m')}, s AS (SELECT id, tier, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['thing', 'ertion', 'ering'])) / 3.0, 9) AS score FROM m)
+  SELECT * FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
+def search_tiers_overlap(spark, d):
+    return retrieval.overlap_search(memories(spark, d), TERMS)
+
+
+@query(f"""{ctes('m')}, x AS (SELECT id, tier, text, {_DECAY} AS score FROM m WHERE type = 'de')
+  SELECT count(*) AS n, round(least(greatest(0.5 * avg(score) + 0.3 * count(DISTINCT substr(text, 1, 20)) / count(*) + 0.2 * (1 - least(1.0, var_pop(score))), 0), 1), 6) AS confidence FROM x""")
+def reflector_confidence(spark, d):
+    m = memories(spark, d).where("type = 'de'")
+    return retrieval.confidence(m.select("text", scoring.tier_decay(F.col("tier"), F.col("created_at"), AS_OF).alias("score")))
+
+
+@query("SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY term")
+def postings_terms(spark, d):
+    return retrieval.postings(memories(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+# --- scores and retention -----------------------------------------------------------------------------------------
+
+
+@query(f"{ctes('m')} SELECT id, tier, round({_DECAY}, 6) AS decay FROM m")
+def decay_score(spark, d):
+    return memories(spark, d).select("id", "tier", F.round(scoring.tier_decay(F.col("tier"), F.col("created_at"), AS_OF), 6).alias("decay"))
+
+
+@query(f"{ctes('m')} SELECT id, round({_DECAY}, 6) AS decay FROM m WHERE created_at <= TIMESTAMP '2024-01-25' AND round({_DECAY}, 6) < 0.3")
+def forget_decayed(spark, d):
+    return quality.forget(memories(spark, d), AS_OF)
+
+
+_DAYS = "greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_accessed_at), 0) / 86400000000.0"
+
+
+@query(f"""{ctes('meta')}, x AS (SELECT *, {_DAYS} AS days FROM meta) SELECT id, round(CASE WHEN hit_count = 0 THEN 1.0 ELSE (least(log2(hit_count + 1) / 5, 1.0) * 0.5 + 1) *
+  CASE WHEN days * 24 < 24 THEN 1.3 WHEN days * 24 < 168 THEN 1.09 ELSE 1.0 END * greatest(exp(-0.693 * days / 30), 0.1) END, 6) AS boost FROM x""")
+def relevance_boost(spark, d):
+    return meta(spark, d).select("id", F.round(scoring.relevance_boost(F.col("hit_count"), F.col("last_accessed_at"), AS_OF), 6).alias("boost"))
+
+
+@query(f"{ctes('meta')} SELECT count(*) AS total, count(*) FILTER (hit_count > 0) AS with_hits, count(*) FILTER (hit_count >= 5) AS hot, count(*) FILTER (hit_count = 0) AS cold, round(avg(hit_count), 2) AS avg_hits FROM meta")
+def relevance_stats(spark, d):
+    return quality.relevance_stats(meta(spark, d))
+
+
+@query(f"{ctes('meta')} SELECT meta.id, is_deleted, CAST(hit_count + coalesce(n, 0) AS BIGINT) AS hit_count FROM meta LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) h ON h.id = meta.id")
+def record_hits(spark, d):
+    hits = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return quality.record_hits(meta(spark, d), hits).select("id", "is_deleted", "hit_count")
+
+
+_STRENGTH = """round(least(greatest(0.30 * 0.5 + 0.15 * rec + 0.15 * least(ln(1 + hit_count) / ln(16.0), 1.0) - 0.025 - (1 - rec) * 0.15, 0), 1), 6)"""
+
+
+@query(f"""{ctes('m', 'meta')}, x AS (SELECT m.id, hit_count, exp(-(greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at), 0) / 3600000000.0) / 336) AS rec FROM m JOIN meta USING (id)), y AS (SELECT id, {_STRENGTH} AS strength FROM x)
+  SELECT id, strength, CASE WHEN strength >= 0.9 THEN 'notify' WHEN strength >= 0.85 THEN 'inject' WHEN strength >= 0.72 THEN 'consolidate' WHEN strength >= 0.6 THEN 'prefetch' ELSE 'low_signal' END AS trigger FROM y""")
+def governor_strength(spark, d):
+    j = memories(spark, d).join(meta(spark, d), "id")
+    s = scoring.strength(F.lit(0.5), F.lit(0.0), scoring.age_days(F.col("created_at"), AS_OF) * 24, F.col("hit_count"), F.lit(0.0), F.lit(0.1))
+    return j.select("id", F.round(s, 6).alias("strength")).withColumn("trigger", scoring.trigger(F.col("strength"), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+
+
+_ERR = """e AS (SELECT event_id, list_distinct([event_type]) AS a, list_distinct(regexp_extract_all(lower(event_type || ' ' || props), '[a-z0-9]+')) AS b FROM events),
+  er AS (SELECT event_id, round(1 - len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE, 6) AS error FROM e)"""
+
+
+@query(f"WITH {_ERR} SELECT event_id, error, CASE WHEN error > 0.5 THEN 'episodic' ELSE 'working' END AS tier FROM er")
+def surprise_gate(spark, d):
+    return streams.surprise_gate(streams.logical(table(spark, d, "events"))).select("event_id", "error", "tier")
+
+
+@query(f"WITH {_ERR} SELECT count(*) AS events, count(*) FILTER (error > 0.5) AS surprising, round(count(*) FILTER (error > 0.5) / count(*)::DOUBLE, 3) AS rate, round(avg(error), 3) AS avg_error FROM er")
+def surprise_stats(spark, d):
+    s = streams.surprise_gate(streams.logical(table(spark, d, "events")))
+    return s.agg(F.count("*").alias("events"), F.count_if(F.expr("error > 0.5")).alias("surprising"), F.round(F.count_if(F.expr("error > 0.5")) / F.count("*"), 3).alias("rate"), F.round(F.avg("error"), 3).alias("avg_error"))
+
+
+# --- quality ------------------------------------------------------------------------------------------------------
+
+
+@query(f"{ctes('meta')} SELECT count(*) AS total, count(*) FILTER (NOT is_deleted) AS active, count(*) FILTER (is_deleted) AS deleted FROM meta")
+def memory_stats(spark, d):
+    return quality.memory_stats(memories(spark, d), meta(spark, d))
+
+
+@query(f"""{ctes('m')}, x AS (SELECT CAST(floor(greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at), 0) / 86400000000.0) AS BIGINT) AS d FROM m)
+  SELECT round(avg(d), 1) AS avg_age, max(d) AS max_age, min(d) AS min_age, list_sort(list(d))[len(list(d)) // 2 + 1] AS median_age FROM x""")
+def age_distribution_upper_median(spark, d):
+    return quality.age_distribution(memories(spark, d), AS_OF)
+
+
+@query(f"{ctes('m')} SELECT user_id, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
+def user_distribution(spark, d):
+    return graph.top_by(memories(spark, d), "user_id", 10)
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+
+
+@query(f"""WITH w AS (SELECT regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '^[.,!?;:()]+|[.,!?;:()]+$', '', 'g') AS word FROM documents)
+  SELECT word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")
+def word_coverage(spark, d):
+    return quality.word_coverage(memories(spark, d))
+
+
+_AGE = "greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us({c}), 0) / 86400000000.0"
+
+
+@query(f"""{ctes('m', 'meta')} SELECT m.id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview, CAST(floor({_AGE.format(c='coalesce(last_accessed_at, created_at)')}) AS BIGINT) AS days_since
+  FROM m JOIN meta USING (id) WHERE NOT is_deleted AND (last_accessed_at IS NULL OR {_AGE.format(c='last_accessed_at')} > 30) ORDER BY created_at, m.id LIMIT 50""")
+def stale_memories(spark, d):
+    return quality.stale(memories(spark, d), meta(spark, d), AS_OF)
+
+
+@query(f"{ctes('meta')} SELECT id FROM meta WHERE hit_count = 0 AND NOT is_deleted AND id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0) ORDER BY id LIMIT 50")
+def orphan_memories(spark, d):
+    return quality.orphans(memories(spark, d), meta(spark, d), table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id")))
+
+
+_HEALTH = f"""h AS (SELECT count(*) AS n, round(100 * (0.30 * count(*) FILTER ({_AGE.format(c='coalesce(last_accessed_at, created_at)')} <= 30) / count(*) + 0.25 * count(*) FILTER (hit_count > 0) / count(*)
+  + 0.20 * least(count(*) / 100, 1.0) + 0.25 * count(DISTINCT text) / count(*)), 4) AS health FROM m JOIN meta USING (id) WHERE NOT is_deleted)"""
+
+
+@query(f"{ctes('m', 'meta')}, {_HEALTH} SELECT * FROM h")
+def memory_health(spark, d):
+    return quality.memory_health(memories(spark, d), meta(spark, d), AS_OF)
+
+
+@query(f"{ctes('m', 'meta', 't')}, {_HEALTH} SELECT round(0.7 * health + 0.3 * g, 3) AS system_health FROM h, (SELECT 100.0 * count(*) FILTER (valid_to IS NULL) / count(*) AS g FROM t)")
+def system_health(spark, d):
+    return quality.system_health(memories(spark, d), meta(spark, d), graph.stats(triples(spark, d), entities(spark, d)), AS_OF)
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (l.doc_id IS NOT NULL AND quality = 1) AS extracted, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (l.doc_id IS NULL) AS missing,
+  round(100.0 * count(*) FILTER (l.doc_id IS NOT NULL AND quality = 1) / count(*), 1) AS percent FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def extraction_coverage(spark, d):
+    log = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("memory_id"), F.when(F.col("quality") == 0, "unreadable").alias("extraction_error"))
+    return quality.extraction_coverage(memories(spark, d), log)
+
+
+@query("SELECT count(*) AS consolidations, CAST(sum(n) AS BIGINT) AS sources, round(avg(n), 2) AS avg_sources FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
+def consolidation_effectiveness(spark, d):
+    log = memories(spark, d).groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("source_count")).where("source_count > 1")
+    return quality.consolidation_effectiveness(log)
+
+
+@query(f"{ctes('m')}, x AS (SELECT round({_DECAY}, 6) AS decay FROM m) SELECT count(*) FILTER (decay > 0.5) AS healthy, count(*) FILTER (decay <= 0.5) AS degraded FROM x")
+def decay_distribution(spark, d):
+    return quality.decay_distribution(memories(spark, d), AS_OF)[0]
+
+
+@query("SELECT count(*) AS n, round(avg(quality), 4) AS mean_score, count(*) FILTER (quality >= 0.5) AS good FROM labels")
+def quality_evaluations(spark, d):
+    return quality.evaluations(table(spark, d, "labels").select(F.col("doc_id").alias("memory_id"), F.col("quality").cast("double").alias("score")))
+
+
+# --- graph --------------------------------------------------------------------------------------------------------
+
+_AT = "(valid_from IS NULL OR valid_from <= '{0}') AND (valid_to IS NULL OR valid_to >= '{0}')"
+
+
+@query(f"{ctes('t')} SELECT *, 'outgoing' AS direction, valid_to IS NULL AS current FROM t WHERE subject = 'customer_7' UNION ALL SELECT *, 'incoming', valid_to IS NULL FROM t WHERE object = 'customer_7'")
+def kg_query_entity(spark, d):
+    return graph.query_entity(triples(spark, d), "customer_7")
+
+
+@query(f"{ctes('t')} SELECT *, 'outgoing' AS direction, valid_to IS NULL AS current FROM t WHERE subject = 'customer_7' AND {_AT.format('1996-06')}")
+def kg_as_of(spark, d):
+    return graph.query_entity(triples(spark, d), "customer_7", "1996-06", "out")
+
+
+@query(f"{ctes('t')} SELECT *, valid_to IS NULL AS current FROM t WHERE predicate = 'has_status' AND {_AT.format('1996-06-15')}")
+def kg_relationship(spark, d):
+    return graph.query_relationship(triples(spark, d), "has_status", "1996-06-15")
+
+
+@query(f"{ctes('t')} SELECT * FROM t WHERE subject = 'customer_7' OR object = 'customer_7' ORDER BY valid_from ASC NULLS LAST, subject, predicate, object, valid_to ASC NULLS LAST LIMIT 100")
+def kg_timeline(spark, d):
+    return graph.timeline(triples(spark, d), "customer_7")
+
+
+@query("SELECT 'part_' || l_partkey AS subject, 'depends_on' AS predicate, 'supplier_' || l_suppkey AS object FROM lineitem GROUP BY 1, 2, 3")
+def kg_causal(spark, d):
+    return graph.causal(_supply(spark, d)).select("subject", "predicate", "object")
+
+
+def _supply(spark, d):
+    none = F.lit(None).cast("string")
+    return table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().select(F.concat(F.lit("part_"), "l_partkey").alias("subject"), F.lit("depends_on").alias("predicate"), F.concat(F.lit("supplier_"), "l_suppkey").alias("object"), none.alias("valid_from"), none.alias("valid_to"), F.lit(1.0).alias("confidence"))
+
+
+@query("SELECT DISTINCT 'part_' || l_partkey AS subject FROM lineitem WHERE l_suppkey = 7")
+def kg_impact(spark, d):
+    return graph.impact(_supply(spark, d), "supplier_7")
+
+
+@query(f"{ctes('t', 'e')} SELECT count(*) AS triples, count(*) FILTER (valid_to IS NULL) AS current, count(*) FILTER (valid_to IS NOT NULL) AS expired, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT predicate AS p FROM t)) AS predicates, (SELECT count(*) FROM e) AS entities FROM t")
+def kg_stats(spark, d):
+    return graph.stats(triples(spark, d), entities(spark, d))
+
+
+@query(f"{ctes('t')} SELECT predicate, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, predicate LIMIT 20")
+def kg_predicate_topk(spark, d):
+    return graph.top_by(triples(spark, d), "predicate")
+
+
+@query(f"{ctes('t', 'e')} SELECT type, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, type LIMIT 20")
+def kg_type_topk(spark, d):
+    return graph.top_by(entities(spark, d), "type")
+
+
+@query(f"{ctes('t', 'e')} SELECT type, count(*) AS n, min(name) AS first_name FROM e GROUP BY 1")
+def kg_project_summary(spark, d):
+    return graph.project_summary(entities(spark, d))
+
+
+@query(f"{ctes('t')} SELECT count(*) AS dated, count(try_cast(valid_from AS TIMESTAMP)) AS parsable FROM t WHERE valid_from IS NOT NULL")
+def kg_temporal_coverage(spark, d):
+    return graph.temporal_coverage(triples(spark, d))
+
+
+@query(f"""{ctes('t')}, o AS (SELECT DISTINCT subject, predicate, object FROM t WHERE valid_to IS NULL), h1 AS (SELECT * FROM o WHERE subject = 'customer_7' OR object = 'customer_7'),
+  en AS (SELECT DISTINCT n FROM (SELECT subject AS n FROM h1 UNION SELECT object FROM h1) WHERE n <> 'customer_7'),
+  w AS (SELECT o.*, n FROM o JOIN en ON o.subject = n OR o.object = n WHERE (o.subject, o.predicate, o.object) NOT IN (SELECT (subject, predicate, object) FROM h1)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY subject, predicate, object) AS k FROM w)
+  SELECT *, 1 AS hop FROM h1 UNION ALL SELECT DISTINCT subject, predicate, object, 2 FROM r WHERE k <= 5""")
+def kg_k_hop(spark, d):
+    return graph.k_hop(triples(spark, d), "customer_7")
+
+
+@query(f"{ctes('t')} SELECT subject, object, valid_from, lead(valid_from) OVER w AS closed_at, lead(object) OVER w AS evolved_into FROM t WHERE predicate = 'has_status' WINDOW w AS (PARTITION BY subject ORDER BY valid_from, object)")
+def kg_fact_succession(spark, d):
+    return graph.succession(triples(spark, d), "has_status")
+
+
+@query(f"""{ctes('t')}, nw AS (SELECT DISTINCT 'customer_' || c_custkey AS subject, 'located_in' AS predicate, CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) ELSE 'nowhere' END AS object FROM customer JOIN nation ON c_nationkey = n_nationkey)
+  SELECT predicate, count(*) AS n FROM (SELECT subject, predicate, object FROM t UNION ALL SELECT * FROM nw WHERE (subject, predicate, object) NOT IN (SELECT (subject, predicate, object) FROM t WHERE valid_to IS NULL)) GROUP BY 1""")
+def kg_open_dedup(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.lit(None).cast("string")
+    new = c.select(F.concat(F.lit("Customer "), "c_custkey").alias("subject"), F.lit("Located In").alias("predicate"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise("nowhere").alias("object"), none.alias("valid_from"), none.alias("valid_to"), F.lit(1.0).alias("confidence"))
+    both = graph.add_triples(triples(spark, d), new.unionByName(new))
+    return both.groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+@query(f"{ctes('t')} SELECT subject, predicate, object, CASE WHEN subject = 'customer_7' AND predicate = 'located_in' AND valid_to IS NULL THEN '2024-02-01' ELSE valid_to END AS valid_to FROM t WHERE subject = 'customer_7'")
+def kg_invalidate(spark, d):
+    t = triples(spark, d).where("subject = 'customer_7'")
+    nation = table(spark, d, "customer").where("c_custkey = 7").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("n_name")).first()
+    return graph.invalidate(t, "customer_7", "located_in", nation[0] if nation else "", "2024-02-01").select("subject", "predicate", "object", "valid_to")
+
+
+_CENT = """c AS (SELECT label AS room, list(x ORDER BY i) AS centroid FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, generate_series(1, 64) g(i) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {_CENT}, s AS (SELECT CAST(vec_id AS VARCHAR) AS id, room, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid), 6) AS sim FROM embeddings, c),
+  b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, room) AS k FROM s) SELECT id, CASE WHEN sim >= 0.2 THEN room END AS room, sim FROM b WHERE k = 1""")
+def room_assignment(spark, d):
+    v = _vectors(spark, d)
+    return graph.assign_room(v, graph.centroids(v, "label"), 0.2)
+
+
+# --- consolidation ------------------------------------------------------------------------------------------------
+
+_PAIRS = """p AS (SELECT CAST(a.vec_id AS VARCHAR) AS a, CAST(b.vec_id AS VARCHAR) AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim
+  FROM embeddings a JOIN embeddings b ON CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id AS VARCHAR)), q AS (SELECT * FROM p WHERE sim >= {t})"""
+_CLUSTERS = """ed AS (SELECT a, b FROM q UNION SELECT b, a FROM q), cl AS (SELECT a AS id, a AS r FROM ed UNION SELECT cl.id, ed.b FROM cl JOIN ed ON cl.r = ed.a), lab AS (SELECT id, min(r) AS cluster FROM cl GROUP BY 1)"""
+
+
+@query(f"WITH {_PAIRS.format(t=0.40)} SELECT * FROM q")
+def similar_pairs(spark, d):
+    return consolidation.similar_pairs(_vectors(spark, d), 0.40)
+
+
+@query(f"WITH {_PAIRS.format(t=0.30)} SELECT q.* FROM q JOIN embeddings x ON CAST(x.vec_id AS VARCHAR) = a JOIN embeddings y ON CAST(y.vec_id AS VARCHAR) = b WHERE x.label = y.label")
+def similar_pairs_blocked(spark, d):
+    return consolidation.similar_pairs(_vectors(spark, d), 0.30, "label")
+
+
+@query(f"WITH RECURSIVE {_PAIRS.format(t=0.42)}, {_CLUSTERS} SELECT * FROM lab")
+def clusters(spark, d):
+    return consolidation.clusters(consolidation.similar_pairs(_vectors(spark, d), 0.42))
+
+
+@query(f"WITH RECURSIVE {_PAIRS.format(t=0.42)}, {_CLUSTERS} SELECT count(DISTINCT cluster) AS clusters, count(*) AS total_superseded, (SELECT count(*) FROM q) AS pairs_found FROM lab")
+def consolidation_summary(spark, d):
+    pairs = consolidation.similar_pairs(_vectors(spark, d), 0.42)
+    return consolidation.summary(pairs, consolidation.clusters(pairs))
+
+
+def _text_groups(spark, d):
+    """Exact copies as clusters: each row with the least id of its text."""
+    m = memories(spark, d)
+    first = m.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("cluster"), F.count("*").alias("n")).where("n > 1")
+    return m.withColumn("h", F.sha2("text", 256)).join(first, "h").select("cluster", "id", "text")
+
+
+@query()
+def consolidate_fuse(spark, d):
+    return consolidation.fuse(_text_groups(spark, d)).select("cluster", F.sha2("fused", 256).alias("fused_sha256"), F.array_join("members", ",").alias("members"))
+
+
+@query(f"{ctes('m', 'meta')}, g AS (SELECT text, min(id) AS keep, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 1) SELECT meta.id, is_deleted OR (keep IS NOT NULL AND keep <> meta.id) AS is_deleted, CASE WHEN keep <> meta.id THEN keep END AS replaced_by_id FROM meta JOIN m ON m.id = meta.id LEFT JOIN g ON g.text = m.text")
+def soft_delete_overlay(spark, d):
+    gone = _text_groups(spark, d).where("id <> cluster").select("id", F.col("cluster").alias("replaced_by_id"), F.lit("copy").alias("delete_reason"))
+    return consolidation.overlay_deletes(meta(spark, d), gone).select("id", "is_deleted", "replaced_by_id")
+
+
+# --- sessions, goals, sync ----------------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"), "event_type", (F.col("event_type") == "error").alias("is_error"))
+
+
+@query("SELECT user_id AS session_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, max(ts) AS last_event_at FROM events GROUP BY 1")
+def session_event_counts(spark, d):
+    return sessions.event_counts(_events(spark, d)).withColumn("last_event_at", F.col("last_event_at").cast("timestamp_ntz"))
+
+
+@query("SELECT session_id, event_id, r FROM (SELECT user_id AS session_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS r FROM events) WHERE r <= 25")
+def session_recent_events(spark, d):
+    return sessions.recent_events(_events(spark, d)).select("session_id", "event_id", "r")
+
+
+@query("SELECT session_id, event_id, ordinal, ordinal % 75 = 0 AS progress FROM (SELECT user_id AS session_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS ordinal FROM events) WHERE ordinal % 25 = 0")
+def auto_checkpoint_marks(spark, d):
+    return sessions.checkpoints(_events(spark, d))
+
+
+_GAPS = """g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 43200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g),
+  ss AS (SELECT user_id AS session_id, CAST(no AS BIGINT) AS session_no, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM s GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_GAPS} SELECT * FROM ss")
+def session_gap_windows(spark, d):
+    s = sessions.gap_sessions(_events(spark, d), "session_id", 12)
+    return s.select("session_id", "session_no", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.col("ended_at").cast("timestamp_ntz").alias("ended_at"), "n")
+
+
+@query(f"WITH {_GAPS} SELECT session_id, session_no, lag(started_at) OVER (PARTITION BY session_id ORDER BY session_no) AS previous_start FROM ss")
+def session_prev(spark, d):
+    p = sessions.previous_session(sessions.gap_sessions(_events(spark, d), "session_id", 12), "session_id")
+    return p.select("session_id", "session_no", F.col("previous_start").cast("timestamp_ntz").alias("previous_start"))
+
+
+@query("""WITH x AS (SELECT user_id, list_distinct(list(event_type) FILTER (ts < TIMESTAMP '2024-01-03')) AS b, list_distinct(list(event_type) FILTER (ts >= TIMESTAMP '2024-01-28')) AS a FROM events GROUP BY 1)
+  SELECT user_id AS session_id, coalesce(array_to_string(list_sort(list_filter(coalesce(a, []), lambda v: NOT list_contains(coalesce(b, []), v))), ','), '') AS added, coalesce(array_to_string(list_sort(list_filter(coalesce(b, []), lambda v: NOT list_contains(coalesce(a, []), v))), ','), '') AS removed FROM x""")
+def session_diff(spark, d):
+    e = _events(spark, d).groupBy("session_id").agg(F.collect_set(F.when(F.col("created_at") < "2024-01-03", F.col("event_type"))).alias("b"), F.collect_set(F.when(F.col("created_at") >= "2024-01-28", F.col("event_type"))).alias("a"))
+    x = e.select("session_id", sessions.diff(F.col("b"), F.col("a")).alias("x"))
+    return x.select("session_id", F.array_join("x.added", ",").alias("added"), F.array_join("x.removed", ",").alias("removed"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_latest(spark, d):
+    return sessions.latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT CASE WHEN p_size > 25 THEN p_brand END AS context, p_name AS goal, '2024-01-01' AS created_at, p_size > 25 AS is_active FROM part UNION ALL SELECT NULL, r_name, '2024-02-01', true FROM region")
+def goals_replace_history(spark, d):
+    old = table(spark, d, "part").select(F.when(F.col("p_size") > 25, F.col("p_brand")).alias("context"), F.col("p_name").alias("goal"), F.lit("2024-01-01").alias("created_at"), F.lit(True).alias("is_active"))
+    return sessions.set_goals(old, table(spark, d, "region").select(F.col("r_name").alias("goal")), None, True, "2024-02-01")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 100 OFFSET 50")
+def goals_list_paged(spark, d):
+    return sessions.page(table(spark, d, "part"), [F.desc("p_size"), F.desc("p_partkey")], 500, 50).select("p_partkey", "p_name")
+
+
+@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'shared' END AS status, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT lang) AS targets FROM documents GROUP BY 1")
+def sync_stats(spark, d):
+    log = table(spark, d, "documents").select(F.col("source").alias("source_workspace"), F.col("lang").alias("target_workspace"), F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("shared").alias("status"))
+    return sessions.sync_stats(log)
+
+
+@query("SELECT source AS source_workspace, lang AS target_workspace, CAST(doc_id AS VARCHAR) AS memory_id, 'shared' AS status FROM documents WHERE doc_id % 3 <> 0")
+def xw_share(spark, d):
+    every = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_workspace"), F.col("lang").alias("target_workspace"), F.col("doc_id").cast("string").alias("memory_id"))
+    return sessions.share(every.where("doc_id % 3 = 0").drop("doc_id"), every.unionByName(every))
+
+
+@query("""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(['thing', 'ertion', 'attion'], lambda x: contains(lower(text), x)) AS h FROM documents)
+  SELECT id, CASE len(h) WHEN 0 THEN 'unassigned' WHEN 1 THEN 'copied' ELSE 'ambiguous' END AS outcome, CASE WHEN len(h) = 1 THEN h[1] END AS target FROM h""")
+def migrate_route(spark, d):
+    return sessions.route(memories(spark, d), ["thing", "ertion", "attion"])
+
+
+# --- text and rules -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, regexp_replace(text, '(?i)\\b(password|passwd|secret|token|api[_-]?key|client[_-]?secret)\\b(\\s*[:=]\\s*)("[^"]*"|''[^'']*''|[^\\s,;]+)', '\\1\\2[REDACTED]', 'g') AS text FROM documents""")
+def redact_secrets(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
+
+
+@query("SELECT conv_id, turn, substr(regexp_replace(regexp_replace(regexp_replace(text, '(?i)ignore (all |any )?(previous|prior) instructions', '[FILTERED]', 'g'), '(?i)</?(system|assistant|user)>', '[FILTERED]', 'g'), '(?i)you are now [a-z ]+', '[FILTERED]', 'g'), 1, 200) AS clean FROM conversations")
+def sanitize_context(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.substring(text.sanitize(F.col("text")), 1, 200).alias("clean"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:32], ' ') AS entities FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_+.#/-]{2,}'), lambda e: regexp_replace(lower(e), '^[+.#/-]+|[+.#/-]+$', '', 'g')), lambda e: length(e) >= 3) AS x FROM documents)""")
+def entity_extract(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.extract_entities(F.col("text")), " ").alias("entities"))
+
+
+@query("""SELECT page_id, CASE WHEN len(p) <= 1 THEN 'root' WHEN p[1] IN ('src', 'lib', 'app', 'packages') AND len(p) > 2 THEN p[2] ELSE p[1] END AS namespace FROM (SELECT page_id, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS p FROM pages)""")
+def namespace_extract(spark, d):
+    path = F.concat(F.lit("/w/"), F.regexp_replace("url", "^https?://", ""))
+    return table(spark, d, "pages").select("page_id", text.namespace(path, "/w").alias("namespace"))
+
+
+@query("""SELECT 'doc/' || doc_id || '.txt' AS path, rule_id, severity, message FROM documents, (VALUES ('no-secret', 'block', 'secret in a file'), ('no-todo', 'warn', 'open task')) r(rule_id, severity, message)
+  WHERE CASE rule_id WHEN 'no-secret' THEN regexp_matches(text, '(?i)(token|password)\\s*=\\s*"[^"]{8,}"') ELSE regexp_matches(text, '\\bTODO\\b') END""")
+def rule_violations(spark, d):
+    files = table(spark, d, "documents").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return rules.violations(files, rules.PRESET)
+
+
+@query("""SELECT coalesce(a.p, b.p) AS package, CASE WHEN b.p IS NULL THEN 'orphan' ELSE 'ghost' END AS finding FROM (SELECT DISTINCT p_brand AS p FROM part WHERE p_size > 20) a FULL JOIN (SELECT DISTINCT p_brand AS p FROM part WHERE p_size < 10) b ON a.p = b.p WHERE a.p IS NULL OR b.p IS NULL""")
+def dep_orphans_ghosts(spark, d):
+    p = table(spark, d, "part")
+    return rules.audit(p.where("p_size > 20").select(F.col("p_brand").alias("package")), p.where("p_size < 10").select(F.col("p_brand").alias("package")))
+
+
+@query("""SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(forget|delete|remove)\\b') THEN 'forget' WHEN regexp_matches(lower(text), '\\b(remember|save|store|note)\\b') THEN 'remember'
+  WHEN regexp_matches(lower(text), '\\b(find|search|recall|what)\\b') THEN 'search' WHEN regexp_matches(lower(text), '\\b(status|health|stats)\\b') THEN 'status' ELSE 'search' END AS intent FROM benchmark""")
+def intent_route(spark, d):
+    return table(spark, d, "benchmark").select("item_id", rules.intent(F.col("text")).alias("intent"))
+
+
+@query("SELECT conv_id, turn, round(len(list_filter(['thing', 'that', 'with', 'from'], lambda w: contains(lower(text), w))) / 4.0, 6) AS share FROM conversations")
+def goal_drift(spark, d):
+    goals = F.array(F.lit("thing that"), F.lit("with the from"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(sessions.goal_drift(goals, F.col("text")), 6).alias("share"))
+
+
+# --- hyperdimensional vectors -------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS e FROM documents), q AS (SELECT ['thing', 'ertion', 'ering', 'the'] AS w)
+  SELECT CAST(doc_id AS VARCHAR) AS id, round(len(list_intersect(e, w)) / len(list_distinct(list_concat(e, w)))::DOUBLE, 6) AS jaccard FROM x, q""")
+def vsa_jaccard(spark, d):
+    e = F.array_distinct(F.filter(text.tokens(F.col("text")), lambda t: F.length(t) >= 3))
+    w = F.array(*map(F.lit, ["thing", "ertion", "ering", "the"]))
+    return memories(spark, d).select("id", F.round(F.size(F.array_intersect(e, w)) / F.size(F.array_union(e, w)), 6).alias("jaccard"))
+
+
+@query("SELECT n_name, 1.0::DOUBLE AS unbound FROM nation")
+def hdc_bind_inverse(spark, d):
+    n = table(spark, d, "nation").select("n_name", hdc.concept(F.col("n_name")).alias("a"), hdc.concept(F.lit("key")).alias("k"))
+    return n.select("n_name", hdc.similarity(hdc.bind(hdc.bind(F.col("a"), F.col("k")), F.col("k")), F.col("a")).alias("unbound"))
+
+
+@query()
+def vsa_query(spark, d):
+    m = memories(spark, d)
+    parts = m.select("id", hdc.encode_text(text.tokens(F.col("text"))).alias("parts"))
+    q = hdc.bundle(spark.range(1).select(F.lit("q").alias("id"), hdc.encode_text(F.array(*map(F.lit, TERMS.split()))).alias("parts"))).select(F.col("hv").alias("q"))
+    rows = hdc.bundle(parts.where(F.size("parts") > 0)).crossJoin(F.broadcast(q))  # one row
+    return rows.select("id", F.round(hdc.similarity(F.col("hv"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "id").limit(200)
+
+
+@query()
+def hdc_decode_relation(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), hdc.encode_relation(F.col("n_name"), F.lit("part_of"), F.col("n_regionkey").cast("string")).alias("parts"))
+    concepts = table(spark, d, "region").select(F.col("r_name").alias("name"), hdc.bind(hdc.concept(F.lit("part_of")), hdc.concept(F.col("r_regionkey").cast("string"))).alias("cv"))
+    return hdc.decode(hdc.bundle(n), concepts, 1)
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+_EXPECTED = "ex AS (SELECT b.item_id AS query_id, CAST(d.doc_id AS VARCHAR) AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+
+
+def _eval(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("p"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
+    expected = docs.join(b, F.contains("text", "p")).select("query_id", "id", "doc_id")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id").orderBy((F.col("doc_id") * 7919 + F.col("query_id")) % 101, "id")
+    runs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(docs.select("id", "doc_id"), (F.col("doc_id") % 40) == (F.col("query_id") % 40))
+    return evaluation.metrics(expected.select("query_id", "id"), runs.withColumn("rank", F.row_number().over(w)).select("query_id", "id", "rank"))
+
+
+_METRICS = f"""WITH {_EXPECTED}, ru AS (SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919 + item_id) % 101, CAST(doc_id AS VARCHAR)) AS rank FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
+  h AS (SELECT ex.query_id, rank FROM ex LEFT JOIN ru ON ex.query_id = ru.query_id AND ex.id = ru.id AND rank <= 10),
+  mt AS (SELECT query_id, round(count(rank) / count(*)::DOUBLE, 6) AS recall, count(rank) > 0 AS hit, round(coalesce(1.0 / min(rank), 0), 6) AS mrr,
+  round(sum(coalesce(1 / log2(rank + 1), 0)) / (SELECT sum(1 / log2(i + 1)) FROM generate_series(1, least(count(*), 10)) g(i)), 6) AS ndcg FROM h GROUP BY 1)"""
+
+
+@query(_METRICS.replace("(SELECT sum(1 / log2(i + 1)) FROM generate_series(1, least(count(*), 10)) g(i))", "list_sum(list_transform(generate_series(1, least(count(*), 10)), lambda i: 1 / log2(i + 1)))") + " SELECT * FROM mt")
+def eval_recall_mrr_ndcg(spark, d):
+    return _eval(spark, d)
+
+
+@query(_METRICS.replace("(SELECT sum(1 / log2(i + 1)) FROM generate_series(1, least(count(*), 10)) g(i))", "list_sum(list_transform(generate_series(1, least(count(*), 10)), lambda i: 1 / log2(i + 1)))") + " SELECT count(*) AS queries, round(avg(recall), 5) AS recall, round(avg(CAST(hit AS INTEGER)), 5) AS hit_rate, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg FROM mt")
+def eval_summary(spark, d):
+    return evaluation.summary(_eval(spark, d))
+
+
+# --- streams: batch twins -----------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, d):
+    out = streams.tumbling(streams.logical(table(spark, d, "events")))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_GAPS.replace('> 43200000000', '>= 43200000000')} SELECT session_id, started_at AS start, n FROM ss")
+def stream_session_window(spark, d):
+    out = streams.sessions(streams.logical(table(spark, d, "events")))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id AS session_id, CAST(k * 25 AS BIGINT) AS ordinal FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1), generate_series(1, n // 25) g(k)")
+def stream_checkpoint_state(spark, d):
+    from uuid import uuid4
+
+    return streams.drain(streams.checkpoint_counter(streams.read_events(spark, d)), f"cp_{uuid4().hex[:8]}")
