@@ -151,7 +151,7 @@ def disclosure(spark: SparkSession, found: DataFrame, docs: DataFrame, text_col:
     if not pairs.isEmpty():
         words = docs.select(F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
         known = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        counts = words.join(known, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(known, "term")  # counted before the join, which then has a row per term
     else:
         counts = wanted.withColumn("n_t", F.lit(1).cast("long"))
     # a document may hold several contexts of one entity, so the ratio is held at 1
