@@ -94,7 +94,7 @@ def batches(rows: Iterable, most: int = 512) -> Iterator[list]:
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Label (node, root) of every node of edges (a long, b long): root is the least node that can be reached.
+    """Label (node, root) of the nodes of edges (a long, b long): root is the least node that can be reached; roots have no row.
 
     Alternating large-star and small-star steps: each round links nodes to the least neighbour, so paths
     shrink exponentially and no node ever gathers its whole component in one task. A hub's neighbours meet in

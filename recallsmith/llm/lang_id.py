@@ -27,9 +27,9 @@ FAMILIES = {
     "uralic": ["fi", "et", "hu"],
 }
 UNDETERMINED = "und"
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 12
 #: Training takes about this many labelled documents of each language, chosen by a hash of their id.
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE = 300
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 18
 

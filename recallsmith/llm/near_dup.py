@@ -12,16 +12,21 @@ table gives an empty result; other columns pass by unread.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallsmith.llm.common import connected_components, materialise
 
 #: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys.
 SMALL_BLOCK = 48
+#: Rounds, each with one head for a larger block; then its members that matched none meet this many neighbours in two orders.
+ROUNDS, NEIGHBOURS = 4, 4
+#: Bytes of a long word.
+LONG_WORD = 6
 _CHUNK = 1 << 15
 
 
@@ -124,7 +129,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 def _wide(text: bytes | None, shingle: int, coarse: int, rounds: int) -> tuple[bytes, bytes]:
     words = (text or b"").lower().split()
-    one = np.unique(_hashes(words, 1, 1))
+    # long words tell texts apart; short ones are shared by all texts of a language
+    longer = [w for w in words if len(w) >= LONG_WORD]
+    one = np.unique(_hashes(longer if len(longer) >= 8 else words, 1, 1))
     return _majority(one, coarse).tobytes(), _majority(np.unique(_hashes(words, shingle, 2)), rounds).tobytes()
 
 
@@ -138,9 +145,11 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     checked by the Hamming distance of the other, over shingles, whose expected value at similarity s is
     512 * acos(2 s / (1 + s)) / pi.
 
-    Rows with equal fingerprints are one class before any join. In a block, members are compared with its head, in rounds:
-    those that match leave, the rest gets a new head, and blocks of at most SMALL_BLOCK rows are compared pair by pair.
-    Each block orders its members differently, so a chain that one block's head hides is found in another.
+    Rows with equal fingerprints are one class before any join. Blocks of at most SMALL_BLOCK rows are compared pair by
+    pair. In a larger one, members are compared with a head, in rounds: the head and those that match it leave, the rest
+    gets a new head; what is left after the rounds meets its neighbours in the order of the fingerprint. Blocks have other
+    heads, so a chain that one block hides is found in another. That last step is not exact: in a large block, a pair that is
+    near no head and not adjacent in either order may be missed there.
     """
     blocks, width = 25, min(40, max(16, docs.count().bit_length() + 2))
     rounds, coarse = 8, -(-blocks * width // 64)
@@ -167,22 +176,29 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     def close(pairs: DataFrame) -> DataFrame:
         return pairs.join(fine_a, "a").join(fine_b, "b").withColumn("close", distance <= most).drop("fine_a", "fine_b")
 
-    keyed, links = heads.select("a", F.explode("keys").alias("k")), None
-    for turn in range(1000):
-        sized = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-        both = materialise(spark, keyed.join(sized, "k"), "shared")
-        small, big = both.where(F.col("n") <= SMALL_BLOCK).select("k", "a"), both.where(F.col("n") > SMALL_BLOCK).select("k", "a")
-        pairs = small.join(small.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b").distinct()
-        found = close(pairs).where("close").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        if big.isEmpty():
+    keyed, links = heads.select("a", F.explode("keys").alias("k")), []
+    for turn in range(ROUNDS):
+        sized = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("a").alias("least"), F.min(F.struct(F.xxhash64("a", "k", F.lit(turn)), F.col("a"))).alias("h")).where("n > 1")
+        # the least id first, which near copies were often made of; then one by a hash that differs by block and round
+        head = F.col("least") if turn == 0 else F.col("h.a")
+        both = materialise(spark, keyed.join(sized.select("k", "n", head.alias("b")), "k"), "shared")
+        small, big = both.where(F.col("n") <= SMALL_BLOCK), both.where((F.col("n") > SMALL_BLOCK) & (F.col("a") != F.col("b"))).select("a", "b", "k")
+        pairs = small.select("k", "a").join(small.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
+        # a pair that shares many blocks is compared once
+        verdict = materialise(spark, close(pairs.unionByName(big.select("a", "b")).distinct()), "verdict")
+        links.append(verdict.where("close").select("a", "b"))
+        keyed = materialise(spark, big.join(verdict.where("NOT close").select("a", "b"), ["a", "b"]).select("a", "k"), "left")
+        if keyed.isEmpty():
             break
-        # the head: another member in each block and round
-        order = F.min(F.struct(F.xxhash64("a", "k", F.lit(turn)).alias("h"), F.col("a").alias("b")))
-        head = big.groupBy("k").agg(order.alias("head")).select("k", F.col("head.b").alias("b"))
-        tried = materialise(spark, close(big.join(head, "k").where("a <> b")), "tried")
-        links = links.unionByName(tried.where("close").select("a", "b"))
-        keyed = tried.where("not close").select("a", "k")
+    else:
+        # members that matched no head: neighbours in the order of the fingerprint, and of its second half first
+        for first in (0, rounds // 2):
+            order = [F.slice("fine", first + 1, rounds), F.col("a")]
+            w = Window.partitionBy("k").orderBy(*order)
+            rest = keyed.join(heads.select("a", "fine"), "a")
+            near = rest.select("a", F.explode(F.array(*(F.lead("a", step).over(w) for step in range(1, NEIGHBOURS + 1)))).alias("b")).where("b IS NOT NULL").distinct()
+            links.append(materialise(spark, close(near).where("close").select("a", "b"), "near"))
+    links = reduce(DataFrame.unionByName, links)
     roots = connected_components(spark, links)
     named = heads.select("c", "a").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("c", F.coalesce("root", "a").alias("group_id"))
     return rows.select("id", "c").join(named, "c").select("id", "group_id")

@@ -92,6 +92,8 @@ class Coder:
 
     def decode(self, n: int, states: bytes, payload: bytes) -> np.ndarray:
         """The n ids of a block."""
+        if len(payload) % 4:
+            raise CorruptBlock("the payload ends early")
         state, words, at = np.frombuffer(states, "<u8").astype(np.uint64), np.frombuffer(payload, "<u4"), 0
         lanes, out = len(state), np.empty(n, np.uint32)
         mask, bits, w32, slots = np.uint64((1 << self.bits) - 1), np.uint64(self.bits), np.uint64(32), self.slots

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words that a worker remembers; at twice as many, the half that was not used since is forgotten.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 400_000
 
