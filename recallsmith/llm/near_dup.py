@@ -196,7 +196,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             order = [F.slice("fine", first + 1, rounds), F.col("a")]
             w = Window.partitionBy("k").orderBy(*order)
             rest = keyed.join(heads.select("a", "fine"), "a")
-            near = rest.select("a", F.explode(F.array(*(F.lead("a", step).over(w) for step in range(1, NEIGHBOURS + 1)))).alias("b")).where("b IS NOT NULL").distinct()
+            near = rest.select("a", F.array(*(F.lead("a", step).over(w) for step in range(1, NEIGHBOURS + 1))).alias("next")).select("a", F.explode("next").alias("b")).where("b IS NOT NULL").distinct()
             links.append(materialise(spark, close(near).where("close").select("a", "b"), "near"))
     links = reduce(DataFrame.unionByName, links)
     roots = connected_components(spark, links)
