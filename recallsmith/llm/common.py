@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TABLES: list[tuple[SparkSession, str]] = []
+#: Rows of a few numbers, and bytes of stored texts, that make a file worth writing.
+FILE_ROWS, FILE_BYTES = 1 << 18, 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -61,6 +63,16 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def few_files(spark: SparkSession, df: DataFrame, rows: int | None = None, scanned: DataFrame | None = None, row_limit: int = FILE_ROWS) -> DataFrame:
+    """df in as few partitions as a bound of its rows, or the stored bytes of the table it was scanned from, calls for; no shuffle.
+
+    There are never fewer than twice as many as the cluster runs at once, so no core waits. What is written next then
+    has files worth opening: a file costs a few calls to the store (on local folders, processes of their own) however small it is.
+    """
+    need = -(-rows // row_limit) if rows is not None else -(-input_bytes(scanned) // FILE_BYTES)
+    return df.coalesce(int(min(max(2 * spark.sparkContext.defaultParallelism, need), 1 << 30)))
+
+
 def drop_table(spark: SparkSession, table: DataFrame) -> None:
     """Delete a table that materialise() wrote and that nothing will read again."""
     drop_path(spark, table._shared_path)
@@ -103,7 +115,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     Self loops and repeated edges are allowed; an empty table gives an empty table.
     """
     pairs = materialise(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    signature = None
+    n, signature = pairs.count(), None
     for _ in range(most_rounds):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -113,7 +125,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
         # small star: the smaller neighbours of u are linked to the least of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = materialise(spark, small, "edges")
+        pairs = materialise(spark, few_files(spark, small, rows=2 * n), "edges")
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == signature:
             break

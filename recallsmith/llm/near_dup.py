@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import connected_components, materialise
+from recallsmith.llm.common import connected_components, few_files, materialise
 
 #: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys.
 SMALL_BLOCK = 48
@@ -151,7 +151,8 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     heads, so a chain that one block hides is found in another. That last step is not exact: in a large block, a pair that is
     near no head and not adjacent in either order may be missed there.
     """
-    blocks, width = 25, min(40, max(16, docs.count().bit_length() + 2))
+    n = docs.count()
+    blocks, width = 25, min(40, max(16, n.bit_length() + 2))
     rounds, coarse = 8, -(-blocks * width // 64)
     most = int(rounds * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
 
@@ -166,10 +167,15 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([b.column(0), lists, fine], ["id", "keys", "fine"])
 
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(spark, part.mapInArrow(run, "id long, keys array<long>, fine array<long>").withColumn("c", F.xxhash64("fine", "keys")), "wide")
+    wide = part.mapInArrow(run, "id long, keys array<long>, fine array<long>").withColumn("c", F.xxhash64("fine", "keys"))
+    rows = materialise(spark, few_files(spark, wide, scanned=docs), "wide")
+
+    def written(df: DataFrame, tag: str, each: int = 1) -> DataFrame:
+        return materialise(spark, few_files(spark, df, rows=each * n), tag)
+
     # equal fingerprints first: one class each, named by its least id
     classes = rows.groupBy("c").agg(F.min("id").alias("a"))
-    heads = materialise(spark, rows.join(classes, "c").where("id = a").select("c", "a", "keys", "fine").dropDuplicates(["a"]), "classes")
+    heads = written(rows.join(classes, "c").where("id = a").select("c", "a", "keys", "fine").dropDuplicates(["a"]), "classes", 8)
     fine_a, fine_b = heads.select("a", F.col("fine").alias("fine_a")), heads.select(F.col("a").alias("b"), F.col("fine").alias("fine_b"))
     distance = F.aggregate(F.zip_with("fine_a", "fine_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -181,13 +187,13 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         sized = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("a").alias("least"), F.min(F.struct(F.xxhash64("a", "k", F.lit(turn)), F.col("a"))).alias("h")).where("n > 1")
         # the least id first, which near copies were often made of; then one by a hash that differs by block and round
         head = F.col("least") if turn == 0 else F.col("h.a")
-        both = materialise(spark, keyed.join(sized.select("k", "n", head.alias("b")), "k"), "shared")
+        both = written(keyed.join(sized.select("k", "n", head.alias("b")), "k"), "shared", blocks)
         small, big = both.where(F.col("n") <= SMALL_BLOCK), both.where((F.col("n") > SMALL_BLOCK) & (F.col("a") != F.col("b"))).select("a", "b", "k")
         pairs = small.select("k", "a").join(small.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
         # a pair that shares many blocks is compared once
-        verdict = materialise(spark, close(pairs.unionByName(big.select("a", "b")).distinct()), "verdict")
+        verdict = written(close(pairs.unionByName(big.select("a", "b")).distinct()), "verdict", blocks)
         links.append(verdict.where("close").select("a", "b"))
-        keyed = materialise(spark, big.join(verdict.where("NOT close").select("a", "b"), ["a", "b"]).select("a", "k"), "left")
+        keyed = written(big.join(verdict.where("NOT close").select("a", "b"), ["a", "b"]).select("a", "k"), "left", blocks)
         if keyed.isEmpty():
             break
     else:
@@ -197,7 +203,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
             w = Window.partitionBy("k").orderBy(*order)
             rest = keyed.join(heads.select("a", "fine"), "a")
             near = rest.select("a", F.array(*(F.lead("a", step).over(w) for step in range(1, NEIGHBOURS + 1))).alias("next")).select("a", F.explode("next").alias("b")).where("b IS NOT NULL").distinct()
-            links.append(materialise(spark, close(near).where("close").select("a", "b"), "near"))
+            links.append(written(close(near).where("close").select("a", "b"), "near", blocks))
     links = reduce(DataFrame.unionByName, links)
     roots = connected_components(spark, links)
     named = heads.select("c", "a").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("c", F.coalesce("root", "a").alias("group_id"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import materialise
+from recallsmith.llm.common import few_files, materialise
 from recallsmith.llm.tokens import encoded, tokenizer, tokenizer_path
 
 CAPACITY = 2048
@@ -158,7 +158,7 @@ def _unpack(data: bytes | None) -> list[list[int]]:
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of every row with sequence_id and offset: as few sequences as the islands find, each without gaps."""
-    rows = materialise(spark, pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col, keep_ids), "pieces")
+    rows = materialise(spark, few_files(spark, pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col, keep_ids), scanned=docs), "pieces")
     n = rows.count()
     problems = max(1, -(-n // PROBLEM_PIECES))
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(problems)).cast("int")
@@ -208,7 +208,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, capacity: in
     lone = whole.withColumn("k", F.row_number().over(Window.partitionBy("problem").orderBy("doc_id", "piece", "ids_crc32")))
     lone = lone.withColumn("sequence_id", -(F.col("problem").cast("long") * (1 << 32) + F.col("k"))).withColumn("offset", F.lit(0).cast("long"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "sequence_id", "offset"]
-    return placed.select(*columns).unionByName(lone.select(*columns))
+    return few_files(spark, placed.select(*columns).unionByName(lone.select(*columns)), rows=n, row_limit=1 << (13 if keep_ids else 18))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
