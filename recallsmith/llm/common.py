@@ -90,7 +90,7 @@ def ids_crc32(data: bytes) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for file scans, the size of the files it reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def batches(rows: Iterable, most: int = 512) -> Iterator[list]:
