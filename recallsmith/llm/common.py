@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 _TABLES: list[tuple[SparkSession, str]] = []
 #: Rows of a few numbers, and bytes of stored texts, that make a file worth writing.
 FILE_ROWS, FILE_BYTES = 1 << 18, 32 << 20
+#: Bytes and rows that go to a Python worker at a time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -63,6 +65,17 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's later Python stages, by bytes too, so that a batch of long texts stays small.
+
+    A lower setting of the session's own is kept.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(spark.conf.get(name, "0")).lower().removesuffix("b")
+        if not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
 def few_files(spark: SparkSession, df: DataFrame, rows: int | None = None, scanned: DataFrame | None = None, row_limit: int = FILE_ROWS) -> DataFrame:
     """df in as few partitions as a bound of its rows, or the stored bytes of the table it was scanned from, calls for; no shuffle.
 

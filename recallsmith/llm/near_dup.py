@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import connected_components, few_files, materialise
+from recallsmith.llm.common import bounded_batches, connected_components, few_files, materialise
 
 #: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys.
 SMALL_BLOCK = 48
@@ -212,6 +212,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows, with all their columns, of the least id of each group of near copies, one for each id; rows without an id stay."""
+    bounded_batches(spark)
     known = docs.where(F.col(id_col).isNotNull())
     groups = similarity_groups(spark, known, id_col, text_col, shingle, similarity)
     heads = groups.where("id = group_id").select(F.col("id").alias("__id")).distinct()

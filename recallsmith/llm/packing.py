@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import few_files, materialise
+from recallsmith.llm.common import bounded_batches, few_files, materialise
 from recallsmith.llm.tokens import encoded, tokenizer, tokenizer_path
 
 CAPACITY = 2048
@@ -158,6 +158,7 @@ def _unpack(data: bytes | None) -> list[list[int]]:
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of every row with sequence_id and offset: as few sequences as the islands find, each without gaps."""
+    bounded_batches(spark)
     rows = materialise(spark, few_files(spark, pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col, keep_ids), scanned=docs), "pieces")
     n = rows.count()
     problems = max(1, -(-n // PROBLEM_PIECES))
