@@ -68,11 +68,11 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session's later Python stages, by bytes too, so that a batch of long texts stays small.
 
-    A lower setting of the session's own is kept.
+    A lower setting of the session, in plain numbers, is kept.
     """
     for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        now = str(spark.conf.get(name, "0")).lower().removesuffix("b")
-        if not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
 
