@@ -16,17 +16,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import bounded_batches, connected_components, few_files, materialise
+from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, materialise
 
-#: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys.
+#: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys, or first meet heads.
 SMALL_BLOCK = 48
-#: Rounds, each with one head for a larger block; then its members that matched none meet this many neighbours in two orders.
-ROUNDS, NEIGHBOURS = 4, 4
-#: Bytes of a long word.
-LONG_WORD = 6
+#: In each of so many rounds, the members of a larger block that all others meet before what is left is compared across groups.
+HEADS, ROUNDS = 4, 2
+#: Words of 64 bits of a parity sketch.
+PARITY = 8
+#: The longest list of common shingles.
+COMMON = 1 << 20
+#: Up to this many rows, of ids of texts that share a block, may be broadcast.
+BROADCAST_ROWS = 100_000
+#: Up to this many shared shingles may be broadcast.
+BROADCAST_KEYS = 500_000
 _CHUNK = 1 << 15
 
 
@@ -124,90 +130,153 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
-# --- wide fingerprints: near copies at a stated shingle similarity ------------------------------------------------
+# --- near copies at a stated shingle similarity ---------------------------------------------------------------------
 
 
-def _wide(text: bytes | None, shingle: int, coarse: int, rounds: int) -> tuple[bytes, bytes]:
-    words = (text or b"").lower().split()
-    # long words tell texts apart; short ones are shared by all texts of a language
-    longer = [w for w in words if len(w) >= LONG_WORD]
-    one = np.unique(_hashes(longer if len(longer) >= 8 else words, 1, 1))
-    return _majority(one, coarse).tobytes(), _majority(np.unique(_hashes(words, shingle, 2)), rounds).tobytes()
+def _set(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
+    """The sorted distinct shingle hashes of a text, and a signed hash of them all, which names its class."""
+    import xxhash
 
+    h = np.unique(_hashes((text or b"").lower().split(), shingle, 2))
+    return h, int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0])
 
-def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, group_id) of every row: near copies, whose word shingles have a Jaccard similarity of about `similarity` or more.
-
-    At a similarity of 0.8 of five-word shingles, two texts differ in about one word in forty-five. 64 bits over shingles would differ in
-    up to 16 bits, for which no few blocks are safe. So two 512-bit SimHash fingerprints are taken: one over distinct
-    words, where such pairs differ in about 7 % of bits, is split into 25 pigeonhole blocks of about log2(rows) + 2 bits (a
-    pair with fewer than 25 differing bits must share one; at 7 % and 20 bits all are missed with a chance of 0.2 %). Pairs that share a block are
-    checked by the Hamming distance of the other, over shingles, whose expected value at similarity s is
-    512 * acos(2 s / (1 + s)) / pi.
-
-    Rows with equal fingerprints are one class before any join. Blocks of at most SMALL_BLOCK rows are compared pair by
-    pair. In a larger one, members are compared with a head, in rounds: the head and those that match it leave, the rest
-    gets a new head; what is left after the rounds meets its neighbours in the order of the fingerprint. Blocks have other
-    heads, so a chain that one block hides is found in another. That last step is not exact: in a large block, a pair that is
-    near no head and not adjacent in either order may be missed there.
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.uint64), *arrays]).view(np.int64)))
+
+
+def common_shingles(part: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that recur in a sample of a 32nd of the rows, 8192 at least.
+
+    They only set the order in which prefixes are taken, so which ones are known changes the cost and not the result.
     """
-    n = docs.count()
-    blocks, width = 25, min(40, max(16, n.bit_length() + 2))
-    rounds, coarse = 8, -(-blocks * width // 64)
-    most = int(rounds * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
+    rate = max(1, min(32, n // 8192))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps = [_wide(t, shingle, coarse, rounds) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            bits = np.frombuffer(b"".join(x for x, _ in fps), np.uint8).reshape(-1, coarse * 8)
-            keys = np.unpackbits(bits, axis=1)[:, : blocks * width].reshape(-1, blocks, width) @ (1 << np.arange(width)) + (np.arange(blocks) << 40)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * blocks + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
-            words = np.frombuffer(b"".join(y for _, y in fps), np.int64)
-            fine = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, rounds, dtype=np.int32)), pa.array(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, fine], ["id", "keys", "fine"])
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_set(t, shingle)[0].view(np.int64))], ["k"])
+
+    some = part.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).mapInArrow(run, "k long")
+    rows = some.groupBy("k").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "k").limit(COMMON).collect()
+    keys, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
+
+def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, group_id) of every row: groups of rows linked by a Jaccard similarity of their word shingles of `similarity` or more.
+
+    An exact prefix-filter join. All texts order their shingles alike, common ones last; two texts of that similarity share
+    one of the first n - ceil(similarity * n) + 1 of either's n shingles, whatever the number of rows and the length of the
+    texts. Texts with equal shingles are one class. Classes that share such a shingle are a block, and pairs are verified on
+    their whole sets of 64-bit shingle hashes.
+
+    Groups need only links that join them, so pairs already in one group are not compared. First each block's members meet
+    its least one, and those of larger blocks then HEADS others that differ by block; near copies mostly fall into one group then. What is left is exact:
+    in each block, all pairs across groups meet whose sizes and places in the order allow the similarity. A block with many members
+    that are no near copies of each other costs the square of that number; common shingles come last, so such a block's members
+    share nearly all they have with others.
+    """
+    n = docs.count()
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wide = part.mapInArrow(run, "id long, keys array<long>, fine array<long>").withColumn("c", F.xxhash64("fine", "keys"))
-    rows = materialise(spark, few_files(spark, wide, scanned=docs), "wide")
+    common, counts = common_shingles(part, n, shingle)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            names, sizes, firsts, parities = [], [], [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                h, c = _set(t, shingle)
+                level = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    level = np.where(common[at] == h, counts[at], 0)
+                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.uint64))
+                names.append(c)
+                sizes.append(len(h))
+                firsts.append(h[np.argsort(level, kind="stable")[:most]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities)], ["id", "c", "n", "keys", "odd"])
+
+    rows = materialise(spark, few_files(spark, part.mapInArrow(run, "id long, c long, n int, keys array<long>, odd array<long>"), scanned=docs), "prefixes")
 
     def written(df: DataFrame, tag: str, each: int = 1) -> DataFrame:
         return materialise(spark, few_files(spark, df, rows=each * n), tag)
 
-    # equal fingerprints first: one class each, named by its least id
-    classes = rows.groupBy("c").agg(F.min("id").alias("a"))
-    heads = written(rows.join(classes, "c").where("id = a").select("c", "a", "keys", "fine").dropDuplicates(["a"]), "classes", 8)
-    fine_a, fine_b = heads.select("a", F.col("fine").alias("fine_a")), heads.select(F.col("a").alias("b"), F.col("fine").alias("fine_b"))
-    distance = F.aggregate(F.zip_with("fine_a", "fine_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # equal sets first: one class each, read from the row of its least id
+    classes = rows.groupBy("c").agg(F.min("id").alias("first"))
+    heads = written(rows.join(classes, "c").where("id = first").drop("first").dropDuplicates(["c"]), "classes", 8)
+    ids = written(rows.select("id", "c"), "ids")
+    drop_table(spark, rows)
+    keyed = heads.select("c", "n", F.posexplode("keys").alias("i", "k"))
+    several = written(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "several", 8)
+    shared = written(keyed.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "k"), "blocks", 8)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        return pairs.join(fine_a, "a").join(fine_b, "b").withColumn("close", distance <= most).drop("fine_a", "fine_b")
+    # the sets of those that share a block; all others are alone
+    wanted = written(heads.select("c", "id").join(shared.select("c").distinct(), "c"), "wanted")
+    wanted_by = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
-    keyed, links = heads.select("a", F.explode("keys").alias("k")), []
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [(c, *_set(t, shingle)) for c, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)]
+            got = [(c, h) for c, h, mine in got if c == mine]  # an id may stand for several texts
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), _lists([h for _, h in got])], ["c", "set"])
+
+    sets = written(part.join(wanted_by, "id").select("c", "text").mapInArrow(whole, "c long, set array<long>").dropDuplicates(["c"]), "sets", 8)
+    sets_a, sets_b = sets.select(F.col("c").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("c").alias("b"), F.col("set").alias("set_b"))
+    least, member = F.lit(similarity - 1e-9), ("c", "n", "i")
+
+    def may(x: str, y: str) -> Column:
+        """Whether sizes, and what can follow the first shared shingle, allow the similarity."""
+        nx, ny, ix, iy = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.i"), F.col(f"{y}.i")
+        return (F.least(nx, ny) >= least * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) * (1 + similarity) >= least * (nx + ny))
+
+    def alike(x: str, y: str) -> Column:
+        """Whether parities allow it: a shingle that one text has alone flips one bit, so as many differ at least as bits do."""
+        apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.odd")[j].bitwiseXOR(F.col(f"{y}.odd")[j])) for j in range(PARITY)))
+        return apart * (1 + similarity) <= (1 - least) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        both = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", 8).join(sets_a, "a").join(sets_b, "b")
+        inter = F.size(F.array_intersect("set_a", "set_b"))
+        return written(both.where(inter >= least * (F.size("set_a") + F.size("set_b") - inter)).select("a", "b"), tag, 8)
+
+    def to_heads(blocks: DataFrame, *orders: Column) -> DataFrame:
+        heads = blocks.groupBy("k").agg(F.array(*(F.min(F.struct(x.alias("by"), *member)) for x in orders)).alias("y"))
+        met = blocks.select("k", F.struct(*member).alias("x")).join(heads, "k").select("x", F.explode("y").alias("y")).where("x.c <> y.c")
+        return met.where(may("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+    def still_open(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The blocks whose members are in several groups, with their groups; and the groups."""
+        roots = connected_components(spark, links)
+        named = shared.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        several = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+        return written(named.join(several, "k"), "open", 8), roots
+
+    links = verified(to_heads(shared, F.col("c")), "links")
+    rest, roots = still_open(links)
     for turn in range(ROUNDS):
-        sized = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("a").alias("least"), F.min(F.struct(F.xxhash64("a", "k", F.lit(turn)), F.col("a"))).alias("h")).where("n > 1")
-        # the least id first, which near copies were often made of; then one by a hash that differs by block and round
-        head = F.col("least") if turn == 0 else F.col("h.a")
-        both = written(keyed.join(sized.select("k", "n", head.alias("b")), "k"), "shared", blocks)
-        small, big = both.where(F.col("n") <= SMALL_BLOCK), both.where((F.col("n") > SMALL_BLOCK) & (F.col("a") != F.col("b"))).select("a", "b", "k")
-        pairs = small.select("k", "a").join(small.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
-        # a pair that shares many blocks is compared once
-        verdict = written(close(pairs.unionByName(big.select("a", "b")).distinct()), "verdict", blocks)
-        links.append(verdict.where("close").select("a", "b"))
-        keyed = written(big.join(verdict.where("NOT close").select("a", "b"), ["a", "b"]).select("a", "k"), "left", blocks)
-        if keyed.isEmpty():
+        if (large := rest.where(F.col("m") > SMALL_BLOCK)).isEmpty():
             break
-    else:
-        # members that matched no head: neighbours in the order of the fingerprint, and of its second half first
-        for first in (0, rounds // 2):
-            order = [F.slice("fine", first + 1, rounds), F.col("a")]
-            w = Window.partitionBy("k").orderBy(*order)
-            rest = keyed.join(heads.select("a", "fine"), "a")
-            near = rest.select("a", F.array(*(F.lead("a", step).over(w) for step in range(1, NEIGHBOURS + 1))).alias("next")).select("a", F.explode("next").alias("b")).where("b IS NOT NULL").distinct()
-            links.append(written(close(near).where("close").select("a", "b"), "near", blocks))
-    links = reduce(DataFrame.unionByName, links)
+        met = to_heads(large, *(F.xxhash64("c", "k", F.lit(turn * HEADS + j)) for j in range(HEADS)))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(met, "links"))
+        rest, roots = still_open(links)
+
+    def across(blocks: DataFrame, *more: str) -> DataFrame:
+        x, y = (blocks.select("k", F.struct(*member, "root", *more).alias(s)) for s in ("x", "y"))
+        met = x.join(y, "k").where("x.c < y.c AND x.root <> y.root").where(may("x", "y") & alike("x", "y") if more else may("x", "y"))
+        return met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+    large = rest.where(F.col("m") > SMALL_BLOCK).join(heads.select("c", "odd"), "c")
+    left = across(rest.where(F.col("m") <= SMALL_BLOCK)).unionByName(across(large, "odd"))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(left, "links"))
     roots = connected_components(spark, links)
-    named = heads.select("c", "a").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("c", F.coalesce("root", "a").alias("group_id"))
-    return rows.select("id", "c").join(named, "c").select("id", "group_id")
+    named = heads.select("c", "id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.col("id").alias("first"), F.coalesce("root", "c").alias("root"))
+    named = written(named, "named")
+    groups = named.groupBy("root").agg(F.min("first").alias("group_id"))
+    return ids.join(named.join(groups, "root").select("c", "group_id"), "c").select("id", "group_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

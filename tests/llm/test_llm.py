@@ -54,6 +54,31 @@ def test_large_block_of_near_copies(spark):
     assert roots.select("root").distinct().count() == 1 and roots.count() == len(fps) - 1
 
 
+def same_groups(spark, texts, least=0.8):
+    """Whether similarity_groups() gives the groups of all pairs' five-word-shingle Jaccard similarities."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    groups = near_dup.similarity_groups(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r.id: r.group_id for r in groups.collect()} == dict(enumerate(root))
+
+
+def edited(words, *at):
+    return " ".join("edit%d" % i if i in at else w for i, w in enumerate(words))
+
+
+def test_near_copies_in_large_blocks(spark):
+    rng = np.random.default_rng(1)
+    stock = [f"stockword{i}" for i in range(90)]
+    texts = [edited(stock, *rng.choice(90, rng.integers(1, 6), replace=False).tolist()) for _ in range(150)]
+    texts += [" ".join([*stock[:60], *(f"own{g}{i}" for i in range(40)), *["tail"] * k]) for g in range(60) for k in (0, 1)]
+    assert same_groups(spark, texts)
+
+
 def test_token_files(spark, sf, docs, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
