@@ -79,6 +79,14 @@ def test_near_copies_in_large_blocks(spark):
     assert same_groups(spark, texts)
 
 
+def test_near_copies_close_to_the_threshold(spark):
+    texts = []
+    for k in range(60):
+        words = [f"word{k}number{i}" for i in range(94)]
+        texts += [" ".join(words), edited(words, 20, 60)]  # 80 of 100 shingles: 0.8
+    assert same_groups(spark, texts)
+
+
 def test_token_files(spark, sf, docs, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
