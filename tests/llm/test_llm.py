@@ -87,6 +87,14 @@ def test_near_copies_close_to_the_threshold(spark):
     assert same_groups(spark, texts)
 
 
+def test_short_near_copies(spark):
+    texts = []
+    for k in range(40):
+        words = [f"w{k}n{i}" for i in range(50)] + [f"longword{k}n{i}" for i in range(8)]
+        texts += [" ".join(words), edited(words, 57)]  # eight long words and seven
+    assert same_groups(spark, texts)
+
+
 def test_token_files(spark, sf, docs, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
