@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate pairs, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate pairs, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs without white space or punctuation. The seeds of a test item are its word trigrams, except
-those that are far more frequent in the corpus than the item's median trigram (stock phrases). A passage is a run of a
-document's words around seeds of one item; it is aligned with the item locally, by words, so that edited, shortened and
+Words are lower-cased runs without white space or punctuation. The seeds of a test item are all its word trigrams, however
+many documents have them. A passage is a run of a document's words around seeds of one item; if it has enough of the
+item's words to reach the least score, it is aligned with the item locally, by words, so that edited, shortened and
 reworded copies score nearly as well as exact ones.
 
-Cases: null and empty texts and items match nothing; an item shorter than the seed length is one seed; repeated rows
+Cases: null and empty texts and items match nothing; an item shorter than the seed length is one seed, found wherever its words run; repeated rows
 and items give a row each; an empty table on either side gives an empty result; other columns are not read.
 """
 
@@ -115,44 +115,15 @@ class Items:
         return [k for k, w in enumerate(self.words) if len(w) < SEED_WORDS]
 
 
-def seed_counts(docs: DataFrame, items: Items, text_col: str = "text") -> dict[int, int]:
-    """How many documents have each seed; summed in each task, then by seed."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = defaultdict(int)
-        for b in it:
-            for t in b.column(0).to_pylist():
-                for c in np.unique(items.hits(items.numbers(t))[1]).tolist():
-                    total[c] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long")
-    return {r[0]: r[1] for r in rows.groupBy("code").agg(F.sum("n")).collect()}  # at most a number for each seed of these items
-
-
-def rare_seeds(items: Items, counts: dict[int, int], times: int = 8, always: int = 4) -> set[tuple[int, int]]:
-    """(item number, code) of the seeds that may start an alignment.
-
-    A trigram is a stock phrase if it occurs in over `times` as many documents as the item's median trigram and in over
-    `always` documents; relative to the item, so that an item that a third of all documents copy keeps its seeds.
-    """
-    out = set()
-    for k, w in enumerate(items.words):
-        codes = items.codes(w).tolist()
-        median = sorted(counts.get(c, 0) for c in codes)[len(codes) // 2] if codes else 0
-        out |= {(k, c) for c in codes if counts.get(c, 0) <= max(always, times * median)}
-    return out
-
-
 class Finder:
     """Finds the passages of texts that align with items."""
 
-    def __init__(self, items: Items, seeds: set[tuple[int, int]], least: float = LEAST_SCORE) -> None:
+    def __init__(self, items: Items, least: float = LEAST_SCORE) -> None:
         self.items, self.least = items, least
-        self.starts: dict[int, list[int]] = defaultdict(list)
-        for k, c in sorted(seeds):
-            self.starts[c].append(k)
-        self.short = {tuple(items.words[k].tolist()): k for k in items.short()}
+        self.short: dict[int, list[int]] = defaultdict(list)  # by first word
+        for k in items.short():
+            self.short[int(items.words[k][0])].append(k)
+        self.firsts = np.array(sorted(self.short), np.int64)
         self.memo: dict[tuple[int, bytes], tuple[float, int, int]] = {}
 
     def passages(self, numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
@@ -160,7 +131,7 @@ class Finder:
         at, codes = self.items.hits(numbers)
         by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, c in zip(at.tolist(), codes.tolist(), strict=True):
-            for k in self.starts.get(c, ()):
+            for k in self.items.owners[c]:
                 by_item[k].append((p, c))
         out = {}
         for k, hits in by_item.items():
@@ -182,13 +153,20 @@ class Finder:
         numbers = self.items.numbers(text)
         if not len(numbers):
             return []
-        out = []
-        if self.short and tuple(numbers.tolist()) in self.short:
-            out.append((self.items.ids[self.short[tuple(numbers.tolist())]], 1.0, 0, len(numbers)))
+        out, met = [], set()
+        for p in np.flatnonzero(np.isin(numbers, self.firsts)).tolist() if self.short else ():
+            for k in self.short[int(numbers[p])]:
+                w = self.items.words[k]
+                if k not in met and np.array_equal(numbers[p : p + len(w)], w):
+                    met.add(k)
+                    out.append((self.items.ids[k], 1.0, p, p + len(w)))
         for k, spans in self.passages(numbers).items():
             best = (0.0, 0, 0)
             for a, z in spans:
                 window = numbers[a:z]
+                # each match takes a word of the item that the passage has, and one of the passage that the item has
+                if min(np.isin(self.items.words[k], window).sum(), np.isin(window, self.items.words[k]).sum()) < self.least * len(self.items.words[k]):
+                    continue
                 key = (k, window.tobytes())
                 if key not in self.memo:
                     if len(self.memo) > 20_000:
@@ -215,8 +193,8 @@ def find_links(docs: DataFrame, finder: Finder, id_col: str = "doc_id", text_col
     return part.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Finder]:
-    """A finder for each part of the benchmark, with seeds chosen by their counts over all documents.
+def finders(benchmark: DataFrame, least: float = LEAST_SCORE, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Finder]:
+    """A finder for each part of the benchmark.
 
     Items go to the tasks in parts of at most PART_BYTES, measured first; each part is a scan of its own, so no task
     holds more than one part however large the benchmark is, and no row of the documents is shuffled.
@@ -227,13 +205,13 @@ def finders(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, t
     for k in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else rows
         items = Items(sorted(((r[0], r[1] or "") for r in mine.collect()), key=lambda r: (r[0] is None, r)))
-        yield Finder(items, rare_seeds(items, seed_counts(docs, items, text_col)), least)
+        yield Finder(items, least)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """All links between documents and test items, from a score of `least` on."""
     out = None
-    for f in finders(docs, benchmark, least, text_col, item_col, item_text_col):
+    for f in finders(benchmark, least, item_col, item_text_col):
         links = find_links(docs, f, id_col, text_col)
         out = links if out is None else out.unionByName(links)
     return out
@@ -242,7 +220,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that have no link to a test item; no shuffle."""
     out = docs
-    for f in finders(docs, benchmark, least, text_col, item_col, item_text_col):
+    for f in finders(benchmark, least, item_col, item_text_col):
 
         def run(it: Iterator[pa.RecordBatch], f: Finder = f) -> Iterator[pa.RecordBatch]:
             for b in it:

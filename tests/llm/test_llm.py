@@ -205,6 +205,15 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contamination(empty, b).count() == 0 and decontam.contamination(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_passages_in_many_documents(spark):
+    w = [f"w{i}" for i in range(60)]
+    edited = " ".join("CHANGED" if i % 5 == 4 else x for i, x in enumerate(w))
+    d = spark.createDataFrame([(i, f"before {i} {edited} after") for i in range(40)] + [(99, "one tiny remark")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(w)), (2, "tiny remark"), (3, "remark tiny")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in decontam.contamination(d, b).collect()}
+    assert set(got) == {*((i, 1) for i in range(40)), (99, 2)} and got[99, 2] == (1, 3)
+
+
 def brute_spans(t):
     def luhn(d):
         return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
