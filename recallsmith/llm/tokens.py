@@ -1,94 +1,40 @@
-"""Token ids by a public tokenizer's file, with a bounded memo of words in front of the library."""
+"""Token ids by a public tokenizer's file: Arrow tells a batch's distinct words, the library sees each of them once."""
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that a worker remembers; at twice as many, the half that was not used since is forgotten.
-MEMO_WORDS = 120_000
-#: Characters of text that are encoded together.
-BATCH_CHARS = 400_000
+#: Words, and bytes of words, that a worker remembers; beyond either it forgets those that the last texts didn't have.
+MEMO_WORDS, MEMO_BYTES = 600_000, 24 << 20
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+BATCH_BYTES = 6 << 20
 
-
-_MARKS = ".,!?;:"
-
-
-class _Memo(dict):
-    """unit -> its ids as little-endian unsigned 32-bit bytes, in two generations."""
-
-    def __init__(self, encode, joined, prefix: str) -> None:
-        super().__init__()
-        self.encode, self.joined, self.prefix, self.old = encode, joined, prefix, {}
-
-    def forget(self) -> None:
-        """Begin a new generation; what the last one held comes back when it is needed."""
-        self.old = dict(self)
-        self.clear()
-
-    def learn(self, units: set[str]) -> bool:
-        """Make all units known; False if one must not be cut out of its text.
-
-        A unit of a word and closing marks is two pieces by the splitting rules, so its ids are those of both.
-        """
-        marks: dict[str, tuple[str, str]] = {}
-        fresh: dict[str, None] = {}
-        old = self.old
-        for u in units:
-            if not u or u[0].isspace() or u[-1].isspace():
-                return False
-        for u in units:
-            if (ids := old.get(u)) is not None:
-                self[u] = ids
-                continue
-            word = u.rstrip(_MARKS)
-            if word != u and word and word[-1].isalpha():
-                marks[u] = word, u[len(word) :]
-                if (ids := self.get(word) or old.get(word)) is not None:
-                    self[word] = ids
-                else:
-                    fresh[word] = None
-            else:
-                fresh[u] = None
-        if fresh:
-            # words of letters alone are one piece each, so that many can be told apart in one call
-            plain = [u for u in fresh if u.isalpha()] if self.prefix else []
-            if plain and (ids := self.joined(plain)):
-                self.update(zip(plain, ids, strict=True))
-                for u in plain:
-                    del fresh[u]
-            self.update(zip(fresh, self.encode([self.prefix + u for u in fresh]), strict=True))
-        ends = {m for _, m in marks.values()} - self.ends.keys()
-        if ends:
-            self.ends.update(zip(ends, self.encode(list(ends)), strict=True))
-        for u, (word, end) in marks.items():
-            self[u] = self[word] + self.ends[end]
-        return True
-
-    ends: dict[str, bytes] = {}
-
-
-def _lower(text: str | None) -> str | None:
-    """Lower case ahead of a file that lowers case anyway, so that words meet in the memo; only where each character has one form."""
-    if not text:
-        return text
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: White space beyond ASCII, in UTF-8: the library's rules look across it, so a text that has some is encoded whole.
+_WIDE_BLANK = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: A blank and letters that stay single letters when normalised: one piece. Closing ASCII marks after letters are another.
+_PLAIN, _MARKED = "^ [A-Za-zÀ-ÖØ-öø-įı-ɏ]+$", "[A-Za-zÀ-ÖØ-öø-įı-ɏ]$"
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 class WordTokenizer:
-    """Encodes whole texts as the library does, each distinct word once.
+    """Encodes whole texts as the library does, each distinct word of a batch once.
 
-    A text is cut at single blanks between two characters that are not white space. There the library's splitting rules
-    (of byte-level and of word-end BPE files alike) always end one piece and begin the next, so the ids of the units,
-    each with its blank in front, are the ids of the text. A text with other white space beside a blank, or with a string that the tokenizer's file lists as
-    a special token, goes through the library whole.
+    A text is cut before each run of white space that follows something else. The library's splitting rules (of byte-level
+    and of word-end BPE files alike) always end a piece there, whatever follows, so the ids of the units, each with its
+    white space in front, are the ids of the text. A text with white space beyond ASCII, or with a string that the
+    tokenizer's file lists as a special token, is one unit.
     """
 
     def __init__(self, path: str) -> None:
@@ -97,20 +43,49 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.rest, self.first = _Memo(self.encode, self.joined, " "), _Memo(self.encode, self.joined, "")
-        self.rest.ends = self.first.ends = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*map(re.escape, special), *map(chr, _WIDE_BLANK)]).encode())
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memo anew."""
+        self.index: dict[bytes, int] = {}
+        self.flat, self.ends, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def _add(self, units: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        n = len(self.index)
+        used = int(self.ends[n])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + len(units) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(units)] = used + np.cumsum(lens)
+        self.size += sum(map(len, units))
+        self.index.update(zip(units, range(n, n + len(units)), strict=True))
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each unit's ids) of the units at places of the memo, one after the other."""
+        first = self.ends[place]
+        n = self.ends[place + 1] - first
+        return self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def _places(self, units: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(units, their places in the memo or -1, which ones it lacks) of distinct units."""
+        words = units.to_pylist()
+        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        return words, place, np.flatnonzero(place < 0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of some texts."""
+        """The library's ids of some texts, as little-endian unsigned 32-bit bytes."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(self, words: list[str]) -> list[bytes] | None:
-        """The library's ids of words with a blank before each, in one call; None if they can't be told apart."""
+    def _joined(self, words: list[str]) -> list[bytes] | None:
+        """The library's ids of blanks with a word of letters each, 2000 in one call; None if they can't be told apart."""
         out: list[bytes] = []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            x = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            x = self.tokenizer.encode("".join(some), add_special_tokens=False)
             data, piece = array("I", x.ids).tobytes(), np.array(x.word_ids, np.float64)
             ends = np.flatnonzero(np.diff(piece)) + 1
             if len(ends) + 1 != len(some) or np.isnan(piece).any():
@@ -119,31 +94,88 @@ class WordTokenizer:
             out += [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
         return out
 
+    def _learn(self, units: pa.Array, odd: bool) -> None:
+        """Encode distinct units that the memo lacks. Closing marks after a letter are cut off: they are pieces of their own.
+
+        `odd` says that some may be whole texts, which are not cut.
+        """
+        text = units.cast(pa.large_string())
+        base = pc.utf8_rtrim(text, characters=_MARKS)
+        marked = pc.and_(pc.not_equal(base, text), pc.match_substring_regex(base, _MARKED))
+        if odd:
+            marked = pc.and_not(marked, pc.match_substring_regex(text, self.whole.pattern.decode("utf-8")))
+        told, heads = units.filter(marked).to_pylist(), base.filter(marked)
+        tails = pa.array([u[n:] for u, n in zip(told, pc.binary_length(heads).to_pylist(), strict=True)], pa.large_binary())
+        for some in (heads.unique(), tails.unique().cast(pa.large_string()), text.filter(pc.invert(marked))):
+            self._know(some)
+        both = np.empty(2 * len(told), np.int64)
+        for k, some in enumerate((heads.cast(pa.large_binary()), tails)):
+            both[k::2] = np.fromiter(map(self.index.__getitem__, some.to_pylist()), np.int64, len(told))
+        ids, n = self._gather(both)
+        self._add(told, ids, n[::2] + n[1::2])
+
+    def _know(self, text: pa.Array) -> None:
+        """Encode those of some distinct texts that the memo lacks."""
+        words, _, lost = self._places(text.cast(pa.large_binary()))
+        if not len(lost):
+            return
+        text = text.take(lost)
+        plain = pc.match_substring_regex(text, _PLAIN).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(lost)
+        for at, how in ((np.flatnonzero(plain), self._joined), (np.flatnonzero(~plain), self.encode)):
+            some = text.take(at).to_pylist()
+            for i, ids in zip(at.tolist(), (how(some) or self.encode(some)) if some else [], strict=True):
+                out[i] = ids
+        self._add([words[i] for i in lost.tolist()], np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4)
+
+    def _some(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each text's ids) of the texts at data[at[i] : at[i + 1]]."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        text = _LOWER[data] if self.lowers else data
+        blank = _BLANK[text]
+        cut = np.empty(len(text), bool)
+        cut[0] = True
+        np.greater(blank[1:], blank[:-1], out=cut[1:])
+        raw, end, odd = memoryview(text), 0, False
+        while m := self.whole.search(raw, end):
+            k = int(np.searchsorted(at, m.start(), "right"))  # the text ends at at[k], and begins at the last place before
+            cut[at[k - 1] : at[k]], end, odd = False, int(at[k]), True
+        cut[at[:-1][at[:-1] < len(text)]] = True
+        starts = np.flatnonzero(cut)
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)]).dictionary_encode()
+        words, place, lost = self._places(units.dictionary)
+        if len(lost):
+            self._learn(units.dictionary.take(lost), odd)
+            place[lost] = [self.index[words[i]] for i in lost.tolist()]
+        ids, n = self._gather(place[units.indices.to_numpy()])
+        if len(self.index) > MEMO_WORDS or self.size > MEMO_BYTES:
+            last = self._gather(place)
+            self.forget()
+            if len(words) < MEMO_WORDS // 2 and len(text) < MEMO_BYTES // 2:
+                self._add(words, *last)
+        return ids, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, at[1:])]
+
+    def columns(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, end of each row's ids) of a column of texts (null: empty), some rows at a time; end_id closes each."""
+        column = texts.fill_null("").cast(pa.large_binary())
+        n = len(column)
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8) if n and column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_BYTES, "right")) - 1)
+            ids, ends = self._some(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            if end_id is not None:
+                ids, ends = np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+            yield i, ids, ends
+            i = j
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit bytes."""
-        if self.lowers:
-            texts = [_lower(t) for t in texts]
-        split = [(t or "").split(" ") for t in texts]
-        whole = [any(s in t for s in self.special) if t else False for t in texts]
-        first = {u[0] for u, alone in zip(split, whole, strict=True) if not alone and u[0]}
-        got = [[] if alone else list(map(self.rest.get, units[1:])) for units, alone in zip(split, whole, strict=True)]
-        lost = {u for units, ids in zip(split, got, strict=True) if None in ids for u, x in zip(units[1:], ids, strict=True) if x is None}
-        known = self.rest.learn(lost) and self.first.learn(first.difference(self.first))
-        if not known and len(texts) > 1:
-            return [self.ids([t])[0] for t in texts]
-        out, find = [], self.rest.__getitem__
-        for t, units, ids, alone in zip(texts, split, got, whole, strict=True):
-            if not t:
-                out.append(b"")
-            elif alone or not known:
-                out += self.encode([t])
-            else:
-                if None in ids:
-                    ids = [find(u) if x is None else x for u, x in zip(units[1:], ids, strict=True)]
-                out.append((self.first[units[0]] if units[0] else b"") + b"".join(ids))
-        for memo in (self.rest, self.first):
-            if len(memo) > MEMO_WORDS:
-                memo.forget()
+        out = []
+        for _, ids, ends in self.columns(pa.array(texts, pa.string())):
+            out += [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
         return out
 
 
@@ -162,15 +194,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def encoded(tok: WordTokenizer, texts: list[str | None]) -> Iterator[bytes]:
-    """The ids of each text, encoded some texts at a time."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size < BATCH_CHARS):
-            size += len(texts[end] or "")
-            end += 1
-        yield from tok.ids(texts[at:end])
-        at = end

@@ -112,42 +112,101 @@ def test_token_files(spark, sf, docs, odd, empty, tmp_path):
 
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 63, 64, 5000):
+    for n in (0, 1, 63, 64, 5000, 70_000, 200_001):
         ids = (rng.zipf(1.3, n) % 4000).astype(np.int64)
         c = rans.Coder(rans.scale_counts(np.bincount(ids, minlength=4000) if n else np.zeros(4000, np.int64)))
         states, words = c.encode(ids)
-        assert (c.decode(n, states, words) == ids).all()
+        sums = c.checksums(ids, states)
+        assert (c.decode(n, states, words, sums) == ids).all()
+        for k, (a, z) in enumerate(c.spans(n, states)):  # each span by itself, without those before
+            assert (c.decode_span(n, states, words, k) == ids[a:z]).all()
     with pytest.raises(rans.CorruptBlock):
-        c.decode(5000, states, words[: len(words) // 8 * 4])
+        c.decode(n, states, words[: len(words) // 8 * 4], sums)
+    with pytest.raises(rans.CorruptBlock):
+        c.decode(n, states, words[:400] + b"\x01\x02\x03\x04" + words[404:], sums)
+
 
+def test_tokenizer_memo_equals_library(monkeypatch):
+    import random
 
-def test_tokenizer_memo_equals_library():
-    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+    rng = random.Random(5)
+    marks = [*"aB'sé .,!\n\t1 9$#<|>ÉİΣσ\u00a0\u3000\u0301 ' ßñ\x1c\x85中", "<|endoftext|>", "'ll", " the", "\r\n"]
+    for name, memo in (("word_bpe_49k.json", 50), ("byte_bpe_50k.json", 50), ("byte_bpe_50k.json", 10**6)):
+        monkeypatch.setattr(tokens, "MEMO_WORDS", memo)
+        monkeypatch.setattr(tokens, "BATCH_BYTES", 300)
         t = tokens.WordTokenizer(tokens.tokenizer_path(name))
-        texts = ["a  b", " x", "x ", "\n", "", None, 'don\'t stop. "Hi!"; <|endoftext|> ok.', "É. ñ, 12, 3.", "İ Σας. ΣΑΣ", "e ́x", "a\tb", "x.,!?;: y", "1,000. 2", "a b c"]
+        texts = ["a  b", " x", "x ", "\n", "", None, 'don\'t stop. "Hi!"; <|endoftext|> ok.', "É. ñ, 12, 3.", "İ Σας. ΣΑΣ", "e \u0301x", "a\tb", "x.,!?;: y", "1,000. 2", "a b c"]
+        texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(3000)]
         assert t.ids(texts) == [np.array(t.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        rows = [(at, ids, ends) for at, ids, ends in t.columns(__import__("pyarrow").array([None, "a b", ""]), 7)]
+        assert [x for _, ids, _ in rows for x in ids.tolist()].count(7) == 3
 
 
 def test_packing(spark, sf, docs, odd, empty):
+    from tokenizers import Tokenizer
+
     path = tokens.tokenizer_path("byte_bpe_50k.json")
-    for df, n in ((spark.read.parquet(f"{sf}/documents.parquet"), len(docs)), (odd, len(ODD)), (empty, 0)):
+    t = Tokenizer.from_file(path)
+    for df, texts in ((spark.read.parquet(f"{sf}/documents.parquet"), list(docs.items())), (odd.unionByName(odd), ODD * 2), (empty, [])):
         rows = packing.pack(spark, df, path).toPandas()
-        assert rows[rows.piece == 0].shape[0] == n
-        if n:
+        want = []
+        for d, text in texts:
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+            cuts = sorted({0, *range(len(ids), 0, -2048)} | {len(ids)})
+            want += [(d, k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+        assert sorted(rows[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+        if texts:
             q = rows.sort_values(["sequence_id", "offset"])
             assert (q.groupby("sequence_id").offset.shift(-1).dropna() == (q.offset + q.length)[q.groupby("sequence_id").offset.shift(-1).notna()]).all()
             assert (q.offset + q.length).max() <= 2048 and (q.groupby("sequence_id").offset.min() == 0).all()
-            assert q.sequence_id.nunique() <= 1.02 * -(-q.length.sum() // 2048) + 1
+            assert q.sequence_id.nunique() == -(-q.length.sum() // 2048)
+
+
+def test_packing_of_many_problems(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PROBLEM_PIECES", 60)
+    monkeypatch.setattr(packing, "MERGE", 4)
+    df = spark.createDataFrame([(i, "word " * (7 * i % 900)) for i in range(1500)] + [(7, "same text")] * 400, "doc_id long, text string")
+    q = packing.pack(spark, df, tokens.tokenizer_path("byte_bpe_50k.json"), keep_ids=True).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(q) == 1900 and (q.ids.map(len) == 4 * q.length).all() and (q.groupby("sequence_id").length.sum() <= 2048).all()
+    assert (q.offset == q.groupby("sequence_id").length.cumsum() - q.length).all()
+    assert q.sequence_id.nunique() <= -(-q.length.sum() // 2048) + 2
 
 
 def test_genetic_operators_keep_pieces():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 2048, 300).tolist()
     a, b = packing.best_fit(lengths), packing.best_fit(lengths[::-1])
-    for p in (packing.crossover(a, b, 2048, rng), packing.mutate(a, 2048, rng), packing.evolve(lengths, [], rng)):
+    for p in (packing.crossover(a, b, 2048, rng), packing.mutate(a, 2048, rng), packing.fullest(lengths), packing.replace(lengths[:50], packing.best_fit(lengths[50:]), 2048, rng), packing.evolve(lengths, [], rng)):
         assert sorted(x for c in p for x in c) == sorted(lengths) and max(map(sum, p)) <= 2048
 
 
+def test_genetic_algorithm_beats_best_fit():
+    rng, lengths = np.random.default_rng(3), []
+    for _ in range(300):  # three pieces each that fill a bin exactly
+        a = int(rng.integers(778, 1003))
+        b = int(rng.integers(512, (2048 - a) // 2 + 1))
+        lengths += [a, b, 2048 - a - b]
+    best, seeds = packing.best_fit(lengths), []
+    for epoch in range(2):
+        seeds = [packing.evolve(lengths, seeds, np.random.default_rng([i, epoch])) for i in range(2)]
+    assert len(best) > 330 and min(map(len, seeds)) <= 303 and packing.lower_bound(lengths) == 300
+
+
+def test_lower_bound_of_small_problems():
+    import itertools
+
+    def exact(x):
+        full = (1 << len(x)) - 1
+        fits = [m for m in range(1, full + 1) if sum(v for i, v in enumerate(x) if m >> i & 1) <= 10]
+        need = {0: 0}
+        for m in range(1, full + 1):
+            need[m] = min(need[m & ~f] + 1 for f in fits if f & m == f and f & (m & -m))
+        return need[full]
+
+    for x in itertools.combinations_with_replacement([1, 3, 4, 5, 6, 7, 10], 5):
+        assert packing.lower_bound(list(x), 10) <= exact(x) <= len(packing.evolve(list(x), [], np.random.default_rng(0), 10))
+
+
 def test_chat(spark, sf, odd):
     got = {r.conv_id: r for r in queries.QUERIES["op2_chat_formatting"](spark, sf).collect()}
     c = spark.read.parquet(f"{sf}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
