@@ -17,24 +17,41 @@ MEMO_WORDS, MEMO_BYTES = 600_000, 24 << 20
 #: Bytes of text that are encoded together; a longer text is encoded alone.
 BATCH_BYTES = 6 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: White space beyond ASCII, in UTF-8: the library's rules look across it, so a text that has some is encoded whole.
+_BLANK, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = ~_LETTER[33:127]
+_MARK[48:58] = False
+#: White space beyond ASCII: the library's rules look across it, so a text that has some is encoded whole.
 _WIDE_BLANK = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: A blank and letters that stay single letters when normalised: one piece. Closing ASCII marks after letters are another.
-_PLAIN, _MARKED = "^ [A-Za-zÀ-ÖØ-öø-įı-ɏ]+$", "[A-Za-zÀ-ÖØ-öø-įı-ɏ]$"
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: A blank and letters that stay single letters when normalised: one piece.
+_PLAIN = "^ [A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
+
+
+def _cuts(text: np.ndarray) -> np.ndarray:
+    """Where pieces surely end: before white space, after a line feed or tab alone, and between a letter and an ASCII mark."""
+    blank, mark = _BLANK[text], _MARK[text]
+    letter = _LETTER[text]
+    wide = np.flatnonzero(text[:-1] == 0xC3)  # the Latin letters of this lead byte; 0x97 and 0xB7 are signs
+    second = text[wide + 1]
+    letter[wide + 1] = (second != 0x97) & (second != 0xB7)
+    cut = np.empty(len(text), bool)
+    cut[0] = True
+    cut[1:] = (blank[1:] & ~blank[:-1]) | (letter[:-1] & mark[1:])
+    feeds = np.flatnonzero(blank[:-1] & (text[:-1] != 32))  # alone: two in a row may be one piece
+    cut[feeds + 1] |= ~blank[feeds + 1] & ~blank[np.maximum(feeds - 1, 0)] | (feeds == 0) & ~blank[feeds + 1]
+    return cut
 
 
 class WordTokenizer:
     """Encodes whole texts as the library does, each distinct word of a batch once.
 
-    A text is cut before each run of white space that follows something else. The library's splitting rules (of byte-level
-    and of word-end BPE files alike) always end a piece there, whatever follows, so the ids of the units, each with its
-    white space in front, are the ids of the text. A text with white space beyond ASCII, or with a string that the
-    tokenizer's file lists as a special token, is one unit.
+    A text is cut before each run of white space, after a line feed or tab alone, and between a letter and a mark. The
+    library's splitting rules (of byte-level and of word-end BPE files alike) always end a piece there, whatever follows, so
+    the ids of the units, each with the white space in front of it, are the ids of the text. A text with white space beyond
+    ASCII, or with a string that the tokenizer's file lists as a special token, is one unit.
     """
 
     def __init__(self, path: str) -> None:
@@ -94,59 +111,33 @@ class WordTokenizer:
             out += [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def _learn(self, units: pa.Array, odd: bool) -> None:
-        """Encode distinct units that the memo lacks. Closing marks after a letter are cut off: they are pieces of their own.
-
-        `odd` says that some may be whole texts, which are not cut.
-        """
+    def _learn(self, units: pa.Array) -> None:
+        """Encode distinct units that the memo lacks."""
         text = units.cast(pa.large_string())
-        base = pc.utf8_rtrim(text, characters=_MARKS)
-        marked = pc.and_(pc.not_equal(base, text), pc.match_substring_regex(base, _MARKED))
-        if odd:
-            marked = pc.and_not(marked, pc.match_substring_regex(text, self.whole.pattern.decode("utf-8")))
-        told, heads = units.filter(marked).to_pylist(), base.filter(marked)
-        tails = pa.array([u[n:] for u, n in zip(told, pc.binary_length(heads).to_pylist(), strict=True)], pa.large_binary())
-        for some in (heads.unique(), tails.unique().cast(pa.large_string()), text.filter(pc.invert(marked))):
-            self._know(some)
-        both = np.empty(2 * len(told), np.int64)
-        for k, some in enumerate((heads.cast(pa.large_binary()), tails)):
-            both[k::2] = np.fromiter(map(self.index.__getitem__, some.to_pylist()), np.int64, len(told))
-        ids, n = self._gather(both)
-        self._add(told, ids, n[::2] + n[1::2])
-
-    def _know(self, text: pa.Array) -> None:
-        """Encode those of some distinct texts that the memo lacks."""
-        words, _, lost = self._places(text.cast(pa.large_binary()))
-        if not len(lost):
-            return
-        text = text.take(lost)
         plain = pc.match_substring_regex(text, _PLAIN).to_numpy(zero_copy_only=False)
-        out: list[bytes] = [b""] * len(lost)
+        out: list[bytes] = [b""] * len(units)
         for at, how in ((np.flatnonzero(plain), self._joined), (np.flatnonzero(~plain), self.encode)):
             some = text.take(at).to_pylist()
             for i, ids in zip(at.tolist(), (how(some) or self.encode(some)) if some else [], strict=True):
                 out[i] = ids
-        self._add([words[i] for i in lost.tolist()], np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4)
+        self._add(units.to_pylist(), np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4)
 
     def _some(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, end of each text's ids) of the texts at data[at[i] : at[i + 1]]."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         text = _LOWER[data] if self.lowers else data
-        blank = _BLANK[text]
-        cut = np.empty(len(text), bool)
-        cut[0] = True
-        np.greater(blank[1:], blank[:-1], out=cut[1:])
-        raw, end, odd = memoryview(text), 0, False
+        cut = _cuts(text)
+        raw, end = memoryview(text), 0
         while m := self.whole.search(raw, end):
             k = int(np.searchsorted(at, m.start(), "right"))  # the text ends at at[k], and begins at the last place before
-            cut[at[k - 1] : at[k]], end, odd = False, int(at[k]), True
+            cut[at[k - 1] : at[k]], end = False, int(at[k])
         cut[at[:-1][at[:-1] < len(text)]] = True
         starts = np.flatnonzero(cut)
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)]).dictionary_encode()
         words, place, lost = self._places(units.dictionary)
         if len(lost):
-            self._learn(units.dictionary.take(lost), odd)
+            self._learn(units.dictionary.take(lost))
             place[lost] = [self.index[words[i]] for i in lost.tolist()]
         ids, n = self._gather(place[units.indices.to_numpy()])
         if len(self.index) > MEMO_WORDS or self.size > MEMO_BYTES:
