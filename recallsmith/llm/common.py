@@ -6,7 +6,6 @@ import atexit
 import os
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,11 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new local one, if the master is local too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         root = tempfile.mkdtemp(prefix="recallsmith-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -96,9 +97,26 @@ def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def ids_crc32(data: bytes) -> int:
-    """Unsigned crc32 of bytes."""
-    return zlib.crc32(data) & 0xFFFFFFFF
+#: Hashes that decide on a sample are taken modulo this.
+SAMPLE_RANGE = 1 << 62
+
+
+def sample_limit(wanted: int, rows: int) -> int:
+    """Rows whose hash modulo SAMPLE_RANGE is below this are a sample of about 1.1 * wanted of so many rows, however many there are."""
+    return SAMPLE_RANGE if 10 * rows <= 11 * wanted else 11 * wanted * SAMPLE_RANGE // (10 * rows)
+
+
+def sampled(rows: DataFrame, group: str, counts: dict, wanted: int, *by: str) -> DataFrame:
+    """About 1.1 * wanted rows of each group, chosen by a hash of the columns `by`; groups without a count are left out."""
+    if not counts:
+        return rows.limit(0)
+    limits = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, sample_limit(wanted, n))))
+    return rows.where(F.pmod(F.xxhash64(*by), F.lit(SAMPLE_RANGE)) < F.element_at(limits, F.col(group)))
+
+
+def fresh_name(df: DataFrame, tag: str) -> str:
+    """A column name that df doesn't have."""
+    return f"{tag}_{uuid.uuid4().hex[:8]}"
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -138,7 +156,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
         # small star: the smaller neighbours of u are linked to the least of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = materialise(spark, few_files(spark, small, rows=2 * n), "edges")
+        before, pairs = pairs, materialise(spark, few_files(spark, small, rows=2 * n), "edges")
+        drop_table(spark, before)
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == signature:
             break

@@ -4,7 +4,8 @@ A linear support vector machine for each pair of language families tells the fam
 support vector machines separate the related languages. Features are hashed byte n-grams of the whole lower-cased text.
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text if there is nothing to learn from; a
-language that no family lists is a family of its own; repeated rows count each; other columns pass by unread.
+language that no family lists belongs to the family `other`; beyond MOST_LANGUAGES values the rarest are not learned; repeated rows
+count each; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import crc32_mod
+from recallsmith.llm.common import crc32_mod, sampled
 
 #: Language codes of each family.
 FAMILIES = {
@@ -28,8 +29,10 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 12
-#: Training takes about this many labelled documents of each language, chosen by a hash of their id.
+#: Training takes about this many labelled documents of each language, chosen by a hash of id and text.
 SAMPLE_PER_LANGUAGE = 300
+#: Values of `lang` that are learned at most, the most frequent ones: machines are trained for each pair within a family.
+MOST_LANGUAGES = 64
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 18
 
@@ -100,7 +103,7 @@ class LanguageModel:
 
     def __init__(self, x: np.ndarray, langs: np.ndarray, families: dict[str, list[str]] = FAMILIES) -> None:
         of = {lang: family for family, members in families.items() for lang in members}
-        family = np.array([of.get(v, f"only {v}") for v in langs])
+        family = np.array([of.get(v, "other") for v in langs])
         self.top = OneVersusOne(sorted(set(family)), x, family) if len(langs) else None
         self.within = {f: OneVersusOne(sorted(set(langs[family == f])), x[family == f], langs[family == f]) for f in sorted(set(family))}
 
@@ -116,14 +119,11 @@ class LanguageModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from a bounded sample of the rows with a language; `per_language` bounds what the driver gets."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), np.array([], object))
-    chance = F.lit(0)
-    for lang, n in counts.items():
-        chance = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, 1.1 * per_language / n) * (1 << 20)))).otherwise(chance)
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < chance).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = sampled(known, "lang", counts, per_language, "id", "text").select("lang", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -1,14 +1,15 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level 1 is the vocabulary: words in the order of their 64-bit hashes, with exact counts. Level k holds the n-grams of k
-words, grouped by their first k - 1 (the context's place in level k - 1): a monotone pointer for each context, and the
-last words' numbers, made monotone by adding what the contexts before end with. Both sequences are Elias-Fano coded, and a
-last word is found by a successor search within its context's own range. Each n-gram has a smoothed probability (interpolated
-absolute discounting) and each context a backoff weight, as quantised base-10 logarithms.
+words, grouped by their first k - 1 (the context's place in level k - 1): a monotone pointer for each context, and its successors. A successor is
+told relative to a shorter context: the place of the n-gram without its first word, counted from the first one of its own context. Such numbers
+are small; they are made monotone by adding what the contexts before end with. Both sequences are Elias-Fano coded, and a
+successor is found by a search within its context's own range. Each n-gram has a smoothed probability (interpolated
+absolute discounting) and each context a backoff weight, as quantised base-10 logarithms. All n-grams are kept, those that occur once too,
+unless `least_count` says otherwise.
 
 Levels are cut into shards by ranges of contexts, whose number grows with the corpus. Tasks write each shard as one file
 in the shared folder and map the files into memory, so nothing of the model passes through the driver but a few numbers for each shard.
-N-grams of under two occurrences are counted but not kept, nor are those that such an n-gram is part of.
 
 Cases: a null or empty text is its end token alone; without training texts every token has the probability of an unseen
 one; repeated rows count each; an empty table gives an empty result; other columns are not read.
@@ -18,28 +19,33 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import SharedFiles, crc32_mod, drop_table, materialise, shared_path
+from recallsmith.llm.common import SharedFiles, bounded_batches, crc32_mod, materialise, shared_path
 
 END = b""
 ORDER = 3
 DISCOUNT = 0.6
-LEAST_COUNT = 2
+#: N-grams of fewer occurrences are left out; 1 keeps all.
+LEAST_COUNT = 1
 #: Tokens of the corpus for each shard of a level, about.
 SHARD_TOKENS = 6_000_000
-#: Words whose numbers a task remembers.
-MEMO_WORDS = 250_000
-#: Tokens that are looked up together.
-BATCH_TOKENS = 150_000
-LOOKUP_TOKENS = 400_000
+#: Bytes of text that are taken together; a longer text is taken alone.
+BATCH_BYTES = 4 << 20
+#: Tokens that are looked up together, and n-grams that a task counts together.
+LOOKUP_TOKENS, COUNT_TOKENS = 400_000, 6_000_000
+#: Bytes of shards that a worker holds where the shared folder can't be mapped.
+HELD_BYTES = 256 << 20
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _STEPS = 4096  # quantisation steps for a factor of ten
 _U = np.uint64
 
@@ -106,6 +112,12 @@ class EliasFano:
         one = word * 64 + _select_in_word(self.high[word], i - self.before[word].astype(np.int64))
         return ((one - i) << self.bits) | self._low(i)
 
+    def all(self) -> np.ndarray:
+        """All values."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        i = np.arange(self.n)
+        return ((ones - i) << self.bits) | self._low(i)
+
     def _first_at_or_after(self, h: np.ndarray) -> np.ndarray:
         """The number of values whose high part is below h: h zeros come before those that are not."""
         word_zeros = self.zeros
@@ -191,34 +203,25 @@ class Model:
         self.files, self.shape = SharedFiles(root), shape
         self.total, self.distinct = shape["tokens"], shape["words"]
         self._open: dict[str, dict[str, np.ndarray]] = {}
-        self.memo: dict[bytes, int] = {}
+        self._held: dict[str, int] = {}
         self.unseen = -float(np.log10(self.total + self.distinct + 1))
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
+        """A shard's arrays; what is not mapped is let go, the oldest first, beyond HELD_BYTES."""
         if name not in self._open:
-            self._open[name] = view_arrays(self.files.map(name))
+            block = self.files.map(name)
+            if not isinstance(block, np.memmap):
+                while self._held and sum(self._held.values()) + len(block) > HELD_BYTES:
+                    gone = next(iter(self._held))
+                    del self._held[gone], self._open[gone]
+                self._held[name] = len(block)
+            self._open[name] = view_arrays(block.view(np.ndarray))
         return self._open[name]
 
     # -- level 1
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def by_hash(self, h: np.ndarray) -> np.ndarray:
         """Word numbers, -1 for words that are not in the training texts."""
-        import xxhash
-
-        get = self.memo.get
-        out = np.fromiter(map(get, words, repeat(-2)), np.int64, len(words))
-        if len(lost := np.flatnonzero(out == -2)):
-            fresh = list(dict.fromkeys(words[i] for i in lost.tolist()))
-            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in fresh), np.uint64, len(fresh))
-            got = self._by_hash(h)
-            if len(self.memo) + len(fresh) > MEMO_WORDS:
-                self.memo.clear()
-            new = dict(zip(fresh, got.tolist(), strict=True))
-            self.memo.update(new)
-            out[lost] = [new[words[i]] for i in lost.tolist()]
-        return out
-
-    def _by_hash(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         starts = self.shape["starts"][0]
         shard = (h >> _U(64 - self.shape["hash_bits"])).astype(np.int64) if self.shape["hash_bits"] else np.zeros(len(h), np.int64)
@@ -230,9 +233,19 @@ class Model:
             out[at] = np.where(keys[i] == h[at], i + starts[s], -1)
         return out
 
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """How often words occur, by number."""
+        return self._gather(1, "count", words)
+
+    # -- levels from 2 on
+
     def _gather(self, level: int, field: str, places: np.ndarray) -> np.ndarray:
         """A field of the n-grams at places of a level."""
         starts = np.array(self.shape["starts"][level - 1])
+        if not len(places):
+            return np.zeros(0, np.int64)
+        if len(starts) == 2:
+            return self.arrays(f"{level}.0")[field][places]
         shard = np.searchsorted(starts, places, "right") - 1
         out = np.zeros(len(places), np.int64)
         for s in np.unique(shard).tolist():
@@ -240,111 +253,173 @@ class Model:
             out[at] = self.arrays(f"{level}.{s}")[field][places[at] - starts[s]]
         return out
 
-    def counts(self, level: int, places: np.ndarray) -> np.ndarray:
-        return self._gather(level, "count", places)
-
-    # -- levels from 2 on
-
-    def _by_shard(self, level: int, contexts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        size = self.shape["range"][level - 1]
-        shard = contexts // size
-        for s in np.unique(shard).tolist():
-            at = np.flatnonzero(shard == s)
-            yield s, at, contexts[at] - s * size
-
-    def find(self, level: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Places in a level of the n-grams (context, last word), -1 where there is none."""
-        out = np.full(len(contexts), -1, np.int64)
-        for s, at, c in self._by_shard(level, contexts):
-            start = self.shape["starts"][level - 1]
-            if start[s + 1] == start[s]:
+    def _sequences(self, level: int, s: int) -> tuple[EliasFano, EliasFano]:
+        a = self.arrays(f"{level}.{s}")
+        if "_ptr" not in a:
+            a["_ptr"], a["_succ"] = EliasFano(_sub(a, "ptr.")), EliasFano(_sub(a, "succ."))
+        return a["_ptr"], a["_succ"]
+
+    def find(self, level: int, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place or -1, first place of the context, logarithm of the probability or nan, that of the backoff weight) of pairs in order of contexts.
+
+        A negative successor has no place.
+        """
+        n, size = len(contexts), self.shape["range"][level - 1]
+        place, first, prob, backoff = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, np.nan), np.zeros(n)
+        bounds = np.searchsorted(contexts, np.arange(len(self.shape["starts"][level - 1])) * size)
+        for s, (i, j) in enumerate(zip(bounds.tolist(), [*bounds[1:].tolist(), n], strict=True)):
+            if i == j:
                 continue
+            start = self.shape["starts"][level - 1][s]
+            c = contexts[i:j] - s * size
+            new = np.concatenate(([True], c[1:] != c[:-1]))
+            of, c = np.cumsum(new) - 1, c[new]
+            ptr, succ = self._sequences(level, s)
             a = self.arrays(f"{level}.{s}")
-            if "_ptr" not in a:
-                a["_ptr"], a["_succ"] = EliasFano(_sub(a, "ptr.")), EliasFano(_sub(a, "succ."))
-            ptr, succ = a["_ptr"], a["_succ"]
-            low, high = ptr.access(c), ptr.access(c + 1)
-            use = np.flatnonzero(high > low)
-            low, high = low[use], high[use]
+            ends = ptr.access(np.concatenate((c, c + 1)))
+            low, high = ends[: len(c)], ends[len(c) :]
+            first[i:j] = (low + start)[of]
+            backoff[i:j] = (a["backoff"][c] / -_STEPS)[of]
+            if not succ.n:
+                continue
             base = np.where(low > 0, succ.access(np.maximum(low - 1, 0)), 0)
-            got = succ.find(base + words[at[use]] + 1, low, high)
-            out[at[use]] = np.where(got >= 0, got + start[s], -1)
-        return out
-
-    def last_words(self, level: int, places: np.ndarray) -> np.ndarray:
-        """The last word's number of the n-grams at places of a level from 2 on, and so the context of shorter ones."""
-        return self._gather(level, "word", places)
-
-    def backoff(self, level: int, contexts: np.ndarray) -> np.ndarray:
-        """Base-10 logarithms of the weights that contexts of a level leave to shorter ones."""
-        out = np.zeros(len(contexts))
-        for s, at, c in self._by_shard(level, contexts):
-            out[at] = self.arrays(f"{level}.{s}")["backoff"][c] / -_STEPS
-        return out
-
-    def prob(self, level: int, places: np.ndarray) -> np.ndarray:
-        """Base-10 logarithms of the probabilities of the n-grams at places of a level from 2 on."""
+            use = np.flatnonzero((high > low)[of] & (successors[i:j] >= 0))
+            of = of[use]
+            got = succ.find(base[of] + successors[i:j][use] + 1, low[of], high[of])
+            use, got = use[got >= 0], got[got >= 0]
+            place[i + use] = got + start
+            prob[i + use] = a["prob"][got] / -_STEPS
+        return place, first, prob, backoff
+
+    def _range(self, level: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(context, successor) of the n-grams at places low to high of a level from 2 on."""
+        contexts, successors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts = self.shape["starts"][level - 1]
+        for s, (a, z) in enumerate(zip(starts, starts[1:], strict=False)):
+            if max(a, low) < min(z, high):
+                ptr, succ = self._sequences(level, s)
+                ends, values = ptr.all(), succ.all()
+                c = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                base = np.where(ends[:-1] > 0, values[np.maximum(ends[:-1] - 1, 0)], 0)
+                i, j = max(low - a, 0), min(high, z) - a
+                contexts.append(c[i:j] + s * self.shape["range"][level - 1])
+                successors.append((values - base[c] - 1)[i:j])
+        return np.concatenate(contexts), np.concatenate(successors)
+
+    def firsts(self, level: int, contexts: np.ndarray) -> np.ndarray:
+        """The first places of contexts of a level, in any order."""
+        c, back = np.unique(contexts, return_inverse=True)
+        return self.find(level, c, np.full(len(c), -1))[1][back]
+
+    def shorter(self, level: int, low: int, high: int) -> np.ndarray:
+        """For the n-grams at places low to high of a level from 2 on, the place of each without its first word."""
+        contexts, successors = self._range(level, low, high)
+        if level == 2 or not len(contexts):
+            return successors
+        a = int(contexts[0])
+        return self.firsts(level - 1, self.shorter(level - 1, a, int(contexts[-1]) + 1)[contexts - a]) + successors
+
+    def probs(self, level: int, places: np.ndarray) -> np.ndarray:
+        """Base-10 logarithms of the probabilities at places of a level."""
+        if level == 1:
+            return np.log10(self.counts(places) + 1) + self.unseen
         return self._gather(level, "prob", places) / -_STEPS
 
-    def walk(self, ids: np.ndarray, doc: np.ndarray, upto: int) -> list[np.ndarray]:
-        """For each level up to `upto`, the place of the n-gram that ends at each token, or -1."""
-        places = [ids]
+    def walk(self, ids: np.ndarray, doc: np.ndarray, upto: int, score: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place, first place of its context) of the n-gram of `upto` words that ends at each token, -1 where there is none.
+
+        `score`, if given, becomes the logarithm of each token's probability.
+        """
+        place, first = ids, np.zeros(len(ids), np.int64)
+        inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         for level in range(2, upto + 1):
-            out, before = np.full(len(ids), -1, np.int64), places[-1]
-            if len(ids) > 1:
-                at = np.flatnonzero((before[:-1] >= 0) & (ids[1:] >= 0) & (doc[1:] == doc[:-1])) + 1
-                code, back = _unique_pairs(before[at - 1], ids[at])
-                out[at] = self.find(level, code[0], code[1])[back]
-            places.append(out)
-        return places
+            out, begin = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+            at = inner[place[inner - 1] >= 0]
+            if score is None:
+                at = at[place[at] >= 0]
+            context, successor = place[at - 1], np.where(place[at] >= 0, place[at] - first[at], -1)
+            (c, x), back = _unique_pairs(context, successor + 1)
+            got = self.find(level, c, x - 1)
+            out[at], begin[at] = got[0][back], got[1][back]
+            if score is not None:
+                prob = got[2][back]
+                score[at] = np.where(np.isnan(prob), score[at] + got[3][back], prob)
+            place, first = out, begin
+        return place, first
 
     def logs(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(base, model, known) of each token: base-10 logarithms and whether its count is above zero."""
         known = ids >= 0
         base = np.full(len(ids), self.unseen)
-        base[known] += np.log10(self.counts(1, ids[known]) + 1)
-        places, score = self.walk(ids, doc, self.shape["order"]), base.copy()
-        for level in range(2, self.shape["order"] + 1):
-            context = np.concatenate(([-1], places[level - 2][:-1])) if len(ids) else places[level - 2]
-            context[np.concatenate(([True], doc[1:] != doc[:-1])) if len(ids) else slice(0)] = -1
-            have = np.flatnonzero(context >= 0)
-            score[have] += self.backoff(level, context[have])
-            found = np.flatnonzero(places[level - 1] >= 0)
-            score[found] = self.prob(level, places[level - 1][found])
+        base[known] += np.log10(self.counts(ids[known]) + 1)
+        score = base.copy()
+        self.walk(ids, doc, self.shape["order"], score)
         return base, score, known
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Distinct pairs, sorted, and for each given pair the place of its like."""
-    if len(a) == 0 or (int(a.max()) < 1 << 31 and int(b.max()) < 1 << 32):
-        code, back = np.unique(a.astype(np.uint64) << _U(32) | b.astype(np.uint64), return_inverse=True)
-        return ((code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.int64)), back
-    order = np.lexsort((b, a))
-    new = np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
+    if not len(a):
+        return (a, b), np.zeros(0, np.int64)
+    if int(a.max()) < 1 << 31 and int(b.max()) < 1 << 32:
+        code = a.astype(np.uint64) << _U(32) | b.astype(np.uint64)
+        order = np.argsort(code)
+        code = code[order]
+        new = np.concatenate(([True], code[1:] != code[:-1]))
+        code = code[new]
+        pairs = (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.int64)
+    else:
+        order = np.lexsort((b, a))
+        new = np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
+        pairs = a[order][new], b[order][new]
     back = np.empty(len(a), np.int64)
     back[order] = np.cumsum(new) - 1
-    return (a[order][new], b[order][new]), back
-
-
-def _token_batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[list[bytes]], list[int], pa.RecordBatch]]:
-    """(words of some rows, their row numbers, batch), about BATCH_TOKENS words at a time."""
-    for b in it:
-        texts, rows, size = [], [], 0
-        for i, t in enumerate(b.column(column).cast(pa.binary()).to_pylist()):
-            words = (t or b"").lower().split()
-            words.append(END)
-            texts.append(words)
-            rows.append(i)
-            size += len(words)
-            if size >= BATCH_TOKENS:
-                yield texts, rows, b
-                texts, rows, size = [], [], 0
-        if texts:
-            yield texts, rows, b
-
-
-def _flat(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    return list(chain.from_iterable(texts)), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return pairs, back
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, with the sums of their counts (1 each if none are given)."""
+    if n is None and len(a) and int(a.max()) < 1 << 31 and int(b.max()) < 1 << 32:
+        code = np.sort(a.astype(np.uint64) << _U(32) | b.astype(np.uint64))
+        new = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        code = code[new]
+        return (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.int64), np.diff(np.append(new, len(a)))
+    (a2, b2), back = _unique_pairs(a, b)
+    return a2, b2, np.bincount(back, n, len(a2)).astype(np.int64)
+
+
+def _words(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """(first row, distinct words, code of each token, end of each row's tokens) of a column of texts, BATCH_BYTES at a time.
+
+    A-Z is lower-cased, words are told apart by ASCII white space, and each row ends with END, which has the code -1.
+    """
+    column = texts.fill_null("").cast(pa.large_binary())
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_BYTES, "right")) - 1)
+        text, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        inside = _INSIDE[text]
+        first = inside.copy()
+        np.greater(inside[1:], inside[:-1], out=first[1:])
+        begun = bounds[:-1][bounds[:-1] < bounds[1:]]
+        first[begun] = inside[begun]
+        starts = np.flatnonzero(first)
+        solid = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))  # places without the white space
+        packed = pa.py_buffer(_LOWER[text[inside]])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(solid[starts], solid[-1])), packed]).dictionary_encode()
+        ends = np.searchsorted(starts, bounds[1:])
+        codes = np.insert(words.indices.to_numpy(), ends, -1)
+        yield i, words.dictionary, codes, ends + np.arange(1, len(ends) + 1)
+        i = j
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist(), repeat(42)), np.uint64, len(words))
 
 
 def _deal(shards: int, df: DataFrame) -> DataFrame:
@@ -352,21 +427,34 @@ def _deal(shards: int, df: DataFrame) -> DataFrame:
 
 
 def _count_words(texts: DataFrame) -> DataFrame:
+    """(h, n): how often each word occurs, by its hash; words of one 64-bit hash count as one."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, size, rows = [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for chunk, _, _ in _token_batches(it, 0):
-            for t in chunk:
-                seen.update(t)
-            if len(seen) > 400_000:
-                yield out()
-                seen.clear()
-        yield out()
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], n[order]
+            new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            return h[new], np.add.reduceat(n, new)
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for b in it:
+            for _, words, codes, ends in _words(b.column(0)):
+                held.append((_hashes(words), np.bincount(codes[codes >= 0], minlength=len(words))))
+                size, rows = size + len(words), rows + len(ends)
+                if size > 1_000_000:
+                    held = [out()]
+                    if len(held[0][0]) > 600_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["h", "n"])
+                        held = []
+                    size = sum(len(h) for h, _ in held)
+        if rows:
+            held.append((_hashes(pa.array([END], pa.binary())), np.array([rows])))
+            h, n = out()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _write_words(root: str, df: DataFrame) -> DataFrame:
@@ -407,12 +495,13 @@ def number(docs: DataFrame, root: str, shape: dict, keep: list[str], text_col: s
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(root, shape)
-        for chunk, rows, b in _token_batches(it, len(keep)):
-            words, _ = _flat(chunk)
-            data = model.numbers(words).astype(f"<i{width}").tobytes()
-            ends = np.concatenate(([0], np.cumsum([len(t) for t in chunk]))) * width
-            some = b.slice(rows[0], len(rows))
-            yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), pa.array([data[a:z] for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.binary())], [*keep, "numbers"])
+        end = int(model.by_hash(_hashes(pa.array([END], pa.binary())))[0])
+        for b in it:
+            for at, words, codes, ends in _words(b.column(len(keep))):
+                ids = np.append(model.by_hash(_hashes(words)), end)[codes].astype(f"<i{width}")  # the last one is that of END
+                cuts = np.concatenate(([0], ends * width))
+                data = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(ends)) for k in range(len(keep))), data.cast(pa.binary())], [*keep, "numbers"])
 
     width = number_bytes(shape)
     part = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
@@ -434,95 +523,80 @@ def _number_batches(it: Iterator[pa.RecordBatch], column: int, width: int) -> It
             at = end
 
 
+def _packed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs and their counts, compressed: steps of a, then b and n, in as many bytes as they need."""
+    parts = [np.diff(a, prepend=0), b, n]
+    kinds = ["<u1" if not len(x) or x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4" if x.max() < 1 << 32 else "<u8" for x in parts]
+    head = len(a).to_bytes(8, "little") + "".join(kinds).encode()
+    # bytes of one weight together: they are alike
+    planes = [np.ascontiguousarray(x.astype(k).view(np.uint8).reshape(len(x), -1).T).tobytes() for x, k in zip(parts, kinds, strict=True)]
+    return zlib.compress(head + b"".join(planes), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n, at, out = int.from_bytes(raw[:8], "little"), 17, []
+    for k in range(3):
+        kind = np.dtype(raw[8 + 3 * k : 11 + 3 * k].decode())
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n).astype(np.int64))
+        at += n * kind.itemsize
+    return np.cumsum(out[0]), out[1], out[2]
+
+
 def _count_level(numbered: DataFrame, root: str, shape: dict, level: int, size: int) -> DataFrame:
-    """Packed counts (shard, data) of the n-grams of a level, summed in each task and sorted by context and last word."""
+    """Packed counts (shard, data) of the n-grams of a level, summed in each task and sorted by context and successor."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held, held_size = Model(root, shape), [], 0
 
-        def merged():
-            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            (a2, b2), back = _unique_pairs(a, b)
-            return a2, b2, np.bincount(back, n, len(a2)).astype(np.int64)
-
-        def out(a: np.ndarray, b: np.ndarray, n: np.ndarray):
-            shard = a // size
-            names, first = np.unique(shard, return_index=True)
+        def out():
+            a, b, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            names, first = np.unique(a // size, return_index=True)
             bounds = [*first.tolist(), len(a)]
-            data = []
-            for s, i, j in zip(names.tolist(), bounds, bounds[1:], strict=False):
-                c = a[i:j] - s * size
-                step = np.diff(c, prepend=0)
-                data.append(zlib.compress(np.array([j - i], "<i8").tobytes() + step.astype("<u4").tobytes() + b[i:j].astype("<u4").tobytes() + n[i:j].astype("<u4").tobytes(), 1))
+            data = [_packed(a[i:j] - s * size, b[i:j], n[i:j]) for s, i, j in zip(names.tolist(), bounds, bounds[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["shard", "data"])
 
         for ids, doc, _, _ in _number_batches(it, 0, number_bytes(shape)):
-            often = np.zeros(len(ids), bool)
-            often[ids >= 0] = model.counts(1, ids[ids >= 0]) >= LEAST_COUNT
-            ids = np.where(often, ids, -1)
-            before = model.walk(ids, doc, level - 1)[-1]
-            at = np.flatnonzero((before[:-1] >= 0) & (ids[1:] >= 0) & (doc[1:] == doc[:-1])) + 1
-            (a, b), back = _unique_pairs(before[at - 1], ids[at])
-            held.append((a, b, np.bincount(back, minlength=len(a)).astype(np.int64)))
-            held_size += len(a)
-            if held_size > 3_000_000:
-                a, b, n = merged()
-                if len(a) > 1_500_000:
-                    yield out(a, b, n)
-                    held, held_size = [], 0
-                else:
-                    held, held_size = [(a, b, n)], len(a)
+            place, first = model.walk(ids, doc, level - 1)
+            at = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0) & (doc[1:] == doc[:-1])) + 1
+            held.append((place[at - 1], place[at] - first[at]))
+            held_size += len(at)
+            if held_size > COUNT_TOKENS:
+                yield out()
+                held, held_size = [], 0
         if held:
-            yield out(*merged())
+            yield out()
 
     return numbered.select("numbers").mapInArrow(run, "shard int, data binary")
 
 
 def _write_level(df: DataFrame, root: str, shape: dict, level: int, size: int, contexts: int) -> DataFrame:
-    """Merge each shard's counts, and write its pointers, last words, probabilities and backoff weights."""
+    """Merge each shard's counts, and write its pointers, successors, probabilities and backoff weights."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, now, parts, done = Model(root, shape), None, [], []
 
-        def add(data: bytes) -> None:
-            raw = zlib.decompress(data)
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            step, b, k = np.frombuffer(raw, "<u4", 3 * n, 8).reshape(3, n).astype(np.int64)
-            parts.append((np.cumsum(step), b, k))
-            if sum(len(x[0]) for x in parts) > 8_000_000 and len(parts) > 8:
-                parts[:] = [merge()]
-
-        def merge():
-            a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            (a2, b2), back = _unique_pairs(a, b)
-            return a2, b2, np.bincount(back, n, len(a2)).astype(np.int64)
+        def merged():
+            return _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
         def close() -> None:
-            a, b, n = merge()
-            keep = n >= LEAST_COUNT
-            a, b, n = a[keep], b[keep], n[keep]
+            a, b, n = merged()
             mine = min(size, contexts - now * size)
-            total = np.concatenate([model.counts(level - 1, np.arange(now * size + i, now * size + min(i + (1 << 20), mine))) for i in range(0, mine, 1 << 20)] or [np.zeros(0, np.int64)])
-            left = 1 - np.bincount(a, n - DISCOUNT, mine) / np.maximum(total, 1)
-            left = np.clip(left, 1e-9, 1.0)
-            if level == 2:
-                lower = np.log10(model.counts(1, b) + 1) + model.unseen
-            else:  # the shorter n-gram is at least as frequent, so it was kept
-                short = model.last_words(level - 1, a + now * size)
-                if level > 3:
-                    raise NotImplementedError("levels above 3")
-                lower = model.prob(2, model.find(2, short, b)) if len(b) else np.zeros(0)
-            p = (n - DISCOUNT) / total[a] + left[a] * 10.0**lower
+            total = np.bincount(a, n, mine)
+            keep = n >= shape["least_count"]
+            a, b, n = a[keep], b[keep], n[keep]
+            left = np.clip(1 - np.bincount(a, n - DISCOUNT, mine) / np.maximum(total, 1), 1e-9, 1.0)
+            # the shorter n-gram is at least as frequent, so it was kept
+            shorter = b if level == 2 else b + model.firsts(level - 1, model.shorter(level - 1, now * size, now * size + mine)[a])
+            p = (n - DISCOUNT) / total[a] + left[a] * 10.0 ** model.probs(level - 1, shorter)
             ptr = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=mine))))
-            # monotone: each context's last words, plus one, are added to what the context before ended with
+            # monotone: each context's successors, plus one, are added to what the context before ended with
+            some = np.diff(ptr) > 0
             last = np.zeros(mine, np.int64)
-            if len(b):
-                ends = ptr[1:][np.diff(ptr) > 0] - 1
-                last[np.diff(ptr) > 0] = b[ends] + 1
-            base = np.concatenate(([0], np.cumsum(last)[:-1])) if mine else last
-            fields = {"prob": _quantise(np.log10(p)), "backoff": _quantise(np.log10(left)), "count": n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.uint64)}
-            if level < shape["order"]:
-                fields["word"] = b.astype(np.uint32)
+            last[some] = b[ptr[1:][some] - 1] + 1
+            base = np.cumsum(last) - last
+            fields = {"prob": _quantise(np.log10(p)), "backoff": _quantise(np.log10(left))}
             for name, values in (("ptr", ptr), ("succ", base[a] + b + 1)):
                 fields |= {f"{name}.{k}": v for k, v in EliasFano.build(values).arrays.items()}
             model.files.write(f"{level}.{now}", pack_arrays(fields))
@@ -534,10 +608,9 @@ def _write_level(df: DataFrame, root: str, shape: dict, level: int, size: int, c
                     close()
                     parts.clear()
                 now = s
-                if data is not None:
-                    add(data)
-                else:
-                    parts.append((np.zeros(0, np.int64),) * 3)
+                parts.append(_unpacked(data) if data is not None else (np.zeros(0, np.int64),) * 3)
+                if sum(len(x[0]) for x in parts) > 8_000_000 and len(parts) > 8:
+                    parts[:] = [merged()]
         if parts:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([n for _, n in done], pa.int64())], ["shard", "n"])
@@ -552,14 +625,14 @@ def _starts(rows: list, shards: int) -> list[int]:
     return [0, *np.cumsum(sizes).tolist()]
 
 
-def learn_words(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int = ORDER) -> tuple[str, dict]:
+def learn_words(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int = ORDER, least_count: int = LEAST_COUNT) -> tuple[str, dict]:
     """Level 1 from every row; returns the model's folder and its shape (a few numbers for each shard)."""
     root = shared_path(spark, "lm")
-    words = materialise(spark, _count_words(docs.select(F.col(text_col).cast("string").alias("text"))).select(F.xxhash64("word").alias("h"), "n"), "words")
+    words = materialise(spark, _count_words(docs.select(F.col(text_col).cast("string").alias("text"))), "words")
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-total // SHARD_TOKENS))
     bits = (shards - 1).bit_length()
-    shape = {"order": order if distinct else 1, "tokens": int(total), "words": int(distinct), "hash_bits": bits, "shards": shards, "starts": [], "range": [0]}
+    shape = {"order": order if distinct else 1, "least_count": least_count, "tokens": int(total), "words": int(distinct), "hash_bits": bits, "shards": shards, "starts": [], "range": [0]}
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     dealt = _deal(1 << bits, words.select(shard.alias("shard"), "h", "n"))
     shape["starts"].append(_starts(_write_words(root, dealt).collect(), 1 << bits))
@@ -573,10 +646,9 @@ def learn_levels(spark: SparkSession, numbered: DataFrame, root: str, shape: dic
         contexts = shape["starts"][-1][-1]
         size = max(1, -(-contexts // shape["shards"]))
         n_shards = max(1, -(-contexts // size)) if contexts else 1
-        counted = materialise(spark, _count_level(numbered, root, shape, level, size), "grams")
+        counted = _count_level(numbered, root, shape, level, size)
         every = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("data"))
         rows = _write_level(_deal(n_shards, counted.unionByName(every)), root, shape, level, size, contexts).collect()
-        drop_table(spark, counted)
         shape["starts"].append(_starts(rows, n_shards))
         shape["range"].append(size)
     return shape
@@ -598,6 +670,7 @@ def score(numbered: DataFrame, root: str, shape: dict, keep: list[str]) -> DataF
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of those whose crc32 modulo 7 is not 2."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc32_mod("doc_id", 7) == 2).alias("held_out"))
     root, shape = learn_words(spark, docs.where(~F.col("held_out")))
     numbered = materialise(spark, number(docs, root, shape, ["doc_id", "held_out"]), "numbers")

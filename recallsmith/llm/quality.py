@@ -23,8 +23,8 @@ from recallsmith.llm.common import materialise
 _BLANK = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Up to this many hosts (two numbers and a name each), the table of hosts may be broadcast.
-BROADCAST_HOSTS = 50_000
+#: Up to this many hosts, with so many bytes of names, the table of hosts may be broadcast; beyond, each host is joined in SALTS parts.
+BROADCAST_HOSTS, BROADCAST_BYTES, SALTS = 50_000, 8 << 20, 32
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -85,7 +85,7 @@ def host_rules(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(any_failed.cast("long")).alias("failed"))
     hosts = materialise(spark, hosts, "hosts")
     rate = F.col("failed") / F.col("n")
-    m = hosts.agg(F.count("*").alias("hosts"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("noise")).first()
+    m = hosts.agg(F.count("*").alias("hosts"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("noise"), F.sum(F.octet_length("host")).alias("bytes")).first()
     mean = min(max(m["mean"] or 0.0, 1e-4), 1 - 1e-4)
     between = max((m["var"] or 0.0) - mean * (1 - mean) * (m["noise"] or 0.0), 1e-6)  # what chance within hosts explains is taken off
     strength = max(mean * (1 - mean) / between - 1, 2.0)
@@ -93,9 +93,11 @@ def host_rules(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     posterior = (F.col("failed") + a) / (F.col("n") + a + b)
     spread = F.sqrt(posterior * (1 - posterior) / (F.col("n") + a + b + 1))
     verdicts = hosts.select("host", posterior.alias("host_rate"), (posterior - 2 * spread > most_rate).alias("host_failed"))
-    if m["hosts"] <= BROADCAST_HOSTS:
-        verdicts = F.broadcast(verdicts)
-    joined = rows.join(verdicts, "host", "left")
+    if m["hosts"] <= BROADCAST_HOSTS and (m["bytes"] or 0) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(verdicts), "host", "left")
+    else:  # a host may have a third of all rows
+        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", *MEASURES), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     return joined.select("id", *MEASURES, "base_failed", any_failed.alias("rules_failed"), "host_rate", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
 
 

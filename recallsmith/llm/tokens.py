@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words, and bytes of words, that a worker remembers; beyond either it forgets those that the last texts didn't have.
-MEMO_WORDS, MEMO_BYTES = 600_000, 24 << 20
+MEMO_WORDS, MEMO_BYTES = 450_000, 16 << 20
 #: Bytes of text that are encoded together; a longer text is encoded alone.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 5 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,7 +85,11 @@ class WordTokenizer:
         """(ids, number of each unit's ids) of the units at places of the memo, one after the other."""
         first = self.ends[place]
         n = self.ends[place + 1] - first
-        return self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        ends = np.cumsum(n)
+        kind = np.int32 if len(self.flat) < 1 << 31 and len(ends) and ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((first - ends + n).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        return self.flat[at], n
 
     def _places(self, units: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(units, their places in the memo or -1, which ones it lacks) of distinct units."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import crc32_mod
+from recallsmith.llm.common import crc32_mod, sampled
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Training takes about this many labelled documents of each grade, chosen by a hash of their id.
@@ -116,12 +116,9 @@ def grade_column(toxic: str = "toxic", quality: str = "quality"):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = SAMPLE_PER_GRADE) -> SeverityModel:
     """Learn from a bounded sample of graded rows (id, grade); `per_grade` bounds what the driver gets."""
-    graded = labels.where(F.col("grade").isNotNull()).select(F.col(id_col).alias("id"), "grade")
+    graded = labels.where(F.col("grade").isNotNull()).select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade"))
     counts = {r[0]: r[1] for r in graded.groupBy("grade").count().collect()}
-    chance = F.lit(0)
-    for grade, n in counts.items():
-        chance = F.when(F.col("grade") == grade, F.lit(int(min(1.0, 1.1 * per_grade / n) * (1 << 20)))).otherwise(chance)
-    chosen = graded.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < chance).limit(4 * per_grade * max(1, len(counts)))
+    chosen = sampled(graded, "grade", counts, per_grade, "id").limit(4 * per_grade * max(1, len(counts)))
     # the sample is bounded by its parameter, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 

@@ -301,22 +301,98 @@ def test_pii(spark, sf, docs, odd, empty):
     assert any("zanzibar" in t for t in terms)
 
 
+def brute_scores(words, train, order, least=1):
+    """Interpolated absolute discounting over plain dictionaries."""
+    import math
+    from collections import Counter
+
+    counts = [None, *(Counter(tuple(x[i : i + k]) for x in train for i in range(len(x) - k + 1)) for k in range(1, order + 1))]
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    after = [None] + [{} for _ in range(order)]
+    for k in range(2, order + 1):
+        for g, n in counts[k].items():
+            if k > 2 and (counts[k - 1][g[1:]] < least or counts[k - 1][g[:-1]] < least):
+                continue  # a part of it is left out
+            t = after[k].setdefault(g[:-1], [0, 0.0])
+            t[0] += n
+            if n >= least:
+                t[1] += n - ngram_lm.DISCOUNT
+    left = lambda k, c: 1 - after[k][c][1] / after[k][c][0]
+
+    def prob(g):
+        if len(g) == 1:
+            return (counts[1][g] + 1) / (total + distinct + 1)
+        return (counts[len(g)][g] - ngram_lm.DISCOUNT) / after[len(g)][g[:-1]][0] + left(len(g), g[:-1]) * prob(g[1:])
+
+    out = []
+    for x in words:
+        logs = 0.0
+        for i in range(len(x)):
+            s = math.log10(prob((x[i],)))
+            for k in range(2, min(order, i + 1) + 1):
+                g = tuple(x[i - k + 1 : i + 1])
+                if counts[k][g] >= least:
+                    s = math.log10(prob(g))
+                elif g[:-1] in after[k] and (k == 2 or counts[k - 1][g[:-1]] >= least):
+                    s += math.log10(max(left(k, g[:-1]), 1e-9))
+            logs += s
+        out.append(logs)
+    return out
+
+
 def test_language_model(spark, sf, docs):
     import math
     from collections import Counter
 
     got = {r.doc_id: r for r in queries.QUERIES["op10_lm_scores"](spark, sf).collect()}
-    w = {d: t.encode().lower().split() + [b""] for d, t in docs.items()}
+    w = {d: re.sub(rb"[A-Z]+", lambda m: m[0].lower(), t.encode()).split() + [b""] for d, t in docs.items()}
     train = [x for d, x in w.items() if zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(t for x in train for t in x)
     n, v = sum(c.values()), len(c)
-    for d, x in w.items():
+    for (d, x), score in zip(w.items(), brute_scores(w.values(), train, 3), strict=True):
         assert got[d].base_score == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in x))
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(x), sum(c[t] > 0 for t in x), n)
+        assert got[d].score == pytest.approx(score, abs=3e-4 * len(x))  # quantised logarithms
     held = [r for r in got.values() if not r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize(("order", "least"), [(1, 1), (2, 1), (4, 1), (5, 1), (3, 2)])
+def test_language_models_of_other_orders(spark, monkeypatch, order, least):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 400)
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, rng.integers(0, 40)) % 30) for _ in range(120)] + ["w1 W2\tw3", None, "", "  ", "new words w1 w2 w3 w4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", __import__("pyspark").sql.functions.col("doc_id") >= 100)
+    root, shape = ngram_lm.learn_words(spark, df.where("not held_out"), order=order, least_count=least)
+    numbered = ngram_lm.number(df, root, shape, ["doc_id", "held_out"])
+    shape = ngram_lm.learn_levels(spark, numbered.where("not held_out"), root, shape)
+    got = {r.doc_id: r.score for r in ngram_lm.score(numbered, root, shape, ["doc_id"]).collect()}
+    w = [(t or "").lower().encode().split() + [b""] for t in texts]
+    want = brute_scores(w, w[:100], order, least)
+    assert [got[i] for i in range(len(texts))] == [pytest.approx(s, abs=1e-3 * len(x)) for s, x in zip(want, w)]
+
+
+def test_language_model_of_nothing(spark, odd, empty):
+    for df, n in ((odd, len(ODD)), (empty, 0)):
+        for learn in (df, empty):
+            root, shape = ngram_lm.learn_words(spark, learn)
+            numbered = ngram_lm.number(df, root, shape, ["doc_id"])
+            shape = ngram_lm.learn_levels(spark, numbered.limit(0) if learn is empty else numbered, root, shape)
+            assert ngram_lm.score(numbered, root, shape, ["doc_id"]).count() == n
+
+
+def test_words_of_a_column():
+    texts = ["A b\tb\n", None, "", " x", "é É\x0bz", "y", "\x1c q", "ab" * 9]
+    rows = []
+    for k in (1, 10**6):
+        ngram_lm.BATCH_BYTES, old = k, ngram_lm.BATCH_BYTES
+        for _, words, codes, ends in ngram_lm._words(__import__("pyarrow").array(["?", *texts]).slice(1)):
+            w = [*words.to_pylist(), b""]
+            rows += [[w[c] for c in x] for x in np.split(codes, ends[:-1])]
+        ngram_lm.BATCH_BYTES = old
+    assert rows == 2 * [re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()).split() + [b""] for t in texts]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for top, n in ((10, 5), (1 << 40, 3000), (100_000, 60_000)):
