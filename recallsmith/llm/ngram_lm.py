@@ -39,7 +39,7 @@ SHARD_TOKENS = 6_000_000
 #: Bytes of text that are taken together; a longer text is taken alone.
 BATCH_BYTES = 4 << 20
 #: Tokens that are looked up together, and n-grams that a task counts together.
-LOOKUP_TOKENS, COUNT_TOKENS = 400_000, 6_000_000
+LOOKUP_TOKENS, COUNT_TOKENS = 800_000, 6_000_000
 #: Bytes of shards that a worker holds where the shared folder can't be mapped.
 HELD_BYTES = 256 << 20
 _INSIDE = np.ones(256, bool)
@@ -129,7 +129,8 @@ class EliasFano:
     @property
     def zeros(self) -> np.ndarray:
         if "zeros" not in self.arrays:
-            self.arrays["zeros"] = np.arange(len(self.high), dtype=np.int64) * 64 - np.asarray(self.before, np.int64)
+            kind = np.int32 if 64 * len(self.high) < 1 << 31 else np.int64
+            self.arrays["zeros"] = np.arange(0, 64 * len(self.high), 64, kind) - np.asarray(self.before).astype(kind)
         return self.arrays["zeros"]
 
     def find(self, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -222,15 +223,14 @@ class Model:
 
     def by_hash(self, h: np.ndarray) -> np.ndarray:
         """Word numbers, -1 for words that are not in the training texts."""
-        out = np.full(len(h), -1, np.int64)
-        starts = self.shape["starts"][0]
-        shard = (h >> _U(64 - self.shape["hash_bits"])).astype(np.int64) if self.shape["hash_bits"] else np.zeros(len(h), np.int64)
-        for s in np.unique(shard).tolist():
-            if starts[s + 1] == starts[s]:
-                continue
-            at, keys = np.flatnonzero(shard == s), self.arrays(f"1.{s}")["hash"]
-            i = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            out[at] = np.where(keys[i] == h[at], i + starts[s], -1)
+        out, starts, order = np.full(len(h), -1, np.int64), self.shape["starts"][0], np.argsort(h)
+        h, width = h[order], 64 - self.shape["hash_bits"]
+        bounds = [0, *np.searchsorted(h, np.array([s << width for s in range(1, len(starts) - 1)], np.uint64)).tolist(), len(h)]
+        for s, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a < z and starts[s + 1] > starts[s]:
+                keys = self.arrays(f"1.{s}")["hash"]
+                i = np.minimum(np.searchsorted(keys, h[a:z]), len(keys) - 1)
+                out[order[a:z]] = np.where(keys[i] == h[a:z], i + starts[s], -1)
         return out
 
     def counts(self, words: np.ndarray) -> np.ndarray:
@@ -259,10 +259,10 @@ class Model:
             a["_ptr"], a["_succ"] = EliasFano(_sub(a, "ptr.")), EliasFano(_sub(a, "succ."))
         return a["_ptr"], a["_succ"]
 
-    def find(self, level: int, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, level: int, contexts: np.ndarray, successors: np.ndarray, logs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place or -1, first place of the context, logarithm of the probability or nan, that of the backoff weight) of pairs in order of contexts.
 
-        A negative successor has no place.
+        A negative successor has no place; without `logs` the logarithms are not read.
         """
         n, size = len(contexts), self.shape["range"][level - 1]
         place, first, prob, backoff = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, np.nan), np.zeros(n)
@@ -276,10 +276,10 @@ class Model:
             of, c = np.cumsum(new) - 1, c[new]
             ptr, succ = self._sequences(level, s)
             a = self.arrays(f"{level}.{s}")
-            ends = ptr.access(np.concatenate((c, c + 1)))
-            low, high = ends[: len(c)], ends[len(c) :]
+            low, high = ptr.access(c), ptr.access(c + 1)
             first[i:j] = (low + start)[of]
-            backoff[i:j] = (a["backoff"][c] / -_STEPS)[of]
+            if logs:
+                backoff[i:j] = (a["backoff"][c] / -_STEPS)[of]
             if not succ.n:
                 continue
             base = np.where(low > 0, succ.access(np.maximum(low - 1, 0)), 0)
@@ -288,7 +288,8 @@ class Model:
             got = succ.find(base[of] + successors[i:j][use] + 1, low[of], high[of])
             use, got = use[got >= 0], got[got >= 0]
             place[i + use] = got + start
-            prob[i + use] = a["prob"][got] / -_STEPS
+            if logs:
+                prob[i + use] = a["prob"][got] / -_STEPS
         return place, first, prob, backoff
 
     def _range(self, level: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,18 +334,19 @@ class Model:
         place, first = ids, np.zeros(len(ids), np.int64)
         inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         for level in range(2, upto + 1):
-            out, begin = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
             at = inner[place[inner - 1] >= 0]
             if score is None:
                 at = at[place[at] >= 0]
             context, successor = place[at - 1], np.where(place[at] >= 0, place[at] - first[at], -1)
             (c, x), back = _unique_pairs(context, successor + 1)
-            got = self.find(level, c, x - 1)
-            out[at], begin[at] = got[0][back], got[1][back]
+            got = self.find(level, c, x - 1, score is not None)
             if score is not None:
                 prob = got[2][back]
                 score[at] = np.where(np.isnan(prob), score[at] + got[3][back], prob)
-            place, first = out, begin
+                if level == upto:
+                    break
+            place, first = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+            place[at], first[at] = got[0][back], got[1][back]
         return place, first
 
     def logs(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -406,10 +408,14 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndar
         np.greater(inside[1:], inside[:-1], out=first[1:])
         begun = bounds[:-1][bounds[:-1] < bounds[1:]]
         first[begun] = inside[begun]
+        last = inside.copy()  # the last byte of a word: before white space or the next row
+        np.greater(inside[:-1], inside[1:], out=last[:-1])
+        over = bounds[1:][bounds[1:] > 0] - 1
+        last[over] = inside[over]
         starts = np.flatnonzero(first)
-        solid = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))  # places without the white space
-        packed = pa.py_buffer(_LOWER[text[inside]])
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(solid[starts], solid[-1])), packed]).dictionary_encode()
+        sizes = np.flatnonzero(last) + 1 - starts
+        packed = pa.py_buffer(_LOWER[text[inside]])  # without the white space
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), packed]).dictionary_encode()
         ends = np.searchsorted(starts, bounds[1:])
         codes = np.insert(words.indices.to_numpy(), ends, -1)
         yield i, words.dictionary, codes, ends + np.arange(1, len(ends) + 1)
