@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Each found value is a protected entity.
-Words around it in the corpus may give it away: the disclosure of entity e by term t is PMI(t; e) / IC(e), where
-PMI = log2(P(e | t) / P(e)) and IC = -log2 P(e); it is 1 if t occurs with e alone. P(e | t) is the number of distinct
-contexts of e that have t, over the number of documents that have t. Terms beyond the thresholds are generalised or
+Words that occur in documents with it may give it away: the disclosure of entity e by term t is k / (k + 1) * PMI(t; e) / IC(e), where
+PMI = log2(P(e | t) / P(e)), IC = -log2 P(e), and k is the number of different texts that have both. P(e | t) is the number of documents that have
+both over the number that have t; a document is co-occurrence as a whole, however long it is. So a term that occurs with e alone comes near 1 as
+the evidence grows; copies of one text count on both sides of P(e | t) but are no further evidence. Terms beyond the thresholds are generalised or
 removed wherever they occur in documents with that entity.
 
-A context is the text on both sides of a value; equal contexts count once, so that copies of a document are no evidence, and three distinct ones are the least.
+k / (k + 1) is below the lower threshold g for all k < g / (1 - g), three texts by default, so entities and pairs in fewer texts are left out without
+loss. Terms are words of TERM_CHARS letters or more.
 
 Cases: a null text is empty; repeated rows are treated alike; ties keep the order email, ip, card, phone, term; overlapping
 spans are kept in `spans` and merged when a text is rewritten; an empty table gives an empty result; other columns pass by
@@ -15,10 +17,12 @@ unread.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import materialise
+from recallsmith.llm.common import fresh_name, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns. Possessive quantifiers match the same spans without recursion or retries, and a run is only entered
@@ -36,12 +40,10 @@ _HINTS = {
     "phone": r"\+[0-9][ ().0-9-]{8}",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CONTEXT_CHARS = 120
 TERM_CHARS = 4
-LEAST_CONTEXTS = 3
 GENERALISE, REMOVE = 0.75, 0.9
-#: Up to this many documents with revealing terms, their list may be broadcast.
-BROADCAST_ROWS = 20_000
+#: Up to so many short rows, or documents with so many spans of revealing terms in all, a list may be broadcast.
+BROADCAST_ROWS, BROADCAST_SPANS = 20_000, 200_000
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -115,15 +117,13 @@ def base_spans(text: Column) -> Column:
 
 
 def find_base(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, spans, sides, hit) of every row, written to shared storage.
+    """(id, key, row, spans, hit) of every row, written to shared storage.
 
-    key is a hash of the text; sides has the context of each span; hit is the text, only of rows that have spans.
+    key is a hash of the text, row a number of its own; hit is the text, only of rows that have spans.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    side = lambda s: F.concat(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT_CHARS)))
-    any_ = F.size("spans") > 0
-    out = rows.select("id", F.xxhash64("text").alias("key"), "spans", F.when(any_, F.transform("spans", side)).alias("sides"), F.when(any_, F.col("text")).alias("hit"))
+    out = rows.select("id", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("hit"))
     return materialise(spark, out, "pii")
 
 
@@ -136,40 +136,65 @@ def terms_of(text: Column, least: int = TERM_CHARS) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= least))
 
 
+def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def disclosure(spark: SparkSession, found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity to the lower threshold or more.
 
-    Candidates are counted first, from the contexts of found values, with partial sums before each shuffle; only if some
+    Candidates are counted first, from one text of each class of copies that has an entity, with partial sums before each shuffle; only if some
     term recurs with an entity are the documents that have it counted, in a second pass over all texts.
     """
-    seen = found.where(F.size("spans") > 0).select(F.explode(F.arrays_zip("spans", "sides")).alias("x")).select(_entity(F.col("x.spans")).alias("entity"), F.col("x.sides").alias("side")).distinct()
-    per_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_CONTEXTS)
-    pairs = seen.join(per_entity, "entity").select("entity", "n_e", F.explode(terms_of(F.col("side"))).alias("term"))
-    pairs = materialise(spark, pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= LEAST_CONTEXTS), "pairs")
+    least = math.ceil(GENERALISE / (1 - GENERALISE) - 1e-9)
+    hits = found.where(F.size("spans") > 0)
+    firsts = hits.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    names = hits.select("row", "key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).join(firsts, ["key", "row"]).drop("key")
+    names = materialise(spark, names, "entities")
+    per_entity = names.groupBy("entity").agg(F.count("*").alias("k_e"), F.sum("copies").alias("n_e")).where(F.col("k_e") >= least).drop("k_e")
+    per_entity = materialise(spark, per_entity, "recurring")
+    held = names.join(_bounded(per_entity), "entity").groupBy("row").agg(F.first("copies").alias("copies"), F.collect_list("entity").alias("entities"))
+    texts = hits.select("row", "hit").join(_bounded(materialise(spark, held, "holders")), "row")
+    words = texts.select("copies", "entities", F.explode(terms_of(F.col("hit"))).alias("term")).select("copies", "term", F.explode("entities").alias("entity"))
+    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("k_te"), F.sum("copies").alias("n_te")).where(F.col("k_te") >= least)
+    pairs = materialise(spark, pairs.join(per_entity, "entity"), "pairs")
     n = found.count()
     wanted = pairs.select("term").distinct()
     if not pairs.isEmpty():
         words = docs.select(F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
-        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(known, "term")  # counted before the join, which then has a row per term
+        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(_bounded(wanted), "term")  # counted before the join, which then has a row per term
     else:
         counts = wanted.withColumn("n_t", F.lit(1).cast("long"))
-    # a document may hold several contexts of one entity, so the ratio is held at 1
-    given = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     content = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    scored = pairs.join(counts, "term").withColumn("disclosure", F.when(content > 0, 1 + F.log2(given) / content).otherwise(F.lit(0.0)))
+    sure = F.col("k_te") / (F.col("k_te") + 1)
+    scored = pairs.join(counts, "term").withColumn("disclosure", F.when(content > 0, sure * (1 + F.log2(F.col("n_te") / F.col("n_t")) / content)).otherwise(F.lit(0.0)))
     return materialise(spark, scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "risks")
 
 
 def term_spans(spark: SparkSession, found: DataFrame, risks: DataFrame) -> DataFrame:
-    """(id, key, terms) for the rows that hold an entity and a term that reveals it: spans of the term, outside base spans."""
+    """(id, key, terms) for the rows that hold an entity and a term that reveals it: spans of the term, outside base spans.
+
+    A document's own terms are looked up among those that reveal its entities, so an entity in many documents with many terms costs no product of both.
+    """
     hits = found.where(F.size("spans") > 0)
-    names = hits.select("id", "key", F.explode("spans").alias("s")).select("id", "key", _entity(F.col("s")).alias("entity")).distinct()
-    listed = names.join(risks, "entity").groupBy("id", "key", "term").agg(F.max("disclosure").alias("d")).groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("risky"))
-    rows = hits.dropDuplicates(["id", "key"]).join(listed, ["id", "key"])
+    names = hits.select("row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    held = names.join(_bounded(risks.select("entity").distinct()), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    held = materialise(spark, held, "risky")
+    own = hits.select("row", "hit").join(_bounded(held), "row").select("row", "entities", F.explode(terms_of(F.col("hit"))).alias("term"))
+    own = own.join(_bounded(risks.select("term").distinct()), "term").select("row", "term", F.explode("entities").alias("entity"))
+    listed = own.join(_bounded(risks), ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("d")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("risky"))
+    rows = hits.join(_bounded(materialise(spark, listed, "listed")), "row")
     words = F.filter(matches(F.col("hit"), r"\p{L}++", "term"), lambda w: F.map_contains_key(F.col("risky"), F.lower(w["value"])) & ~F.exists(F.col("spans"), lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
     marked = F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["rank"].alias("rank"), w["end"].alias("end"), F.when(F.element_at(F.col("risky"), F.lower(w["value"])) >= REMOVE, "removed").otherwise("generalised").alias("kind"), w["value"].alias("value")))
-    return materialise(spark, rows.select("id", "key", marked.alias("terms")), "terms")
+    out = rows.select("row", "id", "key", marked.alias("terms"))
+    return materialise(spark, out.where(F.size("terms") > 0), "terms")
+
+
+def _light(terms: DataFrame) -> DataFrame:
+    """Spans of revealing terms, to be broadcast if there are few in all."""
+    rows, spans = terms.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    return F.broadcast(terms) if rows <= BROADCAST_ROWS and spans <= BROADCAST_SPANS else terms
 
 
 def span_list(spans: Column, term_kind: str = "term") -> Column:
@@ -183,8 +208,8 @@ def analyse(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     risks = disclosure(spark, found, docs, text_col)
     if risks.isEmpty():
         return found.select("id", "key", "spans", F.col("spans").alias("all_spans"))
-    terms = term_spans(spark, found, risks)
-    both = found.select("id", "key", "spans").join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, ["id", "key"], "left")
+    terms = term_spans(spark, found, risks).select("row", "terms")
+    both = found.select("row", "id", "key", "spans").join(_light(terms), "row", "left")
     return both.select("id", "key", "spans", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms"))).alias("all_spans"))
 
 
@@ -208,11 +233,13 @@ def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     spans = base_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     if risks.isEmpty():
         return docs.withColumn(text_col, rewrite(F.col(text_col), spans))
-    terms = term_spans(spark, found, risks).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "terms")
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    rows = docs.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__key")), "left")
-    every = _let(spans, lambda s: F.when(F.col("terms").isNull(), s).otherwise(F.array_sort(F.concat(s, F.col("terms")))))
-    return rows.withColumn(text_col, rewrite(F.col(text_col), every)).drop("__id", "__key", "terms")
+    # copies of a row have the same spans
+    id_, key, listed = (fresh_name(docs, x) for x in ("id", "key", "terms"))
+    terms = term_spans(spark, found, risks).dropDuplicates(["id", "key"]).select(F.col("id").alias(id_), F.col("key").alias(key), F.col("terms").alias(listed))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.join(_light(terms.withColumnRenamed(listed, "terms")).withColumnRenamed("terms", listed), F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key)), "left")
+    every = _let(spans, lambda s: F.when(F.col(listed).isNull(), s).otherwise(F.array_sort(F.concat(s, F.col(listed)))))
+    return rows.withColumn(text_col, rewrite(F.col(text_col), every)).drop(id_, key, listed)
 
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
