@@ -1,11 +1,12 @@
 """Benchmark decontamination: n-gram seeds find candidate pairs, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs without white space or punctuation. The seeds of a test item are all its word trigrams, however
-many documents have them. A passage is a run of a document's words around seeds of one item; if it has enough of the
+Words are lower-cased runs without white space or punctuation. The seeds of a test item are all its runs of three words, in a row or with
+one word left out (PATTERNS), however many documents have them. They are joined with the runs of the documents' words, as sorted codes in each task. A
+passage is a run of a document's words around seeds of one item; if it has enough of the
 item's words to reach the least score, it is aligned with the item locally, by words, so that edited, shortened and
-reworded copies score nearly as well as exact ones.
+reworded copies score nearly as well as exact ones. Of copies in which every third word is another one, all keep a seed.
 
-Cases: null and empty texts and items match nothing; an item shorter than the seed length is one seed, found wherever its words run; repeated rows
+Cases: null and empty texts and items match nothing; an item shorter than a seed is one seed, found wherever its words run; repeated rows
 and items give a row each; an empty table on either side gives an empty result; other columns are not read.
 """
 
@@ -14,13 +15,20 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallsmith.llm.common import bounded_batches
+
+#: Places of a seed's words.
+PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 SEED_WORDS = 3
+#: Words of the longest passage whose alignment is remembered, and how many are.
+MEMO_WORDS, MEMO_PASSAGES = 4096, 20_000
 #: An alignment's score divided by the item's own; from here on a document counts as contaminated.
 LEAST_SCORE = 0.5
 #: Items of at most this many bytes in all go to every task; larger sets are dealt into parts of this size.
@@ -35,26 +43,27 @@ def words_of(text: str | None) -> list[str]:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
-    """(score / own score of the item, first, end) of the best local alignment of two runs of word numbers."""
+    """(score / own score of the item, first, end) of the best local alignment of two runs of word numbers.
+
+    Two rows are kept, each cell as its score and, below it, how far from the passage's end its alignment began: of equal scores the earliest begun wins.
+    """
     m, n = len(item), len(passage)
     if not m or not n:
         return 0.0, 0, 0
-    drop = np.arange(1, n + 1) * -_GAP
-    rows = np.zeros((m + 1, n + 1), np.int64)
-    for i in range(1, m + 1):
-        step = np.where(passage == item[i - 1], _MATCH, _MISMATCH)
-        h = np.maximum(np.maximum(rows[i - 1, :-1] + step, rows[i - 1, 1:] + _GAP), 0)
-        rows[i, 1:] = np.maximum(h, np.maximum.accumulate(h + drop) - drop)  # gaps along the passage
-    i, j = divmod(int(np.argmax(rows)), n + 1)
-    best, end = int(rows[i, j]), j
-    while i and j and rows[i, j]:
-        if rows[i, j] == rows[i - 1, j - 1] + (_MATCH if passage[j - 1] == item[i - 1] else _MISMATCH):
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + _GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best / (_MATCH * m), j, end
+    scale = n + 2
+    drop = np.arange(n + 1) * (-_GAP * scale)
+    fresh = n + 1 - np.arange(n + 1)  # score 0, begun here
+    row, best, end = fresh.copy(), fresh[0], 0
+    for i in range(m):
+        step = np.where(passage == item[i], _MATCH, _MISMATCH) * scale
+        h = np.maximum(row + _GAP * scale, fresh)
+        h[1:] = np.maximum(h[1:], row[:-1] + step)
+        row = np.maximum(np.maximum.accumulate(h + drop) - drop, fresh)  # gaps along the passage
+        j = int(np.argmax(row // scale))
+        if row[j] // scale > best // scale:
+            best, end = row[j], j
+    score, begun = divmod(int(best), scale)
+    return score / (_MATCH * m), n + 1 - begun, end
 
 
 class Items:
@@ -69,46 +78,44 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append(np.array(got, np.int64))
         self.base = len(self.vocabulary) + 2
-        owners: dict[int, set[int]] = defaultdict(set)
-        for k, w in enumerate(self.words):
-            for code in self.codes(w).tolist():
-                owners[code].add(k)
-        self.owners = {c: sorted(v) for c, v in owners.items()}
-        self.sorted = np.array(sorted(owners), np.int64)
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A code for each run of SEED_WORDS known words, -1 for others; shorter items are padded, so they match as a whole."""
-        if len(words) < SEED_WORDS:
-            return np.array([], np.int64)
-        out = words[: len(words) - SEED_WORDS + 1].copy()
-        bad = out == 0
-        for k in range(1, SEED_WORDS):
-            w = words[k : len(words) - SEED_WORDS + 1 + k]
-            out = out * self.base + w
-            bad |= w == 0
-        out[bad] = -1
-        return out
+        seeds = [(c, k) for k, w in enumerate(self.words) for c in np.unique(self.runs(w)[1]).tolist()]
+        seeds.sort()
+        code = np.array([c for c, _ in seeds], np.int64)
+        self.owners = np.array([k for _, k in seeds], np.int64)  # of each seed in turn, those items
+        self.sorted, first = np.unique(code, return_index=True)
+        self.first = np.append(first, len(code))
+
+    def runs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, codes) of the runs of known words, for each pattern."""
+        at, codes = [], []
+        for k, pattern in enumerate(PATTERNS):
+            n = len(words) - pattern[-1]
+            if n <= 0:
+                continue
+            known = words[:n] > 0
+            for p in pattern[1:]:
+                known &= words[p : n + p] > 0
+            i = np.flatnonzero(known)
+            code = np.zeros(len(i), np.int64)
+            for p in pattern:
+                code = code * self.base + words[i + p]
+            at.append(i)
+            codes.append(code * len(PATTERNS) + k)
+        return (np.concatenate(at), np.concatenate(codes)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def numbers(self, text: str | None) -> np.ndarray:
         """A text's words as numbers; 0 for words of no item."""
         words = words_of(text)
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, codes) where a run of a text is a seed of an item."""
-        if len(numbers) < SEED_WORDS or not len(self.sorted):
-            return np.array([], np.int64), np.array([], np.int64)
-        known = numbers > 0
-        run = known[: len(numbers) - SEED_WORDS + 1].copy()
-        for k in range(1, SEED_WORDS):
-            run &= known[k : len(numbers) - SEED_WORDS + 1 + k]
-        at = np.flatnonzero(run)
-        code = np.zeros(len(at), np.int64)
-        for k in range(SEED_WORDS):
-            code = code * self.base + numbers[at + k]
-        found = self.sorted[np.minimum(np.searchsorted(self.sorted, code), len(self.sorted) - 1)] == code
-        return at[found], code[found]
+        """(places, places in `sorted`) where a run of words is a seed of an item."""
+        at, code = self.runs(numbers)
+        if not len(self.sorted):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.sorted, code), len(self.sorted) - 1)
+        found = self.sorted[place] == code
+        return at[found], place[found]
 
     def short(self) -> list[int]:
         """Items with fewer words than a seed."""
@@ -126,58 +133,67 @@ class Finder:
         self.firsts = np.array(sorted(self.short), np.int64)
         self.memo: dict[tuple[int, bytes], tuple[float, int, int]] = {}
 
-    def passages(self, numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item with enough seeds close together, the ranges of words to align."""
-        at, codes = self.items.hits(numbers)
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, c in zip(at.tolist(), codes.tolist(), strict=True):
-            for k in self.items.owners[c]:
-                by_item[k].append((p, c))
-        out = {}
-        for k, hits in by_item.items():
-            m = len(self.items.words[k])
-            groups: list[list] = []  # runs of hits no further apart than the item is long
-            for p, c in hits:
-                if not groups or p - groups[-1][1] > m:
-                    groups.append([p, p, {c}])
-                else:
-                    groups[-1][1] = p
-                    groups[-1][2].add(c)
-            need = 2 if m >= 3 * SEED_WORDS else 1
-            if spans := [(max(0, a - m), b + SEED_WORDS + m) for a, b, seen in groups if len(seen) >= need]:
-                out[k] = spans
-        return out
-
-    def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item_id, score, first word, end word) of the best passage for each item, from `least` on."""
-        numbers = self.items.numbers(text)
-        if not len(numbers):
-            return []
-        out, met = [], set()
+    def passages(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, end) of the ranges of words to align in texts that end at `ends`: where an item's seeds are close together."""
+        at, seed = self.items.hits(numbers)
+        count = self.items.first[seed + 1] - self.items.first[seed]
+        item = self.items.owners[np.repeat(self.items.first[seed] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+        at, seed = np.repeat(at, count), np.repeat(seed, count)
+        if not len(at):
+            return
+        text = np.searchsorted(ends, at, "right")
+        order = np.lexsort((at, text, item))
+        at, seed, item, text = at[order], seed[order], item[order], text[order]
+        sizes = np.array([len(w) for w in self.items.words], np.int64)
+        # a run of hits no further apart than the item is long
+        new = np.concatenate(([True], (np.diff(item) != 0) | (np.diff(text) != 0) | (np.diff(at) > sizes[item[1:]])))
+        run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        places = np.bincount(run, np.concatenate(([True], np.diff(at) != 0)) | new)
+        kinds = np.bincount(np.unique(run * len(self.items.sorted) + seed) // len(self.items.sorted), minlength=len(first))
+        need = np.where(sizes[item[first]] >= 3 * SEED_WORDS, 2, 1)
+        begun = np.concatenate(([0], ends))
+        for k in np.flatnonzero((places >= need) & (kinds >= need)).tolist():
+            i, m = int(item[first[k]]), int(sizes[item[first[k]]])
+            t = int(text[first[k]])
+            yield t, i, max(int(begun[t]), int(at[first[k]]) - m), min(int(ends[t]) - PATTERNS[-1][-1], int(at[last[k]]) + SEED_WORDS + 1 + m)
+
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
+        """For each text, (item_id, score, first word, end word) of the best passage for each item, from `least` on."""
+        apart = np.zeros(PATTERNS[-1][-1], np.int64)  # no seed reaches from one text into the next
+        each = [np.concatenate((self.items.numbers(t), apart)) for t in texts]
+        ends = np.cumsum([len(x) for x in each], dtype=np.int64)
+        numbers = np.concatenate([apart[:0], *each])
+        begun = np.concatenate(([0], ends))
+        out: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
         for p in np.flatnonzero(np.isin(numbers, self.firsts)).tolist() if self.short else ():
+            t = int(np.searchsorted(ends, p, "right"))
             for k in self.short[int(numbers[p])]:
                 w = self.items.words[k]
-                if k not in met and np.array_equal(numbers[p : p + len(w)], w):
-                    met.add(k)
-                    out.append((self.items.ids[k], 1.0, p, p + len(w)))
-        for k, spans in self.passages(numbers).items():
-            best = (0.0, 0, 0)
-            for a, z in spans:
-                window = numbers[a:z]
-                # each match takes a word of the item that the passage has, and one of the passage that the item has
-                if min(np.isin(self.items.words[k], window).sum(), np.isin(window, self.items.words[k]).sum()) < self.least * len(self.items.words[k]):
-                    continue
-                key = (k, window.tobytes())
-                if key not in self.memo:
-                    if len(self.memo) > 20_000:
-                        self.memo.clear()
-                    self.memo[key] = align(self.items.words[k], window)
-                s, i, j = self.memo[key]
-                if s > best[0]:
-                    best = (s, a + i, a + j)
-            if best[0] >= self.least:
-                out.append((self.items.ids[k], *best))
-        return out
+                if k not in out[t] and p + len(w) <= ends[t] and np.array_equal(numbers[p : p + len(w)], w):
+                    out[t][k] = (1.0, p - int(begun[t]), p - int(begun[t]) + len(w))
+        for t, k, a, z in self.passages(numbers, ends):
+            window, words = numbers[a:z], self.items.words[k]
+            # each match takes a word of the item that the passage has, and one of the passage that the item has
+            if min(np.isin(words, window).sum(), np.isin(window, words).sum()) < self.least * len(words):
+                continue
+            key = (k, window.tobytes()) if len(window) <= MEMO_WORDS else None
+            if key not in self.memo:
+                if len(self.memo) > MEMO_PASSAGES:
+                    self.memo.clear()
+                got = align(words, window)
+                if key:
+                    self.memo[key] = got
+            else:
+                got = self.memo[key]
+            s, i, j = got
+            if s >= self.least and s > out[t].get(k, (0.0,))[0]:
+                out[t][k] = (s, a + i - int(begun[t]), a + j - int(begun[t]))
+        return [[(self.items.ids[k], *x) for k, x in sorted(found.items())] for found in out]
+
+    def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
+        """find_all() of one text."""
+        return self.find_all([text])[0]
 
 
 def find_links(docs: DataFrame, finder: Finder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +201,7 @@ def find_links(docs: DataFrame, finder: Finder, id_col: str = "doc_id", text_col
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in finder.find(t)]
+            out = [(d, *x) for d, found in zip(b.column(0).to_pylist(), finder.find_all(b.column(1).to_pylist()), strict=True) for x in found]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -224,7 +240,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
 
         def run(it: Iterator[pa.RecordBatch], f: Finder = f) -> Iterator[pa.RecordBatch]:
             for b in it:
-                yield b.filter(pa.array([not f.find(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not x for x in f.find_all(b.column(b.schema.get_field_index(text_col)).to_pylist())], pa.bool_()))
 
         out = out.mapInArrow(lambda it, run=run: run(it), docs.schema)
     return out
@@ -232,5 +248,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that copies a benchmark item, exactly or edited, with its score and place."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
