@@ -2,14 +2,16 @@
 
 A record's layout is told by the hash of its nested field paths (names and kinds, without values). The fingerprint selects
 a declarative mapping, which says where the turns, roles and texts are; so prompt and completion, instruction, nested
-message lists and one-row-per-turn tables all become canonical turns (conversation, turn, role, text).
+message lists and one-row-per-turn tables all become canonical turns (conversation, turn, role, text). A fingerprint that is met for the first time
+is resolved once, to the mapping that has most of its fields among the paths (of equal ones the first); more fields than a mapping names do no harm.
+JSON records are mapped one by one, tables with typed columns by column functions.
 
 The template marks a turn as `<|im_start|>role\\ntext<|im_end|>\\n`. In roles and texts, every `<|` that could be read as a
 control string is written `<\\|`, and a `<` before backslashes and a bar gets one more backslash; taking one away restores the text exactly.
 
 Cases: a null text or role is empty; a null or tied turn number is ordered by role, then text; a null conversation id is a
-conversation of its own; a record whose layout no mapping names gives no turns and is returned by `unmapped`; empty tables
-give empty results; columns that the mapping doesn't name are not read.
+conversation of its own; a record whose layout no mapping names gives no turns and is returned by `unmapped`, and a table whose layout none names is an
+error; empty tables give empty results; columns that the mapping doesn't name are not read. One conversation is one task's, streamed in chunks.
 """
 
 from __future__ import annotations
@@ -80,13 +82,14 @@ def fingerprint(paths: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a layout becomes turns.
+    """How a layout that has the field paths `needs` becomes turns.
 
-    rows: one row per turn (conversation, turn, role, text columns). turns: a list of (role field, text field) in a list field.
-    fields: (role, paths of the texts that are joined by an empty line) in order.
+    rows: one row per turn (conversation, turn, role, text columns). turns: a list of (role field, text field) in a list field; a text may itself be
+    a list of parts, joined by line feeds. fields: (role, fields whose texts are joined by an empty line) in order. `roles` renames roles.
     """
 
     kind: str
+    needs: tuple[str, ...]
     conversation: str | None = None
     turn: str | None = None
     role: str | None = None
@@ -96,35 +99,66 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
-def default_mappings() -> dict[str, Mapping]:
-    """Fingerprint -> mapping of the layouts known from the start."""
-    rows = [
-        (["conv_id:number", "role:text", "text:text", "turn:number"], Mapping("rows", "conv_id", "turn", "role", "text")),
-        (["prompt:text", "completion:text"], Mapping("fields", fields=(("user", ("prompt",)), ("assistant", ("completion",))))),
-        (["prompt:text", "response:text"], Mapping("fields", fields=(("user", ("prompt",)), ("assistant", ("response",))))),
-        (["question:text", "answer:text"], Mapping("fields", fields=(("user", ("question",)), ("assistant", ("answer",))))),
-        (["instruction:text", "output:text"], Mapping("fields", fields=(("user", ("instruction",)), ("assistant", ("output",))))),
-        (["instruction:text", "input:text", "output:text"], Mapping("fields", fields=(("user", ("instruction", "input")), ("assistant", ("output",))))),
-        (["system:text", "instruction:text", "output:text"], Mapping("fields", fields=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",))))),
-        (["messages[].role:text", "messages[].content:text"], Mapping("turns", items="messages", role="role", text="content")),
-        (["conversations[].from:text", "conversations[].value:text"], Mapping("turns", items="conversations", role="from", text="value")),
-        (["turns[].speaker:text", "turns[].text:text"], Mapping("turns", items="turns", role="speaker", text="text")),
+def _fields(*parts: tuple[str, tuple[str, ...]]) -> Mapping:
+    return Mapping("fields", tuple(f"{p}:text" for _, names in parts for p in names), fields=parts)
+
+
+def _listed(items: str, role: str, text: str, parts: str | None = None) -> Mapping:
+    return Mapping("turns", (f"{items}[].{role}:text", f"{items}[].{text}{f'[].{parts}' if parts else ''}:text"), items=items, role=role, text=f"{text}.{parts}" if parts else text)
+
+
+def default_mappings() -> list[Mapping]:
+    """The layouts known from the start."""
+    return [
+        Mapping("rows", ("conv_id:number", "role:text", "text:text", "turn:number"), "conv_id", "turn", "role", "text"),
+        _fields(("user", ("prompt",)), ("assistant", ("completion",))),
+        _fields(("user", ("prompt",)), ("assistant", ("response",))),
+        _fields(("user", ("question",)), ("assistant", ("answer",))),
+        _fields(("user", ("instruction",)), ("assistant", ("output",))),
+        _fields(("user", ("instruction", "input")), ("assistant", ("output",))),
+        _fields(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",))),
+        _fields(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
+        _fields(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))),
+        _listed("messages", "role", "content"),
+        _listed("messages", "role", "content", "text"),
+        _listed("conversations", "from", "value"),
+        _listed("turns", "speaker", "text"),
     ]
-    return {fingerprint(paths): m for paths, m in rows}
+
+
+class Mappings:
+    """Fingerprint -> mapping; a fingerprint that is not there is resolved from its paths and remembered."""
+
+    def __init__(self, mappings: list[Mapping] | None = None) -> None:
+        self.all = default_mappings() if mappings is None else mappings
+        self.known: dict[str, Mapping | None] = {fingerprint(list(m.needs)): m for m in reversed(self.all)}
+
+    def find(self, paths: list[str]) -> Mapping | None:
+        name = fingerprint(paths)
+        if name not in self.known:
+            have = set(paths)
+            fit = [m for m in self.all if have.issuperset(m.needs)]
+            self.known[name] = max(fit, key=lambda m: len(m.needs)) if fit else None
+        return self.known[name]
 
 
 def _dig(value: object, path: str) -> str:
-    for k in path.split("."):
-        value = value.get(k) if isinstance(value, dict) else None
-    return "" if value is None else str(value)
+    """The text at a path; the items of a list are joined by line feeds."""
+    name, _, rest = path.partition(".")
+    value = value.get(name) if isinstance(value, dict) else None
+    if isinstance(value, list):
+        return "\n".join(t for t in (_dig(x, rest) if isinstance(x, dict) else str(x) for x in value if x is not None) if t)
+    return _dig(value, rest) if rest and isinstance(value, dict) else "" if value is None else str(value)
 
 
 def record_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     """(role, text) of a parsed record."""
     names = dict(mapping.roles)
+    if mapping.kind == "rows":
+        return [(names.get(r := _dig(record, mapping.role), r), _dig(record, mapping.text))]
     if mapping.kind == "turns":
         items = record.get(mapping.items) or []
-        return [(names.get(r := _dig(x, mapping.role), r), _dig(x, mapping.text)) for x in items]
+        return [(names.get(r := _dig(x, mapping.role), r), _dig(x, mapping.text)) for x in items if isinstance(x, dict)]
     out = []
     for role, paths in mapping.fields:
         text = "\n\n".join(t for t in (_dig(record, p) for p in paths) if t)
@@ -136,48 +170,74 @@ def record_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
 _TURNS = "conv_id long, turn long, role string, text string"
 
 
-def table_turns(df: DataFrame, mappings: dict[str, Mapping] | None = None) -> DataFrame:
-    """Canonical turns of a table with one row per turn; its mapping is found by the fingerprint of its schema."""
-    m = (mappings or default_mappings()).get(fingerprint(schema_paths(df.schema)))
-    if m is None or m.kind != "rows":
-        raise ValueError(f"no mapping for {schema_paths(df.schema)}")
-    return df.select(F.col(m.conversation).cast("long").alias("conv_id"), F.col(m.turn).cast("long").alias("turn"), F.col(m.role).cast("string").alias("role"), F.col(m.text).cast("string").alias("text"))
-
+def table_turns(df: DataFrame, mappings: list[Mapping] | None = None, id_col: str | None = None, rename: bool = True) -> DataFrame:
+    """Canonical turns of a table; its mapping is found by the fingerprint of its schema.
 
-def json_turns(df: DataFrame, id_col: str, json_col: str, mappings: dict[str, Mapping] | None = None) -> DataFrame:
+    A table without one row per turn needs a number as id: `id_col`, or conv_id or id, else each row gets a number of its own. `rename`
+    says whether roles are renamed as the mapping says.
+    """
+    m = Mappings(mappings).find(schema_paths(df.schema))
+    if m is None:
+        raise ValueError(f"no mapping for {schema_paths(df.schema)}")
+    names = F.create_map(*(F.lit(x) for pair in m.roles for x in pair)) if m.roles and rename else None
+    named = lambda role: F.coalesce(F.element_at(names, role), role) if names is not None else role
+    if m.kind == "rows":
+        return df.select(F.col(m.conversation).cast("long").alias("conv_id"), F.col(m.turn).cast("long").alias("turn"), named(F.col(m.role).cast("string")).alias("role"), F.col(m.text).cast("string").alias("text"))
+    own = id_col or next((c for c in ("conv_id", "id") if c in df.columns and isinstance(df.schema[c].dataType, T.NumericType)), None)
+    conv = F.col(own).cast("long") if own else F.monotonically_increasing_id()
+    if m.kind == "turns":
+        name, _, part = m.text.partition(".")
+
+        def text(x):
+            found = x[name][part] if part else x[name]
+            return F.array_join(F.filter(found, lambda t: t != ""), "\n") if part else found.cast("string")
+
+        turns = F.transform(m.items, lambda x: F.struct(named(x[m.role].cast("string")).alias("role"), text(x).alias("text")))
+    else:
+        empty = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
+        said = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(empty(c) for c in parts)).alias("text")) for role, parts in m.fields]
+        turns = F.filter(F.array(*said), lambda x: (x["role"] != "system") | (x["text"] != ""))
+    out = df.select(conv.alias("conv_id"), F.posexplode(turns).alias("turn", "said"))
+    return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "said.role", "said.text")
+
+
+def json_turns(df: DataFrame, id_col: str, json_col: str, mappings: list[Mapping] | None = None) -> DataFrame:
     """Canonical turns of JSON records of mixed layouts, each mapped by its own fingerprint."""
-    known = mappings or default_mappings()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Mappings(mappings)
         for b in it:
             out = []
             for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if m := known.get(_print_of(raw)):
-                    out += [(c, k, r, t) for k, (r, t) in enumerate(record_turns(json.loads(raw), m))]
+                record = _record(raw)
+                if m := known.find(value_paths(record)) if record is not None else None:
+                    out += [(c, int(record.get(m.turn) or 0) if m.turn else k, r, t) for k, (r, t) in enumerate(record_turns(record, m))]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], ["conv_id", "turn", "role", "text"])
 
     return df.select(F.col(id_col).cast("long"), F.col(json_col).cast("string")).mapInArrow(run, _TURNS)
 
 
-def _print_of(raw: str | None) -> str:
+def _record(raw: str | None) -> dict | None:
     try:
         value = json.loads(raw or "")
     except ValueError:
-        return ""
-    return fingerprint(value_paths(value)) if isinstance(value, dict) else ""
+        return None
+    return value if isinstance(value, dict) else None
 
 
-def unmapped(df: DataFrame, id_col: str, json_col: str, mappings: dict[str, Mapping] | None = None) -> DataFrame:
+def unmapped(df: DataFrame, id_col: str, json_col: str, mappings: list[Mapping] | None = None) -> DataFrame:
     """(id, fingerprint) of the JSON records whose layout no mapping names; unreadable ones have an empty fingerprint."""
-    known = set(mappings or default_mappings())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Mappings(mappings)
         for b in it:
-            prints = [_print_of(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], ["id", "fingerprint"])
+            paths = [value_paths(r) if (r := _record(x)) is not None else None for x in b.column(1).to_pylist()]
+            lost = [k for k, p in enumerate(paths) if p is None or known.find(p) is None]
+            prints = [fingerprint(paths[k]) if paths[k] is not None else "" for k in lost]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lost, pa.int64())), pa.array(prints, pa.string())], ["id", "fingerprint"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(json_col).cast("string")).mapInArrow(run, "id long, fingerprint string").where(~F.col("fingerprint").isin(*known))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(json_col).cast("string")).mapInArrow(run, "id long, fingerprint string")
 
 
 # --- template -----------------------------------------------------------------------------------------------------
@@ -271,7 +331,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, with conversation -1, whose texts are made of control strings."""
-    turns = table_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    turns = table_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"), rename=False)
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], _TURNS)
     return read_back(format_turns(turns.unionByName(extra)))
