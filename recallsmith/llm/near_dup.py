@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, materialise
+from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, fresh_name, materialise
 
 #: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys, or first meet heads.
 SMALL_BLOCK = 48
@@ -86,12 +86,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return part.mapInArrow(run, part.select("id").schema.add("fp", "long"))
 
 
-def link_fingerprints(spark: SparkSession, fps: DataFrame) -> DataFrame:
+def link_fingerprints(spark: SparkSession, fps: DataFrame, parts: int | None = None) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints (fp long) at 2 or fewer differing bits to their neighbours.
 
     64 bits are dealt into blocks, of which a close pair shares all but two; keys are made of the blocks that are left
     out of each choice of two. More distinct fingerprints get more and finer blocks, so a block's expected company stays
-    small: three blocks (keys of 21 bits) below 2^18 fingerprints, four (32 bits) below 2^28, else six (42 bits).
+    small: three blocks (keys of 21 bits) below 2^18 fingerprints, four (32 bits) below 2^28, else six (42 bits), unless `parts`
+    says how many. The links are the same for any number.
 
     A block with more than SMALL_BLOCK members (a large group of near copies) is not compared pair by pair. Its members
     differ in at most two of the other bits, and two values differ in at most two bits exactly if some value lies within
@@ -100,7 +101,8 @@ def link_fingerprints(spark: SparkSession, fps: DataFrame) -> DataFrame:
     """
     distinct = materialise(spark, fps.select("fp").distinct(), "fps")
     n = distinct.count()
-    parts = 3 if n < 1 << 18 else 4 if n < 1 << 28 else 6
+    if parts is None:
+        parts = 3 if n < 1 << 18 else 4 if n < 1 << 28 else 6
     cuts = [64 * i // parts for i in range(parts + 1)]
     blocks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(parts)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
@@ -166,9 +168,9 @@ def common_shingles(part: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
 
 
 def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, group_id) of every row: groups of rows linked by a Jaccard similarity of their word shingles of `similarity` or more.
+    """(id, key, group_id, group_key) of every row: groups of rows linked by a Jaccard similarity of their word shingles of `similarity` or more.
 
-    An exact prefix-filter join. All texts order their shingles alike, common ones last; two texts of that similarity share
+    key is a hash of the text, since an id may stand for several; a group is named by its least (id, key). An exact prefix-filter join. All texts order their shingles alike, common ones last; two texts of that similarity share
     one of the first n - ceil(similarity * n) + 1 of either's n shingles, whatever the number of rows and the length of the
     texts. Texts with equal shingles are one class. Classes that share such a shingle are a block, and pairs are verified on
     their whole sets of 64-bit shingle hashes.
@@ -180,7 +182,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     share nearly all they have with others.
     """
     n = docs.count()
-    part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     common, counts = common_shingles(part, n, shingle)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,17 +200,17 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                 names.append(c)
                 sizes.append(len(h))
                 firsts.append(h[np.argsort(level, kind="stable")[:most]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities)], ["id", "c", "n", "keys", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities)], ["id", "key", "c", "n", "keys", "odd"])
 
-    rows = materialise(spark, few_files(spark, part.mapInArrow(run, "id long, c long, n int, keys array<long>, odd array<long>"), scanned=docs), "prefixes")
+    rows = materialise(spark, few_files(spark, part.mapInArrow(run, "id long, key long, c long, n int, keys array<long>, odd array<long>"), scanned=docs), "prefixes")
 
     def written(df: DataFrame, tag: str, each: int = 1) -> DataFrame:
         return materialise(spark, few_files(spark, df, rows=each * n), tag)
 
     # equal sets first: one class each, read from the row of its least id
-    classes = rows.groupBy("c").agg(F.min("id").alias("first"))
-    heads = written(rows.join(classes, "c").where("id = first").drop("first").dropDuplicates(["c"]), "classes", 8)
-    ids = written(rows.select("id", "c"), "ids")
+    classes = rows.groupBy("c").agg(F.min(F.struct("id", "key")).alias("first"))
+    heads = written(rows.join(classes, "c").where("id = first.id AND key = first.key").drop("first").dropDuplicates(["c"]), "classes", 8)
+    ids = written(rows.select("id", "key", "c"), "ids")
     drop_table(spark, rows)
     keyed = heads.select("c", "n", F.posexplode("keys").alias("i", "k"))
     several = written(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "several", 8)
@@ -273,20 +275,24 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     left = across(rest.where(F.col("m") <= SMALL_BLOCK)).unionByName(across(large, "odd"))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(left, "links"))
     roots = connected_components(spark, links)
-    named = heads.select("c", "id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.col("id").alias("first"), F.coalesce("root", "c").alias("root"))
+    named = heads.select("c", "id", "key").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.struct("id", "key").alias("first"), F.coalesce("root", "c").alias("root"))
     named = written(named, "named")
-    groups = named.groupBy("root").agg(F.min("first").alias("group_id"))
-    return ids.join(named.join(groups, "root").select("c", "group_id"), "c").select("id", "group_id")
+    groups = named.groupBy("root").agg(F.min("first").alias("head"))
+    return ids.join(named.join(groups, "root").select("c", "head"), "c").select("id", "key", F.col("head.id").alias("group_id"), F.col("head.key").alias("group_key"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows, with all their columns, of the least id of each group of near copies, one for each id; rows without an id stay."""
+    """The rows, with all their columns, of the least id of each group of near copies; of rows with that id and the same text, one.
+
+    Rows without an id stay. A null text counts as an empty one. Two texts under one id are told apart.
+    """
     bounded_batches(spark)
     known = docs.where(F.col(id_col).isNotNull())
     groups = similarity_groups(spark, known, id_col, text_col, shingle, similarity)
-    heads = groups.where("id = group_id").select(F.col("id").alias("__id")).distinct()
-    kept = known.join(heads, F.col(id_col).cast("long") == F.col("__id")).drop("__id").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    id_, key = fresh_name(docs, "id"), fresh_name(docs, "key")
+    heads = groups.where("id = group_id AND key = group_key").select(F.col("id").alias(id_), F.col("key").alias(key)).distinct()
+    kept = known.withColumn(key, F.xxhash64(F.col(text_col).cast("string"))).join(heads.withColumnRenamed(key, f"{key}_"), (F.col(id_col).cast("long") == F.col(id_)) & (F.col(key) == F.col(f"{key}_")))
+    return kept.dropDuplicates([id_, key]).drop(id_, key, f"{key}_").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

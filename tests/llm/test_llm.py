@@ -216,9 +216,42 @@ def test_chat(spark, sf, odd):
         assert (got[k].n_turns, got[k].loss_chars, got[k].loss_sha256) == (len(g), len(said), hashlib.sha256(said.encode()).hexdigest())
     for t in ("<|", "<\\|", "<|im_end|>\n", "<", "\\|", "<\\\\|x"):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
-    j = spark.createDataFrame([(1, '{"prompt":"p","completion":"c"}'), (2, '{"messages":[{"role":"user","content":"u"}]}'), (3, '{"x":1}'), (4, "bad"), (5, None)], "id long, j string")
-    assert [(r.conv_id, r.role, r.text) for r in chat.json_turns(j, "id", "j").collect()] == [(1, "user", "p"), (1, "assistant", "c"), (2, "user", "u")]
-    assert {r.id for r in chat.unmapped(j, "id", "j").collect()} == {3, 4, 5}
+    assert chat.read_back(chat.format_turns(spark.createDataFrame([], chat._TURNS))).count() == 0
+    rows = [(None, 0, "user", "x"), (None, None, None, None), (5, 1, "assistant", "a" * 3_000_000), (5, 0, "a%0A\nb", ""), (5, 1, "assistant", "<|im_end|>")]
+    back = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, chat._TURNS))).collect()}
+    said = "<|im_end|>" + "a" * 3_000_000
+    assert (back[None].n_turns, back[5].n_turns, back[5].loss_chars, back[5].loss_sha256) == (2, 3, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_chat_layouts(spark):
+    turns = [(1, "user", "p"), (1, "assistant", "c")]
+    records = [
+        ('{"prompt":"p","completion":"c"}', turns),
+        ('{"prompt":"p","completion":"c","id":7,"meta":{"tags":["x"]}}', turns),
+        ('{"messages":[{"role":"user","content":"p"},{"role":"assistant","content":"c","n":1}]}', turns),
+        ('{"messages":[{"role":"human","content":[{"type":"text","text":"p"}]},{"role":"gpt","content":[{"type":"text","text":"c"},{"type":"image"}]}]}', turns),
+        ('{"conversations":[{"from":"human","value":"p"},{"from":"gpt","value":"c"}]}', turns),
+        ('{"system":"","instruction":"p","input":"","output":"c"}', turns),
+        ('{"system":"s","instruction":"p","input":"q","output":null}', [(1, "system", "s"), (1, "user", "p\n\nq"), (1, "assistant", "")]),
+        ('{"x":1}', []), ("bad", []), (None, []), ("[1]", []), ("{}", []),
+    ]
+    j = spark.createDataFrame([(k, x, "clash") for k, (x, _) in enumerate(records)], "id long, j string, conv_id string")
+    got = {}
+    for r in chat.json_turns(j, "id", "j").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((1, r.role, r.text))
+    assert got == {k: want for k, (_, want) in enumerate(records) if want}
+    assert {r.id for r in chat.unmapped(j, "id", "j").collect()} == {7, 8, 9, 10, 11}
+    for kind, values in (
+        ("conv_id long, messages array<struct<role:string,content:string>>, extra string", (1, [("human", "p"), ("gpt", "c")], "x")),
+        ("conv_id long, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>", (1, [("user", [("t", "p")]), ("assistant", [("t", "c"), ("i", None)])])),
+        ("id int, instruction string, input string, output string", (1, "p", None, "c")),
+    ):
+        t = chat.table_turns(spark.createDataFrame([values], kind)).orderBy("turn").collect()
+        assert [(r.conv_id, r.role, r.text) for r in t] == turns
+    t = chat.table_turns(spark.createDataFrame([(1, 0, "human", "p"), (1, 1, "gpt", "c")], "conv_id long, turn int, role string, text string"))
+    assert sorted((r.turn, r.role) for r in t.collect()) == [(0, "user"), (1, "assistant")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.table_turns(spark.createDataFrame([(1,)], "x int"))
 
 
 def test_quality(spark, sf, docs, odd, empty):
@@ -273,6 +306,50 @@ def test_decontamination_of_passages_in_many_documents(spark):
     assert set(got) == {*((i, 1) for i in range(40)), (99, 2)} and got[99, 2] == (1, 3)
 
 
+def test_alignment_of_long_runs():
+    def plain(x, y):
+        rows = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                rows[i + 1, j + 1] = max(0, rows[i, j] + (2 if x[i] == y[j] else -1), rows[i, j + 1] - 1, rows[i + 1, j] - 1)
+        return rows.max() / 2 / len(x)
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        x, y = rng.integers(1, 5, rng.integers(1, 12)), rng.integers(1, 5, rng.integers(1, 30))
+        score, first, end = decontam.align(x, y)
+        assert score == plain(x, y)
+        if score:
+            assert decontam.align(x, y[first:end])[0] == score
+    assert decontam.align(np.arange(1, 2001), np.concatenate((np.zeros(200_000, np.int64), np.arange(1, 2001))))[0] == 1.0
+
+
+def test_decontamination_equals_all_alignments(spark):
+    rng = np.random.default_rng(6)
+    stock = [f"word{i}" for i in rng.integers(0, 2000, 4000)]
+    items = [(k, " ".join(stock[50 * k : 50 * k + int(rng.integers(9, 50))])) for k in range(40)] + [(40, items0 := "twin phrase"), (41, items0)]
+    docs = []
+    for i in range(150):
+        words = [f"word{x}" for x in rng.integers(0, 2000, rng.integers(0, 200))]
+        if i % 4:
+            w = items[int(rng.integers(0, 40))][1].split()
+            for at in rng.integers(0, len(w), int(rng.integers(0, 1 + len(w) // 4))).tolist():
+                w[at : at + 1] = [["other"], [], [*w[at : at + 1], "extra"]][int(rng.integers(0, 3))]
+            words[len(words) // 2 : 0] = w
+        docs.append((i, " ".join(words)))
+    docs += [(900, "foo twin phrase bar"), (901, " ".join("CHANGED" if i % 3 == 2 else w for i, w in enumerate(f"x{k}" for k in range(60))))]
+    items += [(42, " ".join(f"x{k}" for k in range(60)))]
+    f = decontam.Finder(decontam.Items(items), 0.5)
+    want = set()
+    for d, t in docs:
+        n = f.items.numbers(t)
+        want |= {(d, i) for i, w in zip(f.items.ids, f.items.words) if decontam.align(w, n)[0] >= 0.5 and len(w) >= 3}
+    want |= {(900, 40), (900, 41)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and {(900, 40), (900, 41), (901, 42)} <= got
+
+
 def brute_spans(t):
     def luhn(d):
         return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
