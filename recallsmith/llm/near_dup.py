@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, fresh_name, materialise
@@ -31,8 +31,6 @@ PARITY = 8
 COMMON = 1 << 20
 #: Up to this many rows, of ids of texts that share a block, may be broadcast.
 BROADCAST_ROWS = 100_000
-#: Up to this many shared shingles may be broadcast.
-BROADCAST_KEYS = 500_000
 _CHUNK = 1 << 15
 
 
@@ -180,6 +178,8 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     in each block, all pairs across groups meet whose sizes and places in the order allow the similarity. A block with many members
     that are no near copies of each other costs the square of that number; common shingles come last, so such a block's members
     share nearly all they have with others.
+
+    A pair is first held against its classes' parity sketches, which can rule it out but never wrongly; whole sets are only made of those that are left.
     """
     n = docs.count()
     part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
@@ -200,34 +200,49 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                 names.append(c)
                 sizes.append(len(h))
                 firsts.append(h[np.argsort(level, kind="stable")[:most]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities)], ["id", "key", "c", "n", "keys", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities)], ["id", "key", "h", "n", "keys", "odd"])
 
-    rows = materialise(spark, few_files(spark, part.mapInArrow(run, "id long, key long, c long, n int, keys array<long>, odd array<long>"), scanned=docs), "prefixes")
+    found = part.mapInArrow(run, "id long, key long, h long, n int, keys array<long>, odd array<long>").withColumn("r", F.monotonically_increasing_id())
+    rows = materialise(spark, few_files(spark, found, scanned=docs), "prefixes")
 
     def written(df: DataFrame, tag: str, each: int = 1) -> DataFrame:
         return materialise(spark, few_files(spark, df, rows=each * n), tag)
 
-    # equal sets first: one class each, read from the row of its least id
-    classes = rows.groupBy("c").agg(F.min(F.struct("id", "key")).alias("first"))
-    heads = written(rows.join(classes, "c").where("id = first.id AND key = first.key").drop("first").dropDuplicates(["c"]), "classes", 8)
-    ids = written(rows.select("id", "key", "c"), "ids")
+    # equal sets first: one class each, named by the row of its least id
+    firsts = rows.groupBy("h").agg(F.min(F.struct("id", "key", "r")).alias("first"))
+    ids = written(rows.select("id", "key", "h", "r").join(firsts, "h").select("id", "key", "r", F.col("first.r").alias("c")), "ids")
+    copies = ids.where("r <> c").select("r")
+    heads_only = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "r", "left_anti")
+    heads = written(heads_only.select(F.col("r").alias("c"), "id", "key", "h", "n", "odd"), "classes")
+    # one shuffle, of what a member of a block must tell: its class, and its size and place in one number
+    place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
+    keyed = heads_only.select(F.col("r").alias("c"), "n", F.posexplode("keys").alias("i", "k")).select("k", "c", place.alias("p"))
+    counted = keyed.withColumn("m", F.count("*").over(Window.partitionBy("k"))).where("m > 1")
+    shared = written(counted.select("k", "c", F.shiftright("p", 32).cast("int").alias("n"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i"), "m"), "blocks", 8)
     drop_table(spark, rows)
-    keyed = heads.select("c", "n", F.posexplode("keys").alias("i", "k"))
-    several = written(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "several", 8)
-    shared = written(keyed.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "k"), "blocks", 8)
 
-    # the sets of those that share a block; all others are alone
-    wanted = written(heads.select("c", "id").join(shared.select("c").distinct(), "c"), "wanted")
-    wanted_by = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    info = heads.select("c", "n", "odd")
+    info = F.broadcast(info) if heads.count() <= BROADCAST_ROWS else info
+    no_sets = spark.createDataFrame([], "c long, set array<long>")
+    sets = [no_sets]
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [(c, *_set(t, shingle)) for c, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)]
-            got = [(c, h) for c, h, mine in got if c == mine]  # an id may stand for several texts
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), _lists([h for _, h in got])], ["c", "set"])
+            got = [(c, h, *_set(t, shingle)) for c, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True)]
+            got = [(c, x) for c, h, x, mine in got if h == mine]  # an id may stand for several texts
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), _lists([x for _, x in got])], ["c", "set"])
+
+    def learn(pairs: DataFrame) -> DataFrame:
+        """The whole sets of all classes of some pairs, those made before among them."""
+        have = reduce(DataFrame.unionByName, sets)
+        need = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(have.select("c"), "c", "left_anti")
+        wanted = written(need.join(heads.select("c", "id", "h"), "c"), "wanted")
+        if (k := wanted.count()) == 0:
+            return have
+        by_id = part.join(F.broadcast(wanted) if k <= BROADCAST_ROWS else wanted, "id").select("c", "h", "text")
+        sets.append(written(by_id.mapInArrow(whole, "c long, set array<long>").dropDuplicates(["c"]), "sets", 8))
+        return reduce(DataFrame.unionByName, sets)
 
-    sets = written(part.join(wanted_by, "id").select("c", "text").mapInArrow(whole, "c long, set array<long>").dropDuplicates(["c"]), "sets", 8)
-    sets_a, sets_b = sets.select(F.col("c").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("c").alias("b"), F.col("set").alias("set_b"))
     least, member = F.lit(similarity - 1e-9), ("c", "n", "i")
 
     def may(x: str, y: str) -> Column:
@@ -241,7 +256,11 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         return apart * (1 + similarity) <= (1 - least) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        both = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", 8).join(sets_a, "a").join(sets_b, "b")
+        met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        told = met.join(info.select(F.col("c").alias("a"), F.struct("n", "odd").alias("x")), "a").join(info.select(F.col("c").alias("b"), F.struct("n", "odd").alias("y")), "b")
+        left = written(told.where(alike("x", "y")).select("a", "b"), "pairs", 8)
+        every = learn(left)
+        both = left.join(every.select(F.col("c").alias("a"), F.col("set").alias("set_a")), "a").join(every.select(F.col("c").alias("b"), F.col("set").alias("set_b")), "b")
         inter = F.size(F.array_intersect("set_a", "set_b"))
         return written(both.where(inter >= least * (F.size("set_a") + F.size("set_b") - inter)).select("a", "b"), tag, 8)
 
@@ -278,7 +297,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     named = heads.select("c", "id", "key").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.struct("id", "key").alias("first"), F.coalesce("root", "c").alias("root"))
     named = written(named, "named")
     groups = named.groupBy("root").agg(F.min("first").alias("head"))
-    return ids.join(named.join(groups, "root").select("c", "head"), "c").select("id", "key", F.col("head.id").alias("group_id"), F.col("head.key").alias("group_key"))
+    return ids.drop("r").join(named.join(groups, "root").select("c", "head"), "c").select("id", "key", F.col("head.id").alias("group_id"), F.col("head.key").alias("group_key"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
