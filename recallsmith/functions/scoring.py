@@ -26,13 +26,14 @@ def tier_decay(tier: Column, created: Column, as_of: str) -> Column:
     return F.coalesce(F.exp(-rate * age_days(created, as_of)), F.lit(1.0))
 
 
-def relevance_boost(hits: Column, last: Column, as_of: str) -> Column:
-    """Frequency * recency * decay of a memory's hits; 1 without hits."""
-    days = age_days(last, as_of)
+def relevance_boost(hits: Column, last: Column, created: Column, as_of: str) -> Column:
+    """Frequency * recency of the last access * decay since creation; 1 without hits, and 1 for what has no instant."""
+    hours = (F.unix_micros(instant(as_of)) - F.unix_micros(last.cast("timestamp"))) / 3_600_000_000.0
+    days = (F.unix_micros(instant(as_of)) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000.0
     freq = F.least(F.log2(hits + 1) / 5, F.lit(1.0)) * 0.5 + 1
-    recent = F.when(days * 24 < 24, 1.3).when(days * 24 < 168, 1.09).otherwise(1.0)
+    recent = F.when(hours < 24, 1.3).when(hours < 168, 1.09).otherwise(1.0)
     decay = F.greatest(F.exp(-0.693 * days / 30), F.lit(0.1))
-    return F.when(F.coalesce(hits, F.lit(0)) == 0, F.lit(1.0)).otherwise(freq * F.coalesce(recent, F.lit(1.0)) * F.coalesce(decay, F.lit(1.0)))
+    return F.when(F.coalesce(hits, F.lit(0)) == 0, F.lit(1.0)).otherwise(freq * recent * F.coalesce(decay, F.lit(1.0)))
 
 
 def clamp(x: Column) -> Column:

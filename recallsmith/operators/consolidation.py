@@ -1,38 +1,111 @@
-"""Near-duplicate memories: similar pairs, clusters, fused rows."""
+"""Near-duplicate memories: candidates, similar pairs, clusters, fused rows."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from recallsmith.functions import scoring, text
 
 THRESHOLD = 0.92
-#: All-pairs comparison is exact but quadratic; beyond this many vectors use blocks.
+#: All-pairs comparison is exact but quadratic; beyond this many vectors use blocks or projections.
 EXACT_VECTORS = 20_000
+#: Random projections: tables and signs in each. Two vectors at cosine .92 meet in some table with a chance of 99.4 %.
+TABLES, SIGNS = 24, 12
+#: Members of a part of a block; the parts of larger blocks meet two by two.
+BLOCK_PART = 256
+
+
+def candidates(memories: DataFrame, embeddings: DataFrame, meta: DataFrame, as_of: str, user: str = "default", min_age_hours: float = 1.0, batch: int = 200) -> DataFrame:
+    """(id, text, embedding) of a user's oldest `batch` memories that are not deleted and of some age; those without an embedding then drop out."""
+    gone = meta.where("is_deleted").select("id")
+    old = F.unix_micros(F.col("created_at")) < F.unix_micros(scoring.instant(as_of)) - int(min_age_hours * 3_600_000_000)
+    rows = memories.where((F.col("user_id") == user) & old).join(gone, "id", "left_anti").orderBy("created_at", "id").limit(batch)
+    return rows.select("id", "text").join(embeddings.select("id", "embedding"), "id", "left").where(F.size("embedding") > 0)
+
+
+def _unit(vectors: DataFrame, *keep: str) -> DataFrame:
+    """(id, keep, v): vectors of length 1; zero vectors are like nothing and drop out."""
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return vectors.withColumn("n", norm).where("n > 0").select("id", *keep, F.expr("transform(embedding, x -> cast(x as double) / n)").alias("v"))
+
+
+def _dot(v: str, w: str):
+    return F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: str | None = None) -> DataFrame:
     """(a, b, sim) with a < b and cosine >= threshold; vectors (id, embedding[, block]).
 
     Vectors are normed once. With a block column only pairs of one block are compared (approximate where blocks lose
-    pairs); without, all pairs are, which is refused beyond EXACT_VECTORS rows.
+    pairs); without, all pairs are, which is refused beyond EXACT_VECTORS rows: see near_pairs().
     """
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    unit = vectors.withColumn("n", norm).where("n > 0").select("id", *([block] if block else []), F.expr("transform(embedding, x -> cast(x as double) / n)").alias("v"))
-    other = unit.select(F.col("id").alias("b"), F.col("v").alias("w"), *([F.col(block).alias("block_b")] if block else []))
-    if block is None and (n := unit.count()) > EXACT_VECTORS:
-        raise ValueError(f"{n} vectors: give a block column")
-    on = F.col("id") < F.col("b")
-    pairs = unit.join(other, on & (F.col(block) == F.col("block_b")) if block else on)
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return pairs.withColumn("sim", F.round(dot, 6)).where(F.col("sim") >= threshold).select(F.col("id").alias("a"), "b", "sim")
+    unit = _unit(vectors, *([block] if block else []))
+    if block is None:
+        if (n := unit.count()) > EXACT_VECTORS:
+            raise ValueError(f"{n} vectors: give a block column, or use near_pairs()")
+        pairs = unit.join(unit.select(F.col("id").alias("b"), F.col("v").alias("w")), F.col("id") < F.col("b"))
+    else:
+        pairs = _within(unit.withColumnRenamed(block, "block"))
+    return pairs.withColumn("sim", F.round(_dot("v", "w"), 6)).where(F.col("sim") >= threshold).select(F.col("id").alias("a"), "b", "sim")
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """(id, v, b, w) of all pairs id < b of one block; rows (id, block, v). A large block is cut into parts, so that no task gets more than two of them."""
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_PART).cast("int").alias("parts")).where(F.col("block").isNotNull())
+    dealt = rows.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    x = dealt.select("block", "id", "v", "part", F.explode(every).alias("other"))
+    left = x.where("part <= other").select("block", "id", "v", F.col("part").alias("i"), F.col("other").alias("j"))
+    right = x.where("part >= other").select("block", F.col("id").alias("b"), F.col("v").alias("w"), F.col("other").alias("i"), F.col("part").alias("j"))
+    # a pair meets once: in parts i < j from either side, within one part in the order of ids
+    met = left.join(right, ["block", "i", "j"]).where("id <> b AND (i < j OR id < b)")
+    swap = F.col("id") > F.col("b")
+    return met.select(F.least("id", "b").alias("id"), F.when(swap, F.col("w")).otherwise(F.col("v")).alias("v"), F.greatest("id", "b").alias("b"), F.when(swap, F.col("v")).otherwise(F.col("w")).alias("w"))
+
+
+def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, signs: int = SIGNS) -> DataFrame:
+    """(a, b, sim) as similar_pairs() gives, for any number of vectors, by random projections: pairs are compared that have all
+    signs of some table alike. Approximate: a pair at cosine c is missed with a chance of (1 - (1 - acos(c) / pi) ** signs) ** tables.
+
+    Equal vectors meet as one, so copies are no block of their own: each copy is paired with the least id of its vector, and that one with others.
+    """
+    unit = _unit(vectors).withColumn("h", F.xxhash64("v"))
+    heads = unit.groupBy("h").agg(F.min("id").alias("a"))
+    named = unit.join(heads, "h")
+    copies = named.where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for b in it:
+            x = [np.array(v, np.float64) for v in b.column(1).to_pylist()]
+            out = []
+            for v in x:
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng(len(v)).standard_normal((len(v), tables * signs))
+                bits = (v @ planes[len(v)] > 0).reshape(tables, signs)
+                out.append((bits @ (1 << np.arange(signs)) + (np.arange(tables) << signs)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["id", "v", "blocks"])
+
+    part = named.where("id = a").select("id", "v")
+    signed = part.mapInArrow(run, part.select("*").schema.add("blocks", ArrayType(LongType())))
+    met = _within(signed.select("id", F.explode("blocks").alias("block"), "v"))
+    found = met.withColumn("sim", F.round(_dot("v", "w"), 6)).where(F.col("sim") >= threshold).select(F.col("id").alias("a"), "b", "sim").distinct()
+    return found.unionByName(copies)
 
 
 def clusters(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, cluster): the least id that can be reached over pairs; each round is checkpointed, so lineage stays short."""
     spark = pairs.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recallsmith-"))
@@ -67,12 +140,60 @@ def fuse(texts: DataFrame, most: int = 2000) -> DataFrame:
     return groups.select("cluster", F.when(F.size(kept) > 0, F.array_join(kept, ". ")).otherwise(F.col("x")[0]["text"]).alias("fused"), F.transform(F.array_sort(F.transform("x", lambda r: r["id"])), lambda i: i).alias("members"))
 
 
-def consolidate(memories: DataFrame, pairs: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """The new rows, the overlay of soft deletes, and the log, from one set of clusters."""
-    labels = clusters(pairs)
-    fused = fuse(memories.join(labels, "id").select("cluster", "id", "text"))
+def merge_metadata(rows: list[str | None]) -> str:
+    """Metadata objects as one: the one with most keys (of equal ones the first) is the base; keys it lacks come from all others in order, objects
+    are merged one level deep (later values win), lists get the items they lack, and other values stay. What can't be read is an empty object."""
+    found = []
+    for r in rows:
+        try:
+            value = json.loads(r or "{}")
+        except ValueError:
+            value = {}
+        found.append(value if isinstance(value, dict) else {})
+    base = max(range(len(found)), key=lambda i: len(found[i]), default=None)
+    out = {} if base is None else dict(found[base])
+    canonical = lambda v: json.dumps(v, sort_keys=True)
+    for other in found[:base] + found[base + 1 :] if found else ():
+        for key, value in other.items():
+            held = out.setdefault(key, value)
+            if isinstance(held, dict) and isinstance(value, dict):
+                out[key] = held | value
+            elif isinstance(held, list) and isinstance(value, list):
+                known = set(map(canonical, held))
+                out[key] = held + [v for v in value if canonical(v) not in known]
+    return json.dumps(out, sort_keys=True, ensure_ascii=False)
+
+
+def merged_metadata(groups: DataFrame) -> DataFrame:
+    """(cluster, metadata) of rows (cluster, items array<string>), a cluster's metadata objects in order."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merge_metadata(x) for x in b.column(1).to_pylist()], pa.string())], ["cluster", "metadata"])
+
+    part = groups.select("cluster", "items")
+    return part.mapInArrow(run, f"cluster {part.schema['cluster'].dataType.simpleString()}, metadata string")
+
+
+def consolidate(memories: DataFrame, pairs: DataFrame, as_of: str, embeddings: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The new rows, the overlay of soft deletes, and the log, from one set of clusters; memories (id, text[, metadata]).
+
+    A new row has the fused text, the merged metadata with the number of members and the date, and the embedding of its longest text (of equally
+    long ones the least id).
+    """
+    joined = memories.join(clusters(pairs), "id")
+    fused = fuse(joined.select("cluster", "id", "text"))
     new_id = F.concat(F.lit("c_"), F.substring(F.sha2(F.array_join("members", ","), 256), 1, 12))
-    new = fused.select(new_id.alias("id"), F.col("fused").alias("text"), scoring.instant(as_of).alias("created_at"), "members")
+    new = fused.select(new_id.alias("id"), "cluster", F.col("fused").alias("text"), scoring.instant(as_of).alias("created_at"), "members")
+    if "metadata" in memories.columns:
+        items = joined.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "metadata"))), lambda x: x["metadata"]).alias("items"))
+        added = F.concat(F.regexp_replace("metadata", r"\}$", ""), F.when(F.col("metadata") == "{}", "").otherwise(", "), F.lit('"consolidated_from": '), F.size("members").cast("string"), F.lit(f', "consolidation_date": "{as_of}"}}'))
+        new = new.join(merged_metadata(items), "cluster").withColumn("metadata", added)
+    if embeddings is not None:
+        longest = joined.groupBy("cluster").agg(F.min(F.struct((-F.length("text")).alias("k"), "id")).alias("x"))
+        best = longest.select("cluster", F.col("x.id").alias("id")).join(embeddings.select("id", "embedding"), "id", "left").select("cluster", "embedding")
+        new = new.join(best, "cluster", "left")
+    new = new.drop("cluster")
     gone = new.select(F.col("id").alias("replaced_by_id"), F.explode("members").alias("id")).select("id", "replaced_by_id", F.concat(F.lit("consolidated into "), F.substring("replaced_by_id", 1, 8)).alias("delete_reason"))
     log = new.select(F.col("id").alias("consolidated_into_id"), F.col("members").alias("source_ids"), F.size("members").alias("source_count"), text.truncate(F.col("text"), 200, "").alias("fused_text_preview"), "created_at")
     return {"rows": new.drop("members"), "deleted": gone, "log": log}
@@ -85,6 +206,8 @@ def summary(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def overlay_deletes(meta: DataFrame, deletes: DataFrame) -> DataFrame:
-    """meta with the rows of deletes (id, replaced_by_id, delete_reason) marked deleted."""
-    j = meta.join(deletes, "id", "left")
-    return j.withColumn("is_deleted", F.col("is_deleted") | F.col("delete_reason").isNotNull())
+    """meta with the rows of deletes (id, replaced_by_id, delete_reason) marked deleted; what meta tells of older deletions stays."""
+    j = meta.join(deletes.select("id", F.col("replaced_by_id").alias("_by"), F.coalesce("delete_reason", F.lit("deleted")).alias("_why")), "id", "left")
+    kept = lambda c: F.col(c) if c in meta.columns else F.lit(None).cast("string")
+    marked = {"is_deleted": F.col("is_deleted") | F.col("_why").isNotNull(), "replaced_by_id": F.coalesce("_by", kept("replaced_by_id")), "delete_reason": F.coalesce("_why", kept("delete_reason"))}
+    return j.withColumns(marked).drop("_by", "_why")

@@ -1,7 +1,7 @@
-"""Hyperdimensional vectors as arrays of 64-bit words.
+"""Hyperdimensional vectors as arrays of 64-bit words, 65,536 bits unless stated otherwise.
 
-Concepts come from hashes, binding and similarity are column expressions; the majority vote of a bundle counts bits and
-runs in an Arrow-batched function.
+Concepts come from hashes; binding, rotation and similarity are column expressions. Texts are encoded and vectors bundled in Arrow-batched
+functions, where a majority vote adds up whole words by bit-sliced counters. Both sides make the same vector of a name.
 """
 
 from __future__ import annotations
@@ -13,13 +13,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = 64
+from recallsmith.functions import text
 
+WORDS, SEED = 1024, "0"
+#: Terms of a text and relations of a memory that a vector holds at most; rows of an index that are added at a time.
+MOST_TERMS, MOST_RELATIONS, BACKFILL = 64, 32, 1000
+#: Concepts that may be compared with every row.
+MOST_CONCEPTS = 20_000
+_U = np.uint64
+# The primes of XXH64.
+_P1, _P2, _P3, _P5 = _U(0x9E3779B185EBCA87), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)
 
-def concept(name: Column, words: int = WORDS, seed: str = "0") -> Column:
+
+def normal(name: Column) -> Column:
+    """A name in lower case with single blanks."""
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+
+
+def concept(name: Column, words: int = WORDS, seed: str = SEED) -> Column:
     """The vector of a name: one hash for each word."""
-    clean = F.lower(F.trim(name))
-    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.xxhash64(F.lit(seed), clean, i))
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.xxhash64(F.lit(seed), normal(name), i))
+
+
+def concept_vector(name: str, words: int = WORDS, seed: str = SEED) -> np.ndarray:
+    """concept() of one name as unsigned words."""
+    import xxhash
+
+    start = xxhash.xxh64_intdigest(" ".join(name.lower().split()).encode(), xxhash.xxh64_intdigest(seed.encode(), 42))
+    with np.errstate(over="ignore"):
+        h = (_U(start) + _P5 + _U(4)) ^ (np.arange(words, dtype=np.uint64) * _P1)
+        h = ((h << _U(23)) | (h >> _U(41))) * _P2 + _P3
+        h = (h ^ (h >> _U(33))) * _P2
+        h = (h ^ (h >> _U(29))) * _P3
+    return h ^ (h >> _U(32))
 
 
 def bind(a: Column, b: Column) -> Column:
@@ -31,17 +57,53 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) / (64 * F.size(a))
 
 
-def permute(v: Column, words: int = 1) -> Column:
-    """Rotate by whole words; a permutation that keeps distances."""
-    return F.concat(F.slice(v, F.size(v) - words + 1, F.lit(words)), F.slice(v, 1, F.size(v) - words))
+def permute(v: Column, steps: int = 1) -> Column:
+    """Rotate left by bits, the first word being the lowest; a permutation that keeps distances."""
+    whole, bits = divmod(steps, 64)
+    turned = F.concat(F.slice(v, F.size(v) - F.lit(whole) + 1, F.lit(whole)), F.slice(v, F.lit(1), F.size(v) - F.lit(whole))) if whole else v
+    if not bits:
+        return turned
+    below = F.concat(F.slice(turned, F.size(turned), F.lit(1)), F.slice(turned, F.lit(1), F.size(turned) - 1))
+    return F.zip_with(turned, below, lambda x, y: F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(y, 64 - bits)))
+
+
+def rotated(v: np.ndarray, steps: int) -> np.ndarray:
+    """permute() of one vector."""
+    whole, bits = divmod(steps, 64)
+    v = np.roll(v, whole)
+    return (v << _U(bits)) | (np.roll(v, 1) >> _U(64 - bits)) if bits else v
+
+
+_ODD = _U(0xAAAAAAAAAAAAAAAA)
+
+
+def majority_of(vectors: list[np.ndarray]) -> np.ndarray:
+    """Bit-wise majority of unsigned words; a tie sets the bit where its number plus the count of vectors is odd.
+
+    The votes for each bit are counted in planes: plane k holds bit k of all counts, so 64 counts are added at once.
+    """
+    n, planes = len(vectors), []
+    for v in vectors:
+        carry, k = v, 0
+        while carry.any():
+            if k == len(planes):
+                planes.append(np.zeros_like(v))
+            planes[k], carry = planes[k] ^ carry, planes[k] & carry
+            k += 1
+    above, equal, half = np.zeros_like(vectors[0]), ~np.zeros_like(vectors[0]), n // 2
+    for k in range(max(len(planes), half.bit_length()) - 1, -1, -1):  # compare with half of the votes, from the highest bit
+        plane = planes[k] if k < len(planes) else np.zeros_like(above)
+        if half >> k & 1:
+            equal &= plane
+        else:
+            above |= equal & plane
+            equal &= ~plane
+    return above if n % 2 else above | (equal & _ODD)  # with an even count, an odd place
 
 
 def majority(vectors: list[list[int]]) -> list[int]:
-    """Bit-wise majority; a tie sets the bit where its number plus the count of vectors is odd."""
-    x = np.array(vectors, np.int64).view(np.uint8).reshape(len(vectors), -1)
-    bits = np.unpackbits(x, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    odd = (np.arange(len(bits)) + len(vectors)) % 2 == 1
-    return np.packbits(np.where(2 * bits == len(vectors), odd, 2 * bits > len(vectors)), bitorder="little").view(np.int64).tolist()
+    """majority_of() of signed words."""
+    return majority_of([np.array(v, np.int64).view(np.uint64) for v in vectors]).view(np.int64).tolist()
 
 
 def bundle(rows: DataFrame) -> DataFrame:
@@ -56,26 +118,136 @@ def bundle(rows: DataFrame) -> DataFrame:
     return part.mapInArrow(run, f"id {part.schema['id'].dataType.simpleString()}, hv array<bigint>")
 
 
-def encode_text(tokens: Column, words: int = WORDS, most: int = 64) -> Column:
-    """The parts of a text's bundle: each term bound to its place."""
-    return F.transform(F.slice(tokens, 1, most), lambda t, i: bind(concept(F.concat(F.lit("pos:"), i.cast("string")), words), concept(t, words)))
-
-
 def encode_relation(subject: Column, predicate: Column, object_: Column, words: int = WORDS) -> Column:
     """The parts of a relation's bundle."""
     s, p, o = (concept(x, words) for x in (subject, predicate, object_))
     return F.array(bind(s, p), bind(p, o))
 
 
-def decode(hv: DataFrame, concepts: DataFrame, top: int = 5) -> DataFrame:
-    """(id, name, sim): the nearest of a counted list of concepts (name, cv)."""
-    from pyspark.sql import Window
+class Encoder:
+    """Vectors of texts and memories; the vectors of names that were met are kept, up to a bound."""
 
-    pairs = hv.crossJoin(F.broadcast(concepts)).select("id", "name", F.round(similarity(F.col("hv"), F.col("cv")), 6).alias("sim"))
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "name"))).where(F.col("r") <= top).drop("r")
+    def __init__(self, words: int = WORDS, most: int = 4096) -> None:
+        self.words, self.most = words, most
+        self.names: dict[str, np.ndarray] = {}
+        place = concept_vector("__position__", words)
+        self.places = [rotated(place, i) for i in range(MOST_TERMS)]
+
+    def concept(self, name: str) -> np.ndarray:
+        if name not in self.names:
+            if len(self.names) >= self.most:
+                self.names.clear()
+            self.names[name] = concept_vector(name, self.words)
+        return self.names[name]
+
+    def text(self, said: str, entities: list[str]) -> np.ndarray:
+        """Each of the first terms bound to its place: the entities, or else the words of three characters or more, or else the text itself."""
+        plain = " ".join((said or "").lower().split())
+        terms = entities or [t for t in plain.split() if len(t) >= 3] or [plain or "__empty__"]
+        return majority_of([p ^ self.concept(t) for p, t in zip(self.places, terms, strict=False)])
+
+    def relation(self, subject: str, predicate: str, object_: str) -> np.ndarray:
+        s, p, o = (self.concept(x) for x in (subject, predicate, object_))
+        return majority_of([s ^ p, p ^ o])
+
+    def memory(self, said: str, entities: list[str], metadata: dict[str, str | None]) -> np.ndarray:
+        """A text's vector bundled with its relations: the type, the places it belongs to, and each entity with the next."""
+        near = [(a, "near", b) for a, b in zip(entities, entities[1:], strict=False)]
+        kind = (metadata.get("tier") or metadata.get("type") or "").strip()
+        told = [("__memory__", "has_type", kind)] if kind else []
+        told += [(k, "equals", metadata[k]) for k in ("workspace_name", "module", "room") if metadata.get(k)]
+        vectors = [self.relation(*r) for r in (told + near)[:MOST_RELATIONS]]
+        own = self.text(said, entities)
+        return majority_of([own, *vectors]) if vectors else own
+
+
+_METADATA = ("tier", "type", "workspace_name", "module", "room")
+
+
+def index(memories: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, entities, hv) of memories (id, text, and any of tier, type, workspace_name, module, room)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(words)
+        for b in it:
+            ids, texts, found, *rest = (b.column(i).to_pylist() for i in range(3 + len(given)))
+            out = [encoder.memory(t, e, dict(zip(given, m, strict=True))) for t, e, *m in zip(texts, found, *rest, strict=True)]
+            flat = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
+            hv = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * words), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), hv], ["id", "entities", "hv"])
+
+    given = [c for c in _METADATA if c in memories.columns]
+    part = memories.select("id", "text", text.extract_entities(F.col("text")).alias("entities"), *(F.col(c).cast("string").alias(c) for c in given))
+    return part.mapInArrow(run, f"id {part.schema['id'].dataType.simpleString()}, entities array<string>, hv array<bigint>")
+
+
+def query_vector(said: str, words: int = WORDS) -> list[int]:
+    """The vector of a query's text, by its entities."""
+    import re
+
+    found = [e for e in (w.strip(text.ENTITY_MARKS) for w in re.findall(text.ENTITY, said.lower())) if len(e) >= 3]
+    return Encoder(words).text(said, list(dict.fromkeys(found))[: text.MOST_ENTITIES]).view(np.int64).tolist()
+
+
+def query(vectors: DataFrame, said: str, words: int = WORDS) -> DataFrame:
+    """(id, score) of indexed rows: similarity of the vectors, with a share of that of the entities."""
+    wanted = text.extract_entities(F.lit(said))
+    sim = similarity(F.col("hv"), F.lit(query_vector(said, words)))
+    return vectors.select("id", F.round(score(sim, F.col("entities"), wanted), 9).alias("score"))
 
 
 def score(sim: Column, entities: Column, wanted: Column) -> Column:
     """.7 similarity + .3 Jaccard; plain similarity where either has no entities."""
     j = F.size(F.array_intersect(entities, wanted)) / F.size(F.array_union(entities, wanted))
     return F.when((F.size(entities) == 0) | (F.size(wanted) == 0), sim).otherwise(0.7 * sim + 0.3 * j)
+
+
+def load(entities: DataFrame, vectors: DataFrame, memories: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, entities, hv) of stored entities (id, entities) with their stored vectors (id, hv); what has no vector is encoded anew."""
+    j = entities.join(vectors, "id", "left")
+    lost = memories.join(j.where("hv IS NULL").select("id"), "id", "left_semi")
+    return j.where("hv IS NOT NULL").select("id", "entities", "hv").unionByName(index(lost, words))
+
+
+def unindex(vectors: DataFrame, gone: DataFrame) -> DataFrame:
+    """Indexed rows without some ids."""
+    return vectors.join(gone.select("id"), "id", "left_anti")
+
+
+def backfill(vectors: DataFrame, memories: DataFrame, most: int = BACKFILL, words: int = WORDS) -> DataFrame:
+    """Indexed rows with up to `most` memories that the index lacks, newest first."""
+    new = memories.join(vectors.select("id"), "id", "left_anti").orderBy(F.desc("created_at"), "id").limit(most)
+    return vectors.unionByName(index(new, words))
+
+
+def stats(vectors: DataFrame) -> DataFrame:
+    """One row: indexed memories, entities in all, distinct entities, stored vectors."""
+    sizes = vectors.agg(F.count("*").alias("indexed_memories"), F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("total_entities"), F.count("hv").alias("stored_vectors"))
+    names = vectors.select(F.explode("entities").alias("e")).agg(F.countDistinct("e").alias("unique_concepts"))
+    return sizes.crossJoin(names)  # one row each
+
+
+def near_pairs(entities: Column) -> Column:
+    """(subject, object) of each entity and the next."""
+    return F.zip_with(F.slice(entities, F.lit(1), F.greatest(F.size(entities) - 1, F.lit(0))), F.slice(entities, F.lit(2), F.greatest(F.size(entities) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("subject"), b.alias("object")))
+
+
+def decode(hv: DataFrame, concepts: DataFrame, top: int = 5) -> DataFrame:
+    """(id, name, sim, r): the nearest of up to MOST_CONCEPTS concepts (name, cv) to each of some vectors."""
+    from pyspark.sql import Window
+
+    if (n := concepts.count()) > MOST_CONCEPTS:
+        raise ValueError(f"{n} concepts: decode against fewer")
+    pairs = hv.crossJoin(F.broadcast(concepts)).select("id", "name", F.round(similarity(F.col("hv"), F.col("cv")), 6).alias("sim"))
+    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "name"))).where(F.col("r") <= top).drop("r")
+
+
+def expand(results: DataFrame, concepts: DataFrame, least: float = 0.7, factor: float = 0.8) -> DataFrame:
+    """(id, text, score, origin) of concepts (name, cv) like one of the first three words, of four letters at least, of some results (id, text)."""
+    firsts = F.slice(text.words(F.col("text")), 1, 3)
+    words = results.select(F.explode(F.filter(firsts, lambda w: F.length(w) >= 4)).alias("id")).distinct()
+    size = F.size(F.col("cv"))
+    width = concepts.select(F.max(size)).first()[0] or WORDS
+    near = decode(words.select("id", concept(F.col("id"), width).alias("hv")), concepts).where((F.col("sim") > least) & (F.col("name") != F.col("id")))
+    best = near.groupBy("name").agg(F.max("sim").alias("sim"))
+    return best.select(F.concat(F.lit("hdc-"), "name").alias("id"), F.concat(F.lit("related: "), "name").alias("text"), (F.col("sim") * factor).alias("score"), F.lit("expanded").alias("origin"))

@@ -9,8 +9,11 @@ from recallsmith.functions import scoring, text
 
 
 def memory_stats(memories: DataFrame, meta: DataFrame) -> DataFrame:
-    j = memories.select("id").join(meta, "id", "left")
-    return j.agg(F.count("*").alias("total"), F.count_if(~F.coalesce("is_deleted", F.lit(False))).alias("active"), F.count_if("is_deleted").alias("deleted"))
+    """total, active (without a meta row too), deleted, and those of the deleted that were consolidated into another memory."""
+    j = memories.select("id").join(meta, "id", "full_outer").join(memories.select("id", F.lit(True).alias("there")), "id", "left")
+    gone, there = F.coalesce("is_deleted", F.lit(False)), F.col("there").isNotNull()
+    merged = F.col("delete_reason").startswith("consolidated") if "delete_reason" in meta.columns else F.lit(False)
+    return j.agg(F.count_if(there).alias("total"), F.count_if(there & ~gone).alias("active"), F.count_if(gone).alias("deleted"), F.count_if(merged).alias("consolidated"))
 
 
 def age_distribution(memories: DataFrame, as_of: str) -> DataFrame:
@@ -26,10 +29,32 @@ def age_distribution(memories: DataFrame, as_of: str) -> DataFrame:
     return total.crossJoin(upto).select(F.round(F.col("s") / F.col("t"), 1).alias("avg_age"), "max_age", "min_age", "median_age")
 
 
-def word_coverage(memories: DataFrame, top: int = 20) -> DataFrame:
-    """(word, n) of the most frequent words of three letters or more outside the stop words."""
-    words = memories.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[.,!?;:()]+|[.,!?;:()]+$", "").alias("word"))
-    return words.where((F.length("word") > 2) & ~F.col("word").isin(*text.STOPWORDS)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+def live(memories: DataFrame, meta: DataFrame) -> DataFrame:
+    """Memories with a meta row that are not deleted."""
+    return memories.join(meta.where("NOT is_deleted").select("id"), "id")
+
+
+def words(memories: DataFrame, meta: DataFrame) -> DataFrame:
+    """(word, n): words of three characters or more of live memories, without marks at the ends and stop words.
+
+    Raw words are counted first, so marks are stripped from distinct words only.
+    """
+    raw = live(memories, meta).select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    clean = raw.select(F.trim(text.strip(F.col("w"), text.COVERAGE_MARKS)).alias("word"), "n")
+    return clean.where((F.length("word") > 2) & ~F.col("word").isin(text.COVERAGE_STOPWORDS)).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_coverage(memories: DataFrame, meta: DataFrame, top: int = 20) -> DataFrame:
+    """(word, n) of the most frequent words."""
+    return words(memories, meta).orderBy(F.desc("n"), "word").limit(top)
+
+
+def coverage(memories: DataFrame, meta: DataFrame) -> DataFrame:
+    """total_memories, estimated_topics (distinct words) and coverage_score: 50 topics a memory are 100; an empty store is 0."""
+    n = live(memories, meta).agg(F.count("*").alias("total_memories"))
+    topics = words(memories, meta).agg(F.count("*").alias("estimated_topics"))
+    score = F.least(F.col("estimated_topics") / F.greatest("total_memories", F.lit(1)) * 50, F.lit(100.0))
+    return n.crossJoin(topics).select("total_memories", "estimated_topics", F.round(F.when(F.col("total_memories") > 0, score).otherwise(0.0), 1).alias("coverage_score"))  # one row each
 
 
 def stale(memories: DataFrame, meta: DataFrame, as_of: str, days: int = 30, limit: int = 50) -> DataFrame:
@@ -71,31 +96,64 @@ def forget(memories: DataFrame, as_of: str, threshold: float = 0.3, min_age_days
     return d.where((F.col("age") >= min_age_days) & (F.col("decay") < threshold)).select("id", "decay")
 
 
-def memory_health(memories: DataFrame, meta: DataFrame, as_of: str) -> DataFrame:
-    """.30 freshness + .25 coverage + .20 size + .25 redundancy, each 0 to 100; an empty store is 0."""
-    j = memories.join(meta, "id").where("NOT is_deleted")
-    a = j.agg(F.count("*").alias("n"), F.count_if(scoring.age_days(F.coalesce("last_accessed_at", "created_at"), as_of) <= 30).alias("fresh"), F.count_if(F.expr("hit_count > 0")).alias("used"), F.countDistinct(F.xxhash64("text")).alias("distinct_texts"))
-    n = F.greatest(F.col("n"), F.lit(1))
-    size = F.least(F.col("n") / 100, F.lit(1.0))
-    score = 100 * (0.30 * F.col("fresh") / n + 0.25 * F.col("used") / n + 0.20 * size + 0.25 * F.col("distinct_texts") / n)
-    return a.select("n", F.round(F.when(F.col("n") > 0, score).otherwise(0.0), 4).alias("health"))
+def memory_health(memories: DataFrame, meta: DataFrame, log: DataFrame, as_of: str) -> DataFrame:
+    """total_memories, the four factors and health_score: .30 freshness + .25 coverage + .20 size + .25 redundancy, each 0 to 100.
+
+    Fresh memories were read within 30 days; 10 to 10,000 memories have the full size; each of up to 25 merges costs two points of
+    redundancy. An empty store is 0.
+    """
+    fresh = F.col("last_accessed_at").isNotNull() & (F.unix_micros(F.col("last_accessed_at").cast("timestamp")) >= F.unix_micros(scoring.instant(as_of)) - 30 * 86_400_000_000)
+    a = meta.where("NOT is_deleted").agg(F.count("*").alias("n"), F.count_if(fresh).alias("fresh"))
+    j = a.crossJoin(coverage(memories, meta).select("coverage_score")).crossJoin(log.agg(F.count("*").alias("merges")))  # one row each
+    n = F.col("n")
+    j = j.select(
+        n.alias("total_memories"),
+        F.when(n == 0, 0.0).otherwise(F.round(F.col("fresh") / n * 100, 9)).alias("freshness"),
+        F.when(n == 0, 0.0).otherwise(F.col("coverage_score")).alias("coverage"),
+        F.when(n == 0, 0.0).when(n < 10, n / 10 * 100).when(n > 10000, F.greatest(100 - (n - 10000) / 100, F.lit(0.0))).otherwise(100.0).alias("size_health"),
+        F.when(n == 0, 100.0).otherwise((100 - F.least(F.col("merges") * 2, F.lit(50))).cast("double")).alias("redundancy"),
+    )
+    score = F.expr("freshness * 0.30D + coverage * 0.25D + size_health * 0.20D + redundancy * 0.25D")
+    score = F.when(F.col("total_memories") > 0, F.bround(F.greatest(F.least(F.round(score, 9), F.lit(100.0)), F.lit(0.0)), 0)).otherwise(0.0)
+    return j.select("total_memories", *(F.round(c, 1).alias(c) for c in ("freshness", "coverage", "size_health", "redundancy")), score.cast("int").alias("health_score"))
 
 
 def extraction_coverage(memories: DataFrame, log: DataFrame) -> DataFrame:
-    """Counts of extracted, failed and missing memories, and the share extracted; log (memory_id, extraction_error)."""
-    j = memories.select("id").join(log, F.col("id") == F.col("memory_id"), "left")
-    done = F.col("memory_id").isNotNull()
-    return j.agg(F.count("*").alias("total"), F.count_if(done & F.col("extraction_error").isNull()).alias("extracted"), F.count_if(F.col("extraction_error").isNotNull()).alias("failed"), F.count_if(~done).alias("missing"), F.round(100 * F.count_if(done & F.col("extraction_error").isNull()) / F.count("*"), 1).alias("percent"))
+    """Memories, logged extractions, those with entities, triples and errors, and the share logged; log (memory_id, entities_found, triples_found, extraction_error)."""
+    n = memories.agg(F.count("*").alias("total_memories"))
+    x = log.agg(F.count("*").alias("extracted_memories"), F.count_if(F.expr("entities_found > 0")).alias("with_entities"), F.count_if(F.expr("triples_found > 0")).alias("with_triples"), F.count("extraction_error").alias("with_errors"))
+    share = F.when(F.col("total_memories") > 0, F.col("extracted_memories") / F.col("total_memories") * 100).otherwise(0.0)
+    return n.crossJoin(x).select("*", F.round(share, 1).alias("coverage_percent"))  # one row each
 
 
 def consolidation_effectiveness(log: DataFrame) -> DataFrame:
-    return log.agg(F.count("*").alias("consolidations"), F.coalesce(F.sum("source_count"), F.lit(0)).cast("long").alias("sources"), F.round(F.coalesce(F.avg("source_count"), F.lit(0.0)), 2).alias("avg_sources"))
+    """Runs, memories fused, and sources a run among runs that had any."""
+    mean = F.avg(F.when(F.col("source_count") > 0, F.col("source_count")))
+    return log.agg(F.count("*").alias("consolidations"), F.coalesce(F.sum("source_count"), F.lit(0)).cast("long").alias("sources"), F.round(F.coalesce(mean, F.lit(0.0)), 2).alias("avg_sources"))
+
+
+def system_health(stats: DataFrame, graph_stats: DataFrame, effect: DataFrame, extraction: DataFrame) -> DataFrame:
+    """0 to 100: up to 15 points each for active memories, entities, current edges and extraction, 10 for consolidations,
+    15 for extraction without errors, and 15 for few deletions. Takes the one-row frames of the figures it sums."""
+    parts = [
+        "least(active / 10D, 15D)", "least(entities / 5D, 15D)", "least(current / 10D, 15D)", "least(coverage_percent / 10D, 15D)", "least(consolidations * 2D, 10D)",
+        "if(with_errors = 0 AND active > 0, 15D, 0D)", "if(deleted < active * 0.3D, 15D, 0D)",
+    ]
+    j = stats.crossJoin(graph_stats.select("entities", "current")).crossJoin(effect).crossJoin(extraction)  # one row each
+    return j.select(F.bround(F.least(F.round(F.expr(" + ".join(parts)), 9), F.lit(100.0)), 0).cast("int").alias("health_score"))
+
+
+def quality_report(memories: DataFrame, meta: DataFrame, log: DataFrame, as_of: str, days: int = 60) -> DataFrame:
+    """One row: health with its factors, coverage with its top terms, and how many memories of the listings are stale and orphaned."""
+    health = memory_health(memories, meta, log, as_of).withColumnRenamed("coverage", "coverage_factor")
+    top = word_coverage(memories, meta).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))), lambda x: x["word"]), ",").alias("top_terms"))
+    listed = stale(memories, meta, as_of, days).agg(F.count("*").alias("stale_count")).crossJoin(orphans(memories, meta).agg(F.count("*").alias("orphan_count")))
+    return health.crossJoin(coverage(memories, meta).drop("total_memories")).crossJoin(top).crossJoin(listed)  # one row each
 
 
-def system_health(memories: DataFrame, meta: DataFrame, graph_stats: DataFrame, as_of: str) -> DataFrame:
-    """The store's health, 70 %, and the share of current edges, 30 %."""
-    g = graph_stats.select(F.when(F.col("triples") > 0, 100 * F.col("current") / F.col("triples")).otherwise(0.0).alias("graph"))
-    return memory_health(memories, meta, as_of).crossJoin(g).select(F.round(0.7 * F.col("health") + 0.3 * F.col("graph"), 3).alias("system_health"))  # one row each
+def watermark(memories: DataFrame) -> DataFrame:
+    """The newest creation instant: a poll that differs from the last one has new rows to fetch."""
+    return memories.agg(F.max("created_at").alias("newest"))
 
 
 def evaluations(df: DataFrame) -> DataFrame:

@@ -66,7 +66,30 @@ def share(log: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sync_stats(log: DataFrame) -> DataFrame:
-    return log.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("source_workspace").alias("sources"), F.countDistinct("target_workspace").alias("targets"))
+    """Shares by status, with all sources and targets of the log, sorted; one row."""
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return log.agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "shared").alias("shared"), F.count_if(F.col("status") == "imported").alias("imported"),
+        names("source_workspace").alias("sources"), names("target_workspace").alias("targets"),
+    )
+
+
+def shared_with(log: DataFrame, workspace: str, direction: str = "outgoing") -> DataFrame:
+    """Shares from a workspace, or to it, newest first."""
+    side = "source_workspace" if direction == "outgoing" else "target_workspace"
+    return log.where(F.col(side) == workspace).orderBy(F.desc("shared_at"), "memory_id")
+
+
+def import_shared(memories: DataFrame, log: DataFrame, arrived: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(memories with the arrived rows as user 'shared', log with their shares imported); arrived (shared_memory_id, source_workspace, text, metadata map).
+
+    The new id is derived from the shared one, so importing twice gives the same row.
+    """
+    meta = F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.create_map(F.lit("imported_from"), F.col("source_workspace"), F.lit("original_shared_id"), F.col("shared_memory_id")))
+    new = arrived.dropDuplicates(["shared_memory_id"]).select(F.concat(F.lit("i_"), F.substring(F.sha2("shared_memory_id", 256), 1, 12)).alias("id"), F.lit("shared").alias("user_id"), "text", at.alias("created_at"), F.to_json(meta).alias("metadata"))
+    known = arrived.select("shared_memory_id", F.lit(True).alias("here")).distinct()
+    marked = log.join(known, "shared_memory_id", "left").withColumn("status", F.when(F.col("here") & (F.col("status") == "shared"), "imported").otherwise(F.col("status"))).drop("here")
+    return memories.unionByName(new.join(memories.select("id"), "id", "left_anti"), allowMissingColumns=True), marked
 
 
 def route(memories: DataFrame, names: list[str], present: DataFrame | None = None) -> DataFrame:
@@ -78,19 +101,83 @@ def route(memories: DataFrame, names: list[str], present: DataFrame | None = Non
     return r.select("id", F.when(F.size("h") == 0, "unassigned").when(F.size("h") == 1, "copied").otherwise("ambiguous").alias("outcome"), F.when(F.size("h") == 1, F.col("h")[0]).alias("target"))
 
 
-def working_memory(entries: DataFrame, most: int = 100) -> DataFrame:
-    """What an L1 cache of `most` entries keeps of each owner: the greatest last access (in seconds) + 0.3 * importance."""
-    rank = F.unix_micros("last_accessed") / 1e6 + 0.3 * F.greatest(F.least("importance", F.lit(1.0)), F.lit(0.0))
-    return entries.withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc(rank), "id"))).where(F.col("r") <= most).drop("r")
-
-
-def live_notifications(notes: DataFrame, dismissed: DataFrame, as_of: Column, least: float = 0.7, ttl: int = 600, most: int = 50) -> DataFrame:
-    """Notifications that are confident, young and not dismissed; the newest of each topic."""
-    ok = notes.where((F.col("confidence") >= least) & (F.unix_micros(as_of) - F.unix_micros("ts") <= ttl * 1_000_000)).join(dismissed, "id", "left_anti")
-    return ok.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("ts"), "id"))).where(F.col("r") <= most).drop("r")
-
-
 def goal_drift(goals: Column, said: Column) -> Column:
-    """Share of up to ten goals' words (over three letters, five a goal) that a text has."""
-    words = F.slice(F.flatten(F.transform(goals, lambda g: F.slice(F.filter(F.split(F.lower(g), r"\s+"), lambda w: F.length(w) > 3), 1, 5))), 1, 10)
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(F.lower(said), w))) / F.size(words)).otherwise(F.lit(1.0))
+    """Matches of the goals' words (over three letters, the first five of each) in what was said, over ten or the number of words; 1 without words."""
+    words = F.flatten(F.transform(goals, lambda g: F.slice(F.filter(F.split(F.lower(g), r"\s+"), lambda w: F.length(w) > 3), 1, 5)))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.lower(said), w)))
+    return F.when(F.size(words) > 0, hits / F.least(F.size(words), F.lit(10))).otherwise(F.lit(1.0))
+
+
+def progress(goals: DataFrame, events: DataFrame, recent: int = 20) -> DataFrame:
+    """(session_id, addressed, total): goals one of whose words (over four letters) is in the tools of a session's last events; goals (goal), a handful."""
+    tools = recent_events(events, recent).groupBy("session_id").agg(F.lower(F.array_join(F.collect_list("tool_name"), " ")).alias("tools"))
+    few = goals.limit(5).agg(F.collect_list(F.filter(F.split(F.lower("goal"), r"\s+"), lambda w: F.length(w) > 4)).alias("goals"))
+    met = F.filter("goals", lambda g: F.exists(g, lambda w: F.contains(F.col("tools"), w)))
+    return tools.crossJoin(F.broadcast(few)).select("session_id", F.size(met).alias("addressed"), F.size("goals").alias("total"))  # one row of goals
+
+
+def begin(sessions: DataFrame, workspace: str, at: str, parent: str | None = None) -> DataFrame:
+    """Sessions with an active one for a workspace: the one that is, or a new one. With a parent the active ones are closed and a child begins."""
+    here = (F.col("workspace_root") == workspace) & (F.col("status") == "active")
+    new = sessions.sparkSession.range(1).select(
+        F.concat(F.lit("s_"), F.substring(F.sha2(F.concat_ws("|", F.lit(workspace), F.lit(parent or ""), F.lit(at)), 256), 1, 12)).alias("id"), F.lit(workspace).alias("workspace_root"),
+        F.lit(parent).cast("string").alias("parent_session_id"), F.lit("active").alias("status"), F.lit(at).alias("started_at"), F.lit(None).cast("string").alias("ended_at"),
+    )
+    if parent is None:
+        return sessions.unionByName(new.join(sessions.where(here).limit(1), F.lit(True), "left_anti"), allowMissingColumns=True)
+    closed = sessions.withColumn("ended_at", F.when(here, F.lit(at)).otherwise(F.col("ended_at"))).withColumn("status", F.when(here, "closed").otherwise(F.col("status")))
+    return closed.unionByName(new, allowMissingColumns=True)
+
+
+def ancestors(sessions: DataFrame, most: int = 20) -> DataFrame:
+    """(id, ancestor, depth) of the parent chain of each session, up to `most` steps."""
+    step = sessions.where("parent_session_id IS NOT NULL").select("id", F.col("parent_session_id").alias("ancestor"))
+    now, out = step.withColumn("depth", F.lit(1)), []
+    up = step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+    for depth in range(1, most + 1):
+        out.append(now)
+        now = now.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth + 1).alias("depth"))
+        if now.isEmpty():
+            break
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, out)
+
+
+def snapshot(events: DataFrame, goals: DataFrame, memory: DataFrame, recent: int = 25) -> DataFrame:
+    """(session_id, summary, active_contexts, tools, goals, l1): what a session's checkpoint holds. events (session_id, tool_name, active_context, ...),
+    goals (goal) of the workspace, memory (session_id, id, content) of its working memory. Lists run from the oldest event to the newest."""
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("k"), F.col(c).alias("v")))), lambda x: x["v"])
+    last = recent_events(events, recent).groupBy("session_id").agg(listed("tool_name").alias("tools"), listed("active_context").alias("contexts"))
+    kept = memory.groupBy("session_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "id", "content"))).alias("l1"))
+    held = goals.limit(50).agg(F.array_sort(F.collect_list("goal")).alias("goals"))
+    j = last.join(kept, "session_id", "left").crossJoin(F.broadcast(held))  # one row of goals
+    tail = F.slice("tools", F.greatest(F.size("tools") - 4, F.lit(1)), F.lit(5))
+    return j.select("session_id", F.concat(F.lit("Recent activity: "), F.array_join(tail, ", ")).alias("summary"), F.array_distinct(F.filter("contexts", lambda c: c.isNotNull() & (c != ""))).alias("active_contexts"), "tools", "goals", F.coalesce("l1", F.array().cast("array<string>")).alias("l1"))
+
+
+def handoff(snapshots: DataFrame, shown: int = 15) -> DataFrame:
+    """(session_id, prompt): a snapshot as text, with the newest `shown` tool calls in order and up to 20 items of working memory."""
+
+    def lines(items: Column, none: str) -> Column:
+        return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(none)
+
+    calls = F.slice("tools", F.greatest(F.size("tools") - shown + 1, F.lit(1)), F.lit(shown))
+    numbered = F.when(F.size(calls) > 0, F.array_join(F.transform(calls, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")).otherwise("(none)")
+    parts = [
+        F.lit("SESSION HANDOFF"), F.concat(F.lit("Session: "), F.col("session_id").cast("string")), F.lit(""), F.lit("WHAT I WAS DOING"), F.col("summary"), F.lit(""), F.lit("ACTIVE GOALS"), lines(F.col("goals"), "(none)"), F.lit(""),
+        F.lit("WORKING MEMORY (L1)"), lines(F.slice("l1", 1, 20), "(empty)"), F.lit(""), F.lit("FILES / ACTIVE CONTEXTS"), lines(F.col("active_contexts"), "(none)"), F.lit(""), F.lit("RECENT TOOL CALLS"), numbered,
+    ]
+    return snapshots.select("session_id", F.concat_ws("\n", *parts).alias("prompt"))
+
+
+def project_summary(state: DataFrame) -> DataFrame:
+    """One row of text: each key of a project's state (key, value JSON) with its value; items of lists with status and title."""
+    value = F.col("value")
+    item = "array<struct<status:string,title:string,name:string>>"
+    titled = F.transform(F.from_json(value, item), lambda x: F.struct(x["status"].alias("s"), F.coalesce(x["title"], x["name"]).alias("t")))
+    plain = F.transform(F.from_json(value, "array<string>"), lambda x: x)
+    rows = F.when(value.startswith("[{"), F.transform(titled, lambda x: F.concat(F.when(F.coalesce(x["s"], F.lit("")) != "", F.concat(F.lit("["), x["s"], F.lit("] "))).otherwise(""), F.coalesce(x["t"], F.lit("")))))
+    rows = rows.when(value.startswith("["), plain).when(value.startswith("{"), F.array(F.substring(value, 1, 200))).otherwise(F.array(F.regexp_replace(value, r'^"|"$', "")))
+    lines = state.select("key", F.posexplode(rows).alias("i", "x")).select("key", "i", F.concat(F.lit("  "), "key", F.lit(": "), "x").alias("line"))
+    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "i", "line"))), lambda x: x["line"]), "\n").alias("summary"))

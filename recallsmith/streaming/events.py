@@ -5,8 +5,11 @@ Events have (event_id, session_id, created_at timestamp, event_type, args).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from recallsmith.functions import text
 
@@ -21,10 +24,31 @@ def logical(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"), "event_type", F.col("props").alias("args"))
 
 
-def surprise_gate(events: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Each event with its prediction error and tier; the prediction is that the event type tells all."""
-    error = text.prediction_error(text.tokens(F.col("event_type")), text.tokens(F.concat_ws(" ", "event_type", "args")))
-    return events.withColumn("error", F.round(error, 6)).withColumn("tier", F.when(F.col("error") > threshold, "episodic").otherwise("working"))
+def lower_event(events: DataFrame) -> Column:
+    """The default prediction: what happens is the event itself, in lower case."""
+    return F.lower("event_type")
+
+
+def surprise_gate(events: DataFrame, threshold: float = 0.5, predict: Callable[[DataFrame], Column] = lower_event, forced: Column | None = None) -> DataFrame:
+    """Each event with what was expected, its prediction error and tier: surprising or forced ones are kept as semantic, the others are working memory.
+
+    What happened is the event with its arguments; an event without arguments is only predicted and has neither error nor tier.
+    """
+    actual = F.when(F.col("args").isNotNull(), F.concat_ws(" ", "event_type", "args"))
+    rows = events.withColumn("expected", predict(events)).withColumn("error", F.round(F.when(actual.isNotNull(), text.prediction_error(F.col("expected"), actual)), 6))
+    keep = (F.col("error") > threshold) | (forced if forced is not None else F.lit(False))
+    return rows.withColumn("tier", F.when(F.col("error").isNotNull(), F.when(keep, "semantic").otherwise("working")))
+
+
+def surprises(gated: DataFrame) -> DataFrame:
+    """(event_id, text) of what a gate keeps, as new memories."""
+    told = F.format_string("[SURPRISE] %s | Expected: %s | Actual: %s | Error: %s", F.col("event_type"), F.col("expected"), F.concat_ws(" ", "event_type", "args"), F.round("error", 3).cast("string"))
+    return gated.where("tier = 'semantic'").select("event_id", "created_at", told.alias("text"))
+
+
+def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of tool events to a log below a path in shared storage, once each; sessions' last events follow by event_counts()."""
+    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -64,8 +88,13 @@ def checkpoint_counter(events: DataFrame, every: int = 25) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(step, "session_id long, ordinal long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what it emitted (a memory table: for small results and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and return what it emitted: rows go to Parquet files below a path in shared storage."""
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def cached(requests: DataFrame, ttl: str = "300 seconds") -> DataFrame:
+    """The requests (key, ts) of a stream that a cache must answer anew: those without the same key within the time to live before."""
+    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])

@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+import recallsmith.plans.registry_more  # noqa: F401
 from recallsmith.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
