@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _TABLES: list[tuple[SparkSession, str]] = []
 #: Rows of a few numbers, and bytes of stored texts, that make a file worth writing.
 FILE_ROWS, FILE_BYTES = 1 << 18, 32 << 20
+#: Files of a small table.
+FEWEST = 4
 #: Bytes and rows that go to a Python worker at a time.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
@@ -80,11 +82,12 @@ def bounded_batches(spark: SparkSession) -> None:
 def few_files(spark: SparkSession, df: DataFrame, rows: int | None = None, scanned: DataFrame | None = None, row_limit: int = FILE_ROWS) -> DataFrame:
     """df in as few partitions as a bound of its rows, or the stored bytes of the table it was scanned from, calls for; no shuffle.
 
-    There are never fewer than twice as many as the cluster runs at once, so no core waits. What is written next then
-    has files worth opening: a file costs a few calls to the store (on local folders, processes of their own) however small it is.
+    Of texts there are never fewer than twice as many as the cluster runs at once, so no core waits, and of rows of a few numbers never fewer
+    than FEWEST. What is written next then has files worth opening: a file costs a few calls to the store (on local folders, processes of
+    their own) however small it is.
     """
-    need = -(-rows // row_limit) if rows is not None else -(-input_bytes(scanned) // FILE_BYTES)
-    return df.coalesce(int(min(max(2 * spark.sparkContext.defaultParallelism, need), 1 << 30)))
+    need = max(FEWEST, -(-rows // row_limit)) if rows is not None else max(2 * spark.sparkContext.defaultParallelism, -(-input_bytes(scanned) // FILE_BYTES))
+    return df.coalesce(int(min(need, 1 << 30)))
 
 
 def drop_table(spark: SparkSession, table: DataFrame) -> None:

@@ -282,8 +282,10 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         if (large := rest.where(F.col("m") > SMALL_BLOCK)).isEmpty():
             break
         met = to_heads(large, *(F.xxhash64("c", "k", F.lit(turn * HEADS + j)) for j in range(HEADS)))
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(met, "links"))
-        rest, roots = still_open(links)
+        new = verified(met, "links")
+        if new.isEmpty():
+            break
+        rest, roots = still_open(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
 
     def across(blocks: DataFrame, *more: str) -> DataFrame:
         x, y = (blocks.select("k", F.struct(*member, "root", *more).alias(s)) for s in ("x", "y"))
