@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +83,16 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def lighten() -> None:
+    """Called where a Python stage begins: let go of the word memos that an earlier stage left in this worker, and give free memory back."""
+    if tokens := sys.modules.get("recallsmith.llm.tokens"):
+        tokens.LOADED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def few_files(spark: SparkSession, df: DataFrame, rows: int | None = None, scanned: DataFrame | None = None, row_limit: int = FILE_ROWS) -> DataFrame:
     """df in as few partitions as a bound of its rows, or the stored bytes of the table it was scanned from, calls for; no shuffle.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import bounded_batches
+from recallsmith.llm.common import bounded_batches, lighten
 
 #: Places of a seed's words.
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -200,6 +200,7 @@ def find_links(docs: DataFrame, finder: Finder, id_col: str = "doc_id", text_col
     """(doc_id, item_id, score, first_word, end_word) of each row's best passage for each item."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             out = [(d, *x) for d, found in zip(b.column(0).to_pylist(), finder.find_all(b.column(1).to_pylist()), strict=True) for x in found]
             cols = list(zip(*out, strict=True)) or [()] * 5
@@ -239,6 +240,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
     for f in finders(benchmark, least, item_col, item_text_col):
 
         def run(it: Iterator[pa.RecordBatch], f: Finder = f) -> Iterator[pa.RecordBatch]:
+            lighten()
             for b in it:
                 yield b.filter(pa.array([not x for x in f.find_all(b.column(b.schema.get_field_index(text_col)).to_pylist())], pa.bool_()))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import crc32_mod, sampled
+from recallsmith.llm.common import crc32_mod, lighten, sampled
 
 #: Language codes of each family.
 FAMILIES = {
@@ -126,6 +126,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = sampled(known, "lang", counts, per_language, "id", "text").select("lang", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             out = []
             for t in b.column(1).to_pylist():
@@ -146,6 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """(id, lang_pred, score) of every row, from its text alone."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["id", "lang_pred", "score"])
@@ -158,6 +160,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", le
     """The rows, with all their columns, whose language is determined with a score of `least_score` or more; no shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             got = [model.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield b.filter(pa.array([lang != UNDETERMINED and s >= least_score for lang, s in got], pa.bool_()))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, fresh_name, materialise
+from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, fresh_name, lighten, materialise
 
 #: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys, or first meet heads.
 SMALL_BLOCK = 48
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) of every row; fp holds the 64 bits as a signed number."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             fps = [simhash(t, shingle, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
@@ -154,6 +155,7 @@ def common_shingles(part: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
     rate = max(1, min(32, n // 8192))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_set(t, shingle)[0].view(np.int64))], ["k"])
@@ -186,6 +188,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     common, counts = common_shingles(part, n, shingle)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             names, sizes, firsts, parities = [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
@@ -227,6 +230,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     sets = [no_sets]
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             got = [(c, h, *_set(t, shingle)) for c, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True)]
             got = [(c, x) for c, h, x, mine in got if h == mine]  # an id may stand for several texts

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import materialise
+from recallsmith.llm.common import lighten, materialise
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -58,6 +58,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     """(id, host, the five measures) of every row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             got = np.array([measure(t) for t in b.column(2).to_pylist()], np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(got[:, k]) for k in range(5))], ["id", "host", *MEASURES])

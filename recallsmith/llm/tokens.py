@@ -174,14 +174,14 @@ class WordTokenizer:
         return out
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+LOADED: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
     """The worker's tokenizer for a file, kept between tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    if path not in LOADED:
+        LOADED[path] = WordTokenizer(path)
+    return LOADED[path]
 
 
 def tokenizer_path(name: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import crc32_mod, sampled
+from recallsmith.llm.common import crc32_mod, lighten, sampled
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Training takes about this many labelled documents of each grade, chosen by a hash of their id.
@@ -123,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(sorted(features_of(t))) for t in b.column(1).to_pylist()], pa.string())], ["id", "grade", "words"])
 
@@ -134,6 +135,7 @@ def score(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_co
     """(id, expected_severity, p_toxic, severity, toxic) of every row; severity is the likeliest grade."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in it:
             got = [model.above(t) or [0.0] for t in b.column(1).to_pylist()]
             grade = [int(np.argmax(-np.diff([1.0, *p, 0.0]))) if model.thresholds else 0 for p in got]
