@@ -764,11 +764,12 @@ def vsa_unindex_backfill(spark, d):
     return full.select("id", F.lit(False).alias("is_deleted"))
 
 
-@query()
+@query("SELECT n_nationkey AS id, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def hdc_decode_relation(spark, d):
+    """A relation's vector is nearest to the half of it that tells the region: the same numbers come out that went in."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), hdc.encode_relation(F.col("n_name"), F.lit("part_of"), F.col("n_regionkey").cast("string")).alias("parts"))
     concepts = table(spark, d, "region").select(F.col("r_name").alias("name"), hdc.bind(hdc.concept(F.lit("part_of")), hdc.concept(F.col("r_regionkey").cast("string"))).alias("cv"))
-    return hdc.decode(hdc.bundle(n), concepts, 1)
+    return hdc.decode(hdc.bundle(n), concepts, 1).select("id", "name")
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------

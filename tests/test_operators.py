@@ -409,3 +409,52 @@ def test_streams_into_files(spark, sf, tmp_path):
 def test_routing(spark):
     m = spark.createDataFrame([("1", "about alpha"), ("2", "none"), ("3", "alpha and beta")], "id string, text string")
     assert {r.id: r.outcome for r in sessions.route(m, ["alpha", "beta"]).collect()} == {"1": "copied", "2": "unassigned", "3": "ambiguous"}
+
+
+def test_actions_compose_operators(spark, sf):
+    from recallsmith.plans import actions
+    from recallsmith.plans import adapters as a
+    from recallsmith.plans.registry import _consolidations, _extractions, _shares
+    from recallsmith.plans.registry_more import _calls, _sessions
+
+    m = a.memories(spark, sf)
+    t = a.triples(spark, sf)
+    goals = spark.createDataFrame([(None, "click a lot", "2024-01-01", True), ("c", "old", "2024-01-01", False)], "context string, goal string, created_at string, is_active boolean")
+    state = spark.createDataFrame([("k", '"v"', 1), ("gone", '"x"', 1)], "key string, value string, updated_at int")
+    s = actions.Store(a.AS_OF, m, a.meta(spark, sf), readers.embed(m), hdc.index(m.limit(50)), t, a.entities(spark, sf), goals, _sessions(spark, sf), _calls(spark, sf), state, _consolidations(spark, sf), _extractions(spark, sf), _shares(spark, sf), a.text_index(spark, sf))
+    new = spark.createDataFrame([("A", "depends_on", "B", None, None, 1.0)], "subject string, predicate string, object string, valid_from string, valid_to string, confidence double")
+    arguments = {
+        "search basic": {"query": "thing ertion"}, "search advanced": {"query": "thing", "type": "en"}, "search explain": {"query": "thing"}, "search reflected": {"query": "thing"}, "search relation": {"subject": "thing", "object_": "ertion"},
+        "remember add": {"rows": m.select("text").limit(3)}, "remember consolidate": {}, "remember hit": {"hits": m.select("id", F.col("created_at").alias("ts"))}, "remember share": {"wanted": _shares(spark, sf).withColumn("target_workspace", F.lit("new"))},
+        "remember ingest_commit": {"commits": spark.createDataFrame([("c", "m", "a", "d", ["f"], "")], "sha string, message string, author string, date string, files array<string>, stat string")},
+        "remember ingest_test_failure": {"failures": spark.createDataFrame([("t", "e", "f", "now")], "test_name string, error string, file_path string, at string")},
+        "cognitive warnings": {"context": "thing"}, "project set_state": {"rows": spark.createDataFrame([("k", '"w"', 2)], state.schema)}, "project delete_state": {"gone": spark.createDataFrame([("gone",)], "key string")},
+        "project set_goals": {"new": spark.createDataFrame([("next",)], "goal string")}, "session begin": {"workspace": "new"}, "session resume": {"workspace": "w1", "session_id": "s5"},
+        "session handoff": {"memory": spark.createDataFrame([], "session_id long, id string, content string")}, "graph add_relation": {"new": new}, "graph query": {"name": "customer_7", "depth": 2}, "graph impact": {"name": "b"}, "kg query_causal": {"name": "A"}, "kg add_causal": {"new": new},
+        "notifications alert": {"query": "thing"}, "notifications anomalies": {"query": "thing"},
+    }
+    for name in actions.ACTIONS:
+        assert actions.run(s, name, **arguments.get(name, {})).collect() is not None, name
+    assert [r.value for r in actions.run(s, "project set_state", **arguments["project set_state"]).where("key = 'k'").collect()] == ['"w"']
+    assert actions.run(s, "search basic", query="thing ertion").count() == 10 and "relations" in actions.run(s, "search basic", query="thing").columns
+    with pytest.raises(ValueError, match="no action"):
+        actions.run(s, "nothing")
+
+
+def test_fusion_against_plain_python(spark):
+    import re
+
+    rng = random.Random(4)
+    texts = [(f"c{i % 4}", f"m{i:02}", " ".join(f"Sentence {rng.randrange(30)} with {'x' * rng.randrange(60)} words{rng.choice('.!?')}" for _ in range(rng.randrange(40)))) for i in range(24)]
+    got = {r.cluster: r.fused for r in consolidation.fuse(spark.createDataFrame(texts, "cluster string, id string, text string")).collect()}
+    for c in got:
+        mine = sorted((t for k, _, t in texts if k == c), key=len, reverse=True)
+        out, size, seen = [], 0, set()
+        for t in mine:
+            for s in re.split(r"(?<=[.!?])\s+", t):
+                s = s.strip()
+                if len(s) > 10 and s not in seen and size + len(s) + 2 <= 2000:
+                    seen.add(s)
+                    out.append(s)
+                    size += len(s) + 2
+        assert got[c] == (". ".join(out) if out else mine[0])
