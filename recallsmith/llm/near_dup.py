@@ -25,8 +25,8 @@ from recallsmith.llm.common import bounded_batches, connected_components, drop_t
 SMALL_BLOCK = 48
 #: In each of so many rounds, the members of a larger block that all others meet before what is left is compared across groups.
 HEADS, ROUNDS = 4, 2
-#: Words of 64 bits of a parity sketch.
-PARITY = 8
+#: Words of 64 bits of a parity sketch, at least and at most; it has about two bits for each shingle.
+LEAST_PARITY, MOST_PARITY = 8, 1 << 10
 #: The longest list of common shingles.
 COMMON = 1 << 20
 #: Up to this many rows, of ids of texts that share a block, may be broadcast.
@@ -142,6 +142,21 @@ def _set(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
     return h, int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0])
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """A sketch of a set of hashes: bit i is set if an odd number of them is i modulo the bits, whose number is a power of two."""
+    bits = 64 * min(MOST_PARITY, max(LEAST_PARITY, 1 << max(0, (2 * len(h) - 1).bit_length() - 6)))
+    odd = np.bincount((h >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many bits two sketches differ; the larger one is folded to half its size, which is as if it had been made so."""
+    nx, ny = F.size(x), F.size(y)
+    fold = lambda v, n: F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, n + 1, n), lambda a, b: a.bitwiseXOR(b))
+    half = lambda v, n, m: F.when(n > m, fold(v, m)).otherwise(v)
+    return F.aggregate(F.zip_with(half(x, nx, ny), half(y, ny, nx), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.uint64), *arrays]).view(np.int64)))
@@ -198,8 +213,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     level = np.where(common[at] == h, counts[at], 0)
                 most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
-                odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                parities.append(np.packbits(odd.astype(np.uint8)).view(np.uint64))
+                parities.append(_parities(h))
                 names.append(c)
                 sizes.append(len(h))
                 firsts.append(h[np.argsort(level, kind="stable")[:most]])
@@ -255,9 +269,13 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         return (F.least(nx, ny) >= least * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) * (1 + similarity) >= least * (nx + ny))
 
     def alike(x: str, y: str) -> Column:
-        """Whether parities allow it: a shingle that one text has alone flips one bit, so as many differ at least as bits do."""
-        apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.odd")[j].bitwiseXOR(F.col(f"{y}.odd")[j])) for j in range(PARITY)))
-        return apart * (1 + similarity) <= (1 - least) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+        """Whether sizes and sketches allow it: a shingle that one text has alone flips one bit, so as many differ at least as bits do.
+
+        Texts of sizes that allow it have sketches of one size, or of twice it.
+        """
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        sized = F.least(nx, ny) >= least * F.greatest(nx, ny)
+        return F.when(sized, _apart(F.col(f"{x}.odd"), F.col(f"{y}.odd")) * (1 + similarity) <= (1 - least) * (nx + ny)).otherwise(False)
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -269,8 +287,10 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         return written(both.where(inter >= least * (F.size("set_a") + F.size("set_b") - inter)).select("a", "b"), tag, 8)
 
     def to_heads(blocks: DataFrame, *orders: Column) -> DataFrame:
-        heads = blocks.groupBy("k").agg(F.array(*(F.min(F.struct(x.alias("by"), *member)) for x in orders)).alias("y"))
-        met = blocks.select("k", F.struct(*member).alias("x")).join(heads, "k").select("x", F.explode("y").alias("y")).where("x.c <> y.c")
+        """Pairs of each member with the heads of its block; where groups are known already, with those of other groups."""
+        told = [*member, *(["root"] if "root" in blocks.columns else [])]
+        heads = blocks.groupBy("k").agg(F.array(*(F.min(F.struct(x.alias("by"), *told)) for x in orders)).alias("y"))
+        met = blocks.select("k", F.struct(*told).alias("x")).join(heads, "k").select("x", F.explode("y").alias("y")).where("x.root <> y.root" if "root" in told else "x.c <> y.c")
         return met.where(may("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
     def still_open(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -313,11 +333,22 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     """
     bounded_batches(spark)
     known = docs.where(F.col(id_col).isNotNull())
-    groups = similarity_groups(spark, known, id_col, text_col, shingle, similarity)
-    id_, key = fresh_name(docs, "id"), fresh_name(docs, "key")
-    heads = groups.where("id = group_id AND key = group_key").select(F.col("id").alias(id_), F.col("key").alias(key)).distinct()
-    kept = known.withColumn(key, F.xxhash64(F.col(text_col).cast("string"))).join(heads.withColumnRenamed(key, f"{key}_"), (F.col(id_col).cast("long") == F.col(id_)) & (F.col(key) == F.col(f"{key}_")))
-    return kept.dropDuplicates([id_, key]).drop(id_, key, f"{key}_").unionByName(docs.where(F.col(id_col).isNull()))
+    groups = materialise(spark, similarity_groups(spark, known, id_col, text_col, shingle, similarity), "groups")
+    id_, key, other = (fresh_name(docs, x) for x in ("id", "key", "key"))
+    named = known.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+
+    def rows(of: DataFrame, how: str) -> DataFrame:
+        pairs = of.select(F.col("id").alias(id_), F.col("key").alias(other)).distinct()
+        pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        return named.join(pairs, (F.col(id_col).cast("long") == F.col(id_)) & (F.col(key) == F.col(other)), how)
+
+    # the rows that go are listed, which are few as a rule; of what stays only repeated rows are shuffled
+    gone = groups.where("id <> group_id OR key <> group_key")
+    repeated = groups.where("id = group_id AND key = group_key").groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    once = rows(gone.select("id", "key").unionByName(repeated.select("id", "key")), "left_anti").drop(key)
+    if not repeated.isEmpty():
+        once = once.unionByName(rows(repeated, "left_semi").withColumn(id_, F.col(id_col).cast("long")).dropDuplicates([id_, key]).drop(id_, key))
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
