@@ -164,7 +164,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     """
     pairs = materialise(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     n, signature = pairs.count(), None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if n else 1):
+        if not n:
+            break
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: the greater neighbours of u, and u itself, are linked to u's least neighbour
