@@ -1,74 +1,300 @@
-"""An inverted index in storage: many queries read the postings of their own terms and no text.
+"""An inverted index in storage that grows by segments and skips what can't be among the best.
 
-The index is a folder with `postings` (bucket, term, id, tf, dl) and `stats` (n, avgdl). A query's terms stand for all
-words that begin with them and have three characters at least; so postings are dealt into folders by a hash of a word's first
-three characters, and sorted by word within: a term reads one folder, and of its files only the row groups that may hold the words.
+A segment holds a batch of rows: `docs` (id, dl, terms, tfs) with the words of each row, counted within the row; `postings` (bucket, term, block, id, tf, dl), dealt
+into folders by a hash of a word's first three characters and sorted by word and block within, so that a term reads one folder and of its pages those of some
+blocks; `blocks` with the greatest tf, the least dl and the number of postings of a word in a block; and `prefixes` with the number of rows that have a word
+beginning with each prefix. A query's terms stand for all words that begin with them and have three characters at least.
+
+Blocks are some BLOCK rows of one segment with nearly the same number of words, and nearly the same count of their commonest word. A term's score grows with tf and falls with dl; so the sum over a term's words of the
+greatest tf, with the least dl, bounds what any row of a block can get from it, whatever the corpus has become since the block was written. A search reads
+the bounds, scores the blocks with the greatest ones, and takes the kth score as a threshold; then it reads the postings of the blocks whose bound reaches
+it. Nothing below can be among the best k, so the rows are those of a full scan.
+
+Deletes are tombstones (segment, id) with the words they take away. All statistics are sums over segments minus sums over tombstones, so any order of appends,
+deletes and merges gives what a rebuild would. A merge rewrites small segments from `docs`, without texts. See sources/manifest.py for how changes become
+visible.
+
+Cases: rows without words count in n and, unless their text is null, in the mean length, and nowhere else; rows without an id are not indexed; a row that is appended again replaces the earlier one, and of
+equal ids in one append the one with the greatest text stays; unknown ids may be deleted; a query without terms, and an empty index, give no row; ties are in
+the order of ids.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallsmith.functions import text
+from recallsmith.sources.manifest import Manifest, spread
+
+BUCKETS, HEAD = 16, 3
+#: Rows of a block, and the longest prefix that is counted ahead; longer terms are counted in their postings.
+BLOCK, LONGEST = 128, 32
+#: Rows of the blocks that are scored first for a threshold, for each wanted row, and blocks that are looked up by their numbers.
+FIRST, LOOKUP = 4, 1000
+#: Up to so many tombstones or blocks are broadcast.
+BROADCAST_ROWS = 50_000
+_DOCS = "id string, dl long, terms array<string>, tfs array<int>"
+_POSTINGS = "term string, block long, id string, tf int, dl long, bucket int"
+_BLOCKS = "term string, block long, most int, least long, n long, bucket int"
+_PREFIXES = "prefix string, df long, bucket int"
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, HEAD)), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_of(term: str) -> int:
+    """bucket() of one term."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(term[:HEAD].encode(), 42)
+    return (h - (1 << 64) if h >= 1 << 63 else h) % BUCKETS
 
-BUCKETS, HEAD = 64, 3
 
+def counted(memories: DataFrame) -> DataFrame:
+    """(id, dl, terms, tfs): the number of words of each row, and its words with their counts; no shuffle."""
+    word = re.compile(text.TOKEN)
 
-def bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.substring(term, 1, HEAD)), F.lit(buckets)).cast("int")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            dl, terms, tfs = [], [], []
+            for t in b.column(1).to_pylist():
+                found = word.findall(t or "")
+                own = Counter(found)
+                dl.append(None if t is None else len(found))
+                terms.append(list(own))
+                tfs.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))], ["id", "dl", "terms", "tfs"])
+
+    return memories.select(F.col("id").cast("string").alias("id"), F.lower("text").alias("text")).mapInArrow(run, _DOCS)
 
 
 def postings(memories: DataFrame) -> DataFrame:
     """(term, id, tf, dl) of every word of every row; dl counts the words of a row."""
-    docs = memories.select("id", text.tokens(F.col("text")).alias("tokens"))
-    # words are counted within each row, before anything is shuffled
-    sorted_ = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return sorted_.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return counted(memories).select("id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).select("term", "id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("int").alias("dl"))
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """(prefix, df, bucket) of all beginnings of words, of HEAD to LONGEST characters."""
+    of = lambda t: F.transform(F.sequence(F.lit(HEAD), F.least(F.length(t), F.lit(LONGEST))), lambda i: F.substring(t, F.lit(1), i))
+    every = F.array_distinct(F.flatten(F.transform(F.filter("terms", lambda t: F.length(t) >= HEAD), of)))
+    return docs.select(F.explode(every).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df")).withColumn("bucket", bucket(F.col("prefix")))
 
 
-def build(memories: DataFrame, path: str, buckets: int = BUCKETS) -> TextIndex:
-    """Write the index of memories (id, text) to a path in shared storage. Rows without words count in n and avgdl alone."""
-    lengths = memories.select(text.token_count(F.col("text")).alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
-    rows = postings(memories).where(F.length("term") >= HEAD).withColumn("bucket", bucket(F.col("term"), buckets))
-    # a bucket of frequent words is dealt to several tasks, which hold ranges of them
-    rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
-    return TextIndex(memories.sparkSession, path)
+def _class() -> Column:
+    """Rows of one class differ by less than a fifth in their numbers of words, and by less than a half in the count of their commonest word."""
+    steps = lambda c, k: F.floor(k * F.log2(F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).cast("double"))).cast("long")
+    return steps(F.col("dl"), 4) * 256 + steps(F.array_max("tfs"), 2)
 
 
 class TextIndex:
-    """A built index, to be read."""
+    """The index below a path in shared storage."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.buckets = spark.read.parquet(f"{path}/stats").first()["buckets"]
+        self.manifest = Manifest(spark, path)
+
+    # --- changes ---
+
+    def append(self, memories: DataFrame) -> TextIndex:
+        """Index rows (id, text) as a segment; live rows with the same ids are replaced."""
+        rows = memories.where("id IS NOT NULL").select("id", "text")
+        if not rows.groupBy("id").count().where("count > 1").isEmpty():  # ids alone are compared; texts are shuffled only where some repeat
+            rows = rows.groupBy("id").agg(F.max("text").alias("text"))
+        number, at = self.manifest.fresh()
+        counted(spread(rows)).write.option("compression", "zstd").parquet(f"{at}/docs")
+        docs = self.manifest.read([number], "docs", _DOCS)
+        old = self._tombstones(docs.select("id"))
+        self.manifest.commit(add=[self._write(number, at, docs), *old])
+        return self
+
+    def _write(self, number: int, at: str, docs: DataFrame) -> dict:
+        """The tables of a segment whose `docs` are written; returns its row for the manifest."""
+        rows, texts, words = docs.agg(F.count("*"), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        sizes = docs.groupBy(_class().alias("c")).count().collect()  # a few classes of lengths
+        parts = F.create_map(*(F.lit(v).cast("long") for r in sizes for v in (r["c"], -(-r["count"] // BLOCK)))) if sizes else F.create_map().cast("map<bigint,bigint>")
+        own = _class()
+        block = own * (1 << 40) + F.pmod(F.xxhash64("id"), F.element_at(parts, own))
+        each = docs.select("id", "dl", block.alias("block"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).where(F.length("term") >= HEAD)
+        dealt = each.withColumn("bucket", bucket(F.col("term"))).select("term", "block", "id", "tf", "dl", "bucket")
+        # a bucket of frequent words is dealt to several tasks, which hold ranges of them
+        ranged = dealt.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        ranged.write.option("compression", "zstd").option("parquet.page.size", 64 << 10).partitionBy("bucket").parquet(f"{at}/postings")
+        kept = self.spark.read.schema(_POSTINGS).parquet(f"{at}/postings")
+        tops = kept.groupBy("bucket", "term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.count("*").alias("n"))
+        tops.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/blocks")
+        _prefixes(docs).repartitionByRange("bucket", "prefix").sortWithinPartitions("bucket", "prefix").write.partitionBy("bucket").parquet(f"{at}/prefixes")
+        return {"kind": "segment", "number": number, "segment": number, "rows": rows, "words": words, "texts": texts}
+
+    def delete(self, ids: DataFrame) -> TextIndex:
+        """Take rows (id) out."""
+        if old := self._tombstones(ids):
+            self.manifest.commit(add=old)
+        return self
+
+    def _tombstones(self, ids: DataFrame) -> list[dict]:
+        """Write tombstones of the live rows among ids, with the prefixes they take away; returns the rows for the manifest, one for each segment."""
+        live = self._live("docs", _DOCS)
+        if live is None:
+            return []
+        number, at = self.manifest.fresh()
+        live.join(ids.select(F.col("id").cast("string")).distinct(), "id", "left_semi").write.parquet(f"{at}/dead")
+        dead = self.spark.read.schema(_DOCS + ", segment long").parquet(f"{at}/dead")
+        found = dead.groupBy("segment").agg(F.count("*").alias("rows"), F.count("dl").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).collect()
+        if found:
+            of = [_prefixes(dead.where(F.col("segment") == r["segment"])).withColumn("segment", F.lit(r["segment"])) for r in found]
+            reduce(DataFrame.unionByName, of).sortWithinPartitions("bucket", "prefix").write.partitionBy("bucket").parquet(f"{at}/minus")
+        return [{"kind": "gone", "number": number, "segment": r["segment"], "rows": r["rows"], "words": r["words"], "texts": r["texts"]} for r in found]
+
+    def merge(self, below: int | None = None) -> TextIndex:
+        """Rewrite the segments of fewer than `below` live rows, all by default, as one without their tombstones."""
+        rows = self.manifest.rows()
+        live = {r["number"]: r["rows"] - sum(g["rows"] for g in rows if g["kind"] == "gone" and g["segment"] == r["number"]) for r in rows if r["kind"] == "segment"}
+        small = [n for n, k in live.items() if below is None or k < below]
+        if not small:
+            return self
+        docs = self._live("docs", _DOCS).where(F.col("segment").isin(small)).drop("segment")
+        number, at = self.manifest.fresh()
+        docs.write.option("compression", "zstd").parquet(f"{at}/docs")
+        new = self._write(number, at, self.manifest.read([number], "docs", _DOCS))
+        # tombstones of segments that stay are kept, row by row
+        kept = [r for r in rows if r["kind"] == "gone" and r["segment"] not in small]
+        self.manifest.commit(add=[new, *({k: r[k] for k in ("kind", "number", "segment", "rows", "words", "texts")} for r in kept)], drop=[*small, *(r["number"] for r in rows if r["kind"] == "gone")])
+        return self
+
+    # --- reading ---
+
+    def _parts(self) -> tuple[list[int], list[dict]]:
+        """The live segments, and the tombstones' rows of the manifest."""
+        rows = self.manifest.rows()
+        return [r["number"] for r in rows if r["kind"] == "segment"], [r for r in rows if r["kind"] == "gone"]
+
+    def _live(self, name: str, schema: str) -> DataFrame | None:
+        """The rows of a table of all segments, with their segment, without dead ids; None without segments."""
+        segments, gone = self._parts()
+        if not segments:
+            return None
+        rows = self.manifest.read(segments, name, schema)
+        if not gone:
+            return rows
+        dead = self.manifest.read(sorted({r["number"] for r in gone}), "dead", _DOCS + ", segment long").select("segment", "id")
+        return rows.join(F.broadcast(dead) if sum(r["rows"] for r in gone) <= BROADCAST_ROWS else dead, ["segment", "id"], "left_anti")
+
+    def numbers(self) -> tuple[int, float]:
+        """The number of live rows, and the mean number of words of those with a text."""
+        rows = self.manifest.rows()
+        n, words, texts = (sum(r[k] if r["kind"] == "segment" else -r[k] for r in rows) for k in ("rows", "words", "texts"))
+        return n, words / texts if texts else 0.0
 
     @property
     def stats(self) -> DataFrame:
         """One row (n, avgdl)."""
-        return self.spark.read.parquet(f"{self.path}/stats").select("n", "avgdl")
+        return self.spark.createDataFrame([self.numbers()], "n long, avgdl double")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("term string, id string, dl int, tf long, bucket int").parquet(f"{self.path}/postings")
+        """(term, id, tf, dl, ...) of the live rows."""
+        live = self._live("postings", _POSTINGS)
+        return self.spark.createDataFrame([], _POSTINGS + ", segment long") if live is None else live
+
+    def counts(self, terms: list[str]) -> dict[str, int]:
+        """The number of live rows with a word that begins with each term."""
+        segments, gone = self._parts()
+        out = dict.fromkeys(terms, 0)
+        short = [t for t in terms if len(t) <= LONGEST]
+        at = F.col("bucket").isin([bucket_of(t) for t in short]) & F.col("prefix").isin(short)
+        if segments and short:
+            told = self.manifest.read(segments, "prefixes", _PREFIXES).where(at).select("prefix", "df")
+            if gone:
+                less = self.manifest.read(sorted({r["number"] for r in gone}), "minus", _PREFIXES + ", segment long").where(at & F.col("segment").isin(segments))
+                told = told.unionByName(less.select("prefix", (-F.col("df")).alias("df")))
+            out.update(told.groupBy("prefix").agg(F.sum("df")).collect())
+        for t in terms:
+            if len(t) > LONGEST:
+                out[t] = self.postings().where((F.col("bucket") == bucket_of(t)) & F.col("term").startswith(t)).agg(F.countDistinct("id")).first()[0]
+        return out
+
+    def _of_terms(self, rows: DataFrame, terms: list[str]) -> DataFrame:
+        """Rows of words that begin with a term, with i, the term's number; a word may begin with several."""
+        found = [rows.where((F.col("bucket") == bucket_of(t)) & F.col("term").startswith(t)).withColumn("i", F.lit(i)) for i, t in enumerate(terms)]
+        return reduce(DataFrame.unionByName, found)
+
+    def _weights(self, terms: list[str]) -> tuple[list[float], float]:
+        """Each term's weight, and the mean length."""
+        n, mean = self.numbers()
+        df = self.counts(terms)
+        row = self.spark.range(1).select(*(F.greatest(F.log((F.lit(n) - F.lit(df[t]) + 0.5) / (F.lit(df[t]) + 0.5)), F.lit(1e-6)) for t in terms)).first()
+        return list(row), mean
+
+    @staticmethod
+    def _score(weights: list[float], mean: float, tf: list[Column], dl: list[Column], k1: float, b: float) -> Column:
+        parts = [w * t * (k1 + 1) / (t + k1 * (1 - b + b * d / F.lit(mean))) for w, t, d in zip(weights, tf, dl, strict=True)]
+        return reduce(lambda x, y: x + y, (F.when(t > 0, p).otherwise(0.0) for t, p in zip(tf, parts, strict=True)))
+
+    def _scored(self, found: DataFrame, terms: list[str], weights: list[float], mean: float, k1: float, b: float) -> DataFrame:
+        """(id, score) of postings of the query's terms."""
+        at = range(len(terms))
+        tf = found.groupBy("id").agg(F.first("dl").alias("dl"), *(F.sum(F.when(F.col("i") == i, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i in at))
+        return tf.select("id", F.round(self._score(weights, mean, [F.col(f"tf{i}") for i in at], [F.col("dl")] * len(terms), k1, b), 9).alias("score"))
 
     def bm25(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(id, score) of the rows with a word of the query; higher is better. Frequencies count all words that begin with a term."""
+        """(id, score) of all rows with a word of the query; higher is better. Frequencies count all words that begin with a term."""
         terms = text.query_terms(query)
-        if not terms:
+        if not terms or not self._parts()[0]:
             return self.spark.createDataFrame([], "id string, score double")
-        every = self.postings()
-        found = []
-        for i, t in enumerate(terms):
-            home = self.spark.range(1).select(bucket(F.lit(t), self.buckets)).first()[0]
-            found.append(every.where((F.col("bucket") == home) & F.col("term").startswith(t)).select("id", "dl", "tf", F.lit(i).alias("i")))
-        tf = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.first("dl").alias("dl"), *(F.sum(F.when(F.col("i") == i, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i in range(len(terms))))
-        df = tf.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-        parts = []
-        for i in range(len(terms)):
-            idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-            parts.append(idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-        scored = tf.crossJoin(F.broadcast(self.stats.crossJoin(df)))  # one row each
-        return scored.select("id", F.round(reduce(lambda x, y: x + y, parts), 9).alias("score"))
+        return self._scored(self._of_terms(self.postings(), terms), terms, *self._weights(terms), k1, b)
+
+    def bounds(self, terms: list[str], weights: list[float], mean: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(segment, block, bound, n): what a row of a block can get at most, and the postings of the terms in it."""
+        every = self._of_terms(self.manifest.read(self._parts()[0], "blocks", _BLOCKS), terms)
+        at = range(len(terms))
+        own = lambda i, c: F.when(F.col("i") == i, F.col(c))
+        tops = every.groupBy("segment", "block").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(own(i, "most")), F.lit(0)).alias(f"tf{i}") for i in at), *(F.coalesce(F.min(own(i, "least")), F.lit(1)).alias(f"dl{i}") for i in at))
+        # bounds are rounded up a little, scores to nine places
+        return tops.select("segment", "block", (self._score(weights, mean, [F.col(f"tf{i}") for i in at], [F.col(f"dl{i}") for i in at], k1, b) + 1e-8).alias("bound"), "n")
+
+    def best(self, query: str, limit: int, scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(id, score) of the best `limit` rows; `scope` (id) restricts them, not the statistics."""
+        return self.search(query, limit, scope, k1, b)[0]
+
+    def search(self, query: str, limit: int, scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, dict[str, int]]:
+        """best(), and what it took: the postings of the terms, and those in the blocks that are read."""
+        terms = text.query_terms(query)
+        if not terms or not self._parts()[0]:
+            return self.spark.createDataFrame([], "id string, score double"), {"postings": 0, "read": 0}
+        weights, mean = self._weights(terms)
+        tops = self.bounds(terms, weights, mean, k1, b)
+        found = self._of_terms(self.postings(), terms)
+
+        def ranked(blocks: DataFrame | None, few: list | None) -> DataFrame:
+            rows = found
+            if few is not None:  # block numbers reach the scan
+                rows = rows.where(F.col("block").isin(sorted({r["block"] for r in few})))
+            if blocks is not None:
+                rows = rows.join(blocks, ["segment", "block"], "left_semi")
+            scored = self._scored(rows, terms, weights, mean, k1, b)
+            scored = scored if scope is None else scored.join(scope.select(F.col("id").cast("string")), "id", "left_semi")
+            return scored.orderBy(F.desc("score"), "id").limit(limit)
+
+        first = tops.orderBy(F.desc("bound"), "segment", "block").limit(max(1, FIRST * limit // BLOCK)).select("block").collect()
+        kth = ranked(None, first).agg(F.when(F.count("*") == limit, F.min("score"))).first()[0] if first else None
+        total = tops.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if kth is None:
+            return ranked(None, None), {"postings": total[1], "read": total[1]}
+        open_ = tops.where(F.col("bound") >= kth)
+        n, read = open_.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        took = {"postings": total[1], "read": read}
+        if n <= LOOKUP:
+            return ranked(None, open_.select("block").collect()), took
+        return ranked(F.broadcast(open_) if n <= BROADCAST_ROWS else open_, None), took
+
+
+def build(memories: DataFrame, path: str) -> TextIndex:
+    """Write the index of memories (id, text) to a path in shared storage."""
+    return TextIndex(memories.sparkSession, path).append(memories)

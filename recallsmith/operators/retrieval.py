@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recallsmith.functions import scoring, text
 from recallsmith.operators import graph, hdc
+from recallsmith.operators.hamming import VectorIndex
 from recallsmith.operators.index import TextIndex, postings  # noqa: F401
 
 LANE_LIMIT, CANDIDATES, RRF_K = 200, 400, 60
@@ -56,8 +57,8 @@ def bm25(memories: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> D
 
 
 def lane_fts(memories: DataFrame, query: str, limit: int = LANE_LIMIT, index: TextIndex | None = None) -> DataFrame:
-    """The rows with the best keyword scores. With an index the scores are those of all rows it holds, and no text is read."""
-    scores = bm25(memories, query) if index is None else index.bm25(query).join(memories.select("id"), "id")
+    """The rows with the best keyword scores. With an index the scores are those of all rows it holds, no text is read, and blocks that can't be among the best are skipped."""
+    scores = bm25(memories, query) if index is None else index.best(query, limit, memories)
     return ranked(scores, "fts", limit, [F.desc("score"), F.asc("id")])
 
 
@@ -100,9 +101,10 @@ def lane_kg(memories: DataFrame, triples: DataFrame, query: str, limit: int = 20
     return cited.select("id", F.lit("kg").alias("lane"), F.lit(0.0).alias("score"), "rank")
 
 
-def lane_vsa(memories: DataFrame, vectors: DataFrame, query: str, limit: int = LANE_LIMIT) -> DataFrame:
-    """Rows in order of the hypervector score of the query; vectors are those of hdc.index()."""
-    return ranked(hdc.query(vectors.join(memories.select("id"), "id", "left_semi"), query), "vsa", limit, [F.desc("score"), F.asc("id")])
+def lane_vsa(memories: DataFrame, vectors: DataFrame | VectorIndex, query: str, limit: int = LANE_LIMIT) -> DataFrame:
+    """Rows in order of the hypervector score of the query; vectors are those of hdc.index(), or stored ones."""
+    scores = vectors.query(query, limit, memories) if isinstance(vectors, VectorIndex) else hdc.query(vectors.join(memories.select("id"), "id", "left_semi"), query)
+    return ranked(scores, "vsa", limit, [F.desc("score"), F.asc("id")])
 
 
 def taken(lanes: list[DataFrame]) -> DataFrame:
@@ -117,7 +119,7 @@ def _among(memories: DataFrame, ids: list[str]) -> DataFrame:
     return memories.where(F.col("id").isin(ids)) if ids else memories.limit(0)
 
 
-def hybrid_lanes(rows: DataFrame, query: str, embeddings: DataFrame | None, query_vector: DataFrame | None, vectors: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
+def hybrid_lanes(rows: DataFrame, query: str, embeddings: DataFrame | None, query_vector: DataFrame | None, vectors: DataFrame | VectorIndex | None = None, index: TextIndex | None = None) -> DataFrame:
     """The keyword, hypervector and recency lanes, and the dense lane over their candidates; lanes without what they need are off."""
     first = [lane_fts(rows, query, index=index), *([lane_vsa(rows, vectors, query)] if vectors is not None else []), lane_recency(rows)]
     lanes = taken(first)
@@ -143,7 +145,7 @@ def search(memories: DataFrame, query: str, as_of: str, embeddings: DataFrame |
     return graph.attach_relations(best.select("id", "tier", "score", "text"), triples).select("id", "tier", "score", "relations")
 
 
-def search_bundle(memories: DataFrame, query: str, as_of: str, embeddings: DataFrame | None = None, query_vector: DataFrame | None = None, vectors: DataFrame | None = None, limit: int = 10, index: TextIndex | None = None, **scope) -> tuple[DataFrame, DataFrame]:
+def search_bundle(memories: DataFrame, query: str, as_of: str, embeddings: DataFrame | None = None, query_vector: DataFrame | None = None, vectors: DataFrame | VectorIndex | None = None, limit: int = 10, index: TextIndex | None = None, **scope) -> tuple[DataFrame, DataFrame]:
     """vNext search: (results with strength and trigger in order of strength, traces by lane), of four lanes.
 
     The governor gets the lanes' own scores: the cosine as similarity, and the hypervector score.
@@ -206,7 +208,7 @@ def query_tokens(query: str) -> list[str]:
     return [t for t in re.findall(text.TOKEN, query.lower()) if len(t) > 1 and t not in text.STOPWORDS]
 
 
-def overlap_search(memories: DataFrame, query: str, limit: int = 20, vectors: DataFrame | None = None, working: DataFrame | None = None) -> DataFrame:
+def overlap_search(memories: DataFrame, query: str, limit: int = 20, vectors: DataFrame | VectorIndex | None = None, working: DataFrame | None = None) -> DataFrame:
     """Multi-tier search: candidates of the hypervector index, the semantic, episodic and working tiers and the token scan, in order of the
     share of the query's content tokens that they have; equal ones in the order they were found."""
     lanes = [*([lane_vsa(memories, vectors, query, limit).withColumn("lane", F.lit("vsa"))] if vectors is not None else []), lane_tier(memories, query, "semantic", limit), lane_tier(memories, query, "episodic", limit)]

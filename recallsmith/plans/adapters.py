@@ -8,6 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallsmith.operators.hamming import VectorIndex
 from recallsmith.operators.index import TextIndex, build
 
 AS_OF = "2024-02-01 00:00:00"
@@ -17,14 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one where it is unset and the master is local."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new local one, the same for all of an application, where it is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
-        root = tempfile.mkdtemp(prefix="recallsmith-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="recallsmith-"))
     return root.rstrip("/")
 
 
@@ -87,6 +91,19 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return TextIndex(spark, _INDEXES[key])
 
 
+_VECTORS: dict[tuple[str, str], str] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored hypervectors of memories below the session's shared folder, written when they are first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VECTORS:
+        path = f"{shared_root(spark)}/vectors-{uuid4().hex[:12]}"
+        VectorIndex(spark, path).append(memories(spark, sf_dir))
+        _VECTORS[key] = path
+    return VectorIndex(spark, _VECTORS[key])
+
+
 #: The same tables as DuckDB common table expressions.
 CTE = {
     "m": """m AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 < 8 THEN 'default' WHEN doc_id % 10 = 8 THEN 'system' ELSE 'other' END AS user_id, text,

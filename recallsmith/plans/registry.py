@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallsmith.functions import scoring, text
 from recallsmith.operators import consolidation, evaluation, graph, hdc, quality, retrieval, rules, sessions
-from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, text_index, triples
+from recallsmith.operators.hamming import VectorIndex
+from recallsmith.operators.index import TextIndex
+from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, text_index, triples, vector_index
 from recallsmith.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +89,21 @@ def lane_fts_scan(spark, d):
     return retrieval.lane_fts(memories(spark, d), TERMS)
 
 
+_STORE = "s AS (SELECT id, CASE WHEN tier = 'working' THEN lower(text) || ' thing again' ELSE text END AS text FROM m WHERE id NOT IN (SELECT id FROM meta WHERE is_deleted))"
+
+
+@query(f"{ctes('m', 'meta')}, {_STORE}, {_bm25('s')} SELECT * FROM {_FTS}")
+def fts_segments(spark, d):
+    """The keyword lane over an index that grew: three appends, the last of which replaces rows, with deletes and merges between them."""
+    m, gone = memories(spark, d), meta(spark, d).where("is_deleted")
+    index = TextIndex(spark, f"{shared_root(spark)}/index-{uuid4().hex[:12]}")
+    index.append(m.where("tier <> 'semantic'")).delete(gone)
+    index.append(m.where("tier = 'semantic'"))
+    index.merge().append(m.where("tier = 'working'").join(gone, "id", "left_anti").withColumn("text", F.concat(F.lower("text"), F.lit(" thing again"))))
+    index.delete(gone)
+    return retrieval.ranked(index.best(TERMS, 200), "fts", 200, [F.desc("score"), F.asc("id")])
+
+
 @query(f"{ctes('m')}, {_bm25('m')}, l AS (SELECT * FROM {_FTS} UNION ALL SELECT * FROM {_RECENT.format(s='m')}) SELECT id, round(sum(CASE lane WHEN 'fts' THEN 1.0 ELSE 0.5 END / (60 + rank)), 9) AS score FROM l GROUP BY id")
 def rrf_fuse(spark, d):
     m = memories(spark, d)
@@ -148,7 +166,7 @@ def search_bundle_three_lanes(spark, d):
 def search_vnext(spark, d):
     """All four lanes; hypervectors are made of hashes that SQL lacks, so tests hold it against brute force."""
     m = memories(spark, d)
-    return retrieval.search_bundle(m, TERMS, AS_OF, _vectors(spark, d), _vector_of(spark, d), hdc.index(m), index=text_index(spark, d), user="default", filters={"type": "en"})[0]
+    return retrieval.search_bundle(m, TERMS, AS_OF, _vectors(spark, d), _vector_of(spark, d), vector_index(spark, d), index=text_index(spark, d), user="default", filters={"type": "en"})[0]
 
 
 @query(f"{ctes('m')} SELECT id, user_id, module, type FROM m WHERE module = 'src3' AND type = 'en' AND user_id IN ('default', 'system')")
@@ -740,13 +758,12 @@ def hdc_bind_inverse(spark, d):
 @query()
 def vsa_query(spark, d):
     """The reference's own limits hold: 32 entities of a text, 64 terms of a vector, the best 200 rows."""
-    m = memories(spark, d)
-    return retrieval.lane_vsa(m, hdc.index(m), TERMS).select("id", "score", "rank")
+    return retrieval.lane_vsa(memories(spark, d), vector_index(spark, d), TERMS).select("id", "score", "rank")
 
 
 @query(f"SELECT (SELECT count(*) FROM documents) AS indexed_memories, CAST(sum(len(x)) AS BIGINT) AS total_entities, (SELECT count(*) FROM documents) AS stored_vectors, (SELECT count(DISTINCT u) FROM (SELECT unnest(x) AS u FROM (SELECT (list_filter(y, lambda v, i: list_position(y, v) = i)[1:32]) AS x FROM (SELECT {_ENTITIES} AS y FROM documents)))) AS unique_concepts FROM (SELECT (list_filter(y, lambda v, i: list_position(y, v) = i)[1:32]) AS x FROM (SELECT {_ENTITIES} AS y FROM documents))")
 def vsa_stats(spark, d):
-    return hdc.stats(hdc.index(memories(spark, d)))
+    return vector_index(spark, d).stats()
 
 
 @query(f"SELECT doc_id, p[1] AS subject, p[2] AS object, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(generate_series(1, len(x) - 1), lambda i: [x[i], x[i + 1]])) AS p FROM (SELECT doc_id, (list_filter(y, lambda v, i: list_position(y, v) = i)[1:32]) AS x FROM (SELECT doc_id, {_ENTITIES} AS y FROM documents))) GROUP BY ALL")
@@ -755,13 +772,17 @@ def vsa_near_pairs(spark, d):
     return pairs.groupBy("doc_id", "p.subject", "p.object").agg(F.count("*").alias("n"))
 
 
-@query(f"{ctes('m', 'meta')} SELECT id, is_deleted FROM meta WHERE CAST(id AS BIGINT) % 10 < 3 AND NOT is_deleted")
+_IDENTIFIERS = f"SELECT CAST(doc_id AS VARCHAR) AS id, (list_filter(y, lambda v, i: list_position(y, v) = i)[1:32]) AS x FROM (SELECT doc_id, {_ENTITIES} AS y FROM documents)"
+
+
+@query(f"{ctes('m', 'meta')} SELECT id, array_to_string(x, ' ') AS entities FROM ({_IDENTIFIERS}) WHERE id NOT IN (SELECT id FROM meta WHERE is_deleted)")
 def vsa_unindex_backfill(spark, d):
-    """An index of some rows without the deleted ones, and with what it lacks of the others."""
-    m, gone = memories(spark, d).where("CAST(id AS BIGINT) % 10 < 3"), meta(spark, d).where("is_deleted")
-    part = hdc.unindex(hdc.index(m.where("CAST(id AS BIGINT) % 10 < 2")), gone)
-    full = hdc.backfill(part, m.join(gone.select("id"), "id", "left_anti"), 1 << 30)
-    return full.select("id", F.lit(False).alias("is_deleted"))
+    """Stored vectors of one tier of memories, with the deleted ones taken out, and filled up with all that is missing and not deleted."""
+    m, gone = memories(spark, d), meta(spark, d).where("is_deleted")
+    index = VectorIndex(spark, f"{shared_root(spark)}/vectors-{uuid4().hex[:12]}", 16)
+    index.append(m.where("tier = 'semantic'")).delete(gone)
+    index.backfill(m.join(gone.select("id"), "id", "left_anti"), 1 << 30).merge()
+    return index.near().select("id", F.array_join("entities", " ").alias("entities"))
 
 
 @query("SELECT n_nationkey AS id, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
