@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from recallsmith.functions import scoring, text
+from recallsmith.operators import cosine_join
+from recallsmith.sources.manifest import checkpoint_folder
 
 THRESHOLD = 0.92
-#: All-pairs comparison is exact but quadratic; beyond this many vectors use blocks or projections.
-EXACT_VECTORS = 20_000
 #: Random projections: tables and signs in each. Two vectors at cosine .92 meet in some table with a chance of 99.4 %.
 TABLES, SIGNS = 24, 12
 #: Members of a part of a block; the parts of larger blocks meet two by two.
@@ -30,12 +30,6 @@ def candidates(memories: DataFrame, embeddings: DataFrame, meta: DataFrame, as_o
     return rows.select("id", "text").join(embeddings.select("id", "embedding"), "id", "left").where(F.size("embedding") > 0)
 
 
-def _unit(vectors: DataFrame, *keep: str) -> DataFrame:
-    """(id, keep, v): vectors of length 1; zero vectors are like nothing and drop out."""
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    return vectors.withColumn("n", norm).where("n > 0").select("id", *keep, F.expr("transform(embedding, x -> cast(x as double) / n)").alias("v"))
-
-
 def _dot(v: str, w: str):
     return F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -43,17 +37,22 @@ def _dot(v: str, w: str):
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: str | None = None) -> DataFrame:
     """(a, b, sim) with a < b and cosine >= threshold; vectors (id, embedding[, block]).
 
-    Vectors are normed once. With a block column only pairs of one block are compared (approximate where blocks lose
-    pairs); without, all pairs are, which is refused beyond EXACT_VECTORS rows: see near_pairs().
+    With a block column only pairs of one block are compared (approximate where blocks lose pairs); without, all are: see cosine_join. Copies of a
+    vector are paired with all that it is similar to, and with each other; where many are equal, similar_classes() tells the same in fewer rows.
     """
-    unit = _unit(vectors, *([block] if block else []))
-    if block is None:
-        if (n := unit.count()) > EXACT_VECTORS:
-            raise ValueError(f"{n} vectors: give a block column, or use near_pairs()")
-        pairs = unit.join(unit.select(F.col("id").alias("b"), F.col("v").alias("w")), F.col("id") < F.col("b"))
-    else:
-        pairs = _within(unit.withColumnRenamed(block, "block"))
-    return pairs.withColumn("sim", F.round(_dot("v", "w"), 6)).where(F.col("sim") >= threshold).select(F.col("id").alias("a"), "b", "sim")
+    if block is not None:
+        unit = cosine_join.unit_vectors(vectors, block).withColumnRenamed(block, "block").select("id", "block", "v")
+        return _within(unit).withColumn("sim", F.round(_dot("v", "w"), 6)).where(F.col("sim") >= threshold).select(F.col("id").alias("a"), "b", "sim")
+    heads, copies = cosine_join.classes(vectors)
+    found = cosine_join.similar_heads(heads, threshold)
+    if copies.isEmpty():
+        return found
+    members = copies.select("a", F.col("b").alias("id")).unionByName(copies.select("a", F.col("a").alias("id")).distinct())
+    of = lambda side, name: members.select(F.col("a").alias(side), F.col("id").alias(name))
+    each = found.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "sim")
+    ends = F.array(F.lit(1.0))
+    within = _within(members.select("id", F.col("a").alias("block"), ends.alias("v"))).select(F.col("id").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("sim"))
+    return each.unionByName(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
 
 
 def _within(rows: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
 
     Equal vectors meet as one, so copies are no block of their own: each copy is paired with the least id of its vector, and that one with others.
     """
-    unit = _unit(vectors).withColumn("h", F.xxhash64("v"))
+    unit = cosine_join.unit_vectors(vectors).select("id", "v").withColumn("h", F.xxhash64("v"))
     heads = unit.groupBy("h").agg(F.min("id").alias("a"))
     named = unit.join(heads, "h")
     copies = named.where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
@@ -102,13 +101,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
 
 def clusters(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, cluster): the least id that can be reached over pairs; each round is checkpointed, so lineage stays short."""
-    spark = pairs.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recallsmith-"))
+    checkpoint_folder(pairs.sparkSession)
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("cluster")).checkpoint()
     for _ in range(most_rounds):

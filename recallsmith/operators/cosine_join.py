@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallsmith.sources.manifest import checkpoint_folder
+
 #: Vectors of a part, visitors of a task, and pivots.
 PART, VISITORS, PIVOTS = 2048, 1 << 16, 256
 
@@ -67,7 +69,7 @@ def _by_length(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, pa.RecordBatch
 def _fit(heads: DataFrame, reach: float, pivots: int) -> dict[int, Cells]:
     """The cells of heads (id, v) by the length of vectors; the driver gets the pivots, a radius for each, and the size of each ring."""
     count = heads.count()
-    wanted = int(min(pivots, max(1, math.isqrt(count) // 2)))
+    wanted = min(pivots, max(1, 2 * math.isqrt(count)))
     chosen = [np.array(r["v"]) for r in heads.orderBy(F.xxhash64("id"), "id").select("v").limit(wanted).collect()]
     cells = {d: Cells(np.array([p for p in chosen if len(p) == d]), reach) for d in {len(p) for p in chosen}}
 
@@ -180,6 +182,7 @@ def _met(visits: DataFrame, threshold: float) -> DataFrame:
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(heads, copies): the least id (id, v) of each different vector, and (a, b), each other id with the head of its vector."""
+    checkpoint_folder(vectors.sparkSession)
     unit = unit_vectors(vectors)
     groups = unit.groupBy("embedding").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.first("v").alias("v")).checkpoint()
     several = groups.where("z > a").select("embedding", "a")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallsmith.functions import scoring, text
-from recallsmith.operators import consolidation, evaluation, graph, hdc, quality, retrieval, rules, sessions
+from recallsmith.operators import consolidation, cosine_join, evaluation, graph, hdc, quality, retrieval, rules, sessions
 from recallsmith.operators.hamming import VectorIndex
 from recallsmith.operators.index import TextIndex
 from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, text_index, triples, vector_index
@@ -513,6 +513,13 @@ def similar_pairs(spark, d):
     return consolidation.similar_pairs(_vectors(spark, d), 0.40)
 
 
+@query("""WITH h AS (SELECT min(CAST(vec_id AS VARCHAR)) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY embedding), p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM h a JOIN h b ON a.id < b.id)
+  SELECT * FROM p WHERE sim >= 0.36 UNION ALL SELECT h.id, CAST(e.vec_id AS VARCHAR), 1.0 FROM h JOIN embeddings e ON CAST(e.embedding AS DOUBLE[]) = h.v WHERE CAST(e.vec_id AS VARCHAR) <> h.id""")
+def similar_classes(spark, d):
+    """Similar pairs of different vectors, and each copy with the least id of its vector."""
+    return cosine_join.similar_classes(_vectors(spark, d), 0.36)
+
+
 @query(f"WITH {_PAIRS.format(t=0.30)} SELECT q.* FROM q JOIN embeddings x ON CAST(x.vec_id AS VARCHAR) = a JOIN embeddings y ON CAST(y.vec_id AS VARCHAR) = b WHERE x.label = y.label")
 def similar_pairs_blocked(spark, d):
     return consolidation.similar_pairs(_vectors(spark, d), 0.30, "label")

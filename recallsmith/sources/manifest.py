@@ -6,6 +6,7 @@ whole or not at all; a writer that dies half-way leaves folders that no manifest
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -21,6 +22,17 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make checkpoint() usable: in the folder that spark.checkpoint.dir names, else, if the master is local, in a new local one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+    context.setCheckpointDir(root or tempfile.mkdtemp(prefix="recallsmith-"))
+
+
 class Manifest:
     """The manifests below a path: rows (kind, number, folder, segment, rows, words, texts)."""
 
