@@ -24,14 +24,17 @@ FEWEST = 4
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new local one, if the master is local too."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new local one, the same for all of an application, if the master is local too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
-        root = tempfile.mkdtemp(prefix="recallsmith-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="recallsmith-"))
     return root.rstrip("/")
 
 
