@@ -69,7 +69,7 @@ def _by_length(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, pa.RecordBatch
 def _fit(heads: DataFrame, reach: float, pivots: int) -> dict[int, Cells]:
     """The cells of heads (id, v) by the length of vectors; the driver gets the pivots, a radius for each, and the size of each ring."""
     count = heads.count()
-    wanted = min(pivots, max(1, 2 * math.isqrt(count)))
+    wanted = min(pivots, max(1, 4 * count // PART))  # cells of a quarter of a part: smaller ones cost more visits than they prune
     chosen = [np.array(r["v"]) for r in heads.orderBy(F.xxhash64("id"), "id").select("v").limit(wanted).collect()]
     cells = {d: Cells(np.array([p for p in chosen if len(p) == d]), reach) for d in {len(p) for p in chosen}}
 
