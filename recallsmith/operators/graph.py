@@ -11,11 +11,39 @@ from recallsmith.functions import scoring, text
 CAUSAL = ("caused_by", "fixed_by", "introduced_by", "blocked_by", "depends_on")
 
 
-def valid_at(day: str) -> Column:
+def valid_at(day: str | Column) -> Column:
     """Closed validity interval, open where a bound is missing; dates compare as text, so partial dates work."""
     return (F.col("valid_from").isNull() | (F.col("valid_from") <= day)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day))
 
 
+#: Months of a bucket of time that instants and validity intervals are joined by.
+BUCKET_MONTHS = 6
+
+
+def _bucket(day: Column) -> Column:
+    """The bucket of time of a date text, which may lack its day or month; null if it begins with no year."""
+    year, month = F.substring(day, 1, 4), F.regexp_extract(day, r"^[0-9]{4}-([0-9]{2})", 1)
+    months = year.try_cast("int") * 12 + F.coalesce(month.try_cast("int"), F.lit(1)) - 1
+    return F.when(day.rlike("^[0-9]{4}"), F.floor(months / BUCKET_MONTHS).cast("int"))
+
+
+def as_of_batch(triples: DataFrame, instants: DataFrame) -> DataFrame:
+    """(subject, day, predicate, object, valid_from, valid_to): the facts about each subject that are valid on each of its days; instants (subject, day).
+
+    Facts are dealt to the buckets of time that they cover, between the first and the last day that is asked for, and a day lies in one bucket; so the join is by subject and
+    bucket, a pair meets once, and a subject with many facts and days is split by time. Bounds are those of valid_at(): closed, open where missing, compared as text.
+    Days without a year give no row, as do null subjects; a bound without a year counts as missing when facts are dealt out, and as text when they are compared. Repeated instants are one.
+    """
+    asked = instants.select("subject", "day").distinct().withColumn("bucket", _bucket(F.col("day"))).where("bucket IS NOT NULL AND subject IS NOT NULL")
+    low, high = asked.agg(F.min("bucket"), F.max("bucket")).first()
+    if low is None:
+        return asked.drop("bucket").join(triples.select("subject", "predicate", "object", "valid_from", "valid_to").limit(0), "subject")
+    first, last = (F.greatest(F.lit(low), F.coalesce(_bucket(F.col("valid_from")), F.lit(low))), F.least(F.lit(high), F.coalesce(_bucket(F.col("valid_to")), F.lit(high))))
+    facts = triples.select("subject", "predicate", "object", "valid_from", "valid_to", first.alias("first"), last.alias("last")).where("first <= last")
+    dealt = facts.withColumn("bucket", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return asked.join(dealt, ["subject", "bucket"]).where(valid_at(F.col("day"))).drop("bucket")
+
+
 def names(entities: DataFrame, role: str) -> DataFrame:
     """(role, role_name) of entities, to join edges with."""
     return entities.select(F.col("id").alias(role), F.col("name").alias(f"{role}_name"))

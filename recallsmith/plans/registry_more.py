@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from recallsmith.functions import scoring, text
 from recallsmith.operators import attention, consolidation, graph, hdc, retrieval, rules, sessions
-from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, table, triples
+from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, triples
 from recallsmith.plans.registry import _ENTITIES, _events, _extractions, _redacted, _vectors, query
 from recallsmith.sources import readers
+from recallsmith.streaming import consumer, state
 from recallsmith.streaming import events as streams
 
 # --- row access ---------------------------------------------------------------------------------------------------
@@ -419,3 +422,38 @@ def near_pairs_projected(spark, d):
     v = _vectors(spark, d).select("id", "embedding")
     turned = v.select(F.concat("id", F.lit("c")).alias("id"), F.transform("embedding", lambda x, i: F.when(i % 8 == 0, x * 0.6).otherwise(x).cast("float")).alias("embedding"))
     return consolidation.near_pairs(v.unionByName(turned))
+
+
+# --- streams with state, joins over time ----------------------------------------------------------------------------
+
+
+def _logical(spark, d):
+    return streams.logical(table(spark, d, "events"))
+
+
+def _fresh(spark, tag):
+    return f"{shared_root(spark)}/{tag}-{uuid4().hex[:12]}"
+
+
+@query("SELECT user_id AS session_id, count(*) AS n, count(*) FILTER (contains(event_type, 'error')) AS errors, max(ts) AS last_event_at FROM events GROUP BY 1")
+def consumed_sessions(spark, d):
+    """Session figures that a consumer keeps of a stream of four batches, the older of which are folded."""
+    c = consumer.Consumer(spark, _fresh(spark, "consumer"))
+    c.start(consumer.in_files(_logical(spark, d), f"{c.path}/in"), f"{c.path}/state").awaitTermination()
+    c.compact(1)
+    return c.sessions().withColumn("last_event_at", F.col("last_event_at").cast("timestamp_ntz"))
+
+
+@query("""SELECT owner, id FROM (SELECT CAST(user_id % 5 AS VARCHAR) AS owner, CAST(event_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY epoch_us(ts) / 1e6 + 0.3 * least(event_id % 13 / 10.0, 1.0) DESC, event_id) AS r FROM events) WHERE r <= 100""")
+def l1_working_memory_stream(spark, d):
+    """Working memory as state: a stream of four batches leaves what the batch query tells."""
+    put = _logical(spark, d).select((F.col("session_id") % 5).cast("string").alias("owner"), F.col("event_id").cast("string").alias("id"), F.lit("put").alias("kind"), F.col("event_type").alias("content"), (F.col("event_id") % 13 / 10).alias("importance"), F.col("created_at").alias("at"), "event_id")
+    path = _fresh(spark, "memory")
+    return state.current(streams.drain(state.working_memory(consumer.in_files(put, f"{path}/in")), path)).select("owner", "id")
+
+
+@query(f"{ctes('t')} SELECT DISTINCT r.subject, r.day, predicate, object FROM (SELECT DISTINCT 'customer_' || o_custkey AS subject, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders) r JOIN t ON t.subject = r.subject AND (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to >= day)")
+def kg_as_of_batch(spark, d):
+    """The facts about each customer on the days of its orders."""
+    days = table(spark, d, "orders").select(F.concat(F.lit("customer_"), "o_custkey").alias("subject"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return graph.as_of_batch(triples(spark, d), days).select("subject", "day", "predicate", "object").distinct()
