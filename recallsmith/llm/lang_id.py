@@ -10,7 +10,6 @@ count each; other columns pass by unread.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,6 @@ DIMENSIONS = 1 << 12
 SAMPLE_PER_LANGUAGE = 300
 #: Values of `lang` that are learned at most, the most frequent ones: machines are trained for each pair within a family.
 MOST_LANGUAGES = 64
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 18
 
 
@@ -109,7 +107,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score) of a whole text."""
-        if not text or self.top is None or not _LETTER.search(text):
+        if not text or self.top is None or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         x = _unit(gram_counts(text))
         family, sure = self.top.decide(x)
