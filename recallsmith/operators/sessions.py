@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallsmith.sources.manifest import checkpoint_folder
+
 
 def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"), F.max("created_at").alias("last_event_at"))
@@ -129,19 +131,24 @@ def begin(sessions: DataFrame, workspace: str, at: str, parent: str | None = Non
     return closed.unionByName(new, allowMissingColumns=True)
 
 
-def ancestors(sessions: DataFrame, most: int = 20) -> DataFrame:
-    """(id, ancestor, depth) of the parent chain of each session, up to `most` steps."""
+def ancestors(sessions: DataFrame, most: int = 200) -> DataFrame:
+    """(id, ancestor, depth) of the whole parent chain of each session; chains of over `most` steps, as a circle is, raise an error."""
+    from functools import reduce
+
     step = sessions.where("parent_session_id IS NOT NULL").select("id", F.col("parent_session_id").alias("ancestor"))
     now, out = step.withColumn("depth", F.lit(1)), []
     up = step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
-    for depth in range(1, most + 1):
+    checkpoint_folder(sessions.sparkSession)
+    while True:
         out.append(now)
-        now = now.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth + 1).alias("depth"))
+        depth = len(out) + 1
+        now = now.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
+        if depth % 8 == 0:  # long chains don't grow the plan
+            now = now.checkpoint()
         if now.isEmpty():
-            break
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, out)
+            return reduce(DataFrame.unionByName, out)
+        if depth > most:
+            raise ValueError(f"a session has over {most} ancestors")
 
 
 def snapshot(events: DataFrame, goals: DataFrame, memory: DataFrame, recent: int = 25) -> DataFrame:
