@@ -350,6 +350,45 @@ def test_decontamination_equals_all_alignments(spark):
     assert got <= want and len(got) >= 0.99 * len(want) and {(900, 40), (900, 41), (901, 42)} <= got
 
 
+def test_decontamination_of_words_put_in_left_out_and_replaced(spark):
+    rng = np.random.default_rng(11)
+    items = [(k, " ".join(f"w{k}x{x}" if k % 3 else f"w{x % 40}" for x in range(n))) for k, n in enumerate([7, 8, 9, 10, 12, 15, 20, 24, 31, 60] * 3)]
+    docs, made = [(-1, None), (-2, "")], 0
+    for k, t in items:
+        w = t.split()
+        for step in (2, 3, 4, 5):
+            made += 1
+            docs.append((made, "a b c " + " ".join(x + (" foreign" if i % step == step - 1 else "") for i, x in enumerate(w)) + " d e"))
+            made += 1
+            docs.append((made, " ".join(x for i, x in enumerate(w) if i % step != step - 1)))
+            made += 1
+            docs.append((made, " ".join("foreign" if i % step == step - 1 else x for i, x in enumerate(w))))
+        for rate in (0.1, 0.2, 0.3, 0.4, 0.5):
+            out = []
+            for x in w:
+                r, kind = rng.random(), rng.integers(0, 3)
+                out += [x] if r >= rate else [[], ["other"], [x, "more"]][kind]
+            made += 1
+            docs.append((made, "x y " * int(rng.integers(0, 9)) + " ".join(out)))
+    f = decontam.Finder(decontam.Items(items))
+    want = {(d, k) for d, t in docs for k, w in zip(f.items.ids, f.items.words) if decontam.align(w, f.items.numbers(t))[0] >= 0.5}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 300
+    odd = spark.createDataFrame([(None, items[9][1])], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contamination(odd, spark.createDataFrame([(None, items[9][1])], "item_id long, text string")).collect()] == [(None, None)]
+
+
+def test_fewest_seeds_is_a_lower_bound():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        m, least = int(rng.integers(3, 40)), float(rng.choice([0.5, 0.6, 0.8]))
+        keep = np.sort(rng.choice(m, int(rng.integers(2, m + 1)), replace=False))
+        gaps = [max(int(b - a) - 1, int(rng.integers(0, 4))) for a, b in zip(keep[:-1], keep[1:])]
+        if 2 * len(keep) - sum(gaps) >= 2 * least * m:
+            assert sum(a + b <= 2 for a, b in zip(gaps[:-1], gaps[1:])) >= decontam.fewest_seeds(m, least)
+
+
 def brute_spans(t):
     def luhn(d):
         return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
