@@ -4,8 +4,9 @@ A linear support vector machine for each pair of language families tells the fam
 support vector machines separate the related languages. Features are hashed byte n-grams of the whole lower-cased text.
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text if there is nothing to learn from; a
-language that no family lists belongs to the family `other`; beyond MOST_LANGUAGES values the rarest are not learned; repeated rows
-count each; other columns pass by unread.
+language that no family lists belongs to the family `other`, or, if there are more than FAMILY_SIZE of these, to one of several such families of
+like languages; every value of `lang` is learned, from fewer rows each where there are very many; repeated rows
+count each; a null id passes through; very long texts are read whole, in chunks; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ UNDETERMINED = "und"
 DIMENSIONS = 1 << 12
 #: Training takes about this many labelled documents of each language, chosen by a hash of id and text.
 SAMPLE_PER_LANGUAGE = 300
-#: Values of `lang` that are learned at most, the most frequent ones: machines are trained for each pair within a family.
-MOST_LANGUAGES = 64
+#: Training takes about this many labelled documents in all.
+SAMPLE_ROWS = 20_000
+#: Languages of a family that is formed here, of those that FAMILIES doesn't list: machines are trained for each pair within a family.
+FAMILY_SIZE = 16
 _CHUNK = 1 << 18
 
 
@@ -96,12 +99,25 @@ class OneVersusOne:
         return self.labels[best], float(1 / (1 + np.exp(-4 * least[best])))
 
 
+def other_families(x: np.ndarray, langs: np.ndarray, unlisted: list[str]) -> dict[str, str]:
+    """The family of each language that FAMILIES doesn't list: the first one left and those whose mean features are the nearest to its own."""
+    if len(unlisted) <= FAMILY_SIZE:
+        return dict.fromkeys(unlisted, "other")
+    means, left, out = {v: _unit(np.square(x[langs == v].mean(0))) for v in unlisted}, list(unlisted), {}
+    while left:
+        mine = sorted(left, key=lambda v: (v != left[0], -float(means[left[0]] @ means[v]), v))[:FAMILY_SIZE]
+        out |= dict.fromkeys(mine, f"other {left[0]}")
+        left = [v for v in left if v not in mine]
+    return out
+
+
 class LanguageModel:
     """Family first, then the language within it."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray, families: dict[str, list[str]] = FAMILIES) -> None:
         of = {lang: family for family, members in families.items() for lang in members}
-        family = np.array([of.get(v, "other") for v in langs])
+        of |= other_families(x, langs, sorted(set(langs) - set(of)))
+        family = np.array([of[v] for v in langs])
         self.top = OneVersusOne(sorted(set(family)), x, family) if len(langs) else None
         self.within = {f: OneVersusOne(sorted(set(langs[family == f])), x[family == f], langs[family == f]) for f in sorted(set(family))}
 
@@ -118,10 +134,11 @@ class LanguageModel:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from a bounded sample of the rows with a language; `per_language` bounds what the driver gets."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), np.array([], object))
-    sample = sampled(known, "lang", counts, per_language, "id", "text").select("lang", "text")
+    per_language = max(1, min(per_language, SAMPLE_ROWS // len(counts)))
+    sample = sampled(known, "lang", counts, per_language, "id", "text").select("lang", "text", F.xxhash64("id", "text").alias("h"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lighten()
@@ -131,9 +148,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 c = gram_counts(t)
                 at = np.flatnonzero(c)
                 out.append(at.astype("<u4").tobytes() + c[at].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["lang", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["lang", "grams", "h"])
 
-    got = sample.mapInArrow(run, "lang string, grams binary").limit(2 * per_language * len(counts)).toPandas().sort_values(["lang", "grams"])
+    # repeated rows share a hash and may outgrow the sample; which of them stay makes no difference
+    got = sample.mapInArrow(run, "lang string, grams binary, h long").orderBy("h", "lang", "grams").limit(2 * per_language * len(counts)).toPandas().sort_values(["lang", "grams"])
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     for i, data in enumerate(got["grams"]):
         at, c = np.frombuffer(data, "<u4").reshape(2, -1)

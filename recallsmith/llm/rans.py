@@ -9,8 +9,8 @@ decoded and checked by itself, in any order, on any machine.
 The file format is a folder of Parquet files (Spark's committer makes them appear whole or not at all): `freq` holds the
 table, `blocks` one row per block with its payload, in one folder per range of document ids, in ascending order.
 
-Cases: a null text counts as empty and gives the end id only; ties of doc_id are ordered by a hash of the text; an empty table gives
-no blocks; a frequency that rounds to nothing is kept at one; other columns are not read.
+Cases: a null text counts as empty and gives the end id only; ties of doc_id are ordered by a hash of the text; null ids come first and stay null; very long texts are
+encoded whole, in a block of their own size; an empty table gives no blocks; a frequency that rounds to nothing is kept at one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
 
         part, at, counts = TaskContext.get().partitionId(), 0, np.zeros(1 << 16, np.int64)
         tok = tokenizer(tokenizer_file)
-        docs_, lens, parts, size = [], [], [], 0
+        docs_, lens, parts, size = [], [], [], 0  # docs_: Arrow arrays, so null ids stay null
         schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("docs", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("ids", pa.binary()), ("n", pa.int64()), ("counts", pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())])))])
 
         def row(tail=None):
@@ -174,17 +174,20 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
             small = ids.astype("<u2") if len(ids) == 0 or ids.max() < 1 << 16 else ids.astype("<u4")
             at += len(ids)
             tail = [{"id": int(i), "n": int(counts[i])} for i in np.flatnonzero(counts)] if tail else None
-            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (docs_, lens)]
-            return pa.RecordBatch.from_pylist([{"part": part, "at": at - len(ids), "docs": flat[0], "lens": flat[1], "ids": bytes([small.itemsize]) + small.tobytes(), "n": len(ids), "counts": tail}], schema=schema)
+            made = [part, at - len(ids), None, np.concatenate([np.zeros(0, np.int64), *lens]), bytes([small.itemsize]) + small.tobytes(), len(ids), tail]
+            cols = [pa.array([v], f.type) for v, f in zip(made, schema, strict=True)]
+            flat = pa.concat_arrays([pa.array([], pa.int64()), *docs_])
+            cols[2] = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for b in it:
-            names = b.column(0).to_numpy(zero_copy_only=False)
+            names = b.column(0)
             for first, ids, ends in tok.columns(b.column(1), end_id):
                 i = 0
                 while i < len(ends):  # a block closes with the document that fills it
                     begun = int(ends[i - 1]) if i else 0
                     j = min(len(ends), int(np.searchsorted(ends, begun + BLOCK_IDS - size)) + 1)
-                    docs_.append(names[first + i : first + j])
+                    docs_.append(names.slice(first + i, j - i))
                     lens.append(np.diff(ends[i:j], prepend=begun))
                     parts.append(ids[begun : int(ends[j - 1])])
                     size += len(parts[-1])

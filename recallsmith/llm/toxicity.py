@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from a bounded sample of graded rows (id, grade); `per_grade` bounds what the driver gets."""
     graded = labels.where(F.col("grade").isNotNull()).select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade"))
     counts = {r[0]: r[1] for r in graded.groupBy("grade").count().collect()}
-    chosen = sampled(graded, "grade", counts, per_grade, "id").limit(4 * per_grade * max(1, len(counts)))
+    chosen = sampled(graded, "grade", counts, per_grade, "id").orderBy(F.xxhash64("id"), "id", "grade").limit(4 * per_grade * max(1, len(counts)))
     # the sample is bounded by its parameter, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(sorted(features_of(t))) for t in b.column(1).to_pylist()], pa.string())], ["id", "grade", "words"])
 
-    got = texts.mapInArrow(run, texts.select("id", "grade").schema.add("words", "string")).toPandas().sort_values(["id", "words"])
+    got = texts.mapInArrow(run, texts.select("id", "grade").schema.add("words", "string")).orderBy(F.xxhash64("id", "words"), "id", "grade", "words").limit(4 * per_grade * max(1, len(counts))).toPandas().sort_values(["id", "words"])
     return SeverityModel.fit([set(w.split()) for w in got["words"]], got["grade"].to_numpy(np.int64))
 
 

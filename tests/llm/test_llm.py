@@ -110,6 +110,15 @@ def test_token_files(spark, sf, docs, odd, empty, tmp_path):
         assert rans.read_token_files(spark, f"file://{tmp_path}/{name}").count() == df.count()
 
 
+def test_token_files_with_null_and_large_ids(spark, tmp_path):
+    path, big = tokens.tokenizer_path("word_bpe_49k.json"), (1 << 53) + 1
+    df = spark.createDataFrame([(None, "one two"), (big, "three"), (None, None), (-5, "four five six")], "doc_id long, text string")
+    rans.write_token_files(spark, df, f"file://{tmp_path}/nulls", path)
+    rows = sorted(rans.read_token_files(spark, f"file://{tmp_path}/nulls").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, -5, big]
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(4)] and all(len(r.ids) == 4 * r.n_tokens for r in rows)
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 64, 5000, 70_000, 200_001):

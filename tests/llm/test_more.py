@@ -90,11 +90,22 @@ def test_grams_and_decisions(spark, monkeypatch):
 
 
 def test_many_and_odd_language_values(spark, monkeypatch):
-    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 5)
     rows = [(i, f"{chr(97 + i % 7) * 3} {chr(97 + i % 7) * 4} words", f"x{i % 7}" if i % 7 < 6 else "") for i in range(210)] + [(999, "rare", "once")]
-    model = lang_id.train(clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
-    assert len(model.within["other"].labels) == 5 and list(model.within) == ["other"]
-    assert model.predict("aaa aaaa words")[0] == "" or model.predict("aaa aaaa words")[0] == "x0"
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = lang_id.train(df)
+    assert len(model.within["other"].labels) == 8 and list(model.within) == ["other"]
+    assert model.predict("aaa aaaa words")[0] == "x0"
+    monkeypatch.setattr(lang_id, "FAMILY_SIZE", 3)  # all values are learned, in families of three
+    model = lang_id.train(df)
+    assert sorted(x for m in model.within.values() for x in m.labels) == ["", "once", *(f"x{i}" for i in range(6))]
+    assert len(model.within) == 3 and all(model.predict(f"{c * 3} {c * 4} words")[0] == f"x{i}" for i, c in enumerate("abcdef"))
+
+
+def test_samples_of_repeated_rows_are_the_same_whatever_the_partitions(spark):
+    rows = [(7, "the same words again", "en")] * 3000 + [(i, f"andere worte {i}", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (lang_id.train(df.repartition(n), per_language=100) for n in (3, 7))
+    assert (a.top.weights == b.top.weights).all() and a.predict("worte")[0] == "de"
 
 
 # --- toxicity -----------------------------------------------------------------------------------------------------
