@@ -251,21 +251,21 @@ def reflected_search(results: DataFrame, concepts: DataFrame | None = None, limi
     return report, out
 
 
-#: What a tool's action is about, for a search by its meaning.
+#: What a tool's action is about, in words that a memory of such work is likely to have.
 INTENT_PHRASES = {
-    "project set_state": "updating project state vision milestone",
-    "project set_goals": "setting project goals objectives",
-    "project summary": "project overview status summary",
-    "session begin": "starting new work session context",
-    "session resume": "resuming previous session context memory",
-    "configure enforcement": "goal enforcement alignment rules",
-    "configure autonomy": "autonomous agent background tasks",
-    "cognitive dream": "synthesizing patterns insights from memories",
-    "cognitive align": "checking code alignment with project goals",
-    "cognitive forget": "forgetting old decayed memories cleanup",
-    "kg add_causal": "causal relationship dependency tracking",
-    "remember ingest_commit": "git commit code change ingestion",
-    "remember ingest_test_failure": "test failure error debugging",
+    "project set_state": "where the project stands and its next milestone",
+    "project set_goals": "goals and aims of the project",
+    "project summary": "state and overview of the project",
+    "session begin": "what to know before work begins",
+    "session resume": "what was done in the last session",
+    "configure enforcement": "rules that goals put on changes",
+    "configure autonomy": "tasks that run by themselves",
+    "cognitive dream": "patterns and ideas across memories",
+    "cognitive align": "whether code follows the goals",
+    "cognitive forget": "old memories that may go",
+    "kg add_causal": "what causes or depends on what",
+    "remember ingest_commit": "changes of code in commits",
+    "remember ingest_test_failure": "failing tests and their errors",
 }
 
 

@@ -664,8 +664,8 @@ def _sql(pattern: str) -> str:
 
 
 def _redacted(column: str) -> str:
-    out = f"regexp_replace(coalesce({column}, ''), '{_sql(text.secret_pattern())}', '\\1 \\2[REDACTED]\\3', 'g')"
-    for _, pattern in text.SECRET_FORMS:
+    out = f"regexp_replace(coalesce({column}, ''), '{_sql(text.SECRET_PAIR)}', '\\1 \\2[REDACTED]\\3', 'g')"
+    for pattern in text.SECRET_FORMS:
         out = f"regexp_replace({out}, '{_sql(pattern)}', '[REDACTED]', 'g')"
     return out
 
@@ -720,10 +720,11 @@ def dep_orphans_ghosts(spark, d):
 _INTENT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in rules.INTENTS) + " ELSE 'UNKNOWN' END"
 
 
-@query(f"SELECT doc_id, {_INTENT} AS intent FROM (SELECT doc_id, substr(text, 1, 40) AS text FROM documents)")
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations WHERE role = 'user'")
 def intent_route(spark, d):
-    """Requests are short: the first forty characters of each document stand for them."""
-    return table(spark, d, "documents").select("doc_id", rules.intent(F.substring("text", 1, 40)).alias("intent"))
+    """The requests are what users said, whole."""
+    said = table(spark, d, "conversations").where("role = 'user'")
+    return said.select("conv_id", "turn", rules.intent(F.col("text")).alias("intent"))
 
 
 @query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in rules.WARNINGS))

@@ -126,7 +126,7 @@ def markdown_flags(spark, d):
 _CALLS = "SELECT conv_id * 100 + turn AS call_id, CASE turn % 3 WHEN 0 THEN 'project' WHEN 1 THEN 'cognitive' ELSE 'other' END AS tool, CASE turn % 3 WHEN 0 THEN 'set_goals' WHEN 1 THEN 'dream' ELSE 'x' END AS action, text FROM conversations"
 
 
-@query(f"SELECT call_id, substr(CASE tool WHEN 'project' THEN 'setting project goals objectives ' WHEN 'cognitive' THEN 'synthesizing patterns insights from memories ' ELSE '' END || text, 1, 400) AS phrase FROM ({_CALLS}) WHERE length(text) > 3")
+@query(f"SELECT call_id, substr(CASE tool WHEN 'project' THEN 'goals and aims of the project ' WHEN 'cognitive' THEN 'patterns and ideas across memories ' ELSE '' END || text, 1, 400) AS phrase FROM ({_CALLS}) WHERE length(text) > 3")
 def intent_phrases(spark, d):
     k = F.col("turn") % 3
     calls = table(spark, d, "conversations").where(F.length("text") > 3).select((F.col("conv_id") * 100 + F.col("turn")).alias("call_id"), F.when(k == 0, "project").when(k == 1, "cognitive").otherwise("other").alias("tool"), F.when(k == 0, "set_goals").when(k == 1, "dream").otherwise("x").alias("action"), F.create_map(F.lit("query"), F.col("text"), F.lit("workspace_root"), F.lit("/p/long"), F.lit("id"), F.lit("abc")).alias("arguments"))
