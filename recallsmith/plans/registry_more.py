@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from recallsmith.functions import scoring, text
-from recallsmith.operators import attention, consolidation, graph, hdc, retrieval, rules, sessions
+from recallsmith.operators import attention, consolidation, graph, graph_lane, hdc, many_rules, retrieval, rules, sessions
 from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, triples
 from recallsmith.plans.registry import _ENTITIES, _events, _extractions, _redacted, _vectors, query
 from recallsmith.sources import readers
@@ -457,3 +457,35 @@ def kg_as_of_batch(spark, d):
     """The facts about each customer on the days of its orders."""
     days = table(spark, d, "orders").select(F.concat(F.lit("customer_"), "o_custkey").alias("subject"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     return graph.as_of_batch(triples(spark, d), days).select("subject", "day", "predicate", "object").distinct()
+
+
+# --- rules as a table, the graph as a lane ------------------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,} [a-z]{4,}')) AS pair FROM benchmark),
+  r AS (SELECT pair, replace(pair, ' ', '-') AS rule_id, '(?i)\b' || replace(pair, ' ', '\s+') || '\b' AS pattern, CASE WHEN length(pair) > 12 THEN 'block' ELSE 'warn' END AS severity FROM p)
+  SELECT 'pages/' || page_id || '.html' AS path, rule_id, severity, 'a pair of words of a test item: ' || pair AS message FROM pages, r WHERE contains(lower(html), split_part(pair, ' ', 1)) AND regexp_matches(html, pattern) AND NOT contains(html, 'rule:allow ' || rule_id)""")
+def rule_table_violations(spark, d):
+    """A rule for each pair of words of the test items, over all pages."""
+    pairs = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,} [a-z]{4,}"), F.lit(0))).alias("pair")).distinct()
+    pattern = F.concat(F.lit(r"(?i)\b"), F.replace("pair", F.lit(" "), F.lit(r"\s+")), F.lit(r"\b"))
+    some = pairs.select(F.replace("pair", F.lit(" "), F.lit("-")).alias("rule_id"), F.lit("**/*").alias("glob"), pattern.alias("pattern"), F.when(F.length("pair") > 12, "block").otherwise("warn").alias("severity"), F.concat(F.lit("a pair of words of a test item: "), "pair").alias("message"))
+    files = table(spark, d, "pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    return many_rules.violations(files, some)
+
+
+def _hops(depth: int, fan_out: int) -> str:
+    out = """, g AS (SELECT n, m, predicate, memory, max(confidence) AS c FROM (SELECT subject AS n, object AS m, predicate, source_closet AS memory, confidence FROM t WHERE valid_to IS NULL
+  UNION ALL SELECT object, subject, predicate, source_closet, confidence FROM t WHERE valid_to IS NULL) GROUP BY ALL), s0 AS (SELECT 'customer_7' AS id)"""
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM s{i}" for i in range(k))
+        out += f""", w{k} AS (SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY n ORDER BY c DESC, m, predicate, memory NULLS FIRST) AS r FROM g JOIN s{k - 1} ON n = id WHERE m NOT IN ({seen})) WHERE r <= {fan_out}), s{k} AS (SELECT DISTINCT m AS id FROM w{k})"""
+    return out
+
+
+@query(f"""{ctes('m', 't')}{_hops(3, 20)}, x AS (SELECT memory AS id, round(sum(c * pow(0.5, k)), 9) AS score FROM (SELECT memory, c, 0 AS k FROM w1 UNION ALL SELECT memory, c, 1 FROM w2 UNION ALL SELECT memory, c, 2 FROM w3) WHERE memory IN (SELECT id FROM m) GROUP BY 1)
+  SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 200""")
+def lane_graph_first(spark, d):
+    """The lane's own limit of 200 rows, three hops from one customer."""
+    seeds = table(spark, d, "customer").where("c_custkey = 7").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"))
+    return graph_lane.lane_graph(memories(spark, d), triples(spark, d), seeds, f"{shared_root(spark)}/walk-{uuid4().hex[:12]}").select("id", "score", "rank")

@@ -2,6 +2,10 @@
 
 import decimal
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -43,8 +47,18 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).columns
 
 
-def test_entry_without_text_operators(spark):
+def test_entry(spark):
     import __spark_entry__
 
     assert "search_hybrid_v1" in __spark_entry__.queries()
     assert __spark_entry__.entry(spark).count() == 20
+
+
+def test_entry_without_text_operators(tmp_path):
+    """A copy of the repository without the text operators imports and has all queries of the engine."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/recallsmith", tmp_path / "recallsmith", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e, recallsmith; print(recallsmith.__file__); print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True, timeout=120).stdout.splitlines()
+    assert out[-3].startswith(str(tmp_path)) and out[-2].split() == sorted(QUERIES) and out[-1].split() == sorted(ORACLES)
