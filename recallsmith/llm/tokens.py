@@ -61,6 +61,11 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word, or, where no token marks an end, begin one with its blank.
+        self.last, self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool), np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.first[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.whole = re.compile("|".join([*map(re.escape, special), *map(chr, _WIDE_BLANK)]).encode())
         self.forget()
 
@@ -106,10 +111,10 @@ class WordTokenizer:
         out: list[bytes] = []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            x = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            data, piece = array("I", x.ids).tobytes(), np.array(x.word_ids, np.float64)
-            ends = np.flatnonzero(np.diff(piece)) + 1
-            if len(ends) + 1 != len(some) or np.isnan(piece).any():
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            data = ids.tobytes()
+            ends = np.flatnonzero(self.last[ids[:-1]] if self.last.any() else self.first[ids[1:]]) + 1
+            if len(ends) + 1 != len(some):
                 return None
             cuts = [0, *(4 * ends).tolist(), len(data)]
             out += [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
