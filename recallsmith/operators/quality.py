@@ -34,14 +34,19 @@ def live(memories: DataFrame, meta: DataFrame) -> DataFrame:
     return memories.join(meta.where("NOT is_deleted").select("id"), "id")
 
 
-def words(memories: DataFrame, meta: DataFrame) -> DataFrame:
-    """(word, n): words of three characters or more of live memories, without marks at the ends and stop words.
+def word_counts(texts: DataFrame, *by: str) -> DataFrame:
+    """(*by, word, n): words of three characters or more of rows (text, *by), without marks at the ends and stop words.
 
     Raw words are counted first, so marks are stripped from distinct words only.
     """
-    raw = live(memories, meta).select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    clean = raw.select(F.trim(text.strip(F.col("w"), text.COVERAGE_MARKS)).alias("word"), "n")
-    return clean.where((F.length("word") > 2) & ~F.col("word").isin(text.COVERAGE_STOPWORDS)).groupBy("word").agg(F.sum("n").alias("n"))
+    raw = texts.select(*by, F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy(*by, "w").agg(F.count("*").alias("n"))
+    clean = raw.select(*by, F.trim(text.strip(F.col("w"), text.COVERAGE_MARKS)).alias("word"), "n")
+    return clean.where((F.length("word") > 2) & ~F.col("word").isin(text.COVERAGE_STOPWORDS)).groupBy(*by, "word").agg(F.sum("n").alias("n"))
+
+
+def words(memories: DataFrame, meta: DataFrame) -> DataFrame:
+    """(word, n) of the texts of live memories."""
+    return word_counts(live(memories, meta))
 
 
 def word_coverage(memories: DataFrame, meta: DataFrame, top: int = 20) -> DataFrame:
@@ -50,11 +55,17 @@ def word_coverage(memories: DataFrame, meta: DataFrame, top: int = 20) -> DataFr
 
 
 def coverage(memories: DataFrame, meta: DataFrame) -> DataFrame:
-    """total_memories, estimated_topics (distinct words) and coverage_score: 50 topics a memory are 100; an empty store is 0."""
-    n = live(memories, meta).agg(F.count("*").alias("total_memories"))
-    topics = words(memories, meta).agg(F.count("*").alias("estimated_topics"))
+    """total_memories, estimated_topics (distinct words) and coverage_score: 50 topics a memory are 100; an empty store is 0.
+
+    Topics are counted by a column that the counts of words have, so a report that lists words too shuffles them once.
+    """
+    return coverage_of(live(memories, meta).agg(F.count("*").alias("total_memories")), words(memories, meta).agg(F.count("n").alias("estimated_topics")))
+
+
+def coverage_of(memories: DataFrame, topics: DataFrame) -> DataFrame:
+    """The coverage of a one-row frame total_memories and one estimated_topics."""
     score = F.least(F.col("estimated_topics") / F.greatest("total_memories", F.lit(1)) * 50, F.lit(100.0))
-    return n.crossJoin(topics).select("total_memories", "estimated_topics", F.round(F.when(F.col("total_memories") > 0, score).otherwise(0.0), 1).alias("coverage_score"))  # one row each
+    return memories.crossJoin(topics).select("total_memories", "estimated_topics", F.round(F.when(F.col("total_memories") > 0, score).otherwise(0.0), 1).alias("coverage_score"))  # one row each
 
 
 def stale(memories: DataFrame, meta: DataFrame, as_of: str, days: int = 30, limit: int = 50) -> DataFrame:
@@ -104,7 +115,12 @@ def memory_health(memories: DataFrame, meta: DataFrame, log: DataFrame, as_of: s
     """
     fresh = F.col("last_accessed_at").isNotNull() & (F.unix_micros(F.col("last_accessed_at").cast("timestamp")) >= F.unix_micros(scoring.instant(as_of)) - 30 * 86_400_000_000)
     a = meta.where("NOT is_deleted").agg(F.count("*").alias("n"), F.count_if(fresh).alias("fresh"))
-    j = a.crossJoin(coverage(memories, meta).select("coverage_score")).crossJoin(log.agg(F.count("*").alias("merges")))  # one row each
+    return health_of(a, coverage(memories, meta), log)
+
+
+def health_of(counted: DataFrame, covered: DataFrame, log: DataFrame) -> DataFrame:
+    """The health of a one-row frame (n, fresh), a coverage, and a log of merges."""
+    j = counted.crossJoin(covered.select("coverage_score")).crossJoin(log.agg(F.count("*").alias("merges")))  # one row each
     n = F.col("n")
     j = j.select(
         n.alias("total_memories"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from recallsmith.functions import scoring, text
 from recallsmith.operators import attention, consolidation, graph, graph_lane, hdc, many_rules, retrieval, rules, sessions
+from recallsmith.operators.partials import Partials
 from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, triples
-from recallsmith.plans.registry import _ENTITIES, _events, _extractions, _redacted, _vectors, query
+from recallsmith.plans.registry import _ENTITIES, _HEALTH, _WORDS, _consolidations, _events, _extractions, _redacted, _vectors, query
 from recallsmith.sources import readers
 from recallsmith.streaming import consumer, state
 from recallsmith.streaming import events as streams
@@ -489,3 +490,27 @@ def lane_graph_first(spark, d):
     """The lane's own limit of 200 rows, three hops from one customer."""
     seeds = table(spark, d, "customer").where("c_custkey = 7").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"))
     return graph_lane.lane_graph(memories(spark, d), triples(spark, d), seeds, f"{shared_root(spark)}/walk-{uuid4().hex[:12]}").select("id", "score", "rank")
+
+
+# --- daily partials -----------------------------------------------------------------------------------------------
+
+
+def _partials(spark, d):
+    """Partials of all memories as they were before any was deleted, and then of the days that have deletions."""
+    m, x = memories(spark, d), meta(spark, d)
+    p = Partials(spark, _fresh(spark, "partials"))
+    p.refresh(m, x.withColumn("is_deleted", F.lit(False)))
+    p.refresh(m, x, m.join(x.where("is_deleted").select("id"), "id").select(F.to_date("created_at").alias("day")))
+    return p
+
+
+@query(f"{ctes('m', 'meta')}, {_HEALTH} SELECT * FROM h")
+def memory_health_partials(spark, d):
+    return _partials(spark, d).health(_consolidations(spark, d), AS_OF)
+
+
+@query(f"{ctes('m', 'meta')}, {_WORDS} SELECT word, n FROM wc ORDER BY n DESC, word LIMIT 20")
+def word_coverage_partials(spark, d):
+    p = _partials(spark, d)
+    p.merge()
+    return p.top_words()
