@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from recallsmith.functions import scoring, text
 from recallsmith.operators import attention, consolidation, graph, graph_lane, hdc, many_rules, retrieval, rules, sessions
 from recallsmith.operators.partials import Partials
+from recallsmith.plans import sql_surface
 from recallsmith.plans.adapters import AS_OF, ctes, entities, memories, meta, shared_root, table, triples
-from recallsmith.plans.registry import _ENTITIES, _HEALTH, _WORDS, _consolidations, _events, _extractions, _redacted, _vectors, query
+from recallsmith.plans.registry import _DECAY, _ENTITIES, _FTS, _HEALTH, _RECENT, _WORDS, TERMS, _bm25, _consolidations, _events, _extractions, _redacted, _vectors, query
 from recallsmith.sources import readers
 from recallsmith.streaming import consumer, state
 from recallsmith.streaming import events as streams
@@ -514,3 +515,30 @@ def word_coverage_partials(spark, d):
     p = _partials(spark, d)
     p.merge()
     return p.top_words()
+
+
+# --- the engine in SQL --------------------------------------------------------------------------------------------
+
+
+@query(f"""{ctes('m')}, {_bm25('m')}, l AS (SELECT * FROM {_FTS} UNION ALL SELECT * FROM {_RECENT.format(s='m')}), f AS (SELECT id, sum(CASE lane WHEN 'recency' THEN 0.5 ELSE 1.0 END / (60 + rank)) AS score FROM l GROUP BY id)
+  SELECT m.id, tier, round(f.score * {_DECAY}, 9) AS score FROM m JOIN f ON m.id = f.id ORDER BY 3 DESC, 1 LIMIT 20""")
+def sql_hybrid_search(spark, d):
+    sql_surface.register(spark, memories(spark, d))
+    return spark.sql(f"SELECT * FROM hybrid_search('{TERMS}', TIMESTAMP '{AS_OF}', 20)")
+
+
+_MODULE_LANES = """l AS (SELECT module AS query_id, id, 'recency' AS lane, row_number() OVER (PARTITION BY module ORDER BY created_at DESC, id) AS rank FROM {m} UNION ALL SELECT module, id, 'long', row_number() OVER (PARTITION BY module ORDER BY length(text) DESC, id) FROM {m})"""
+
+
+@query(f"""{ctes('m')}, {_MODULE_LANES.format(m='m')}, f AS (SELECT query_id, id, round(sum(CASE lane WHEN 'recency' THEN 0.5 ELSE 1.0 END / (60 + rank)), 9) AS score FROM l WHERE rank <= 200 GROUP BY ALL)
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 50""")
+def sql_rrf_fuse(spark, d):
+    """For each module the best of two lanes of at most 200 rows."""
+    sql_surface.register(spark, memories(spark, d))
+    return spark.sql(f"WITH {_MODULE_LANES.format(m='recall_memories')} SELECT * FROM rrf_fuse(TABLE(SELECT * FROM l WHERE rank <= 200), weights => 'recency=0.5,long=1.0', top => 50)")
+
+
+@query(f"{ctes('t')} SELECT subject, predicate, object, valid_from, valid_to, confidence FROM t WHERE (valid_from IS NULL OR valid_from <= '1996-01-01') AND (valid_to IS NULL OR valid_to >= '1996-01-01')")
+def sql_kg_as_of(spark, d):
+    sql_surface.register(spark, memories(spark, d), triples(spark, d))
+    return spark.sql("SELECT * FROM kg_as_of('1996-01-01')")
