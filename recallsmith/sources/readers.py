@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallsmith.functions import text
+from recallsmith.sources import git_source
 
 #: Folders that a source scan leaves out.
 IGNORED = (".git", ".venv", "__pycache__")
-#: Length of the default embedding, and commits that a history is read back at most.
-EMBEDDING, MOST_COMMITS = 64, 10_000
+#: Length of the default embedding.
+EMBEDDING = 64
 
 
 def source_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
@@ -23,18 +24,9 @@ def source_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame
 
 
 def git_commits(spark: SparkSession, repository: str, most: int = 100) -> DataFrame:
-    """(sha, author, date, message, files, stat) of a repository's newest commits, read by git on the driver; a folder without history gives no row."""
-    import subprocess
-
-    form = "%x1e%h%x1f%an%x1f%ad%x1f%s%x1f"
-    out = subprocess.run(["git", "-C", repository, "log", f"-{min(most, MOST_COMMITS)}", "--date=short", f"--format={form}", "--numstat"], capture_output=True, text=True, check=False)
-    rows = []
-    for part in out.stdout.split("\x1e")[1:] if out.returncode == 0 else ():
-        sha, author, date, message, tail = part.split("\x1f")
-        changes = [x.split("\t") for x in tail.strip().splitlines() if x.count("\t") == 2]
-        count = lambda i: sum(int(c[i]) for c in changes if c[i].isdigit())
-        rows.append((sha, author, date, message, [c[2] for c in changes], f"{len(changes)} files, +{count(0)} -{count(1)}" if changes else ""))
-    return spark.createDataFrame(rows, "sha string, author string, date string, message string, files array<string>, stat string")
+    """(sha, author, date, message, files, stat) of a repository's newest commits, read by ranges in the tasks (git_source.py); a folder without history gives no row."""
+    spark.dataSource.register(git_source.GitHistory)
+    return spark.read.format("git_history").option("most", most).load(repository)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
