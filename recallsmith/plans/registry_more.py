@@ -109,7 +109,7 @@ def hard_delete(spark, d):
 @query("SELECT doc_id, len(s) AS n, coalesce(array_to_string(s, '|'), '') AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS s FROM documents)")
 def sentence_split(spark, d):
     s = text.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n"), F.array_join(s, "|").alias("s"))
+    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n"), F.coalesce(F.array_join(s, "|"), F.lit("")).alias("s"))
 
 
 _START, _END = "<!-- goals:start -->", "<!-- goals:end -->"
