@@ -5,7 +5,9 @@ there to a ring by its angle to the pivot, and, where a ring has many, to one of
 radius and the reach, nor one whose pivot is further from y than y's own pivot by more than twice the reach (every vector there is nearer to that pivot than to y's own),
 nor a ring whose angles differ from y's by more than the reach. Parts are ordered, and a vector visits those before its own, so that a pair meets once.
 
-A task holds one part, of at most PART vectors, and lets the visitors pass by in batches; the visitors of a part are dealt to several tasks where they are many. Equal vectors
+Neighbouring parts are bundled, to SHARES bundles or, where these would be larger, to as many as BUNDLE_BYTES allows, and a vector is sent once to a bundle in which it must visit any
+part: so a vector is shuffled a bounded number of times as long as a bundle may grow, however many parts there are. A task holds one bundle and lets the visitors pass by, tile by
+tile; the visitors of a bundle are dealt to several tasks where they are many. Equal vectors
 meet as one: copies are told as a star around the least id of their vector, so no group of copies is squared. How much is pruned depends on the data: clustered
 vectors visit few cells, vectors without any structure visit all, and then the work is that of all pairs, but never more memory.
 
@@ -29,6 +31,10 @@ from recallsmith.sources.manifest import checkpoint_folder
 
 #: Vectors of a part, visitors of a task, and pivots.
 PART, VISITORS, PIVOTS = 2048, 1 << 16, 256
+#: Bundles of parts, unless one had more bytes of vectors than the second number.
+SHARES, BUNDLE_BYTES = 16, 16 << 20
+#: Vectors of either side that are compared at once, which bounds what a task holds besides its bundle.
+TILE = 1024
 
 
 def unit_vectors(vectors: DataFrame, *keep: str) -> DataFrame:
@@ -46,6 +52,7 @@ class Cells:
         self.pivots, self.reach = pivots, reach
         self.radius = np.zeros(len(pivots))
         self.parts: dict[tuple[int, int], int] = {}
+        self.rows: dict[tuple[int, int], int] = {}
 
     def angles(self, x: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(x @ self.pivots.T, -1, 1))
@@ -53,6 +60,18 @@ class Cells:
     def ring(self, angle: np.ndarray) -> np.ndarray:
         return np.floor(angle / max(self.reach, 1e-3)).astype(np.int64)
 
+    def bundles(self) -> dict[tuple[int, int, int], int]:
+        """(cell, ring, part) -> bundle: parts in their order, as many as fit."""
+        most = max(PART, min(-(-sum(self.rows.values()) // SHARES), BUNDLE_BYTES // (8 * max(1, self.pivots.shape[1]))))
+        out, bundle, held = {}, 0, 0
+        for at in sorted(self.parts):
+            each = self.rows[at] / self.parts[at]
+            for s in range(self.parts[at]):
+                if held and held + each > most:
+                    bundle, held = bundle + 1, 0
+                out[(*at, s)], held = bundle, held + each
+        return out
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy()
@@ -84,7 +103,7 @@ def _fit(heads: DataFrame, reach: float, pivots: int) -> dict[int, Cells]:
         own = cells.setdefault(r["d"], Cells(np.zeros((0, r["d"])), reach))
         if len(own.pivots):
             own.radius[r["cell"]] = max(own.radius[r["cell"]], r["far"])
-        own.parts[r["cell"], r["ring"]] = -(-r["n"] // PART)
+        own.parts[r["cell"], r["ring"]], own.rows[r["cell"], r["ring"]] = -(-r["n"] // PART), r["n"]
     return cells
 
 
@@ -99,87 +118,96 @@ def _placed(cells: Cells | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _visits(heads: DataFrame, cells: dict[int, Cells]) -> DataFrame:
-    """(part, visitor, id, v): each vector once as a member of its part (visitor false), and once for each part before that which it must visit."""
-    order = {d: {k: i for i, k in enumerate(sorted((c, r, s) for (c, r), n in own.parts.items() for s in range(n)))} for d, own in cells.items()}
-    starts, total = {}, 0
-    for d in sorted(order):
-        starts[d], total = total, total + len(order[d])
+    """(part, visitor, id, v): each vector once as a member of its bundle of parts (visitor false), and once for each bundle before that in which it must visit a part."""
+    bundles, starts, total = {d: own.bundles() for d, own in cells.items()}, {}, 0
+    for d in sorted(bundles):
+        starts[d], total = total, total + max(bundles[d].values(), default=-1) + 1
     slack = 1e-9
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        rings: dict[int, dict[int, np.ndarray]] = {}
+        for d, known in bundles.items():
+            rings[d] = {k: np.array(sorted({(c, r) for (c, r, _), n in known.items() if n == k})) for k in set(known.values())}
+        for b in (b.slice(start, TILE) for b in it for start in range(0, b.num_rows, TILE)):
             for d, rows in _by_length(b, 1):
-                own, known = cells[d], order[d]
+                own, known = cells[d], bundles[d]
                 x, salt = _matrix(rows.column(1)), rows.column(2).to_numpy()
-                cell, _, ring = _placed(own, x)
-                angles = own.angles(x) if len(own.pivots) else np.zeros((len(x), 1))
-                nearest = angles[np.arange(len(x)), cell]
-                reach = own.reach + slack
-                near = (angles <= (own.radius if len(own.pivots) else 0) + reach) & (angles <= nearest[:, None] + 2 * reach)
-                at, part, visitor = [], [], []
-                for i in range(len(x)):
-                    s = int(salt[i] % own.parts[int(cell[i]), int(ring[i])])
-                    mine = known[int(cell[i]), int(ring[i]), s]
-                    at.append(i)
-                    part.append(mine)
-                    visitor.append(False)
-                    for c in np.flatnonzero(near[i]).tolist():
-                        low, high = (own.ring(np.maximum(angles[i, c] + z, 0)) for z in (-reach, reach)) if len(own.pivots) else (0, 0)
-                        for r in range(int(low), int(high) + 1):
-                            for s in range(own.parts.get((c, r), 0)):
-                                if (other := known[c, r, s]) < mine:
-                                    at.append(i)
-                                    part.append(other)
-                                    visitor.append(True)
+                cell, nearest, ring = _placed(own, x)
+                mine = np.array([known[c, r, s % own.parts[c, r]] for c, r, s in zip(cell.tolist(), ring.tolist(), salt.tolist(), strict=True)], np.int64)
+                at, part = [np.arange(len(x))], [mine]
+                if len(own.pivots):
+                    reach, angles = own.reach + slack, own.angles(x)
+                    near = (angles <= own.radius + reach) & (angles <= nearest[:, None] + 2 * reach)
+                    low, high = own.ring(np.maximum(angles - reach, 0)), own.ring(angles + reach)
+                for k, within in rings[d].items():
+                    c, r = within.T
+                    must = (near[:, c] & (low[:, c] <= r) & (r <= high[:, c])).any(1) if len(own.pivots) else np.ones(len(x), bool)
+                    who = np.flatnonzero(must & (mine > k))
+                    at.append(who)
+                    part.append(np.full(len(who), k))
+                at, part = np.concatenate(at), np.concatenate(part)
                 got = rows.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(part, np.int64) + starts[d]), pa.array(visitor), got.column(0), got.column(1)], ["part", "visitor", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(part + starts[d]), pa.array(np.arange(len(at)) >= len(x)), got.column(0), got.column(1)], ["part", "visitor", "id", "v"])
 
     rows = heads.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"))
     return rows.mapInArrow(run, f"part long, visitor boolean, id {heads.schema['id'].dataType.simpleString()}, v array<double>")
 
 
 def _met(visits: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) of the pairs that are similar, of visits (part, visitor, id, v)."""
+    """(a, b, sim) of the pairs that are similar, of visits (part, visitor, id, v); the vectors of a part have one length."""
     id_type = visits.schema["id"].dataType.simpleString()
     # the visitors of a part are dealt to tasks by their number; each of these tasks has the part
     tasks = visits.groupBy("part").agg(F.ceil(F.count_if("visitor") / VISITORS).cast("int").alias("tasks"))
     dealt = visits.join(tasks, "part").withColumn("tasks", F.greatest("tasks", F.lit(1)))
     own = F.when(F.col("visitor"), F.array(F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tasks") - 1))
     rows = dealt.select("part", F.explode(own).alias("task"), "visitor", "id", "v").repartition("part", "task").sortWithinPartitions("part", "task", "visitor")
+    least = threshold - 1e-6  # what may be rounded to the threshold
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, [], []
-
-        def pairs(left: list, x: np.ndarray, right: list, y: np.ndarray, upper: bool) -> pa.RecordBatch:
-            sim = np.round(x @ y.T, 6)
-            i, j = np.nonzero(np.triu(sim >= threshold, 1) if upper else sim >= threshold)
-            return pa.RecordBatch.from_arrays([pa.array([left[k] for k in i.tolist()], id_arrow), pa.array([right[k] for k in j.tolist()], id_arrow), pa.array(sim[i, j])], ["x", "y", "sim"])
+    def pairs(left: pa.Array, x: np.ndarray, right: pa.Array, y: np.ndarray, upper: bool = False) -> pa.RecordBatch:
+        sim = x @ y.T
+        i, j = np.nonzero(np.triu(sim >= least, 1) if upper else sim >= least)
+        told = np.round(sim[i, j], 6)
+        kept = told >= threshold
+        return pa.RecordBatch.from_arrays([left.take(pa.array(i[kept])), right.take(pa.array(j[kept])), pa.array(told[kept])], ["x", "y", "sim"])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for b in it:
-            id_arrow = b.schema.field("id").type
-            part, task, visitor = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(task) != 0) | (np.diff(visitor.astype(int)) != 0)) + 1
+            part, task, visitor = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            codes = part.dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(task) != 0) | (np.diff(visitor.astype(int)) != 0)) + 1
             for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True) if len(part) else ():
-                rows = b.slice(start, stop - start)
-                own, x = rows.column(3).to_pylist(), _matrix(rows.column(4))
-                if (now := (part[start], task[start])) != key:
-                    key, ids, held = now, [], []
-                if visitor[start]:
-                    if len(held) > 1:
-                        held = [np.concatenate(held)]
-                    yield pairs(own, x, ids, held[0], False)
-                    continue
-                if task[start] == 0:  # the members among themselves, in one of the tasks
-                    if held:
-                        held = [np.concatenate(held)]
-                        yield pairs(own, x, ids, held[0], False)
-                    yield pairs(own, x, own, x, True)
-                ids, held = ids + own, [*held, x]
+                if (now := (part[start].as_py(), task[start])) != key:
+                    key, held = now, []
+                for at in range(start, stop, TILE):
+                    rows = b.slice(at, min(TILE, stop - at))
+                    own, x = rows.column(3), _matrix(rows.column(4))
+                    if visitor[start] or task[start] == 0:  # the members among themselves, in one of the tasks
+                        for ids, y in held:
+                            yield pairs(own, x, ids, y)
+                        if not visitor[start]:
+                            yield pairs(own, x, own, x, True)
+                    if not visitor[start]:
+                        # own memory, so that the batch can go
+                        held.append((pa.concat_arrays([own]) if own.offset == 0 else own.take(pa.array(np.arange(len(own)))), np.array(x)))
 
     met = rows.mapInArrow(run, f"x {id_type}, y {id_type}, sim double")
     return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
 
 
+def similar_in_blocks(unit: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) with a < b of the similar pairs of one block, of rows (id, block, v of length 1); rows without a block are like nothing.
+
+    A block is cut into parts of bounded bytes by a hash of ids; a row is a member of its own and visits those before it.
+    """
+    rows = unit.where("block IS NOT NULL").withColumn("d", F.size("v"))
+    sizes = rows.groupBy("block", "d").agg(F.count("*").alias("n"))
+    room = F.greatest(F.floor(F.lit(BUNDLE_BYTES / 8) / F.col("d")), F.lit(PART))
+    dealt = rows.join(sizes.select("block", "d", F.ceil(F.col("n") / room).alias("parts")), ["block", "d"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    visits = dealt.select("block", "d", "own", "id", "v", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("k"))
+    return _met(visits.select(F.concat_ws("|", F.col("block").cast("string"), "d", "k").alias("part"), (F.col("k") < F.col("own")).alias("visitor"), "id", "v"), threshold)
+
+
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(heads, copies): the least id (id, v) of each different vector, and (a, b), each other id with the head of its vector."""
     checkpoint_folder(vectors.sparkSession)
