@@ -20,6 +20,8 @@ THRESHOLD = 0.92
 TABLES, SIGNS = 24, 12
 #: Members of a part of a block; the parts of larger blocks meet two by two.
 BLOCK_PART = 256
+#: Nodes that a task holds while it leaves out pairs.
+FOREST = 1 << 18
 
 
 def candidates(memories: DataFrame, embeddings: DataFrame, meta: DataFrame, as_of: str, user: str = "default", min_age_hours: float = 1.0, batch: int = 200) -> DataFrame:
@@ -42,7 +44,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: str |
     """
     if block is not None:
         unit = cosine_join.unit_vectors(vectors, block).withColumnRenamed(block, "block").select("id", "block", "v")
-        return _within(unit).withColumn("sim", F.round(_dot("v", "w"), 6)).where(F.col("sim") >= threshold).select(F.col("id").alias("a"), "b", "sim")
+        return cosine_join.similar_in_blocks(unit, threshold)
     heads, copies = cosine_join.classes(vectors)
     found = cosine_join.similar_heads(heads, threshold)
     if copies.isEmpty():
@@ -99,10 +101,46 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     return found.unionByName(copies)
 
 
+def forest(pairs: DataFrame) -> DataFrame:
+    """(a, b, n): for each partition of pairs a few of them that join the same nodes, and, on one row of each batch of them, how many pairs they stand for.
+
+    What a task holds is bounded: beyond FOREST nodes it tells what it has and begins anew.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        for b in it:
+            out_a, out_b = [], []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                r, s = x, y
+                while (p := parent.setdefault(r, r)) != r:
+                    parent[r] = r = parent[p]
+                while (p := parent.setdefault(s, s)) != s:
+                    parent[s] = s = parent[p]
+                if r != s or x == y:
+                    parent[r] = s
+                    out_a.append(x)
+                    out_b.append(y)
+            if b.num_rows and not out_a:  # a row tells the number
+                out_a, out_b = [b.column(0)[0].as_py()], [b.column(1)[0].as_py()]
+            n = np.zeros(len(out_a), np.int64)
+            n[:1] = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, b.column(0).type), pa.array(out_b, b.column(1).type), pa.array(n)], ["a", "b", "n"])
+            if len(parent) > FOREST:
+                parent.clear()
+
+    return pairs.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}, n long")
+
+
 def clusters(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, cluster): the least id that can be reached over pairs; each round is checkpointed, so lineage stays short."""
+    """(id, cluster): the least id that can be reached over pairs; each round is checkpointed, so lineage stays short.
+
+    Pairs that join nothing new in their task are left out before anything is shuffled.
+    """
     checkpoint_folder(pairs.sparkSession)
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
+    few = pairs if "n" in pairs.columns else forest(pairs).checkpoint()
+    edges = few.select("a", "b").union(few.select("b", "a")).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("cluster")).checkpoint()
     for _ in range(most_rounds):
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("m"))
@@ -193,8 +231,8 @@ def consolidate(memories: DataFrame, pairs: DataFrame, as_of: str, embeddings: D
 
 
 def summary(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: pairs found, clusters, members superseded."""
-    p = pairs.agg(F.count("*").alias("pairs_found"))
+    """One row: pairs found, clusters, members superseded; pairs, or what forest() made of them."""
+    p = pairs.agg((F.coalesce(F.sum("n"), F.lit(0)) if "n" in pairs.columns else F.count("*")).alias("pairs_found"))
     return labels.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("total_superseded")).crossJoin(p)  # one row each
 
 
