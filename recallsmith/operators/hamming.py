@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from recallsmith.functions import text
 from recallsmith.operators import hdc
-from recallsmith.sources.manifest import Manifest, spread
+from recallsmith.sources.manifest import Manifest, small_batches
 
 #: Words of the sample, and the chance that a row's similarity is beyond the margin told from it.
 COARSE, CHANCE = 64, 1e-9
 #: Up to so many rows are looked up by their ids, and joined by a broadcast.
 LOOKUP = 20_000
+#: Rows that a task compares at once.
+SLICE = 512
 _NEAR = "id string, entities array<string>, head binary"
 
 
@@ -41,28 +43,11 @@ def margin(words: int, coarse: int = COARSE, chance: float = CHANCE) -> float:
     return math.sqrt((1 - (sampled - 1) / every) * math.log(2 / chance) / (2 * sampled)) if coarse < words else 0.0
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """(id, entities, hv binary) of indexed rows (id, entities, hv array<bigint>)."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            flat, size = b.column(2).flatten().to_numpy().astype("<i8").tobytes(), 0
-            out = []
-            for n in b.column(2).value_lengths().to_pylist():
-                out.append(flat[size : size + 8 * n])
-                size += 8 * n
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "entities", "hv"])
-
-    return rows.select("id", "entities", "hv").mapInArrow(run, "id string, entities array<string>, hv binary")
-
-
 def _similar(rows: DataFrame, column: str, query: np.ndarray) -> DataFrame:
     """(id, entities, sim) of rows with packed words, compared with the query's words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(start, SLICE) for b in it for start in range(0, b.num_rows, SLICE)):
             words = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(b.num_rows, -1)
             sim = 1 - np.bitwise_count(words ^ query).sum(1, dtype=np.int64) / (64 * query.size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], ["id", "entities", "sim"])
@@ -76,6 +61,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str, words: int = hdc.WORDS) -> None:
         self.spark, self.path, self.words, self.coarse = spark, path, words, min(COARSE, words)
         self.manifest = Manifest(spark, path)
+        small_batches(spark)
 
     # --- changes ---
 
@@ -86,7 +72,8 @@ class VectorIndex:
             rest = [c for c in new.columns if c not in ("id", "text")]
             new = new.groupBy("id").agg(F.max(F.struct("text", *rest)).alias("x")).select("id", "x.*")
         number, at = self.manifest.fresh()
-        _packed(hdc.index(spread(new), self.words)).repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.block.size", 4 << 20).parquet(f"{at}/full")
+        # texts are put in order, not vectors: an order by ranges looks at its rows twice, and vectors would be made twice for it
+        hdc.index(new.repartitionByRange("id").sortWithinPartitions("id"), self.words, packed=True).write.option("parquet.block.size", 4 << 20).parquet(f"{at}/full")
         full = self.spark.read.schema("id string, entities array<string>, hv binary").parquet(f"{at}/full")
         full.select("id", "entities", F.substring("hv", 1, 8 * self.coarse).alias("head")).write.parquet(f"{at}/near")
         old = self._tombstones(full.select("id"))
@@ -186,7 +173,7 @@ class VectorIndex:
             return self.spark.createDataFrame([], schema)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
+            for b in (b.slice(start, SLICE) for b in it for start in range(0, b.num_rows, SLICE)):
                 parts = [np.frombuffer(v, "<i8") for v in b.column(2).to_pylist()]
                 ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
                 hv = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallsmith.functions import text
+from recallsmith.sources.manifest import small_batches
 
 WORDS, SEED = 1024, "0"
 #: Terms of a text and relations of a memory that a vector holds at most; rows of an index that are added at a time.
 MOST_TERMS, MOST_RELATIONS, BACKFILL = 64, 32, 1000
+#: Rows whose vectors a task holds at once.
+CHUNK = 128
 #: Concepts that may be compared with every row.
 MOST_CONCEPTS = 20_000
 _U = np.uint64
@@ -80,16 +83,24 @@ _ODD = _U(0xAAAAAAAAAAAAAAAA)
 def majority_of(vectors: list[np.ndarray]) -> np.ndarray:
     """Bit-wise majority of unsigned words; a tie sets the bit where its number plus the count of vectors is odd.
 
-    The votes for each bit are counted in planes: plane k holds bit k of all counts, so 64 counts are added at once.
+    The votes for each bit are counted in planes: plane k holds bit k of all counts, so 64 counts are added at once, three words to two.
     """
-    n, planes = len(vectors), []
-    for v in vectors:
-        carry, k = v, 0
-        while carry.any():
-            if k == len(planes):
-                planes.append(np.zeros_like(v))
-            planes[k], carry = planes[k] ^ carry, planes[k] & carry
-            k += 1
+    n, open_ = len(vectors), [list(vectors)]
+    if n == 2:
+        a, b = vectors
+        return (a & b) | ((a ^ b) & _ODD)
+    for k, level in enumerate(open_):  # it grows by the carries
+        if len(level) > 1 and k + 1 == len(open_):
+            open_.append([])
+        while len(level) > 1:
+            a, b = level.pop(), level.pop()
+            odd, both = a ^ b, a & b
+            if level:
+                c = level.pop()
+                odd, both = odd ^ c, both | (odd & c)
+            level.append(odd)
+            open_[k + 1].append(both)
+    planes = [level[0] for level in open_]
     above, equal, half = np.zeros_like(vectors[0]), ~np.zeros_like(vectors[0]), n // 2
     for k in range(max(len(planes), half.bit_length()) - 1, -1, -1):  # compare with half of the votes, from the highest bit
         plane = planes[k] if k < len(planes) else np.zeros_like(above)
@@ -164,21 +175,28 @@ class Encoder:
 _METADATA = ("tier", "type", "workspace_name", "module", "room")
 
 
-def index(memories: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, entities, hv) of memories (id, text, and any of tier, type, workspace_name, module, room)."""
+def index(memories: DataFrame, words: int = WORDS, packed: bool = False) -> DataFrame:
+    """(id, entities, hv) of memories (id, text, and any of tier, type, workspace_name, module, room); hv is an array of words or, packed, their bytes.
+
+    A task holds the vectors of CHUNK rows at a time.
+    """
+    small_batches(memories.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
-        for b in it:
-            ids, texts, found, *rest = (b.column(i).to_pylist() for i in range(3 + len(given)))
+        for b in (b.slice(start, CHUNK) for b in it for start in range(0, b.num_rows, CHUNK)):
+            texts, found, *rest = (b.column(i).to_pylist() for i in range(1, 3 + len(given)))
             out = [encoder.memory(t, e, dict(zip(given, m, strict=True))) for t, e, *m in zip(texts, found, *rest, strict=True)]
+            if packed:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.astype("<u8").tobytes() for v in out], pa.binary())], ["id", "entities", "hv"])
+                continue
             flat = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
             hv = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * words), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), hv], ["id", "entities", "hv"])
 
     given = [c for c in _METADATA if c in memories.columns]
     part = memories.select("id", "text", text.extract_entities(F.col("text")).alias("entities"), *(F.col(c).cast("string").alias(c) for c in given))
-    return part.mapInArrow(run, f"id {part.schema['id'].dataType.simpleString()}, entities array<string>, hv array<bigint>")
+    return part.mapInArrow(run, f"id {part.schema['id'].dataType.simpleString()}, entities array<string>, hv {'binary' if packed else 'array<bigint>'}")
 
 
 def query_vector(said: str, words: int = WORDS) -> list[int]:
@@ -204,9 +222,11 @@ def score(sim: Column, entities: Column, wanted: Column) -> Column:
 
 def load(entities: DataFrame, vectors: DataFrame, memories: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, entities, hv) of stored entities (id, entities) with their stored vectors (id, hv); what has no vector is encoded anew."""
-    j = entities.join(vectors, "id", "left")
-    lost = memories.join(j.where("hv IS NULL").select("id"), "id", "left_semi")
-    return j.where("hv IS NOT NULL").select("id", "entities", "hv").unionByName(index(lost, words))
+    have = vectors.where("hv IS NOT NULL")
+    kept = entities.join(have, "id")
+    # ids alone tell what is lost: no vector is read for it, or shuffled twice
+    lost = memories.join(entities.select("id").join(have.select("id"), "id", "left_anti"), "id", "left_semi")
+    return kept.select("id", "entities", "hv").unionByName(index(lost, words))
 
 
 def unindex(vectors: DataFrame, gone: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def vsa_load(spark, d):
     """Stored entities with the vectors that some of them have; the others are encoded anew, and all have 1024 words then."""
     m = memories(spark, d)
     named = m.select("id", text.extract_entities(F.col("text")).alias("entities"))
-    stored = hdc.index(m.where("CAST(id AS BIGINT) % 2 = 0")).select("id", "hv")
+    path = f"{shared_root(spark)}/stored-{uuid4().hex[:12]}"
+    hdc.index(m.where("CAST(id AS BIGINT) % 2 = 0")).select("id", "hv").write.parquet(path)
+    stored = spark.read.schema("id string, hv array<bigint>").parquet(path)
     return hdc.load(named, stored, m).where(F.size("hv") == hdc.WORDS).select("id", F.size("entities").alias("entities"))
 
 
