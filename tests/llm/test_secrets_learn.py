@@ -1,4 +1,4 @@
-"""What the third review found in the text operators: each test failed on the code that was reviewed."""
+"""Tests of what the third review found in the secret scan."""
 
 import numpy as np
 import pytest
