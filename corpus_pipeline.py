@@ -29,7 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near copies: five-word shingles, a similarity of 0.8.
+    """One document, the first, of each group of near copies: five-word shingles, SimHash fingerprints over pigeonhole blocks, pairs checked at a similarity of 0.8,
+    and an exact join of what fingerprints leave.
 
     Null and empty texts are copies of each other. Repeated rows are copies; two texts under one id are two documents. Of a group the least id stays, of
     several texts under it the one of the least hash. Rows without an id stay.

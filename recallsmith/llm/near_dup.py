@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection with pigeonhole blocks.
+"""SimHash near-duplicate detection with pigeonhole blocks, and groups of near copies at a stated similarity, which begin with it.
 
 A fingerprint of `bits` bits takes the majority, bit by bit, of the XXH64 hashes of a text's word shingles. Split into
 more blocks than a pair may have differing bits, two close fingerprints share at least one whole block; rows are joined
@@ -134,14 +134,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 # --- near copies at a stated shingle similarity ---------------------------------------------------------------------
 
 
-def _set(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
-    """The sorted distinct shingle hashes of a text, and a signed hash of them all, which names its class."""
+def _named(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The sorted distinct ones of shingle hashes, and a signed hash of them all, which names the class of their text."""
     import xxhash
 
-    h = np.unique(_hashes((text or b"").lower().split(), shingle, 2))
+    h = np.unique(hashes)
     return h, int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0])
 
 
+def _set(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
+    """The sorted distinct shingle hashes of a text, and the name of its class."""
+    return _named(_hashes((text or b"").lower().split(), shingle, 2))
+
+
 def _parities(h: np.ndarray) -> np.ndarray:
     """A sketch of a set of hashes: bit i is set if an odd number of them is i modulo the bits, whose number is a power of two."""
     bits = 64 * min(MOST_PARITY, max(LEAST_PARITY, 1 << max(0, (2 * len(h) - 1).bit_length() - 6)))
@@ -185,12 +190,17 @@ def common_shingles(part: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
 def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, key, group_id, group_key) of every row: groups of rows linked by a Jaccard similarity of their word shingles of `similarity` or more.
 
-    key is a hash of the text, since an id may stand for several; a group is named by its least (id, key). An exact prefix-filter join. All texts order their shingles alike, common ones last; two texts of that similarity share
+    key is a hash of the text, since an id may stand for several; a group is named by its least (id, key). Texts with equal shingles are one class.
+
+    SimHash comes first: each class has a fingerprint of its shingles, and link_fingerprints() joins those at 2 or fewer differing bits over pigeonhole blocks.
+    Classes of one fingerprint meet the least of them, and the least ones of two linked fingerprints meet; a pair is a link if its whole sets of 64-bit
+    shingle hashes have the similarity.
+
+    Fingerprints of texts of that similarity may differ in more bits, so an exact prefix-filter join finds what they leave. All texts order their shingles alike, common ones last; two texts of that similarity share
     one of the first n - ceil(similarity * n) + 1 of either's n shingles, whatever the number of rows and the length of the
-    texts. Texts with equal shingles are one class. Classes that share such a shingle are a block, and pairs are verified on
-    their whole sets of 64-bit shingle hashes.
+    texts. Classes that share such a shingle are a block, and pairs are verified on their whole sets too.
 
-    Groups need only links that join them, so pairs already in one group are not compared. First each block's members meet
+    Groups need only links that join them, so pairs already in one group are not compared. After the fingerprints each block's members meet
     its least one, and those of larger blocks then HEADS others that differ by block; near copies mostly fall into one group then. What is left is exact:
     in each block, all pairs across groups meet whose sizes and places in the order allow the similarity. A block with many members
     that are no near copies of each other costs the square of that number; common shingles come last, so such a block's members
@@ -205,9 +215,11 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lighten()
         for b in it:
-            names, sizes, firsts, parities = [], [], [], []
+            names, sizes, firsts, parities, prints = [], [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
-                h, c = _set(t, shingle)
+                every = _hashes((t or b"").lower().split(), shingle, 2)
+                h, c = _named(every)
+                prints.append(_majority(every)[0])
                 level = np.zeros(len(h), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
@@ -217,9 +229,9 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
                 names.append(c)
                 sizes.append(len(h))
                 firsts.append(h[np.argsort(level, kind="stable")[:most]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities)], ["id", "key", "h", "n", "keys", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(parities), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "key", "h", "n", "keys", "odd", "fp"])
 
-    found = part.mapInArrow(run, "id long, key long, h long, n int, keys array<long>, odd array<long>").withColumn("r", F.monotonically_increasing_id())
+    found = part.mapInArrow(run, "id long, key long, h long, n int, keys array<long>, odd array<long>, fp long").withColumn("r", F.monotonically_increasing_id())
     rows = materialise(spark, few_files(spark, found, scanned=docs), "prefixes")
 
     def written(df: DataFrame, tag: str, each: int = 1) -> DataFrame:
@@ -230,7 +242,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     ids = written(rows.select("id", "key", "h", "r").join(firsts, "h").select("id", "key", "r", F.col("first.r").alias("c")), "ids")
     copies = ids.where("r <> c").select("r")
     heads_only = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "r", "left_anti")
-    heads = written(heads_only.select(F.col("r").alias("c"), "id", "key", "h", "n", "odd"), "classes")
+    heads = written(heads_only.select(F.col("r").alias("c"), "id", "key", "h", "n", "odd", "fp"), "classes")
     # one shuffle, of what a member of a block must tell: its class, and its size and place in one number
     place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
     keyed = heads_only.select(F.col("r").alias("c"), "n", F.posexplode("keys").alias("i", "k")).select("k", "c", place.alias("p"))
@@ -286,6 +298,15 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         inter = F.size(F.array_intersect("set_a", "set_b"))
         return written(both.where(inter >= least * (F.size("set_a") + F.size("set_b") - inter)).select("a", "b"), tag, 8)
 
+    def by_fingerprint() -> DataFrame:
+        """Pairs of classes whose fingerprints are equal, or are linked; of those of one fingerprint the least stands for all."""
+        firsts = heads.groupBy("fp").agg(F.min("c").alias("first"))
+        equal = heads.join(firsts, "fp").where("c <> first").select(F.col("c").alias("a"), F.col("first").alias("b"))
+        linked = link_fingerprints(spark, heads)
+        for x in ("a", "b"):
+            linked = linked.join(firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")), x)
+        return equal.unionByName(linked.select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
+
     def to_heads(blocks: DataFrame, *orders: Column) -> DataFrame:
         """Pairs of each member with the heads of its block; where groups are known already, with those of other groups."""
         told = [*member, *(["root"] if "root" in blocks.columns else [])]
@@ -300,16 +321,20 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         several = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
         return written(named.join(several, "k"), "open", 8), roots
 
-    links = verified(to_heads(shared, F.col("c")), "links")
-    rest, roots = still_open(links)
-    for turn in range(ROUNDS):
-        if (large := rest.where(F.col("m") > SMALL_BLOCK)).isEmpty():
+    rest, roots = still_open(verified(by_fingerprint(), "links"))
+    for turn in range(-1, ROUNDS):
+        large = rest if turn < 0 else rest.where(F.col("m") > SMALL_BLOCK)
+        if large.isEmpty():
             break
-        met = to_heads(large, *(F.xxhash64("c", "k", F.lit(turn * HEADS + j)) for j in range(HEADS)))
+        met = to_heads(large, *([F.col("c")] if turn < 0 else [F.xxhash64("c", "k", F.lit(turn * HEADS + j)) for j in range(HEADS)]))
         new = verified(met, "links")
         if new.isEmpty():
+            if turn < 0:
+                continue
             break
+        before = rest
         rest, roots = still_open(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        drop_table(spark, before)
 
     def across(blocks: DataFrame, *more: str) -> DataFrame:
         x, y = (blocks.select("k", F.struct(*member, "root", *more).alias(s)) for s in ("x", "y"))
