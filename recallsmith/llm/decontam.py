@@ -32,8 +32,10 @@ from recallsmith.llm.common import bounded_batches, lighten
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 _REACH = 4
 SEED_WORDS = 3
-#: Words of the longest passage whose alignment is remembered, and how many are.
-MEMO_WORDS, MEMO_PASSAGES = 4096, 20_000
+#: Words of the longest passage whose alignment is remembered, and how many passages and bytes of them are.
+MEMO_WORDS, MEMO_PASSAGES, MEMO_BYTES = 4096, 20_000, 8 << 20
+#: Characters of the texts that are looked through at a time, whatever a batch holds; a longer text goes alone.
+SLICE_CHARS = 1 << 18
 #: An alignment's score divided by the item's own; from here on a document counts as contaminated.
 LEAST_SCORE = 0.5
 #: Items of at most this many bytes in all go to every task; larger sets are dealt into parts of this size.
@@ -156,9 +158,12 @@ class Items:
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, places in `sorted`) where a run of words is a seed of an item."""
-        at, code = self.runs(numbers)
-        maybe = np.flatnonzero(self.sieve[code % _SIEVE])
-        at, code = at[maybe], code[maybe]
+        near, got = np.flatnonzero(numbers), []
+        for p in PATTERNS:  # most runs are told apart before those of the next pattern are made
+            i, c = self.codes(numbers, p, near)
+            maybe = np.flatnonzero(self.sieve[c % _SIEVE])
+            got.append((i[maybe], c[maybe]))
+        at, code = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(self.sorted):
             return at[:0], at[:0]
         place = np.minimum(np.searchsorted(self.sorted, code), len(self.sorted) - 1)
@@ -180,6 +185,7 @@ class Finder:
             self.short[int(items.words[k][0])].append(k)
         self.firsts = np.array(sorted(self.short), np.int64)
         self.memo: dict[tuple[int, bytes], tuple[float, int, int]] = {}
+        self.memo_bytes = 0
 
     def passages(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first, end) of the ranges of words to align in texts that end at `ends`: where an item's seeds are close together."""
@@ -207,6 +213,17 @@ class Finder:
 
     def find_all(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
         """For each text, (item_id, score, first word, end word) of the best passage for each item, from `least` on."""
+        out: list[list[tuple[int, float, int, int]]] = []
+        first = chars = 0
+        for k, t in enumerate(texts):
+            if first < k and chars + len(t or "") > SLICE_CHARS:
+                out += self._find_some(texts[first:k])
+                first, chars = k, 0
+            chars += len(t or "")
+        return out + self._find_some(texts[first:])
+
+    def _find_some(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
+        """find_all() of texts whose words are held at once."""
         apart = np.zeros(_REACH, np.int64)  # no seed reaches from one text into the next
         each = [np.concatenate((self.items.numbers(t), apart)) for t in texts]
         ends = np.cumsum([len(x) for x in each], dtype=np.int64)
@@ -226,11 +243,13 @@ class Finder:
                 continue
             key = (k, window.tobytes()) if len(window) <= MEMO_WORDS else None
             if key not in self.memo:
-                if len(self.memo) > MEMO_PASSAGES:
+                if len(self.memo) > MEMO_PASSAGES or self.memo_bytes > MEMO_BYTES:
                     self.memo.clear()
+                    self.memo_bytes = 0
                 got = align(words, window)
                 if key:
                     self.memo[key] = got
+                    self.memo_bytes += len(key[1])
             else:
                 got = self.memo[key]
             s, i, j = got
