@@ -34,6 +34,8 @@ COARSE, CHANCE = 64, 1e-9
 LOOKUP = 20_000
 #: Rows that a task compares at once.
 SLICE = 512
+#: Small row groups, which a reader of few ids can skip; random bits have no values twice and can't be compressed.
+_STORED = {"parquet.block.size": 4 << 20, "parquet.enable.dictionary#hv": "false", "compression": "none"}
 _NEAR = "id string, entities array<string>, head binary"
 
 
@@ -73,7 +75,7 @@ class VectorIndex:
             new = new.groupBy("id").agg(F.max(F.struct("text", *rest)).alias("x")).select("id", "x.*")
         number, at = self.manifest.fresh()
         # texts are put in order, not vectors: an order by ranges looks at its rows twice, and vectors would be made twice for it
-        hdc.index(new.repartitionByRange("id").sortWithinPartitions("id"), self.words, packed=True).write.option("parquet.block.size", 4 << 20).parquet(f"{at}/full")
+        hdc.index(new.repartitionByRange("id").sortWithinPartitions("id"), self.words, packed=True).write.options(**_STORED).parquet(f"{at}/full")
         full = self.spark.read.schema("id string, entities array<string>, hv binary").parquet(f"{at}/full")
         full.select("id", "entities", F.substring("hv", 1, 8 * self.coarse).alias("head")).write.parquet(f"{at}/near")
         old = self._tombstones(full.select("id"))
@@ -108,7 +110,7 @@ class VectorIndex:
         if live is None:
             return self
         number, at = self.manifest.fresh()
-        live.drop("segment").repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.block.size", 4 << 20).parquet(f"{at}/full")
+        live.drop("segment").repartitionByRange("id").sortWithinPartitions("id").write.options(**_STORED).parquet(f"{at}/full")
         full = self.spark.read.schema("id string, entities array<string>, hv binary").parquet(f"{at}/full")
         full.select("id", "entities", F.substring("hv", 1, 8 * self.coarse).alias("head")).write.parquet(f"{at}/near")
         self.manifest.commit(add=[{"kind": "segment", "number": number, "rows": full.count()}], drop=[r["number"] for r in self.manifest.rows()])

@@ -6,6 +6,7 @@ functions, where a majority vote adds up whole words by bit-sliced counters. Bot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,11 @@ from recallsmith.sources.manifest import small_batches
 WORDS, SEED = 1024, "0"
 #: Terms of a text and relations of a memory that a vector holds at most; rows of an index that are added at a time.
 MOST_TERMS, MOST_RELATIONS, BACKFILL = 64, 32, 1000
-#: Rows whose vectors a task holds at once.
-CHUNK = 128
+#: Rows whose vectors a task holds at once, and words of them that it makes at a time: what it works on stays in a core's cache.
+CHUNK, SLICE = 128, 64
 #: Concepts that may be compared with every row.
 MOST_CONCEPTS = 20_000
-_U = np.uint64
+_U, _ENTITY = np.uint64, re.compile(text.ENTITY)
 # The primes of XXH64.
 _P1, _P2, _P3, _P5 = _U(0x9E3779B185EBCA87), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)
 
@@ -38,17 +39,32 @@ def concept(name: Column, words: int = WORDS, seed: str = SEED) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.xxhash64(F.lit(seed), normal(name), i))
 
 
-def concept_vector(name: str, words: int = WORDS, seed: str = SEED) -> np.ndarray:
-    """concept() of one name as unsigned words."""
+def _start(name: str, seed: str = SEED) -> int:
+    """The hash of a name, from which those of its words go on."""
     import xxhash
 
-    start = xxhash.xxh64_intdigest(" ".join(name.lower().split()).encode(), xxhash.xxh64_intdigest(seed.encode(), 42))
+    return xxhash.xxh64_intdigest(" ".join(name.lower().split()).encode(), xxhash.xxh64_intdigest(seed.encode(), 42))
+
+
+def _concepts(starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Some words of the vectors of names: a row for each start, a column for each word's place."""
     with np.errstate(over="ignore"):
-        h = (_U(start) + _P5 + _U(4)) ^ (np.arange(words, dtype=np.uint64) * _P1)
-        h = ((h << _U(23)) | (h >> _U(41))) * _P2 + _P3
-        h = (h ^ (h >> _U(33))) * _P2
-        h = (h ^ (h >> _U(29))) * _P3
-    return h ^ (h >> _U(32))
+        h = (starts + (_P5 + _U(4)))[:, None] ^ (places.astype(np.uint64) * _P1)
+        low = h >> _U(41)
+        h <<= _U(23)
+        h |= low
+        h *= _P2
+        h += _P3
+        for shift, prime in ((_U(33), _P2), (_U(29), _P3)):
+            h ^= np.right_shift(h, shift, out=low)
+            h *= prime
+        h ^= np.right_shift(h, _U(32), out=low)
+    return h
+
+
+def concept_vector(name: str, words: int = WORDS, seed: str = SEED) -> np.ndarray:
+    """concept() of one name as unsigned words."""
+    return _concepts(np.array([_start(name, seed)], np.uint64), np.arange(words))[0]
 
 
 def bind(a: Column, b: Column) -> Column:
@@ -135,6 +151,17 @@ def encode_relation(subject: Column, predicate: Column, object_: Column, words:
     return F.array(bind(s, p), bind(p, o))
 
 
+def entities_of(said: str | None, most: int = text.MOST_ENTITIES) -> list[str]:
+    """text.extract_entities() of one text, which is searched until it has given enough."""
+    found: dict[str, None] = {}
+    for m in _ENTITY.finditer((said or "").lower()):
+        if len(e := m[0].strip(text.ENTITY_MARKS)) >= 3:
+            found[e] = None
+            if len(found) == most:
+                break
+    return list(found)
+
+
 class Encoder:
     """Vectors of texts and memories; the vectors of names that were met are kept, up to a bound."""
 
@@ -151,26 +178,64 @@ class Encoder:
             self.names[name] = concept_vector(name, self.words)
         return self.names[name]
 
-    def text(self, said: str, entities: list[str]) -> np.ndarray:
-        """Each of the first terms bound to its place: the entities, or else the words of three characters or more, or else the text itself."""
+    @staticmethod
+    def terms(said: str, entities: list[str]) -> list[str]:
+        """What stands for a text: the entities, or else the words of three characters or more, or else the text itself."""
+        if entities:
+            return entities[:MOST_TERMS]
         plain = " ".join((said or "").lower().split())
-        terms = entities or [t for t in plain.split() if len(t) >= 3] or [plain or "__empty__"]
-        return majority_of([p ^ self.concept(t) for p, t in zip(self.places, terms, strict=False)])
+        return [t for t in plain.split() if len(t) >= 3][:MOST_TERMS] or [plain or "__empty__"]
+
+    def text(self, said: str, entities: list[str]) -> np.ndarray:
+        """Each of the first terms bound to its place."""
+        return majority_of([p ^ self.concept(t) for p, t in zip(self.places, self.terms(said, entities), strict=False)])
 
     def relation(self, subject: str, predicate: str, object_: str) -> np.ndarray:
         s, p, o = (self.concept(x) for x in (subject, predicate, object_))
         return majority_of([s ^ p, p ^ o])
 
-    def memory(self, said: str, entities: list[str], metadata: dict[str, str | None]) -> np.ndarray:
-        """A text's vector bundled with its relations: the type, the places it belongs to, and each entity with the next."""
+    @staticmethod
+    def relations(entities: list[str], metadata: dict[str, str | None]) -> list[tuple[str, str, str]]:
+        """The relations of a memory: the type, the places it belongs to, and each entity with the next."""
         near = [(a, "near", b) for a, b in zip(entities, entities[1:], strict=False)]
         kind = (metadata.get("tier") or metadata.get("type") or "").strip()
         told = [("__memory__", "has_type", kind)] if kind else []
         told += [(k, "equals", metadata[k]) for k in ("workspace_name", "module", "room") if metadata.get(k)]
-        vectors = [self.relation(*r) for r in (told + near)[:MOST_RELATIONS]]
+        return (told + near)[:MOST_RELATIONS]
+
+    def memory(self, said: str, entities: list[str], metadata: dict[str, str | None]) -> np.ndarray:
+        """A text's vector bundled with its relations."""
+        vectors = [self.relation(*r) for r in self.relations(entities, metadata)]
         own = self.text(said, entities)
         return majority_of([own, *vectors]) if vectors else own
 
+    def memories(self, texts: list[str], entities: list[list[str]], metadata: list[dict[str, str | None]]) -> np.ndarray:
+        """memory() of some rows at once, a row of words each: rows of as many terms and relations together, some of their words at a time."""
+        out, shapes = np.empty((len(texts), self.words), np.uint64), {}
+        for i, (said, own, given) in enumerate(zip(texts, entities, metadata, strict=True)):
+            terms, told = self.terms(said, own), self.relations(own, given)
+            near = sum(p == "near" for _, p, _ in told)  # those of the first entities, which are the first terms
+            shapes.setdefault((len(terms), len(told), near), []).append((i, terms, told[: len(told) - near]))
+        for (n, _, near), rows in shapes.items():
+            numbers: dict[str, int] = {"near": 0}
+            number = lambda name, of=numbers: of.setdefault(name, len(of))
+            at = np.array([i for i, _, _ in rows])
+            held = np.array([[number(t) for t in terms] for _, terms, _ in rows])
+            told = np.array([[[number(x) for x in r] for r in rel] for *_, rel in rows]).reshape(len(rows), -1, 3)
+            starts, step = np.array([_start(name) for name in numbers], np.uint64), SLICE * max(1, CHUNK // len(rows))
+            for begin in range(0, self.words, step):
+                cut = slice(begin, min(begin + step, self.words))
+                names = _concepts(starts, np.arange(cut.start, cut.stop))
+                parts = [names[held[:, i]] for i in range(n)]
+                vectors = [majority_of([x ^ place[cut] for x, place in zip(parts, self.places, strict=False)])]
+                for i in range(told.shape[1]):
+                    s, p, o = (names[told[:, i, j]] for j in range(3))
+                    vectors.append(majority_of([s ^ p, p ^ o]))
+                close = [x ^ names[0] for x in parts[: near + 1]] if near else []
+                vectors += [majority_of([x, y]) for x, y in zip(close, close[1:], strict=False)]
+                out[at, cut] = majority_of(vectors) if len(vectors) > 1 else vectors[0]
+        return out
+
 
 _METADATA = ("tier", "type", "workspace_name", "module", "room")
 
@@ -185,26 +250,23 @@ def index(memories: DataFrame, words: int = WORDS, packed: bool = False) -> Data
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
         for b in (b.slice(start, CHUNK) for b in it for start in range(0, b.num_rows, CHUNK)):
-            texts, found, *rest = (b.column(i).to_pylist() for i in range(1, 3 + len(given)))
-            out = [encoder.memory(t, e, dict(zip(given, m, strict=True))) for t, e, *m in zip(texts, found, *rest, strict=True)]
+            texts, *rest = (b.column(i).to_pylist() for i in range(1, 2 + len(given)))
+            found = [entities_of(t) for t in texts]
+            out = encoder.memories(texts, found, [dict(zip(given, m, strict=True)) for m in zip(*rest, strict=True)] if given else [{}] * len(texts))
             if packed:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.astype("<u8").tobytes() for v in out], pa.binary())], ["id", "entities", "hv"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, names), pa.array([v.tobytes() for v in out.astype("<u8", copy=False)], pa.binary())], ["id", "entities", "hv"])
                 continue
-            flat = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
-            hv = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * words), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), hv], ["id", "entities", "hv"])
+            hv = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * words), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, names), hv], ["id", "entities", "hv"])
 
-    given = [c for c in _METADATA if c in memories.columns]
-    part = memories.select("id", "text", text.extract_entities(F.col("text")).alias("entities"), *(F.col(c).cast("string").alias(c) for c in given))
+    given, names = [c for c in _METADATA if c in memories.columns], pa.list_(pa.string())
+    part = memories.select("id", "text", *(F.col(c).cast("string").alias(c) for c in given))
     return part.mapInArrow(run, f"id {part.schema['id'].dataType.simpleString()}, entities array<string>, hv {'binary' if packed else 'array<bigint>'}")
 
 
 def query_vector(said: str, words: int = WORDS) -> list[int]:
     """The vector of a query's text, by its entities."""
-    import re
-
-    found = [e for e in (w.strip(text.ENTITY_MARKS) for w in re.findall(text.ENTITY, said.lower())) if len(e) >= 3]
-    return Encoder(words).text(said, list(dict.fromkeys(found))[: text.MOST_ENTITIES]).view(np.int64).tolist()
+    return Encoder(words).text(said, entities_of(said)).view(np.int64).tolist()
 
 
 def query(vectors: DataFrame, said: str, words: int = WORDS) -> DataFrame:
