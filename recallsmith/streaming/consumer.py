@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recallsmith.streaming import events as streams
 
+#: Bytes of events, as Catalyst estimates them, that make a file of a batch.
+FILE_BYTES = 8 << 20
 _MEMORIES = "id string, event_id long, created_at timestamp, text string, batch long"
 _SESSIONS = "session_id long, n long, errors long, last_event_at timestamp, batch long"
 
@@ -85,7 +87,14 @@ class Consumer:
 
 
 def in_files(events: DataFrame, path: str, files: int = 4) -> DataFrame:
-    """The events as a stream that gives one file a batch: they are dealt to `files` files by their ids."""
-    events.repartition(files, "event_id").write.mode("overwrite").parquet(path)
+    """The events as a stream of `files` batches: they are dealt by their ids to as many files, or, where a batch has many bytes, to some of them for each batch,
+    so that all cores read it and none reads a long file.
+    """
     spark = events.sparkSession
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    size = int(str(events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = max(1, -(-size // (files * FILE_BYTES)))
+    events.repartition(files * each, "event_id").write.mode("overwrite").parquet(path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    written = sum(f.getPath().getName().startswith("part-") for f in found)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, -(-written // files))).parquet(path)

@@ -11,6 +11,7 @@ Cases: changes without an owner or an id are left out; unknown ids may be read,
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOG = "owner string, id string, change string, content string, at timestamp, seq long"
+#: Rows that are made Python objects, or a frame, at a time.
+PIECE = 1 << 16
 
 
 def stateful(spark: SparkSession) -> None:
@@ -36,11 +39,28 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> list[tuple]:
     return sorted(rows, key=lambda r: (r.at, r.id))
 
 
+def _told(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(id, kind, content, importance, at in nanoseconds) of changes, in the order of time, then id."""
+    parts = [b[["id", "kind", "content", "importance", "at"]] for b in batches]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True).sort_values(["at", "id"], kind="stable", ignore_index=True)
+    at = rows["at"].astype("datetime64[ns]").astype("int64")
+    for k in range(0, len(rows), PIECE):
+        part = rows.iloc[k : k + PIECE]
+        yield from zip(*(part[c].tolist() for c in ("id", "kind", "content", "importance")), at.iloc[k : k + PIECE].tolist(), strict=True)
+
+
+def _standing(i: str, entry: list) -> tuple:
+    """What orders entries: the last access with a share of the importance; of equal ones the later id goes first."""
+    return entry[2] + 0.3 * entry[1], [-ord(c) for c in i], i
+
+
 class _Memory(StatefulProcessor):
     """The entries of an owner; beyond `most` the one with the least last access + 0.3 * importance goes."""
 
     def __init__(self, most: int, ttl_ms: int | None) -> None:
-        self.most, self.ttl_ms = most, ttl_ms
+        self.most, self.ttl_ms, self.heap = most, ttl_ms, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getMapState("held", "id string", "content string, importance double, accessed double, reads long", self.ttl_ms)
@@ -49,22 +69,25 @@ class _Memory(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = {k[0]: list(v) for k, v in self.held.iterator()}
         seq, before, log, last = (self.count.get()[0] if self.count.exists() else 0), dict.fromkeys(held), {}, None
-        for r in _ordered(rows):
-            last = r.at
-            if r.kind == "put":
-                weight = 0.5 if r.importance is None or pd.isna(r.importance) else min(max(r.importance, 0.0), 1.0)
-                held[r.id] = [r.content, weight, _seconds(r.at), held[r.id][3] if r.id in held else 0]
-                log[r.id] = ("put", r.content, r.at)
+        for last in _told(rows):
+            i, kind, content, importance, at = last
+            if kind == "put":
+                weight = 0.5 if importance is None or pd.isna(importance) else min(max(importance, 0.0), 1.0)
+                held[i] = [content, weight, at / 1e9, held[i][3] if i in held else 0]
+                log[i] = ("put", content, at)
+                self._push(i, held)
                 if len(held) > self.most:
-                    out = min(held, key=lambda i: (held[i][2] + 0.3 * held[i][1], [-ord(c) for c in i]))
+                    out = self._least(held)
                     del held[out]
-                    log[out] = ("evicted", None, r.at)
-            elif r.id in held:
-                if r.kind == "remove":
-                    del held[r.id]
-                    log[r.id] = ("removed", None, r.at)
-                elif r.kind == "get":
-                    held[r.id][2:] = [_seconds(r.at), held[r.id][3] + 1]
+                    log[out] = ("evicted", None, at)
+            elif i in held:
+                if kind == "remove":
+                    del held[i]
+                    log[i] = ("removed", None, at)
+                elif kind == "get":
+                    held[i][2:] = [at / 1e9, held[i][3] + 1]
+                    self._push(i, held)
+        self.heap = None
         for gone in before.keys() - held.keys():
             self.held.removeKey((gone,))
         for i, v in held.items():
@@ -72,9 +95,26 @@ class _Memory(StatefulProcessor):
         if last is not None:
             self.count.update((seq + 1,))
         # of an entry that came and went within the batch only its end is told
-        told = [(key[0], i, what, content, at, seq + 1) for i, (what, content, at) in sorted(log.items())]
-        if told:
-            yield pd.DataFrame(told, columns=[c.split()[0] for c in LOG.split(", ")])
+        ids, columns = sorted(log), [c.split()[0] for c in LOG.split(", ")]
+        for part in (ids[k : k + PIECE] for k in range(0, len(ids), PIECE)):
+            what, content, at = zip(*(log[i] for i in part), strict=True)
+            told = [[key[0]] * len(part), part, list(what), list(content), pd.to_datetime(pd.Series(at, dtype="int64")), [seq + 1] * len(part)]
+            yield pd.DataFrame(dict(zip(columns, told, strict=True)))
+
+    def _push(self, i: str, held: dict[str, list]) -> None:
+        """Note the standing of an entry that was put or read; what the heap has of it from before is passed over."""
+        if self.heap is None or len(self.heap) > 8 * (len(held) + self.most):
+            self.heap = [_standing(x, held[x]) for x in held]
+            heapq.heapify(self.heap)
+        else:
+            heapq.heappush(self.heap, _standing(i, held[i]))
+
+    def _least(self, held: dict[str, list]) -> str:
+        """The entry that goes first."""
+        while True:
+            worth, _, i = heapq.heappop(self.heap)
+            if i in held and worth == held[i][2] + 0.3 * held[i][1]:
+                return i
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from ()
