@@ -31,6 +31,8 @@ LEAST_PARITY, MOST_PARITY = 8, 1 << 10
 COMMON = 1 << 20
 #: Up to this many rows, of ids of texts that share a block, may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bytes of sketches that may be broadcast.
+BROADCAST_BYTES = 2 << 20
 _CHUNK = 1 << 15
 
 
@@ -162,6 +164,12 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(half(x, nx, ny), half(y, ny, nx), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
+def _hinted(rows: DataFrame, lists: str) -> DataFrame:
+    """Rows with a list of numbers, broadcast if all of them are few bytes: the driver holds what is broadcast, as rows, as a table and as blocks, for each join anew."""
+    n, numbers = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(rows) if 8 * numbers + 32 * n <= BROADCAST_BYTES else rows
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.uint64), *arrays]).view(np.int64)))
@@ -181,8 +189,9 @@ def common_shingles(part: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(_set(t, shingle)[0].view(np.int64))], ["k"])
 
     some = part.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).mapInArrow(run, "k long")
-    rows = some.groupBy("k").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "k").limit(COMMON).collect()
-    keys, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    # two columns of numbers: up to COMMON of them as rows would be objects each in the driver's Python
+    found = some.groupBy("k").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "k").limit(COMMON).toArrow()
+    keys, counts = found["k"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
@@ -250,8 +259,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     shared = written(counted.select("k", "c", F.shiftright("p", 32).cast("int").alias("n"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i"), "m"), "blocks", 8)
     drop_table(spark, rows)
 
-    info = heads.select("c", "n", "odd")
-    info = F.broadcast(info) if heads.count() <= BROADCAST_ROWS else info
+    info = _hinted(heads.select("c", "n", "odd"), "odd")
     no_sets = spark.createDataFrame([], "c long, set array<long>")
     sets = [no_sets]
 
@@ -357,6 +365,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     Rows without an id stay. A null text counts as an empty one. Two texts under one id are told apart.
     """
     bounded_batches(spark)
+    lighten()  # of what an earlier stage left in the driver's Python
     known = docs.where(F.col(id_col).isNotNull())
     groups = materialise(spark, similarity_groups(spark, known, id_col, text_col, shingle, similarity), "groups")
     id_, key, other = (fresh_name(docs, x) for x in ("id", "key", "key"))
