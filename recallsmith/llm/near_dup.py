@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, fresh_name, lighten, materialise
+from recallsmith.llm.common import bounded_batches, connected_components, drop_table, few_files, fresh_name, lighten, materialise, no_small_broadcasts
 
 #: Up to this many members, a block's rows are compared pair by pair; larger blocks go through hub keys, or first meet heads.
 SMALL_BLOCK = 48
@@ -196,6 +196,18 @@ def common_shingles(part: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
     return keys[order], counts[order]
 
 
+def distinct_blocks(keyed: DataFrame) -> DataFrame:
+    """(k, c, n int, i int, m) of the blocks of two members or more of rows (k, c, p), whose p holds a size n and, below it, a place i; one block for all those of the same members.
+
+    Near copies share shingles by the dozen, and each would give the same pairs again. A member keeps its first place, which excludes no pair that any of the
+    blocks would allow. k is a hash of the members: should those of two blocks have the same, the blocks are one, which adds pairs and loses none.
+    """
+    of_key = Window.partitionBy("k")
+    counted = keyed.withColumn("m", F.count("*").over(of_key)).withColumn("s", F.bit_xor(F.xxhash64("c")).over(of_key)).where("m > 1")
+    once = counted.groupBy(F.col("s").alias("k"), "c").agg(F.min("p").alias("p"), F.max("m").alias("m"))
+    return once.select("k", "c", F.shiftright("p", 32).cast("int").alias("n"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i"), "m")
+
+
 def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, key, group_id, group_key) of every row: groups of rows linked by a Jaccard similarity of their word shingles of `similarity` or more.
 
@@ -207,7 +219,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
 
     Fingerprints of texts of that similarity may differ in more bits, so an exact prefix-filter join finds what they leave. All texts order their shingles alike, common ones last; two texts of that similarity share
     one of the first n - ceil(similarity * n) + 1 of either's n shingles, whatever the number of rows and the length of the
-    texts. Classes that share such a shingle are a block, and pairs are verified on their whole sets too.
+    texts. Classes that share such a shingle are a block, shingles that the same classes share are one, and pairs are verified on their whole sets too.
 
     Groups need only links that join them, so pairs already in one group are not compared. After the fingerprints each block's members meet
     its least one, and those of larger blocks then HEADS others that differ by block; near copies mostly fall into one group then. What is left is exact:
@@ -255,8 +267,7 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     # one shuffle, of what a member of a block must tell: its class, and its size and place in one number
     place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
     keyed = heads_only.select(F.col("r").alias("c"), "n", F.posexplode("keys").alias("i", "k")).select("k", "c", place.alias("p"))
-    counted = keyed.withColumn("m", F.count("*").over(Window.partitionBy("k"))).where("m > 1")
-    shared = written(counted.select("k", "c", F.shiftright("p", 32).cast("int").alias("n"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("i"), "m"), "blocks", 8)
+    shared = written(distinct_blocks(keyed), "blocks", 8)
     drop_table(spark, rows)
 
     info = _hinted(heads.select("c", "n", "odd"), "odd")
@@ -344,13 +355,9 @@ def similarity_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         rest, roots = still_open(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
         drop_table(spark, before)
 
-    def across(blocks: DataFrame, *more: str) -> DataFrame:
-        x, y = (blocks.select("k", F.struct(*member, "root", *more).alias(s)) for s in ("x", "y"))
-        met = x.join(y, "k").where("x.c < y.c AND x.root <> y.root").where(may("x", "y") & alike("x", "y") if more else may("x", "y"))
-        return met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-
-    large = rest.where(F.col("m") > SMALL_BLOCK).join(heads.select("c", "odd"), "c")
-    left = across(rest.where(F.col("m") <= SMALL_BLOCK)).unionByName(across(large, "odd"))
+    # sketches are held against each other where members meet: a family of near copies shares dozens of blocks, and would give each pair as often
+    x, y = (rest.join(heads.select("c", "odd"), "c").select("k", F.struct(*member, "root", "odd").alias(z)) for z in ("x", "y"))
+    left = x.join(y, "k").where("x.c < y.c AND x.root <> y.root").where(may("x", "y") & alike("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(left, "links"))
     roots = connected_components(spark, links)
     named = heads.select("c", "id", "key").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.struct("id", "key").alias("first"), F.coalesce("root", "c").alias("root"))
@@ -367,7 +374,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     bounded_batches(spark)
     lighten()  # of what an earlier stage left in the driver's Python
     known = docs.where(F.col(id_col).isNotNull())
-    groups = materialise(spark, similarity_groups(spark, known, id_col, text_col, shingle, similarity), "groups")
+    with no_small_broadcasts(spark):
+        groups = materialise(spark, similarity_groups(spark, known, id_col, text_col, shingle, similarity), "groups")
     id_, key, other = (fresh_name(docs, x) for x in ("id", "key", "key"))
     named = known.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
 
