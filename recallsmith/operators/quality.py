@@ -37,9 +37,11 @@ def live(memories: DataFrame, meta: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame, *by: str) -> DataFrame:
     """(*by, word, n): words of three characters or more of rows (text, *by), without marks at the ends and stop words.
 
-    Raw words are counted first, so marks are stripped from distinct words only.
+    Without `by`, raw words are counted first, so marks are stripped from distinct words only. With it, groups have few words twice, and a second count of them
+    would cost a shuffle of nearly as many rows as the first: marks are stripped from all words.
     """
-    raw = texts.select(*by, F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy(*by, "w").agg(F.count("*").alias("n"))
+    raw = texts.select(*by, F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
+    raw = raw.withColumn("n", F.lit(1).cast("long")) if by else raw.groupBy("w").agg(F.count("*").alias("n"))
     clean = raw.select(*by, F.trim(text.strip(F.col("w"), text.COVERAGE_MARKS)).alias("word"), "n")
     return clean.where((F.length("word") > 2) & ~F.col("word").isin(text.COVERAGE_STOPWORDS)).groupBy(*by, "word").agg(F.sum("n").alias("n"))
 
